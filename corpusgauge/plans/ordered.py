@@ -87,6 +87,8 @@ def ordered(
     prev: Sequence[str] = (),
     nxt: Sequence[str] = (),
     running: Mapping[str, str] | None = None,
+    peak: Mapping[str, str] | None = None,
+    seen: tuple[Column, Sequence[str]] | None = None,
     rank: bool = False,
     position: bool = False,
     parts: int | None = None,
@@ -98,11 +100,14 @@ def ordered(
     prev / nxt: struct column ``prev`` / ``nxt`` of the neighbour's columns.
     running: for name -> column, ``before_<name>`` (sum over earlier rows) and
     ``total_<name>``.
+    peak: for name -> column, ``peak_<name>`` (largest value of earlier rows).
+    seen: (condition, columns) gives struct columns ``last_seen`` and
+    ``next_seen`` of the nearest earlier / later row that meets the condition.
 
     ``by`` must not be NULL.  The first ``tie`` column is numeric and spreads
     rows that share one hot ``by`` value.
     """
-    running = dict(running or {})
+    running, peak = dict(running or {}), dict(peak or {})
     cuts = cut_points(df, by, parts)
     laned = with_lane(df, by, cuts, "__b")
     if cuts.single and tie:
@@ -117,6 +122,11 @@ def ordered(
     order_key = F.struct(*order)
     aggs = [F.count(F.lit(1)).alias("__c")]
     aggs += [F.sum(c).alias(f"__sum_{n}") for n, c in running.items()]
+    aggs += [F.max(c).alias(f"__max_{n}") for n, c in peak.items()]
+    if seen:
+        hit_key = F.when(seen[0], order_key)
+        aggs.append(F.max_by(F.struct(*seen[1]), hit_key).alias("__seen_last"))
+        aggs.append(F.min_by(F.struct(*seen[1]), hit_key).alias("__seen_first"))
     if prev:
         aggs.append(F.max_by(F.struct(*prev), order_key).alias("__last"))
     if nxt:
@@ -135,6 +145,12 @@ def ordered(
     for name in running:
         carried.append(F.coalesce(F.sum(f"__sum_{name}").over(earlier), F.lit(0)).alias(f"__off_{name}"))
         carried.append(F.sum(f"__sum_{name}").over(group).alias(f"__tot_{name}"))
+    for name in peak:
+        carried.append(F.max(f"__max_{name}").over(earlier).alias(f"__peak_{name}"))
+    if seen:
+        later = along.rowsBetween(1, Window.unboundedFollowing)
+        carried.append(F.last("__seen_last", ignorenulls=True).over(earlier).alias("__seen_before"))
+        carried.append(F.first("__seen_first", ignorenulls=True).over(later).alias("__seen_after"))
     if prev:
         carried.append(F.lag("__last").over(along).alias("__prev"))
     if nxt:
@@ -170,6 +186,15 @@ def ordered(
         local = F.sum(column).over(walk.rowsBetween(Window.unboundedPreceding, -1))
         out.append((F.col(f"__off_{name}") + F.coalesce(local, F.lit(0))).alias(f"before_{name}"))
         out.append(F.col(f"__tot_{name}").alias(f"total_{name}"))
+    up_to = walk.rowsBetween(Window.unboundedPreceding, -1)
+    for name, column in peak.items():
+        out.append(F.greatest(F.col(f"__peak_{name}"), F.max(column).over(up_to)).alias(f"peak_{name}"))
+    if seen:
+        hit = F.when(seen[0], F.struct(*seen[1]))
+        back = F.last(hit, ignorenulls=True).over(up_to)
+        ahead = F.first(hit, ignorenulls=True).over(walk.rowsBetween(1, Window.unboundedFollowing))
+        out.append(F.coalesce(back, F.col("__seen_before")).alias("last_seen"))
+        out.append(F.coalesce(ahead, F.col("__seen_after")).alias("next_seen"))
     first_here = F.row_number().over(walk) == 1
     if prev:
         step = F.lag(F.struct(*prev)).over(walk)

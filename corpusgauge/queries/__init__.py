@@ -19,5 +19,7 @@ MODULES = (
 
 
 def load_all() -> None:
+    import importlib.util as u
     for module in MODULES:
-        import_module(f"{__name__}.{module}")
+        if u.find_spec(f"{__name__}.{module}"):
+            import_module(f"{__name__}.{module}")

@@ -19,6 +19,7 @@ def local_session(cores: int = 8, app: str = "corpusgauge") -> SparkSession:
         .appName(app)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
