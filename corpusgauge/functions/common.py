@@ -22,6 +22,15 @@ def scalar(df: DataFrame) -> Column:
     return df.select(F.struct(*df.columns)).scalar()
 
 
+def attach(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """Put a one-row frame on every row as struct column ``name``.
+
+    Read its fields from this column: every use of a subquery expression would
+    otherwise repeat the subquery's plan.
+    """
+    return df.withColumn(name, scalar(one_row))
+
+
 def inline(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Fixed rule table as a local relation; its size is known when written."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.common import ratio, scalar
+from corpusgauge.functions.common import attach, ratio, scalar
 from corpusgauge.plans.ordered import quantiles
 
 
@@ -40,21 +40,25 @@ def equal_width_tier(value: Column, low: Column, high: Column, tiers: int) -> Co
     return F.when(high == low, 1).otherwise(F.least(spot, F.lit(tiers))).cast("int")
 
 
+def _between(column: str, out: str, df: DataFrame, higher_better: bool, clip: bool) -> DataFrame:
+    lo, hi = F.col("__ends.lo"), F.col("__ends.hi")
+    x = (F.col(column) - lo) / F.nullif(hi - lo, F.lit(0.0))
+    if clip:
+        x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    scaled = F.coalesce(x if higher_better else 1 - x, F.lit(0.5))
+    return df.withColumn(out, F.when(F.col(column).isNotNull(), scaled)).drop("__ends")
+
+
 def min_max(df: DataFrame, column: str, out: str, higher_better: bool = True) -> DataFrame:
     """Scale to 0..1 by the whole column's range; a constant column gives .5."""
-    ends = scalar(df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")))
-    x = (F.col(column) - ends["lo"]) / F.nullif(ends["hi"] - ends["lo"], F.lit(0.0))
-    scaled = F.coalesce(x if higher_better else 1 - x, F.lit(0.5))
-    return df.withColumn(out, F.when(F.col(column).isNotNull(), scaled))
+    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    return _between(column, out, attach(df, ends, "__ends"), higher_better, clip=False)
 
 
 def robust_scale(df: DataFrame, column: str, out: str, higher_better: bool = True) -> DataFrame:
     """Scale by the 5th and 95th percentile, clipped to 0..1; equal limits give .5."""
-    ends = scalar(quantiles(df, [], column, {"lo": 0.05, "hi": 0.95}))
-    x = (F.col(column) - ends["lo"]) / F.nullif(ends["hi"] - ends["lo"], F.lit(0.0))
-    clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    scaled = F.coalesce(clipped if higher_better else 1 - clipped, F.lit(0.5))
-    return df.withColumn(out, F.when(F.col(column).isNotNull(), scaled))
+    ends = quantiles(df, [], column, {"lo": 0.05, "hi": 0.95})
+    return _between(column, out, attach(df, ends, "__ends"), higher_better, clip=True)
 
 
 # The two published scoring cards, four parts of 25 points each.
