@@ -162,16 +162,6 @@ def holm_bh(df: DataFrame, family: Sequence[str], p: str, id_col: str) -> DataFr
     return down.withColumns({"bh": bh, "bonferroni": F.least(F.lit(1.0), F.col(p) * F.col("n"))}).drop("__holm", "__bh", "__down", "pos", "peak_b", "n")
 
 
-def spearman_pairs(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
-    """Columns replaced by their average ranks over all rows."""
-    from corpusgauge.plans.ordered import attach_rank
-
-    out = df
-    for c in columns:
-        out = attach_rank(out, c, f"rank_{c}", id_col)
-    return out
-
-
 def correlation_rows(df: DataFrame, columns: Sequence[str], prefix: str = "") -> DataFrame:
     """(metric_a, metric_b, r) for every pair of columns in one pass."""
     cells = [

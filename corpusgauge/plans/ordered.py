@@ -260,7 +260,15 @@ def framed(df: DataFrame, keys: Sequence[str], back: int, ahead: int, chunk: int
     return spread.withColumn("own", F.col("chunk") == F.col("__home")).drop("__home"), [*keys, "chunk"]
 
 
-def attach_rank(df: DataFrame, value: str, out: str, id_col: str, parts: int | None = None) -> DataFrame:
-    """Global average rank of ``value`` as column ``out``."""
-    ranked = ordered(df, [], value, [id_col], rank=True, parts=parts)
-    return ranked.withColumn(out, average_rank()).drop("lo", "ties", "n")
+def attach_ranks(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], parts: int | None = None) -> DataFrame:
+    """Average rank inside each group for several columns (column -> new name).
+
+    Ranks are worked out per distinct value from ``df`` itself and joined back
+    by value, so the plan grows by one join per column.
+    """
+    out = df
+    for column, name in columns.items():
+        walked = ordered(value_counts(df, keys, column), keys, column, running={"c": "c"}, parts=parts)
+        ranks = walked.select(*keys, column, (F.col("before_c") + (F.col("c") + 1) / 2).alias(name))
+        out = out.join(ranks, [*keys, column])
+    return out

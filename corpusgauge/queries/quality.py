@@ -7,7 +7,7 @@ from corpusgauge.functions import text as tx
 from corpusgauge.functions.common import attach, ratio, rnd, scalar
 from corpusgauge.operators import ngrams, scoring
 from corpusgauge.operators import sequences as seq
-from corpusgauge.plans.ordered import attach_rank, average_rank, ordered, quantiles
+from corpusgauge.plans.ordered import attach_ranks, quantiles
 from corpusgauge.queries.sequences import _SIMS_SQL, _WALK_SQL, _sims
 from corpusgauge.queries.text import _GRAMMAR_SQL, _TOK_SQL, _WINDOW_SQL, TWO_SQL, _distinct, two_scorers
 from corpusgauge.registry import query
@@ -65,16 +65,16 @@ def txt3(spark, sf):
 @query(
     "txt4_group_diversity",
     f"""WITH {_BLEU_SQL}, {_WINDOW_SQL},
-    x AS (SELECT r.doc_id, r.source, r.lang, bleu, (d1 + d2) / 2 AS dist FROM r JOIN bl USING (doc_id)),
-    g AS (SELECT source, lang, count(*) AS n, avg(bleu) AS sb, avg(dist) AS dg, coalesce(stddev_samp(bleu), 0) / (abs(avg(bleu)) + 1e-8) AS cv1, coalesce(stddev_samp(dist), 0) / (abs(avg(dist)) + 1e-8) AS cv2, CAST(replace(source, 'src', '') AS INTEGER) / 10 AS temp FROM x GROUP BY ALL),
-    e AS (SELECT quantile_cont(sb, .05) AS lo, quantile_cont(sb, .95) AS hi FROM g),
-    h AS (SELECT g.*, 1 - least(1, greatest(0, (sb - lo) / (hi - lo))) AS om FROM g, e),
-    k AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY round(om, 9)) + (count(*) OVER (PARTITION BY lang, round(om, 9)) - 1) / 2 AS r1, rank() OVER (PARTITION BY lang ORDER BY round(dg, 9)) + (count(*) OVER (PARTITION BY lang, round(dg, 9)) - 1) / 2 AS r2,
-        rank() OVER (PARTITION BY lang ORDER BY temp) AS rt FROM h),
-    c AS (SELECT lang, abs(corr(r1, rt)) AS rho1, abs(corr(r2, rt)) AS rho2 FROM k GROUP BY 1 HAVING count(*) >= 3),
-    w AS (SELECT (SELECT avg(rho1) FROM c) * (SELECT least(1, greatest(0, 1 - avg(cv1))) FROM g) AS q1, (SELECT avg(rho2) FROM c) * (SELECT least(1, greatest(0, 1 - avg(cv2))) FROM g) AS q2),
-    a AS (SELECT CASE WHEN q1 + q2 > 0 THEN least(.8, greatest(.4, q1 / (q1 + q2))) ELSE .7 END AS alpha FROM w)
-    SELECT source, lang, n, round(sb, 8) AS self_bleu_group, round(om, 7) + 0.0 AS one_minus_self_bleu, round(dg, 8) AS distinct_group, round(alpha, 6) AS alpha, round(alpha * om + (1 - alpha) * dg, 6) + 0.0 AS diversity_score FROM h, a""",
+    xa AS (SELECT r.doc_id, r.source, r.lang, bleu, (d1 + d2) / 2 AS dist FROM r JOIN bl USING (doc_id)),
+    ga AS (SELECT source, lang, count(*) AS n, avg(bleu) AS sb, avg(dist) AS dg, coalesce(stddev_samp(bleu), 0) / (abs(avg(bleu)) + 1e-8) AS cv1, coalesce(stddev_samp(dist), 0) / (abs(avg(dist)) + 1e-8) AS cv2, CAST(replace(source, 'src', '') AS INTEGER) / 10 AS temp FROM xa GROUP BY ALL),
+    ea AS (SELECT quantile_cont(sb, .05) AS lo, quantile_cont(sb, .95) AS hi FROM ga),
+    ha AS (SELECT ga.*, 1 - least(1, greatest(0, (sb - lo) / (hi - lo))) AS om FROM ga, ea),
+    ka AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY round(om, 9)) + (count(*) OVER (PARTITION BY lang, round(om, 9)) - 1) / 2 AS r1, rank() OVER (PARTITION BY lang ORDER BY round(dg, 9)) + (count(*) OVER (PARTITION BY lang, round(dg, 9)) - 1) / 2 AS r2,
+        rank() OVER (PARTITION BY lang ORDER BY temp) AS rt FROM ha),
+    ca AS (SELECT lang, abs(corr(r1, rt)) AS rho1, abs(corr(r2, rt)) AS rho2 FROM ka GROUP BY 1 HAVING count(*) >= 3),
+    wa AS (SELECT (SELECT avg(rho1) FROM ca) * (SELECT least(1, greatest(0, 1 - avg(cv1))) FROM ga) AS q1, (SELECT avg(rho2) FROM ca) * (SELECT least(1, greatest(0, 1 - avg(cv2))) FROM ga) AS q2),
+    aa AS (SELECT CASE WHEN q1 + q2 > 0 THEN least(.8, greatest(.4, q1 / (q1 + q2))) ELSE .7 END AS alpha FROM wa)
+    SELECT source, lang, n, round(sb, 8) AS self_bleu_group, round(om, 7) + 0.0 AS one_minus_self_bleu, round(dg, 8) AS distinct_group, round(alpha, 6) AS alpha, round(alpha * om + (1 - alpha) * dg, 6) + 0.0 AS diversity_score FROM ha, aa""",
 )
 def txt4(spark, sf):
     bleu = ngrams.self_bleu(_tokens(spark, sf), "doc_id", GROUP, "t").select("doc_id", "self_bleu")
@@ -87,9 +87,8 @@ def txt4(spark, sf):
     # One row per configuration group is written once and read by every limit below.
     groups = reliable(groups.withColumn("temp", F.regexp_extract("source", "src([0-9]+)", 1).cast("int") / 10))
     scaled = scoring.robust_scale(groups, "sb", "om", higher_better=False)
-    keyed = scaled.drop("n").withColumns({"om9": rnd("om", 9), "dg9": rnd("dg", 9), "sid": F.xxhash64(*GROUP)})
-    for column, out in (("om9", "r1"), ("dg9", "r2"), ("temp", "rt")):
-        keyed = ordered(keyed, ["lang"], column, ["sid"], rank=True).withColumn(out, average_rank()).drop("lo", "ties", "n")
+    keyed = scaled.select("lang", rnd("om", 9).alias("om9"), rnd("dg", 9).alias("dg9"), "temp")
+    keyed = attach_ranks(keyed, ["lang"], {"om9": "r1", "dg9": "r2", "temp": "rt"})
     per_lang = keyed.groupBy("lang").agg(F.abs(F.corr("r1", "rt")).alias("rho1"), F.abs(F.corr("r2", "rt")).alias("rho2"), F.count("*").alias("m"))
     rho = scalar(per_lang.where("m >= 3").agg(F.avg("rho1").alias("a"), F.avg("rho2").alias("b")))
     stable = scalar(groups.agg(F.avg("cv1").alias("a"), F.avg("cv2").alias("b")))
@@ -187,8 +186,7 @@ def txt7_documents(spark, sf):
 )
 def txt11(spark, sf):
     df = table(spark, sf, "events").select("user_id", "event_id", "ts", F.col("value").alias("a"), F.from_json("props", "k double")["k"].alias("b"))
-    ranked = ordered(df, ["user_id"], "a", ["event_id"], rank=True).withColumn("ra", average_rank()).drop("lo", "ties", "n")
-    ranked = ordered(ranked, ["user_id"], "b", ["event_id"], rank=True).withColumn("rb", average_rank())
+    ranked = attach_ranks(df, ["user_id"], {"a": "ra", "b": "rb"})
     stats = ranked.groupBy("user_id").agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
     ways = seq.direction_agreement(df, ["user_id"], "ts", "a", "b", ["event_id"]).select("user_id", F.col("agreement").alias("direction"))
     strength = F.abs("pearson")
@@ -360,7 +358,7 @@ def txt18_near(spark, sf):
 def txt19(spark, sf):
     per_doc = two_scorers(spark, sf).groupBy("doc_id").agg(rnd(F.avg("primary"), 9).alias("primary"), rnd(F.avg("validation"), 9).alias("validation"))
     per_doc = reliable(per_doc)  # one narrow row per document, read by each scorer
-    ranked = attach_rank(attach_rank(per_doc, "primary", "ra", "doc_id"), "validation", "rb", "doc_id")
+    ranked = attach_ranks(per_doc, [], {"primary": "ra", "validation": "rb"})
     agree = scalar(ranked.agg(F.corr("ra", "rb").alias("r")))["r"]
     rows = per_doc.unpivot(["doc_id"], ["primary", "validation"], "scorer", "score")
     stats = rows.groupBy("scorer").agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.count_if(F.col("score") == 0).alias("n_zero"))
