@@ -30,7 +30,7 @@ def local_session(cores: int = 8, app: str = "corpusgauge") -> SparkSession:
     return spark
 
 
-def _checkpoint_root(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """Shared folder the cluster names, else a fresh local one in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -47,5 +47,5 @@ def reliable(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint that survives executor loss."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_checkpoint_root(spark))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
