@@ -133,13 +133,13 @@ def distinct_scores(toks: Column, size: int = 1000, stride: int = 500, least: in
             d2 = F.size(F.array_distinct(bi)) / (F.size(bi) + 1)
             return F.struct(d1.alias("d1"), d2.alias("d2"))
 
-        per_window = F.transform(window_starts(F.size(t), size, stride), one)
+        def means(per_window: Column) -> Column:
+            zero = F.struct(F.lit(0.0).alias("d1"), F.lit(0.0).alias("d2"))
+            total = F.aggregate(per_window, zero, lambda acc, w: F.struct((acc["d1"] + w["d1"]).alias("d1"), (acc["d2"] + w["d2"]).alias("d2")))
+            n = F.size(per_window)
+            return let(total, lambda s: F.struct((s["d1"] / n).alias("distinct_1"), (s["d2"] / n).alias("distinct_2")))
 
-        def mean(field: str) -> Column:
-            total = F.aggregate(per_window, F.lit(0.0), lambda acc, w: acc + w[field])
-            return total / F.size(per_window)
-
-        both = F.struct(mean("d1").alias("distinct_1"), mean("d2").alias("distinct_2"))
+        both = let(F.transform(window_starts(F.size(t), size, stride), one), means)
         return F.when(F.size(t) >= least, both).otherwise(F.struct(F.lit(0.0).alias("distinct_1"), F.lit(0.0).alias("distinct_2")))
 
     return let(toks, lambda t: let(ngrams(t, 2), lambda pairs: scores(t, pairs)))
@@ -159,7 +159,7 @@ def counted(items: Column) -> Column:
         return let(spots, lengths)
 
     empty = F.array().cast("array<struct<item:string,c:int>>")
-    return let(F.array_sort(items), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
+    return let(F.sort_array(items), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 
 def contains_any(toks: Column, wanted: Sequence[str]) -> Column:

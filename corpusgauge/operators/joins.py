@@ -94,33 +94,41 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, left_id: str, right_order:
     (prefix filter), so only rare words enter the join and frequent ones never
     meet.  Right units with one and the same word set collapse first.
     """
-    sets = lambda df: df.withColumn(words, F.array_sort(F.array_distinct(words))).where(F.size(words) > 0)
-    left = sets(left.select(left_id, words)).withColumn("__u", F.concat(F.lit("l"), left_id))
-    right = (
-        sets(right.select(*right_order, words))
-        .groupBy(words)
-        .agg(F.min(F.struct(*right_order)).alias("__first"))
-        .withColumn("__u", F.concat(F.lit("r"), F.sha2(F.array_join(words, " "), 256)))
-    )
+    def sets(df: DataFrame) -> DataFrame:
+        return df.withColumn(words, F.sort_array(F.array_distinct(words))).where(F.size(words) > 0)
+
+    left = sets(left.select(left_id, words)).withColumnRenamed(left_id, "__u")
+    right = sets(right.select(*right_order, words)).withColumn("__u", F.sha2(F.array_join(words, " "), 256))
+    firsts = right.groupBy("__u").agg(F.min(F.struct(*right_order)).alias("__first"))
+
     def tokens(df: DataFrame) -> DataFrame:
         return df.select("__u", F.size(words).alias("__n"), F.explode(words).alias("__w"))
 
-    # Only words that both sides hold can meet; rarity is counted on the right.
+    # Words the left side lacks can never meet; they count as the rarest and only
+    # use up prefix places, so they need no row of their own.  Any fixed order of
+    # the others is exact; rare words first keeps the join small.
     left_words = tokens(left).select("__w").distinct()
-    freq = tokens(right).join(left_words, "__w", "left_semi").groupBy("__w").agg(F.count(F.lit(1)).alias("__f"))
-    def prefix(df: DataFrame) -> DataFrame:
-        ranked = tokens(df).join(freq, "__w", "left").withColumn("__f", F.coalesce("__f", F.lit(0)))
-        arrays = ranked.groupBy("__u", "__n").agg(F.array_sort(F.collect_list(F.struct("__f", "__w"))).alias("__a"))
-        keep = (F.col("__n") - F.ceil(F.col("__n") * F.lit(floor)) + 1).cast("int")
-        return arrays.select("__u", "__n", F.explode(F.slice("__a", F.lit(1), keep)).alias("__e")).select("__u", "__n", F.col("__e.__w").alias("__w"))
-
-    a = prefix(left).select(F.col("__u").alias("__lu"), F.col("__n").alias("__ln"), "__w")
-    b = prefix(right).select(F.col("__u").alias("__ru"), F.col("__n").alias("__rn"), "__w")
+    shared_words = tokens(right).join(left_words, "__w", "left_semi")
+    freq = shared_words.groupBy("__w").agg(F.count(F.lit(1)).alias("__f"))
+
+    def prefix(rows: DataFrame) -> DataFrame:
+        ranked = rows.join(freq, "__w", "left").withColumn("__f", F.coalesce("__f", F.lit(0)))
+        arrays = ranked.groupBy("__u", "__n").agg(F.sort_array(F.collect_set(F.struct("__f", "__w"))).alias("__a"))
+        absent = F.col("__n") - F.size("__a")
+        keep = (F.col("__n") - F.ceil(F.col("__n") * F.lit(floor)) + 1 - absent).cast("int")
+        return arrays.where(keep > 0).select("__u", "__n", F.explode(F.slice("__a", F.lit(1), keep)).alias("__e")).select("__u", "__n", F.col("__e.__w").alias("__w"))
+
+    a = prefix(tokens(left)).select(F.col("__u").alias("__lu"), F.col("__n").alias("__ln"), "__w")
+    b = prefix(shared_words).select(F.col("__u").alias("__ru"), F.col("__n").alias("__rn"), "__w")
     near = (F.col("__rn") >= F.col("__ln") * floor) & (F.col("__ln") >= F.col("__rn") * floor)
     pairs = a.join(b, "__w").where(near).select("__lu", "__ru").distinct()
+    sides = firsts.select(F.col("__u").alias("__ru"), "__first")
+    texts = right.select(F.struct(*right_order).alias("__first"), F.col(words).alias("__rw"))
     full = (
-        pairs.join(left.select(F.col("__u").alias("__lu"), left_id, F.col(words).alias("__lw")), "__lu")
-        .join(right.select(F.col("__u").alias("__ru"), "__first", F.col(words).alias("__rw")), "__ru")
+        pairs.join(sides, "__ru")
+        .join(texts, "__first")
+        .join(left.select(F.col("__u").alias("__lu"), F.col(words).alias("__lw")), "__lu")
+        .withColumnRenamed("__lu", left_id)
     )
     shared = F.size(F.array_intersect("__lw", "__rw"))
     jaccard = shared / (F.size("__lw") + F.size("__rw") - shared)

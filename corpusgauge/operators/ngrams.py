@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
-from corpusgauge.functions.common import ratio, scalar
+from corpusgauge.functions.common import attach, ratio
 from corpusgauge.plans.ordered import ordered
+from corpusgauge.session import reliable
 
 ORDERS = (1, 2, 3, 4)
 
@@ -121,43 +123,63 @@ def perplexity(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str, in
 def sentence_continuity(docs: DataFrame, doc_id: str) -> DataFrame:
     """Mean, spread and extremes of the TF-IDF cosine of neighbouring sentences.
 
-    A word meets itself only in the next sentence of the same document, so the
-    join has one partner per row at most.
+    A word meets itself in the sentence before through a window over its places
+    in the document.
     """
     parts = F.posexplode(tx.found(F.lower("text"), r"[^.!?\n]+")).alias("raw", "sentence")
     sents = docs.select(doc_id, parts).select(doc_id, "raw", tx.words(F.col("sentence")).alias("w")).where(F.size("w") > 0)
     counted = sents.select(doc_id, "raw", F.size("w").alias("len"), F.inline(tx.counted(F.col("w"))))
-    total = scalar(sents.agg(F.count("*").alias("n")))["n"]
+    total = sents.agg(F.count("*").alias("n"))
     df = counted.groupBy("item").agg(F.count("*").alias("df"))
-    weighted = counted.join(df, "item").withColumn("x", F.col("c") * F.log(1 + total / F.col("df")))
-    norms = weighted.groupBy(doc_id, "raw").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    here = weighted.select(doc_id, "item", "raw", "x")
-    there = weighted.select(doc_id, "item", (F.col("raw") - 1).alias("raw"), F.col("x").alias("y"))
-    dots = here.join(there, [doc_id, "item", "raw"]).groupBy(doc_id, "raw").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
-    after = norms.select(doc_id, (F.col("raw") - 1).alias("raw"), F.col("norm").alias("norm2"))
-    sims = norms.join(after, [doc_id, "raw"]).join(dots, [doc_id, "raw"], "left")
-    sim = F.coalesce(F.col("d"), F.lit(0.0)) / (F.col("norm") * F.col("norm2"))
-    return sims.withColumn("s", sim).groupBy(doc_id).agg(
+    weighted = attach(counted.join(df, "item"), total, "t").select(doc_id, "raw", "item", (F.col("c") * F.log(1 + F.col("t.n") / F.col("df"))).alias("x"))
+    # One shuffle brings a document's words together; all later steps stay there.
+    local = weighted.repartition(F.col(doc_id))
+    same_word = Window.partitionBy(doc_id, "item").orderBy("raw")
+    met = F.when(F.lag("raw").over(same_word) == F.col("raw") - 1, F.col("x") * F.lag("x").over(same_word))
+    per = local.withColumn("met", met).groupBy(doc_id, "raw").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.coalesce(F.sum("met"), F.lit(0.0)).alias("d"))
+    by_place = Window.partitionBy(doc_id).orderBy("raw")
+    before = per.withColumns({"raw0": F.lag("raw").over(by_place), "norm0": F.lag("norm").over(by_place)})
+    sims = before.where(F.col("raw0") == F.col("raw") - 1).select(doc_id, (F.col("d") / (F.col("norm") * F.col("norm0"))).alias("s"))
+    return sims.groupBy(doc_id).agg(
         F.count("*").alias("gaps"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), F.max("s").alias("high"), F.min("s").alias("low")
     )
 
 
-def minhash_copies(docs: DataFrame, doc_id: str, toks: str, floor: float = 0.6, bands: int = 8, rows: int = 4) -> DataFrame:
+def minhash_copies(docs: DataFrame, doc_id: str, toks: Column, floor: float = 0.6, bands: int = 8, rows: int = 4) -> DataFrame:
     """Documents whose word-pair set is near an earlier document's.
 
-    Every band bucket is compared with its first document only (a star, not all
-    pairs), and each candidate is verified with the exact Jaccard.
+    ``toks`` is the token array of a row of ``docs``.  Every band bucket is
+    compared with its first document only (a star, not all pairs), and each
+    candidate is verified with the exact Jaccard; only candidates are tokenised
+    a second time.
     """
-    sets = docs.select(doc_id, F.array_sort(F.array_distinct(tx.ngrams(F.col(toks), 2))).alias("s")).where(F.size("s") > 0)
-    same = sets.groupBy("s").agg(F.min(doc_id).alias(doc_id)).select(doc_id, "s")
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform("s", lambda g: F.xxhash64(g, F.lit(seed))))
 
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[least(b * rows + r) for r in range(rows)]).alias("key")) for b in range(bands)])
-    buckets = same.select(doc_id, F.inline(keys))
+    def sets(frame: DataFrame) -> DataFrame:
+        listed = frame.withColumn("__t", toks)
+        return listed.select(doc_id, F.array_distinct(tx.ngrams(F.col("__t"), 2)).alias("s")).where(F.size("s") > 0)
+
+    # One hash per word pair; its top bits choose a bin and each bin keeps its
+    # least hash.  Sorted hashes hold the bins as runs, so one pass finds them.
+    bins = bands * rows
+    shift = 64 - int(math.log2(bins))
+
+    def signature(h: Column) -> Column:
+        prev = lambda i: F.element_at(h, F.greatest(i, F.lit(1)))
+        firsts = F.filter(h, lambda x, i: (i == 0) | (F.shiftrightunsigned(x, shift) != F.shiftrightunsigned(prev(i), shift)))
+        return F.transform(firsts, lambda x: F.struct(F.shiftrightunsigned(x, shift).cast("int").alias("bin"), x.alias("h")))
+
+    hashes = F.sort_array(F.transform("s", lambda g: F.xxhash64(g)))
+    marks = sets(docs).select(doc_id, tx.let(hashes, signature).alias("sig"))
+    # A band is a run of bins; a band without any hash makes no bucket.
+    band = lambda b: F.filter("sig", lambda m: (m["bin"] >= b * rows) & (m["bin"] < (b + 1) * rows))
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.when(F.size(band(b)) > 0, F.xxhash64(band(b))).alias("key")) for b in range(bands)])
+    buckets = marks.select(doc_id, F.inline(keys)).where("key is not null")
     firsts = buckets.groupBy("band", "key").agg(F.min(doc_id).alias("first_id"), F.count("*").alias("members")).where("members > 1")
     pairs = buckets.join(firsts, ["band", "key"]).where(F.col(doc_id) != F.col("first_id")).select(doc_id, "first_id").distinct()
-    full = pairs.join(same, doc_id).join(same.select(F.col(doc_id).alias("first_id"), F.col("s").alias("t")), "first_id")
+    pairs = reliable(pairs)  # two ids per candidate, read three times below
+    wanted = pairs.select(F.explode(F.array(doc_id, "first_id")).alias(doc_id)).distinct()
+    held = sets(docs.join(wanted, doc_id, "left_semi"))
+    full = pairs.join(held, doc_id).join(held.select(F.col(doc_id).alias("first_id"), F.col("s").alias("t")), "first_id")
     shared = F.size(F.array_intersect("s", "t"))
     jaccard = shared / (F.size("s") + F.size("t") - shared)
     hits = full.select(doc_id, "first_id", jaccard.alias("jaccard")).where(F.col("jaccard") >= floor)

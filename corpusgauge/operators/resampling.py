@@ -36,10 +36,25 @@ def uniforms(keys: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
     return (z >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def _poisson_steps() -> np.ndarray:
+    return np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 18.0)])))
+
+
 def poisson_weights(u: np.ndarray) -> np.ndarray:
-    """Poisson(1) counts by inverse distribution function."""
-    steps = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 18.0)])))
-    return np.searchsorted(steps, u.ravel(), side="right").reshape(u.shape).astype(np.float64)
+    """Poisson(1) counts by inverse distribution function.
+
+    A table over 65,536 equal cells gives the count; the few cells that a step
+    cuts through are looked up exactly.
+    """
+    steps, cells = _poisson_steps(), 65536
+    low = np.searchsorted(steps, np.arange(cells) / cells, side="right")
+    high = np.searchsorted(steps, (np.arange(cells) + 1) / cells, side="left")
+    cell = (u * cells).astype(np.int32)
+    out = low.astype(np.float64)[cell]
+    unsure = (low != high)[cell]
+    if unsure.any():
+        out[unsure] = np.searchsorted(steps, u[unsure], side="right")
+    return out
 
 
 def replicate_sums(df: DataFrame, key: Column, group: Column, value: Column, reps: int, seed: int, kind: str, share: float = 1.0, noise: float = 0.0) -> DataFrame:
@@ -55,19 +70,21 @@ def replicate_sums(df: DataFrame, key: Column, group: Column, value: Column, rep
         for pdf in batches:
             keys, values = pdf["k"].to_numpy(), pdf["v"].to_numpy()
             codes, names = pd.factorize(pdf["grp"])
+            member = (codes[None, :] == np.arange(len(names))[:, None]).astype(np.float64)
+            sums = np.zeros((2, len(names), reps))
             for start in range(0, reps, BLOCK):
                 ids = np.arange(start, min(start + BLOCK, reps))
                 u = uniforms(keys, ids, seed)
                 w = poisson_weights(u) if kind == "bootstrap" else (u < share).astype(np.float64)
-                wv = w * values[:, None]
+                sums[0][:, ids] = member @ w
                 if noise:
                     a, b = uniforms(keys, ids, seed + 7919), uniforms(keys, ids, seed + 104729)
-                    wv = w * (values[:, None] + noise * np.sqrt(-2.0 * np.log1p(-a)) * np.cos(2.0 * np.pi * b))
-                for code, name in enumerate(names):
-                    mask = codes == code
-                    held = totals.setdefault(name, np.zeros((2, reps)))
-                    held[0, ids] += w[mask].sum(axis=0)
-                    held[1, ids] += wv[mask].sum(axis=0)
+                    drawn = values[:, None] + noise * np.sqrt(-2.0 * np.log1p(-a)) * np.cos(2.0 * np.pi * b)
+                    sums[1][:, ids] = member @ (w * drawn)
+                else:
+                    sums[1][:, ids] = (member * values) @ w
+            for code, name in enumerate(names):
+                totals[name] = totals.get(name, 0.0) + sums[:, code]
         for name, held in totals.items():
             yield pd.DataFrame({"rep": np.arange(reps), "grp": name, "w": held[0], "ws": held[1]})
 

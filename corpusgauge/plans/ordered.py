@@ -192,7 +192,9 @@ def ordered(
     if seen:
         hit = F.when(seen[0], F.struct(*seen[1]))
         back = F.last(hit, ignorenulls=True).over(up_to)
-        ahead = F.first(hit, ignorenulls=True).over(walk.rowsBetween(1, Window.unboundedFollowing))
+        # A growing frame in the reverse order: one pass, unlike a shrinking frame.
+        reverse = inside.orderBy(*[F.desc(c) for c in order])
+        ahead = F.last(hit, ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, -1))
         out.append(F.coalesce(back, F.col("__seen_before")).alias("last_seen"))
         out.append(F.coalesce(ahead, F.col("__seen_after")).alias("next_seen"))
     first_here = F.row_number().over(walk) == 1

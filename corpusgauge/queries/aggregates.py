@@ -9,7 +9,7 @@ from corpusgauge.operators.joins import beaten_counts
 from corpusgauge.operators.tables import long_form
 from corpusgauge.plans.ordered import ordered, quantiles
 from corpusgauge.registry import query
-from corpusgauge.sources.tables import table
+from corpusgauge.sources.tables import busy_table, table
 
 WORD = r"[\p{L}\p{N}]+"
 CONFIG = ["l_returnflag", "l_linestatus", "l_linenumber"]
@@ -443,7 +443,7 @@ def _has_sql(word: str) -> str:
 )
 def agg25(spark, sf):
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    docs = table(spark, sf, "documents").select("source", words.alias("w"))
+    docs = busy_table(spark, sf, "documents").select("source", words.alias("w"))
     has = lambda w: F.array_contains("w", w)
     level = F.when(has("worthless"), 4).when(has("stupid"), 3).when(has("from") & has("are"), 2).when(has("by"), 1).otherwise(0)
     top = docs.select("source", level.alias("lvl")).groupBy("source").agg(F.max("lvl").alias("lvl"), F.count_if(F.col("lvl") >= 2).alias("n_open"))
@@ -543,7 +543,7 @@ def agg31(spark, sf):
     # Ranks outside the expected set are cut before the set is built.
     wanted = F.array(*[F.lit(i) for i in range(1, 8)])
     ranks = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linenumber").between(1, 7), F.col("l_linenumber"))).alias("have"))
-    missing = F.array_sort(F.array_except(wanted, "have"))
+    missing = F.sort_array(F.array_except(wanted, "have"))
     return ranks.select("l_orderkey", (F.size(missing) == 0).alias("complete"), F.array_join(missing.cast("array<string>"), ",").alias("missing"))
 
 
@@ -556,7 +556,7 @@ def agg31(spark, sf):
 )
 def agg32(spark, sf):
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")
-    counts = table(spark, sf, "documents").select(words).where(~F.col("word").isin(fixed.STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n"))
+    counts = busy_table(spark, sf, "documents").select(words).where(~F.col("word").isin(fixed.STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "word").limit(100)
 
 
@@ -611,7 +611,7 @@ def agg35(spark, sf):
     df = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.contains("text", F.lit("\n")).alias("long"))
     placed = ordered(df, ["conv_id"], "turn", position=True).withColumn("block", F.floor((F.col("pos") - 1) / 6))
     return placed.groupBy("conv_id", "block").agg(
-        F.count("*").alias("n_turns"), F.count_if("long").alias("n_long"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("speakers")
+        F.count("*").alias("n_turns"), F.count_if("long").alias("n_long"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("speakers")
     )
 
 
@@ -625,7 +625,7 @@ def agg35(spark, sf):
 def agg36(spark, sf):
     labels = table(spark, sf, "conversations").select("conv_id", "role", F.regexp_extract("text", r"[\p{L}]+", 0).alias("label")).distinct()
     # Labels carry only letters, so byte order is the order of the path.
-    path = F.array_join(F.array_sort(F.collect_list("label")), " / ")
+    path = F.array_join(F.sort_array(F.collect_list("label")), " / ")
     paths = labels.groupBy("conv_id").pivot("role", ["assistant", "user"]).agg(path)
     return paths.select("conv_id", *[F.nullif(c, F.lit("")).alias(c) for c in ("assistant", "user")])
 
@@ -650,7 +650,7 @@ def _list_sql(words) -> str:
 def agg37(spark, sf):
     sentences = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^.!?\n]+"), F.lit(0))).alias("sent")
     words = F.regexp_extract_all("sent", F.lit(WORD), F.lit(0)).alias("w")
-    df = table(spark, sf, "documents").select("doc_id", sentences).select("doc_id", words)
+    df = busy_table(spark, sf, "documents").select("doc_id", sentences).select("doc_id", words)
     among = lambda names: F.array(*[F.lit(n) for n in names])
     hits = lambda names: F.size(F.filter("w", lambda x: x.isin(names)))
     who = F.array_compact(F.array(*[F.when(F.arrays_overlap("w", among(a)), F.lit(n)) for n, a in _ENTITIES]))
@@ -704,7 +704,7 @@ def top2(spark, sf):
 def top3(spark, sf):
     # One short label per turn: the timeline string is the result row itself.
     step = F.struct((-F.length("text")).alias("k"), "turn", F.concat("role", F.lit(":"), F.length("text")).alias("s"))
-    lists = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("a"))
+    lists = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(step)).alias("a"))
     return lists.select("conv_id", F.array_join(F.transform("a", lambda x: x["s"]), ">").alias("timeline"))
 
 

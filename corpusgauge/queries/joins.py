@@ -7,7 +7,7 @@ from corpusgauge.functions.common import inline, ratio, rnd, scalar, sql_values
 from corpusgauge.operators import joins
 from corpusgauge.plans.ordered import ordered, quantiles
 from corpusgauge.registry import query
-from corpusgauge.sources.tables import table
+from corpusgauge.sources.tables import busy_table, table
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -108,7 +108,7 @@ def join4(spark, sf):
 def join5(spark, sf):
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words")
     left = table(spark, sf, "benchmark").select("item_id", words)
-    right = table(spark, sf, "documents").select("doc_id", words)
+    right = busy_table(spark, sf, "documents").select("doc_id", words)
     found = joins.fuzzy_matches(left, right, "item_id", ["doc_id"], "words", 0.3)
     return found.select("item_id", "doc_id", rnd("jaccard", 9).alias("jaccard"))
 
@@ -272,7 +272,7 @@ def join11(spark, sf):
 )
 def join12(spark, sf):
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")
-    tokens = table(spark, sf, "documents").select("doc_id", words)
+    tokens = busy_table(spark, sf, "documents").select("doc_id", words)
     scored = tokens.join(inline(spark, fixed.LEXICON, "word string, score double"), "word")
     return scored.groupBy("doc_id").agg(F.count("*").alias("n_hits"), rnd(F.avg("score"), 9).alias("mean_score"))
 
@@ -293,7 +293,7 @@ def _side_sql(words) -> str:
 )
 def join13(spark, sf):
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    docs = table(spark, sf, "documents").select("doc_id", "source", words.alias("w"))
+    docs = busy_table(spark, sf, "documents").select("doc_id", "source", words.alias("w"))
     has = lambda side: F.arrays_overlap("w", F.array(*[F.lit(x) for x in side]))
     flags = [F.struct(F.lit(p).alias("pattern"), has(a).alias("a"), has(b).alias("b")) for p, a, b in fixed.OPPOSED]
     rows = docs.select("doc_id", "source", F.inline(F.array(*flags)))
@@ -319,7 +319,7 @@ def join13(spark, sf):
 )
 def join14(spark, sf):
     names = table(spark, sf, "benchmark").select(F.regexp_extract("text", WORD, 0).alias("name")).distinct()
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = busy_table(spark, sf, "documents").select("doc_id", "text")
     parts = F.split("text", r"[^\p{L}\p{N}]")
     places = docs.select("doc_id", F.posexplode(parts).alias("pos", "name"))
     # Count per (document, word) first: a frequent name is one row per document.

@@ -8,7 +8,7 @@ from corpusgauge.operators import scoring
 from corpusgauge.operators.tables import completeness, varying_columns
 from corpusgauge.plans.ordered import ordered, quantiles
 from corpusgauge.registry import query
-from corpusgauge.sources.tables import table
+from corpusgauge.sources.tables import busy_table, table
 
 
 @query(
@@ -164,7 +164,7 @@ _CARD_SQL = """
     """,
 )
 def prj7_quality(spark, sf):
-    df = table(spark, sf, "documents").select(
+    df = busy_table(spark, sf, "documents").select(
         "doc_id",
         F.col("n_chars").alias("chars"),
         F.regexp_count("text", F.lit(r"[^ \n]+")).alias("words"),

@@ -12,13 +12,13 @@ from corpusgauge.queries.sequences import _SIMS_SQL, _WALK_SQL, _sims
 from corpusgauge.queries.text import _GRAMMAR_SQL, _TOK_SQL, _WINDOW_SQL, TWO_SQL, _distinct, two_scorers
 from corpusgauge.registry import query
 from corpusgauge.session import reliable
-from corpusgauge.sources.tables import table
+from corpusgauge.sources.tables import busy_table, table
 
 GROUP = ["source", "lang"]
 
 
 def _tokens(spark, sf, *extra):
-    return table(spark, sf, "documents").select("doc_id", *GROUP, *extra, tx.tokens(tx.strip_markdown(F.col("text"))).alias("t"))
+    return busy_table(spark, sf, "documents").select("doc_id", *GROUP, *extra, tx.tokens(tx.strip_markdown(F.col("text"))).alias("t"))
 
 
 def _round(df, places, *names):
@@ -134,7 +134,7 @@ def txt5(spark, sf):
 def txt6(spark, sf):
     text = F.col("text")
     rate = tx.grammar_errors(text) / F.greatest(tx.count_words(text, "letters"), F.lit(1)) * 100
-    errors = table(spark, sf, "documents").select("doc_id", rate.alias("err"))
+    errors = busy_table(spark, sf, "documents").select("doc_id", rate.alias("err"))
     # Two narrow columns per document are written once for limits and scores.
     df = reliable(_perplexity(spark, sf).select("doc_id", "ppl_bigram").join(errors, "doc_id"))
     df = scoring.robust_scale(df, "ppl_bigram", "ppl_score", higher_better=False)
@@ -170,7 +170,7 @@ def txt7(spark, sf):
     """,
 )
 def txt7_documents(spark, sf):
-    out = ngrams.sentence_continuity(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    out = ngrams.sentence_continuity(busy_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return _round(_round(out, 8, "mean", "high", "low"), 7, "std")
 
 
@@ -344,7 +344,8 @@ def txt18(spark, sf):
 
 @query("txt18_near_copies")
 def txt18_near(spark, sf):
-    out = ngrams.minhash_copies(_tokens(spark, sf), "doc_id", "t")
+    docs = busy_table(spark, sf, "documents").select("doc_id", "text")
+    out = ngrams.minhash_copies(docs, "doc_id", tx.tokens(tx.strip_markdown(F.col("text"))))
     return _round(out, 9, "jaccard")
 
 

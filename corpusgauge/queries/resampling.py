@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from corpusgauge.operators import resampling as rs
 from corpusgauge.registry import query
-from corpusgauge.sources.tables import table
+from corpusgauge.sources.tables import busy_table, table
 
 
 def _orders(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    return busy_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
 
 
 @query("sta15_permutation_test")

@@ -9,7 +9,7 @@ from corpusgauge.functions.plugin import lexicon_scorer, score_batches
 from corpusgauge.operators import sequences as seq
 from corpusgauge.queries.sequences import _DECIDE_SQL
 from corpusgauge.registry import query
-from corpusgauge.sources.tables import table
+from corpusgauge.sources.tables import busy_table, table
 from corpusgauge.streaming import jobs
 
 _MARK = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
@@ -138,6 +138,6 @@ def stm8_diff(spark, sf):
     """,
 )
 def udf5(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", tx.words(F.col("text")).alias("words"))
+    docs = busy_table(spark, sf, "documents").select("doc_id", tx.words(F.col("text")).alias("words"))
     scored = score_batches(docs, "words", lexicon_scorer(fixed.LEXICON), ["doc_id"])
     return scored.select("doc_id", F.when(~F.isnan("score"), rnd("score", 9)).alias("score"))

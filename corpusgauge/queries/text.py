@@ -8,11 +8,11 @@ from corpusgauge.functions.common import inline, ratio, rnd, scalar, sql_values
 from corpusgauge.operators import scoring
 from corpusgauge.registry import query
 from corpusgauge.session import reliable
-from corpusgauge.sources.tables import table
+from corpusgauge.sources.tables import busy_table, table
 
 
 def _docs(spark, sf, *extra):
-    return table(spark, sf, "documents").select("doc_id", *extra, "text")
+    return busy_table(spark, sf, "documents").select("doc_id", *extra, "text")
 
 
 _MD_SQL = "regexp_replace(regexp_replace(regexp_replace(text, '#+[ \\t\\r\\n\\f]*[^\\n]*\\n', '', 'g'), '[*_`]', '', 'g'), '\\n+', ' ', 'g')"
@@ -175,7 +175,7 @@ def str10(spark, sf):
     line = F.struct(F.when(is_plot, 0).otherwise(1).alias("kind"), "turn", F.when(is_plot, F.col("text")).otherwise(said).alias("line"))
     rows = table(spark, sf, "conversations").select("conv_id", F.floor(F.col("turn") / 2).alias("sentence"), line.alias("x"))
     # One block holds one sentence and its own lines.
-    blocks = rows.groupBy("conv_id", "sentence").agg(F.array_sort(F.collect_list("x")).alias("a"))
+    blocks = rows.groupBy("conv_id", "sentence").agg(F.sort_array(F.collect_list("x")).alias("a"))
     text = F.array_join(F.transform("a", lambda x: x["line"]), "\n")
     return blocks.select("conv_id", "sentence", F.size("a").cast("bigint").alias("n_lines"), F.md5(text).alias("block_md5"))
 
@@ -206,7 +206,7 @@ _WINDOW_SQL = f"""
 
 
 def _distinct(spark, sf):
-    toks = table(spark, sf, "documents").select("doc_id", "source", "lang", tx.tokens(tx.strip_markdown(F.col("text"))).alias("t"))
+    toks = busy_table(spark, sf, "documents").select("doc_id", "source", "lang", tx.tokens(tx.strip_markdown(F.col("text"))).alias("t"))
     scored = toks.select("doc_id", "source", "lang", F.size("t").cast("bigint").alias("n_tokens"), tx.distinct_scores(F.col("t")).alias("s"))
     return scored.select("doc_id", "source", "lang", "n_tokens", "s.distinct_1", "s.distinct_2")
 
@@ -281,7 +281,7 @@ def txt9(spark, sf):
 def block_tokens(spark, sf):
     """Word rows per non-empty line (chapter) of each document, numbered from 1."""
     lines = F.posexplode(F.split("text", "\n")).alias("i", "line")
-    blocks = table(spark, sf, "documents").select("doc_id", lines).select("doc_id", (F.col("i") + 1).alias("block"), F.explode(tx.words(F.col("line"))).alias("word"))
+    blocks = busy_table(spark, sf, "documents").select("doc_id", lines).select("doc_id", (F.col("i") + 1).alias("block"), F.explode(tx.words(F.col("line"))).alias("word"))
     return blocks
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusgauge.plans.spread import fill_cores
+
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -27,3 +29,11 @@ SCHEMAS = {
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "orders": "o_orderkey", "embeddings": "vec_id"}
+
+
+def busy_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows need heavy work each (long texts, resampling)."""
+    return fill_cores(table(spark, folder, name), KEYS[name])
