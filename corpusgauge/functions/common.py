@@ -52,3 +52,22 @@ def sql_values(rows: Iterable[tuple], columns: str) -> str:
 
     body = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
     return f"(VALUES {body}) AS t({columns})"
+
+
+def flat(df: DataFrame, keep: Sequence[str | Column], items: Column, name: str, place: str | None = None) -> DataFrame:
+    """One row per array item (with its place from 0 when named); empty arrays give none.
+
+    A plain explode makes the optimizer test the array for emptiness in a filter
+    near the scan, which works a costly array out twice and before any spread of
+    the rows.  The outer form and a test of the item itself avoid that.
+    """
+    if place:
+        rows = df.select(*keep, F.posexplode_outer(items).alias(place, name))
+    else:
+        rows = df.select(*keep, F.explode_outer(items).alias(name))
+    return rows.where(F.col(name).isNotNull())
+
+
+def flat_structs(df: DataFrame, keep: Sequence[str | Column], items: Column, test: str) -> DataFrame:
+    """The same for arrays of structs; ``test`` is a field that is never NULL."""
+    return df.select(*keep, F.inline_outer(items)).where(F.col(test).isNotNull())

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.common import scalar
+from corpusgauge.functions.common import flat, scalar
 from corpusgauge.plans.ordered import ordered
 
 
@@ -95,14 +95,14 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, left_id: str, right_order:
     meet.  Right units with one and the same word set collapse first.
     """
     def sets(df: DataFrame) -> DataFrame:
-        return df.withColumn(words, F.sort_array(F.array_distinct(words))).where(F.size(words) > 0)
+        return df.withColumn(words, F.sort_array(F.array_distinct(words)))
 
     left = sets(left.select(left_id, words)).withColumnRenamed(left_id, "__u")
     right = sets(right.select(*right_order, words)).withColumn("__u", F.sha2(F.array_join(words, " "), 256))
     firsts = right.groupBy("__u").agg(F.min(F.struct(*right_order)).alias("__first"))
 
     def tokens(df: DataFrame) -> DataFrame:
-        return df.select("__u", F.size(words).alias("__n"), F.explode(words).alias("__w"))
+        return flat(df, ["__u", F.size(words).alias("__n")], F.col(words), "__w")
 
     # Words the left side lacks can never meet; they count as the rarest and only
     # use up prefix places, so they need no row of their own.  Any fixed order of

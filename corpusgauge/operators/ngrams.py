@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
-from corpusgauge.functions.common import attach, ratio
+from corpusgauge.functions.common import attach, flat, flat_structs, ratio
 from corpusgauge.plans.ordered import ordered
 from corpusgauge.session import reliable
 
@@ -21,7 +21,7 @@ def gram_counts(docs: DataFrame, keep: Sequence[str], toks: str, orders: Sequenc
     per_order = [
         F.transform(tx.counted(tx.ngrams(F.col(toks), n)), _tag(n)) for n in orders
     ]
-    return docs.select(*keep, F.inline(F.concat(*per_order)))
+    return flat_structs(docs, keep, F.concat(*per_order), "item")
 
 
 def _tag(order: int):
@@ -77,7 +77,7 @@ def overlap_bleu(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str)
     A gram of one document meets (group frequency - 1) others.
     """
     sets = [F.transform(F.array_distinct(tx.ngrams(F.col(toks), n)), _pair(n)) for n in (1, 2)]
-    rows = docs.select(doc_id, *group, F.inline(F.concat(*sets)))
+    rows = flat_structs(docs, [doc_id, *group], F.concat(*sets), "item")
     freq = rows.groupBy(*group, "order", "item").agg((F.count("*") - 1).alias("others"))
     met = rows.join(freq, [*group, "order", "item"]).groupBy(doc_id).agg(
         *[F.sum(F.when(F.col("order") == n, F.col("others")).otherwise(0)).alias(f"m{n}") for n in (1, 2)]
@@ -126,10 +126,10 @@ def sentence_continuity(docs: DataFrame, doc_id: str) -> DataFrame:
     A word meets itself in the sentence before through a window over its places
     in the document.
     """
-    parts = F.posexplode(tx.found(F.lower("text"), r"[^.!?\n]+")).alias("raw", "sentence")
-    sents = docs.select(doc_id, parts).select(doc_id, "raw", tx.words(F.col("sentence")).alias("w")).where(F.size("w") > 0)
-    counted = sents.select(doc_id, "raw", F.size("w").alias("len"), F.inline(tx.counted(F.col("w"))))
-    total = sents.agg(F.count("*").alias("n"))
+    parts = flat(docs, [doc_id], tx.found(F.lower("text"), r"[^.!?\n]+"), "sentence", "raw")
+    sents = parts.select(doc_id, "raw", tx.words(F.col("sentence")).alias("w"))
+    counted = flat_structs(sents, [doc_id, "raw"], tx.counted(F.col("w")), "item")
+    total = sents.agg(F.count_if(F.size("w") > 0).alias("n"))
     df = counted.groupBy("item").agg(F.count("*").alias("df"))
     weighted = attach(counted.join(df, "item"), total, "t").select(doc_id, "raw", "item", (F.col("c") * F.log(1 + F.col("t.n") / F.col("df"))).alias("x"))
     # One shuffle brings a document's words together; all later steps stay there.
@@ -156,7 +156,7 @@ def minhash_copies(docs: DataFrame, doc_id: str, toks: Column, floor: float = 0.
 
     def sets(frame: DataFrame) -> DataFrame:
         listed = frame.withColumn("__t", toks)
-        return listed.select(doc_id, F.array_distinct(tx.ngrams(F.col("__t"), 2)).alias("s")).where(F.size("s") > 0)
+        return listed.select(doc_id, F.array_distinct(tx.ngrams(F.col("__t"), 2)).alias("s"))
 
     # One hash per word pair; its top bits choose a bin and each bin keeps its
     # least hash.  Sorted hashes hold the bins as runs, so one pass finds them.
@@ -178,7 +178,9 @@ def minhash_copies(docs: DataFrame, doc_id: str, toks: Column, floor: float = 0.
     pairs = buckets.join(firsts, ["band", "key"]).where(F.col(doc_id) != F.col("first_id")).select(doc_id, "first_id").distinct()
     pairs = reliable(pairs)  # two ids per candidate, read three times below
     wanted = pairs.select(F.explode(F.array(doc_id, "first_id")).alias(doc_id)).distinct()
-    held = sets(docs.join(wanted, doc_id, "left_semi"))
+    # A fixed number of tasks: few candidate bytes still mean much work per row.
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    held = sets(docs.join(wanted, doc_id, "left_semi").repartition(tasks, doc_id))
     full = pairs.join(held, doc_id).join(held.select(F.col(doc_id).alias("first_id"), F.col("s").alias("t")), "first_id")
     shared = F.size(F.array_intersect("s", "t"))
     jaccard = shared / (F.size("s") + F.size("t") - shared)

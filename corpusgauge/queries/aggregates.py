@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusgauge import fixed
-from corpusgauge.functions.common import inline, ratio, rnd, scalar, sql_values
+from corpusgauge.functions.common import flat, inline, ratio, rnd, scalar, sql_values
 from corpusgauge.operators import aggregates as agg
 from corpusgauge.operators.joins import beaten_counts
 from corpusgauge.operators.tables import long_form
@@ -329,8 +329,8 @@ def agg18(spark, sf):
     """,
 )
 def agg19(spark, sf):
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("state")
-    states = table(spark, sf, "conversations").select("role", "conv_id", words)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    states = flat(table(spark, sf, "conversations"), ["role", "conv_id"], words, "state")
     n = F.count("*")
     # Two distinct counts from two pre-aggregated tables, so no row is expanded.
     by_state = states.groupBy("role", "state").agg(n.alias("c")).groupBy("role").agg(F.sum("c").alias("appearances"), n.alias("unique_states"))
@@ -463,8 +463,8 @@ _FACTS = [("spoiler", "than"), ("spoiler", "thing"), ("forbidden", "ones"), ("fo
     """,
 )
 def agg26(spark, sf):
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")
-    hits = table(spark, sf, "conversations").select("conv_id", words).join(inline(spark, _FACTS, "signal string, word string"), "word")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    hits = flat(table(spark, sf, "conversations"), ["conv_id"], words, "word").join(inline(spark, _FACTS, "signal string, word string"), "word")
     return hits.groupBy("conv_id").agg(*[F.count_if(F.col("signal") == s).alias(s) for s in ("spoiler", "forbidden", "negated", "opposite_time")])
 
 
@@ -555,8 +555,8 @@ def agg31(spark, sf):
     """,
 )
 def agg32(spark, sf):
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")
-    counts = busy_table(spark, sf, "documents").select(words).where(~F.col("word").isin(fixed.STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))
+    counts = flat(busy_table(spark, sf, "documents"), [], words, "word").where(~F.col("word").isin(fixed.STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "word").limit(100)
 
 
@@ -648,13 +648,13 @@ def _list_sql(words) -> str:
     SELECT doc_id, entity, count(*) AS n_sentences, CASE WHEN sum(pos) + sum(neg) > 0 THEN round((sum(pos) - sum(neg)) / (sum(pos) + sum(neg)), 9) + 0.0 END AS polarity FROM e GROUP BY ALL""",
 )
 def agg37(spark, sf):
-    sentences = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^.!?\n]+"), F.lit(0))).alias("sent")
+    sentences = F.regexp_extract_all(F.lower("text"), F.lit(r"[^.!?\n]+"), F.lit(0))
     words = F.regexp_extract_all("sent", F.lit(WORD), F.lit(0)).alias("w")
-    df = busy_table(spark, sf, "documents").select("doc_id", sentences).select("doc_id", words)
+    df = flat(busy_table(spark, sf, "documents"), ["doc_id"], sentences, "sent").select("doc_id", words)
     among = lambda names: F.array(*[F.lit(n) for n in names])
     hits = lambda names: F.size(F.filter("w", lambda x: x.isin(names)))
     who = F.array_compact(F.array(*[F.when(F.arrays_overlap("w", among(a)), F.lit(n)) for n, a in _ENTITIES]))
-    rows = df.select("doc_id", F.explode(who).alias("entity"), hits(_POSITIVE).alias("pos"), hits(_NEGATIVE).alias("neg"))
+    rows = flat(df, ["doc_id", hits(_POSITIVE).alias("pos"), hits(_NEGATIVE).alias("neg")], who, "entity")
     totals = rows.groupBy("doc_id", "entity").agg(F.count("*").alias("n_sentences"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return totals.select("doc_id", "entity", "n_sentences", rnd(ratio(F.col("p") - F.col("q"), F.col("p") + F.col("q")), 9).alias("polarity"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusgauge import fixed
-from corpusgauge.functions.common import inline, ratio, rnd, scalar, sql_values
+from corpusgauge.functions.common import flat, inline, ratio, rnd, scalar, sql_values
 from corpusgauge.operators import joins
 from corpusgauge.plans.ordered import ordered, quantiles
 from corpusgauge.registry import query
@@ -83,8 +83,8 @@ _SENTENCES_SQL = "regexp_extract_all(text, '[^.!?\\n]+')"
 )
 def join4(spark, sf):
     def sentences(name, owner):
-        found = F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0)))
-        df = table(spark, sf, name).select(F.col(owner).cast("string").alias("owner"), found.alias("s"))
+        found = F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0))
+        df = flat(table(spark, sf, name), [F.col(owner).cast("string").alias("owner")], found, "s")
         return df.select("owner", F.trim("s").alias("s")).where("s <> ''").distinct()
 
     reference, generated = sentences("benchmark", "item_id"), sentences("documents", "source")
@@ -97,20 +97,23 @@ def join4(spark, sf):
 @query(
     "join5_fuzzy_match",
     """
-    WITH b AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS w FROM benchmark),
-    d AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS w FROM documents),
-    bt AS (SELECT item_id, len(w) AS n, unnest(w) AS t FROM b), dt AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d),
-    o AS (SELECT item_id, doc_id, count(*) AS c, any_value(bt.n) AS bn, any_value(dt.n) AS dn FROM bt JOIN dt USING (t) GROUP BY ALL),
-    j AS (SELECT item_id, doc_id, c / (bn + dn - c) AS jaccard FROM o WHERE c / (bn + dn - c) >= .3)
-    SELECT item_id, min(doc_id) AS doc_id, round(arg_min(jaccard, doc_id), 9) AS jaccard FROM j GROUP BY item_id
+    WITH bl AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS i FROM benchmark),
+    dl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS i FROM documents),
+    b AS (SELECT item_id || ':' || i AS anchor, list_distinct(regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+')) AS w FROM bl), d AS (SELECT doc_id, i, list_distinct(regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+')) AS w FROM dl),
+    bt AS (SELECT anchor, len(w) AS n, unnest(w) AS t FROM b), dt AS (SELECT doc_id, i, len(w) AS n, unnest(w) AS t FROM d),
+    o AS (SELECT anchor, doc_id, i, count(*) AS c, any_value(bt.n) AS bn, any_value(dt.n) AS dn FROM bt JOIN dt USING (t) GROUP BY ALL),
+    j AS (SELECT anchor, doc_id, i, c / (bn + dn - c) AS jaccard FROM o WHERE c / (bn + dn - c) >= .6),
+    f AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY doc_id, i) AS rn FROM j)
+    SELECT anchor, doc_id, i AS line, round(jaccard, 9) AS jaccard FROM f WHERE rn = 1
     """,
 )
 def join5(spark, sf):
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words")
-    left = table(spark, sf, "benchmark").select("item_id", words)
-    right = busy_table(spark, sf, "documents").select("doc_id", words)
-    found = joins.fuzzy_matches(left, right, "item_id", ["doc_id"], "words", 0.3)
-    return found.select("item_id", "doc_id", rnd("jaccard", 9).alias("jaccard"))
+    lines = lambda df, key: flat(df, [key], F.split("text", "\n"), "text", "line")
+    left = lines(table(spark, sf, "benchmark"), "item_id").select(F.concat_ws(":", "item_id", "line").alias("anchor"), words)
+    right = lines(busy_table(spark, sf, "documents"), "doc_id").select("doc_id", "line", words)
+    found = joins.fuzzy_matches(left, right, "anchor", ["doc_id", "line"], "words", 0.6)
+    return found.select("anchor", "doc_id", "line", rnd("jaccard", 9).alias("jaccard"))
 
 
 @query(
@@ -124,8 +127,8 @@ def join5(spark, sf):
 )
 def join5_rate(spark, sf):
     def sentences(name, *owner):
-        found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^.!?\n]+"), F.lit(0))).alias("s")
-        return table(spark, sf, name).select(*owner, found).withColumn("s", F.trim("s")).where("s <> ''").distinct()
+        found = F.regexp_extract_all(F.lower("text"), F.lit(r"[^.!?\n]+"), F.lit(0))
+        return flat(table(spark, sf, name), owner, found, "s").withColumn("s", F.trim("s")).where("s <> ''").distinct()
 
     reference = sentences("benchmark", "item_id")
     hits = reference.join(sentences("documents").withColumn("hit", F.lit(1)), "s", "left")
@@ -271,8 +274,8 @@ def join11(spark, sf):
     """,
 )
 def join12(spark, sf):
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")
-    tokens = busy_table(spark, sf, "documents").select("doc_id", words)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    tokens = flat(busy_table(spark, sf, "documents"), ["doc_id"], words, "word")
     scored = tokens.join(inline(spark, fixed.LEXICON, "word string, score double"), "word")
     return scored.groupBy("doc_id").agg(F.count("*").alias("n_hits"), rnd(F.avg("score"), 9).alias("mean_score"))
 
@@ -321,7 +324,7 @@ def join14(spark, sf):
     names = table(spark, sf, "benchmark").select(F.regexp_extract("text", WORD, 0).alias("name")).distinct()
     docs = busy_table(spark, sf, "documents").select("doc_id", "text")
     parts = F.split("text", r"[^\p{L}\p{N}]")
-    places = docs.select("doc_id", F.posexplode(parts).alias("pos", "name"))
+    places = flat(docs, ["doc_id"], parts, "name", "pos")
     # Count per (document, word) first: a frequent name is one row per document.
     counted = places.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     found = counted.join(names, "name").join(docs, "doc_id")

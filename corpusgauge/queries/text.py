@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge import fixed
 from corpusgauge.functions import text as tx
-from corpusgauge.functions.common import inline, ratio, rnd, scalar, sql_values
+from corpusgauge.functions.common import flat, flat_structs, inline, ratio, rnd, sql_values
 from corpusgauge.operators import scoring
 from corpusgauge.registry import query
 from corpusgauge.session import reliable
@@ -49,7 +49,7 @@ def str2(spark, sf):
         lines, lambda s, i: F.concat(F.lit("# Chapter "), (i + 1).cast("string"), F.lit(": "), F.split_part(s, F.lit(" "), F.lit(1)), F.lit("\n"), s, F.lit("\n"))
     )
     story = _docs(spark, sf).select("doc_id", F.array_join(titled, "").alias("story"))
-    rows = story.select("doc_id", F.inline(tx.chapters(F.col("story"))))
+    rows = flat_structs(story, ["doc_id"], tx.chapters(F.col("story")), "number")
     return rows.select("doc_id", F.col("number").cast("int").alias("number"), "title", F.length("body").cast("bigint").alias("n_body"))
 
 
@@ -142,13 +142,13 @@ def _list_sql(items) -> str:
 def str8(spark, sf):
     # Sentences stay inside the document row: counts need no shuffle.
     parts = F.transform(tx.found(F.lower("text"), r"[^.!?\n]+"), lambda s: tx.found(s, tx.WORD))
-    df = _docs(spark, sf).select("doc_id", parts.alias("s")).where(F.size("s") > 0)
-    n = F.size("s")
+    df = _docs(spark, sf).select("doc_id", parts.alias("s"))
+    n = F.nullif(F.size("s"), F.lit(0))
     out = [F.col("doc_id"), n.cast("bigint").alias("n_sentences")]
     for name, wanted in _PROFILES.items():
         hits = F.size(F.filter("s", _mentions(wanted)))
         out += [hits.cast("bigint").alias(f"n_{name}"), rnd(hits / n, 9).alias(f"{name}_share")]
-    return df.select(*out)
+    return df.select(*out).where("n_sentences is not null")
 
 
 @query(
@@ -221,7 +221,7 @@ def win10(spark, sf):
         return F.struct(start.alias("start"), F.size(x).alias("size"), rnd(share, 9).alias("distinct_share"))
 
     windows = tx.let(F.col("t"), lambda t: F.transform(tx.window_starts(F.size(t), 1000, 500), lambda s: window(t, s)))
-    return toks.select("doc_id", F.inline(windows))
+    return flat_structs(toks, ["doc_id"], windows, "start")
 
 
 @query("txt1_distinct_n", f"WITH {_WINDOW_SQL} SELECT doc_id, n_tokens, round(d1, 9) AS distinct_1, round(d2, 9) AS distinct_2, round(.5 * d1 + .5 * d2, 9) AS distinct_avg FROM r")
@@ -274,15 +274,14 @@ def lexicon_sql(tokens: str, lexicon, keys: str, out: str) -> str:
     + ") SELECT doc_id, n_score, round(score, 9) + 0.0 AS score FROM s",
 )
 def txt9(spark, sf):
-    toks = _docs(spark, sf).select("doc_id", F.explode(tx.words(F.col("text"))).alias("word"))
+    toks = flat(_docs(spark, sf), ["doc_id"], tx.words(F.col("text")), "word")
     return lexicon_scores(toks, _LEX, ["doc_id"], "score").select("doc_id", "n_score", rnd("score", 9).alias("score"))
 
 
 def block_tokens(spark, sf):
     """Word rows per non-empty line (chapter) of each document, numbered from 1."""
-    lines = F.posexplode(F.split("text", "\n")).alias("i", "line")
-    blocks = busy_table(spark, sf, "documents").select("doc_id", lines).select("doc_id", (F.col("i") + 1).alias("block"), F.explode(tx.words(F.col("line"))).alias("word"))
-    return blocks
+    lines = flat(busy_table(spark, sf, "documents"), ["doc_id"], F.split("text", "\n"), "line", "i")
+    return flat(lines, ["doc_id", (F.col("i") + 1).alias("block")], tx.words(F.col("line")), "word")
 
 
 BLOCK_SQL = """b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS block FROM documents),
