@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.common import attach, ratio, scalar
-from corpusgauge.plans.ordered import quantiles
+from corpusgauge.functions.common import attach
+from corpusgauge.plans.ordered import ordered, quantiles, value_counts
 
 
 def weighted_sum(weights: Mapping[str, float]) -> Column:
@@ -45,7 +45,8 @@ def _between(column: str, out: str, df: DataFrame, higher_better: bool, clip: bo
     x = (F.col(column) - lo) / F.nullif(hi - lo, F.lit(0.0))
     if clip:
         x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    scaled = F.coalesce(x if higher_better else 1 - x, F.lit(0.5))
+    # least and greatest skip NULL, so equal limits are told apart first.
+    scaled = F.when(hi == lo, 0.5).otherwise(x if higher_better else 1 - x)
     return df.withColumn(out, F.when(F.col(column).isNotNull(), scaled)).drop("__ends")
 
 
@@ -118,17 +119,15 @@ def efficiency_card(words: Column, seconds: Column, cost: Column, memory: Column
     }
 
 
-def winsorized(df: DataFrame, column: str, share: float, id_cols: Sequence[str]) -> DataFrame:
+def winsorized(df: DataFrame, column: str, share: float) -> DataFrame:
     """Clip the lowest and highest ``share`` of rows (by rank) to the k-th values."""
-    from corpusgauge.plans.ordered import ordered, value_counts
-
     counts = ordered(value_counts(df, [], column), [], column, running={"c": "c"})
     k = F.floor(F.col("total_c") * F.lit(share))
     first, last = F.col("before_c"), F.col("before_c") + F.col("c") - 1
-    ends = scalar(
-        counts.agg(
-            F.min(F.when(last >= k, F.col(column))).alias("lo"),
-            F.max(F.when(first <= F.col("total_c") - k - 1, F.col(column))).alias("hi"),
-        )
+    ends = counts.agg(
+        F.min(F.when(last >= k, F.col(column))).alias("lo"),
+        F.max(F.when(first <= F.col("total_c") - k - 1, F.col(column))).alias("hi"),
     )
-    return df.withColumn("winsorized", F.least(ends["hi"], F.greatest(ends["lo"], F.col(column))))
+    limited = attach(df, ends, "__ends")
+    clipped = F.least(F.col("__ends.hi"), F.greatest(F.col("__ends.lo"), F.col(column)))
+    return limited.withColumn("winsorized", F.when(F.col(column).isNotNull(), clipped)).drop("__ends")

@@ -74,16 +74,16 @@ def exponential_smoothing(df: DataFrame, keys: Sequence[str], order: str, value:
     """
     chunk, keep = 256, 1.0 - alpha
     placed = ordered(df, keys, order, tie, position=True)
-    rows = placed.withColumn("chunk", F.floor((F.col("pos") - 1) / chunk)).withColumn("i", F.pmod(F.col("pos") - 1, F.lit(chunk)))
-    part = [*keys, "chunk"]
+    rows = placed.withColumns({"__chunk": F.floor((F.col("pos") - 1) / chunk), "__i": F.pmod(F.col("pos") - 1, F.lit(chunk))})
+    part = [*keys, "__chunk"]
     weight = F.when(F.col("pos") == 1, 1.0).otherwise(alpha)
-    w = Window.partitionBy(*part).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    grown = F.sum(weight * F.col(value) * F.pow(F.lit(keep), -F.col("i"))).over(w)
-    local = rows.withColumn("local", grown * F.pow(F.lit(keep), F.col("i")))
-    ends = local.groupBy(*part).agg(F.max_by("local", "i").alias("carry")).withColumn("chunk", F.col("chunk") + 1)
+    w = Window.partitionBy(*part).orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.sum(weight * F.col(value) * F.pow(F.lit(keep), -F.col("__i"))).over(w)
+    local = rows.withColumn("__local", grown * F.pow(F.lit(keep), F.col("__i")))
+    ends = local.groupBy(*part).agg(F.max_by("__local", "__i").alias("__carry")).withColumn("__chunk", F.col("__chunk") + 1)
     full = local.join(ends, part, "left")
-    smooth = F.col("local") + F.coalesce("carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("i") + 1)
-    return full.withColumn("smoothed", smooth).drop("chunk", "i", "local", "carry")
+    smooth = F.col("__local") + F.coalesce("__carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("__i") + 1)
+    return full.withColumn("smoothed", smooth).drop("__chunk", "__i", "__local", "__carry")
 
 
 def group_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> DataFrame:

@@ -406,7 +406,7 @@ def mth4(spark, sf):
 )
 def mth5(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    clipped = scoring.winsorized(df, "o_totalprice", 0.02, ["o_orderkey"])
+    clipped = scoring.winsorized(df, "o_totalprice", 0.02)
     return clipped.select("o_orderkey", "winsorized", rnd(F.log1p("o_totalprice"), 8).alias("logged"))
 
 

@@ -257,12 +257,12 @@ def lexicon_scores(tokens_df, lexicon, keys, out):
     lex = inline(spark, lexicon, "word string, happiness double")
     marked = tokens_df.join(lex, "word", "left").groupBy(*keys).agg(F.avg("happiness").alias("m"), F.count("happiness").alias(f"n_{out}"))
     value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("m") - 5) / 4))
-    return marked.withColumn(out, F.coalesce(value, F.lit(0.0))).drop("m")
+    return marked.withColumn(out, F.when(F.col("m").isNull(), 0.0).otherwise(value)).drop("m")
 
 
 def lexicon_sql(tokens: str, lexicon, keys: str, out: str) -> str:
     return (
-        f"SELECT {keys}, coalesce(greatest(-1, least(1, (avg(h) - 5) / 4)), 0) AS {out}, count(h) AS n_{out} FROM {tokens} "
+        f"SELECT {keys}, CASE WHEN count(h) = 0 THEN 0 ELSE greatest(-1, least(1, (avg(h) - 5) / 4)) END AS {out}, count(h) AS n_{out} FROM {tokens} "
         f"LEFT JOIN (SELECT * FROM {sql_values(lexicon, 'word, h')}) USING (word) GROUP BY {keys}"
     )
 
@@ -297,7 +297,7 @@ def two_scorers(spark, sf):
             both[w][i] = s
     lex = inline(spark, [(w, a, b) for w, (a, b) in both.items()], "word string, h1 double, h2 double")
     means = toks.join(lex, "word", "left").groupBy("doc_id", "block").agg(F.avg("h1").alias("m1"), F.avg("h2").alias("m2"))
-    score = lambda c: F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col(c) - 5) / 4)), F.lit(0.0))
+    score = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col(c) - 5) / 4)))
     return means.select("doc_id", "block", score("m1").alias("primary"), score("m2").alias("validation"))
 
 
