@@ -618,16 +618,17 @@ def agg35(spark, sf):
 @query(
     "agg36_label_paths",
     """
-    WITH l AS (SELECT DISTINCT conv_id, role, regexp_extract(text, '[\\p{L}]+') AS label FROM conversations)
-    SELECT conv_id, string_agg(label, ' / ' ORDER BY label) FILTER (WHERE role = 'assistant') AS assistant, string_agg(label, ' / ' ORDER BY label) FILTER (WHERE role = 'user') AS user FROM l GROUP BY 1
+    WITH l AS (SELECT DISTINCT conv_id, turn // 1000 AS block, role, regexp_extract(text, '[\\p{L}]+') AS label FROM conversations)
+    SELECT conv_id, block, string_agg(label, ' / ' ORDER BY label) FILTER (WHERE role = 'assistant') AS assistant, string_agg(label, ' / ' ORDER BY label) FILTER (WHERE role = 'user') AS user FROM l GROUP BY conv_id, block
     """,
 )
 def agg36(spark, sf):
-    labels = table(spark, sf, "conversations").select("conv_id", "role", F.regexp_extract("text", r"[\p{L}]+", 0).alias("label")).distinct()
-    # Labels carry only letters, so byte order is the order of the path.
+    # A path covers one block of 1,000 turns, so its label list stays bounded.
+    block, label = F.floor(F.col("turn") / 1000).alias("block"), F.regexp_extract("text", r"[\p{L}]+", 0).alias("label")
+    labels = table(spark, sf, "conversations").select("conv_id", block, "role", label).distinct()
     path = F.array_join(F.sort_array(F.collect_list("label")), " / ")
-    paths = labels.groupBy("conv_id").pivot("role", ["assistant", "user"]).agg(path)
-    return paths.select("conv_id", *[F.nullif(c, F.lit("")).alias(c) for c in ("assistant", "user")])
+    paths = labels.groupBy("conv_id", "block").pivot("role", ["assistant", "user"]).agg(path)
+    return paths.select("conv_id", "block", *[F.nullif(c, F.lit("")).alias(c) for c in ("assistant", "user")])
 
 
 _ENTITIES = [("narrator", ["the", "le", "der"]), ("other", ["that", "la", "die"])]
@@ -698,14 +699,17 @@ def top2(spark, sf):
 @query(
     "top3_ordered_collection",
     """
-    SELECT conv_id, string_agg(role || ':' || length(text), '>' ORDER BY length(text) DESC, turn) AS timeline FROM conversations GROUP BY conv_id
+    WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY -length(text), turn) - 1 AS i FROM conversations)
+    SELECT conv_id, i // 1000 AS part, string_agg(role || ':' || length(text), '>' ORDER BY i) AS timeline FROM p GROUP BY conv_id, i // 1000
     """,
 )
 def top3(spark, sf):
-    # One short label per turn: the timeline string is the result row itself.
-    step = F.struct((-F.length("text")).alias("k"), "turn", F.concat("role", F.lit(":"), F.length("text")).alias("s"))
-    lists = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(step)).alias("a"))
-    return lists.select("conv_id", F.array_join(F.transform("a", lambda x: x["s"]), ">").alias("timeline"))
+    # Places come from the lane-split order; each part holds 1,000 places.
+    df = table(spark, sf, "conversations").select("conv_id", "turn", "role", (-F.length("text")).alias("k"))
+    placed = ordered(df, ["conv_id"], "k", ["turn"], position=True)
+    step = F.struct("pos", F.concat("role", F.lit(":"), -F.col("k")).alias("s"))
+    lists = placed.groupBy("conv_id", F.floor((F.col("pos") - 1) / 1000).alias("part")).agg(F.sort_array(F.collect_list(step)).alias("a"))
+    return lists.select("conv_id", "part", F.array_join(F.transform("a", lambda x: x["s"]), ">").alias("timeline"))
 
 
 @query("set1_union", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")

@@ -470,16 +470,18 @@ def mth8(spark, sf):
 @query(
     "map1_map_of_map",
     """
-    SELECT conv_id, role, count(*) AS n_states, md5(string_agg(text, '|' ORDER BY turn)) AS states_md5 FROM conversations GROUP BY ALL
+    SELECT conv_id, turn // 1000 AS block, role, count(*) AS n_states, md5(string_agg(text, '|' ORDER BY turn)) AS states_md5 FROM conversations GROUP BY ALL
     """,
 )
 def map1(spark, sf):
-    # Rows to a conversation -> role -> states map and back to rows.
+    # Rows to a block -> role -> states map and back to rows; a block of 1,000
+    # turns bounds the map, however long one conversation is.
     states = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
-    by_role = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(states.alias("states"))
-    nested = by_role.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "states"))).alias("roles"))
-    flat = nested.select("conv_id", F.explode("roles").alias("role", "states"))
-    return flat.select("conv_id", "role", F.size("states").cast("bigint").alias("n_states"), F.md5(F.array_join("states", "|")).alias("states_md5"))
+    block = F.floor(F.col("turn") / 1000).alias("block")
+    by_role = table(spark, sf, "conversations").groupBy("conv_id", block, "role").agg(states.alias("states"))
+    nested = by_role.groupBy("conv_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("role", "states"))).alias("roles"))
+    rows = nested.select("conv_id", "block", F.explode("roles").alias("role", "states"))
+    return rows.select("conv_id", "block", "role", F.size("states").cast("bigint").alias("n_states"), F.md5(F.array_join("states", "|")).alias("states_md5"))
 
 
 @query(
