@@ -17,6 +17,16 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
+def corr(a: str, b: str) -> Column:
+    """Pearson r as an aggregate; NULL where a side does not vary.
+
+    Spark's own ``corr`` fails on a constant column in ANSI mode.
+    """
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def scalar(df: DataFrame) -> Column:
     """A one-row frame as a struct-valued scalar subquery (no join in the plan)."""
     return df.select(F.struct(*df.columns)).scalar()

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.common import ratio
+from corpusgauge.functions.common import corr, ratio
 from corpusgauge.plans.ordered import ordered, quantiles, value_counts
 
 
@@ -165,7 +165,7 @@ def holm_bh(df: DataFrame, family: Sequence[str], p: str, id_col: str) -> DataFr
 def correlation_rows(df: DataFrame, columns: Sequence[str], prefix: str = "") -> DataFrame:
     """(metric_a, metric_b, r) for every pair of columns in one pass."""
     cells = [
-        F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.corr(prefix + a, prefix + b).alias("r"))
+        F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), corr(prefix + a, prefix + b).alias("r"))
         for i, a in enumerate(columns)
         for b in columns[i + 1 :]
     ]

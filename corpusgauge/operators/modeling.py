@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.common import ratio
+from corpusgauge.functions.common import corr, ratio
 from corpusgauge.functions.tails import f_tail
 
 
@@ -83,7 +83,7 @@ def partial_correlation(x: str, y: str, first: str, second: str) -> Column:
     """Correlation of x and y with two controls taken out, by recursion."""
 
     def one(a: str, b: str, c: str) -> Column:
-        ab, ac, bc = F.corr(a, b), F.corr(a, c), F.corr(b, c)
+        ab, ac, bc = corr(a, b), corr(a, c), corr(b, c)
         return (ab - ac * bc) / F.sqrt((1 - ac * ac) * (1 - bc * bc))
 
     xy, xs, ys = one(x, y, first), one(x, second, first), one(y, second, first)

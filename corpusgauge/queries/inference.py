@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.common import attach, ratio, rnd, scalar
+from corpusgauge.functions.common import attach, corr, ratio, rnd, scalar
 from corpusgauge.functions.tails import p_chi2, p_f, p_normal, p_t
 from corpusgauge.operators import aggregates as agg
 from corpusgauge.operators import inference as inf
@@ -300,7 +300,7 @@ def sta33(spark, sf):
     """
     WITH j AS (SELECT 'all' AS subset, quality, n_chars FROM labels JOIN documents USING (doc_id) UNION ALL SELECT lang, quality, n_chars FROM labels JOIN documents USING (doc_id)),
     r AS (SELECT *, rank() OVER (PARTITION BY subset ORDER BY quality) + (count(*) OVER (PARTITION BY subset, quality) - 1) / 2 AS ra, rank() OVER (PARTITION BY subset ORDER BY n_chars) + (count(*) OVER (PARTITION BY subset, n_chars) - 1) / 2 AS rb FROM j)
-    SELECT subset, count(*) AS n, round(corr(quality, n_chars), 8) + 0.0 AS pearson, round(corr(ra, rb), 8) + 0.0 AS spearman, round(quantile_cont(n_chars, .75) FILTER (WHERE quality = 1), 6) AS good_from, round(quantile_cont(n_chars, .25) FILTER (WHERE quality = 0), 6) AS poor_to FROM r GROUP BY 1
+    SELECT subset, count(*) AS n, nullif(round(corr(quality, n_chars), 8) + 0.0, 'NaN'::DOUBLE) AS pearson, nullif(round(corr(ra, rb), 8) + 0.0, 'NaN'::DOUBLE) AS spearman, round(quantile_cont(n_chars, .75) FILTER (WHERE quality = 1), 6) AS good_from, round(quantile_cont(n_chars, .25) FILTER (WHERE quality = 0), 6) AS poor_to FROM r GROUP BY 1
     """,
 )
 def sta32(spark, sf):
@@ -308,7 +308,7 @@ def sta32(spark, sf):
     joined = table(spark, sf, "labels").select("doc_id", "quality").join(docs, "doc_id")
     rows = joined.select(F.explode(F.array(F.lit("all"), "lang")).alias("subset"), "doc_id", "quality", "n_chars")
     ranked = attach_ranks(rows, ["subset"], {"quality": "ra", "n_chars": "rb"})
-    r = ranked.groupBy("subset").agg(F.count("*").alias("n"), F.corr("quality", "n_chars").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
+    r = ranked.groupBy("subset").agg(F.count("*").alias("n"), corr("quality", "n_chars").alias("pearson"), corr("ra", "rb").alias("spearman"))
     good = quantiles(rows.where("quality = 1"), ["subset"], "n_chars", {"good_from": 0.75}).drop("n")
     poor = quantiles(rows.where("quality = 0"), ["subset"], "n_chars", {"poor_to": 0.25}).drop("n")
     out = r.join(good, "subset", "left").join(poor, "subset", "left")

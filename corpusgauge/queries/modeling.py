@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.common import attach, ratio, rnd, scalar
+from corpusgauge.functions.common import attach, corr, ratio, rnd, scalar
 from corpusgauge.operators import inference as inf
 from corpusgauge.operators import modeling as mod
 from corpusgauge.operators.aggregates import corrected_kurtosis, corrected_skew, top_k
@@ -53,7 +53,7 @@ def sta4_marginal(spark, sf):
 )
 def sta9(spark, sf):
     part = mod.partial_correlation("l_extendedprice", "l_tax", "l_quantity", "l_discount")
-    return _lines(spark, sf).agg(rnd(F.corr("l_extendedprice", "l_tax"), 9).alias("raw"), rnd(part, 9).alias("partial"))
+    return _lines(spark, sf).agg(rnd(corr("l_extendedprice", "l_tax"), 9).alias("raw"), rnd(part, 9).alias("partial"))
 
 
 @query(
@@ -295,7 +295,7 @@ def sta30(spark, sf):
     a, b, c, d = (unit[x] for x in _MEASURES)
     scores = attach(m, ends, "e").select("l_suppkey", rnd((a + b + c + d) / 4, 9).alias("equal_score"), rnd(0.5 * (a + b) / 2 + 0.3 * c + 0.2 * d, 9).alias("dimension_score"))
     ranked = attach_ranks(scores, [], {"equal_score": "re", "dimension_score": "rd"})
-    whole = ranked.agg(rnd(F.corr("equal_score", "dimension_score"), 8).alias("s"), rnd(F.corr("re", "rd"), 8).alias("r"))
+    whole = ranked.agg(rnd(corr("equal_score", "dimension_score"), 8).alias("s"), rnd(corr("re", "rd"), 8).alias("r"))
     return attach(ranked, whole, "w").select(
         "l_suppkey", "equal_score", "dimension_score", (F.abs(F.col("re") - F.col("rd")) > 5).alias("moved"), F.col("w.s").alias("score_corr"), F.col("w.r").alias("rank_corr")
     )
@@ -308,7 +308,7 @@ def sta30(spark, sf):
     """,
 )
 def sta31(spark, sf):
-    pairs = [F.corr(a, b) for i, a in enumerate(_MEASURES) for b in _MEASURES[i + 1 :]]
+    pairs = [corr(a, b) for i, a in enumerate(_MEASURES) for b in _MEASURES[i + 1 :]]
     return _lines(spark, sf).groupBy("l_suppkey").agg(F.count("*").alias("n"), rnd(sum(pairs[1:], pairs[0]) / len(pairs), 8).alias("mean_corr"))
 
 
@@ -368,7 +368,7 @@ def sta36(spark, sf):
 def sta37(spark, sf):
     q = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_quantity")))
     return _lines(spark, sf).groupBy(F.col("l_linenumber").alias("question")).agg(
-        rnd(q("F"), 9).alias("with_experience"), rnd(q("O"), 9).alias("without_experience"), rnd(q("F") - q("O"), 9).alias("gap"), rnd(F.corr("l_quantity", "l_extendedprice"), 9).alias("question_corr")
+        rnd(q("F"), 9).alias("with_experience"), rnd(q("O"), 9).alias("without_experience"), rnd(q("F") - q("O"), 9).alias("gap"), rnd(corr("l_quantity", "l_extendedprice"), 9).alias("question_corr")
     )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge import fixed
 from corpusgauge.functions import text as tx
-from corpusgauge.functions.common import attach, ratio, rnd, scalar
+from corpusgauge.functions.common import attach, corr, ratio, rnd, scalar
 from corpusgauge.operators import ngrams, scoring
 from corpusgauge.operators import sequences as seq
 from corpusgauge.plans.ordered import attach_ranks, quantiles
@@ -89,7 +89,7 @@ def txt4(spark, sf):
     scaled = scoring.robust_scale(groups, "sb", "om", higher_better=False)
     keyed = scaled.select("lang", rnd("om", 9).alias("om9"), rnd("dg", 9).alias("dg9"), "temp")
     keyed = attach_ranks(keyed, ["lang"], {"om9": "r1", "dg9": "r2", "temp": "rt"})
-    per_lang = keyed.groupBy("lang").agg(F.abs(F.corr("r1", "rt")).alias("rho1"), F.abs(F.corr("r2", "rt")).alias("rho2"), F.count("*").alias("m"))
+    per_lang = keyed.groupBy("lang").agg(F.abs(corr("r1", "rt")).alias("rho1"), F.abs(corr("r2", "rt")).alias("rho2"), F.count("*").alias("m"))
     rho = scalar(per_lang.where("m >= 3").agg(F.avg("rho1").alias("a"), F.avg("rho2").alias("b")))
     stable = scalar(groups.agg(F.avg("cv1").alias("a"), F.avg("cv2").alias("b")))
     clip = lambda x, lo, hi: F.least(F.lit(hi), F.greatest(F.lit(lo), x))
@@ -187,7 +187,7 @@ def txt7_documents(spark, sf):
 def txt11(spark, sf):
     df = table(spark, sf, "events").select("user_id", "event_id", "ts", F.col("value").alias("a"), F.from_json("props", "k double")["k"].alias("b"))
     ranked = attach_ranks(df, ["user_id"], {"a": "ra", "b": "rb"})
-    stats = ranked.groupBy("user_id").agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
+    stats = ranked.groupBy("user_id").agg(F.count("*").alias("n"), corr("a", "b").alias("pearson"), corr("ra", "rb").alias("spearman"))
     ways = seq.direction_agreement(df, ["user_id"], "ts", "a", "b", ["event_id"]).select("user_id", F.col("agreement").alias("direction"))
     strength = F.abs("pearson")
     level = F.when(strength > 0.7, "High").when(strength > 0.5, "Medium").otherwise("Low")
@@ -245,7 +245,7 @@ BASE_WEIGHTS = {"ch": 0.5, "li": 0.3, "ev": 0.2}
 
 def shifted_weights(df):
     """One row of weights: theory weight moved by up to 15% of its correlation."""
-    raw = {c: F.greatest(F.lit(0.05), F.lit(w) * (1 + 0.15 * F.coalesce(F.corr(c, "target"), F.lit(0.0)))) for c, w in BASE_WEIGHTS.items()}
+    raw = {c: F.greatest(F.lit(0.05), F.lit(w) * (1 + 0.15 * F.coalesce(corr(c, "target"), F.lit(0.0)))) for c, w in BASE_WEIGHTS.items()}
     row = df.agg(*[v.alias(c) for c, v in raw.items()])
     total = F.col("ch") + F.col("li") + F.col("ev")
     return row.select(*[(F.col(c) / total).alias(c) for c in BASE_WEIGHTS])
@@ -360,7 +360,7 @@ def txt19(spark, sf):
     per_doc = two_scorers(spark, sf).groupBy("doc_id").agg(rnd(F.avg("primary"), 9).alias("primary"), rnd(F.avg("validation"), 9).alias("validation"))
     per_doc = reliable(per_doc)  # one narrow row per document, read by each scorer
     ranked = attach_ranks(per_doc, [], {"primary": "ra", "validation": "rb"})
-    agree = scalar(ranked.agg(F.corr("ra", "rb").alias("r")))["r"]
+    agree = scalar(ranked.agg(corr("ra", "rb").alias("r")))["r"]
     rows = per_doc.unpivot(["doc_id"], ["primary", "validation"], "scorer", "score")
     stats = rows.groupBy("scorer").agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.count_if(F.col("score") == 0).alias("n_zero"))
     status = F.when(F.col("n_zero") * 2 > F.col("n"), "weak").otherwise("ok")

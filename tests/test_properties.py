@@ -250,3 +250,11 @@ def test_lexicon_score_without_a_match_is_neutral(spark):
     toks = spark.createDataFrame([(1, "good"), (1, "thing"), (2, "zzz")], "doc_id int, word string")
     got = {r["doc_id"]: r["s"] for r in lexicon_scores(toks, [("good", 9.0), ("bad", 1.0)], ["doc_id"], "s").collect()}
     assert got == {1: 1.0, 2: 0.0}
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    from corpusgauge.functions.common import corr
+
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 2.0, 5.0), (None, 9.0, 1.0), (4.0, 2.0, 8.0)], "a double, b double, c double")
+    row = df.agg(corr("a", "b").alias("ab"), corr("a", "c").alias("ac")).first()
+    assert row["ab"] is None and row["ac"] == pytest.approx(np.corrcoef([1, 2, 4], [3, 5, 8])[0, 1])
