@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe
+from corpusgauge.llm import byte_bpe, simhash_vptree
 from corpusgauge.llm.common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,6 +32,12 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_simhash_vptree(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash_vptree.near_duplicates(documents(spark, folder), radius=2)
+    return found.select("doc_id", simhash_vptree.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op6_byte_bpe": LlmQuery(op6_byte_bpe),
+    "op7_simhash_vptree": LlmQuery(op7_simhash_vptree),
 }
