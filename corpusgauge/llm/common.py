@@ -26,8 +26,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
+    return table(spark, folder, "documents")
 
 
 def passes(texts: Sequence[str | bytes | None], limit: int = PASS_CHARS) -> Iterator[tuple[int, int]]:

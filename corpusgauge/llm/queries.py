@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, simhash_vptree
-from corpusgauge.llm.common import documents
+from corpusgauge.llm import byte_bpe, decontaminate, simhash_vptree
+from corpusgauge.llm.common import documents, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -37,7 +37,22 @@ def op7_simhash_vptree(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash_vptree.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(documents(spark, folder), table(spark, folder, "benchmark"))
+    listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
 QUERIES = {
     "op6_byte_bpe": LlmQuery(op6_byte_bpe),
     "op7_simhash_vptree": LlmQuery(op7_simhash_vptree),
+    "op8_decontaminate": LlmQuery(op8_decontaminate),
 }
