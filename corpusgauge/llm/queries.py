@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, decontaminate, simhash_vptree
+from corpusgauge.llm import byte_bpe, decontaminate, simhash_vptree, toxicity
 from corpusgauge.llm.common import documents, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,6 +21,17 @@ class LlmQuery:
     sql: str | None = None
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), usable=toxicity.learnable())
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (~toxicity.learnable()).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     coded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, RANKS), RANKS)
@@ -52,6 +63,7 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": LlmQuery(op2_toxicity),
     "op6_byte_bpe": LlmQuery(op6_byte_bpe),
     "op7_simhash_vptree": LlmQuery(op7_simhash_vptree),
     "op8_decontaminate": LlmQuery(op8_decontaminate),
