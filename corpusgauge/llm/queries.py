@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, decontaminate, simhash_vptree, toxicity
+from corpusgauge.llm import byte_bpe, decontaminate, paragraph_dedup, simhash_vptree, toxicity
 from corpusgauge.llm.common import documents, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,6 +32,11 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    trimmed = paragraph_dedup.deduplicate(documents(spark, folder).select("doc_id", "text"))
+    return trimmed.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     coded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, RANKS), RANKS)
@@ -64,6 +69,7 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity": LlmQuery(op2_toxicity),
+    "op3_paragraph_dedup": LlmQuery(op3_paragraph_dedup),
     "op6_byte_bpe": LlmQuery(op6_byte_bpe),
     "op7_simhash_vptree": LlmQuery(op7_simhash_vptree),
     "op8_decontaminate": LlmQuery(op8_decontaminate),
