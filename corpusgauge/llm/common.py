@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from corpusgauge.session import shared_folder
 
 #: Characters handed to one numpy pass; a longer text is a pass of its own.
 PASS_CHARS = 1_500_000
+#: Bits of a bitmap of keys: about sixteen per key, within these bounds.
+LEAST_BITS, MOST_BITS = 2**22, 2**30
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -50,3 +55,49 @@ def passes(texts: Sequence[str | bytes | None], limit: int = PASS_CHARS) -> Iter
 def crc_remainder(key: str, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo ``modulus``; NULL keys count as text ''."""
     return (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % modulus).cast("int")
+
+
+def mix(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the input reaches every bit of the result."""
+    x = x + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64), 7) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def key_bitmap(df: DataFrame, key: str) -> bytes:
+    """Bitmap of long keys to broadcast; a test of it has false hits but misses none.
+
+    Its size is bounded by ``MOST_BITS``: with more keys it lets more through, so a
+    join with the keys themselves must follow.
+    """
+    count, bits = df.count(), LEAST_BITS
+    while bits < min(MOST_BITS, 16 * count):
+        bits *= 2
+    piece = min(bits, 2**19)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at // piece).astype(np.int32)), pa.array((at % piece).astype(np.int32))], ["piece", "bit"])
+
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(piece, np.uint8)
+        on[part["bit"].to_numpy()] = 1
+        return pd.DataFrame({"piece": [int(part["piece"].iloc[0])], "data": [np.packbits(on, bitorder="little").tobytes()]})
+
+    # Distinct bits first, so a piece is a bounded group whatever the number of keys.
+    rows = df.select(key).mapInArrow(mark, "piece int, bit int").distinct().groupBy("piece").applyInPandas(fill, "piece int, data binary")
+    out = bytearray(bits // 8)
+    for row in rows.toLocalIterator():
+        out[row.piece * piece // 8 : (row.piece + 1) * piece // 8] = row.data
+    return bytes(out)
+
+
+def bitmap_has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _bits(keys, 8 * len(bitmap))
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

@@ -10,6 +10,13 @@ bounded sample (it only steers the work; links are exact for any tree), and shar
 that stay large are compared chunk against chunk.  A shard gives a spanning forest
 of its links, never all pairs; components are joined by ``components``.
 
+``near_duplicates`` links whole-text fingerprints.  ``near_copies`` finds texts with a
+stated Jaccard similarity of word shingles, which whole-text fingerprints of like
+texts often miss by many bits: it fingerprints ``TABLES`` samples of each text (the
+``SAMPLE`` shingles that come first in a pseudo-random order, so like texts mostly
+share a sample), links the samples through the same tree, and verifies the exact
+Jaccard of every member of a linked class with two head texts of the class.
+
 Cases: NULL and empty texts have no words and the fingerprint zero, linked like any
 other; texts under three words are one shingle; repeated rows and ties share a
 fingerprint; NULL ids keep a fingerprint and count for no component's smallest id;
@@ -27,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import stored
+from corpusgauge.llm.common import bitmap_has, key_bitmap, mix, stored
 from corpusgauge.llm.components import components
 
 #: Fingerprints that steer the tree, at most.
@@ -35,6 +42,8 @@ TREE_SAMPLE = 32_768
 #: Fingerprints that a shard should hold, and that a chunk of a large shard may hold.
 SHARD, CHUNK = 1_500, 3_000
 SEED = 42
+#: At Jaccard 0.8 a sample is shared with probability 0.64, one of six with 0.998.
+TABLES, SAMPLE, SHINGLE, SIMILARITY = 6, 2, 5, 0.8
 
 
 def fingerprint(text: str | None) -> int:
@@ -174,3 +183,94 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stored(named.join(firsts, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select(key, "fp", "component_id")
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Distinct hashes of the text's shingles of five words; a shorter text is one shingle, none has the empty one."""
+    words = text.encode().lower().split() if text else []
+    joined = b" ".join(words)
+    width = max(1, min(SHINGLE, len(words)))
+    ends = np.cumsum([len(w) + 1 for w in words] or [1]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends) - width + 1]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64))
+
+
+def sample_fingerprints(hashes: np.ndarray) -> list[int]:
+    """Per table, the fingerprint of the shingles that come first in the table's order."""
+    out = []
+    for table in range(TABLES):
+        order = mix(hashes, 100 + table)
+        first = order if len(order) <= SAMPLE else np.partition(order, SAMPLE - 1)[:SAMPLE]
+        # Bits set in over half of the (re-mixed) shingles, as for whole texts.
+        bits = np.unpackbits(np.sort(mix(first, 3)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        out.append(int(np.packbits(2 * bits > len(first), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, least: float = SIMILARITY) -> DataFrame:
+    """(key, mark, component_id) per row: the smallest key among the texts that verified links reach.
+
+    ``mark`` is the hash of the text.  Equal texts are one class whatever their
+    number; the texts of a linked class are compared with its two heads.
+    """
+    source = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = source.withColumn("mark", F.xxhash64("text"))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py()) for t in batch.column(1)]
+            fps = pa.array([sample_fingerprints(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), fps], ["key", "mark", "n", "fps"])
+
+    rows = stored(source.mapInArrow(sample, "key long, mark long, n long, fps array<long>"), "samples")
+    texts = rows.groupBy("mark").agg(F.min("key").alias("first"), F.any_value("n").alias("n"), F.any_value("fps").alias("fps"))
+    texts = stored(texts, "texts")
+    samples = stored(texts.select("mark", "n", F.explode("fps").alias("fp")).distinct(), "samples")
+    roots = components(links(stored(samples.select("fp").distinct(), "fps"), radius))
+    classes = samples.join(roots, samples.fp == roots.node, "left").select("mark", "n", F.coalesce("root", "fp").alias("class"))
+    classes = stored(classes, "classes")
+    # Each class has two heads in an order of its own, so a text meets other heads in other tables.
+    place = F.struct(F.xxhash64("mark", "class").alias("place"), "mark", "n")
+    heads = classes.groupBy("class").agg(F.array(F.min(place), F.max(place)).alias("heads"), F.count("*").alias("m")).where("m > 1")
+    pairs = classes.join(heads, "class").withColumn("head", F.explode("heads")).select(F.col("head.mark").alias("a"), F.col("mark").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
+    # Sets whose sizes differ by more cannot be that similar.
+    pairs = stored(pairs.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct(), "pairs")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct(), "ends")
+    sent = df.sparkSession.sparkContext.broadcast(key_bitmap(ends, "mark"))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            marks = batch.column(0).to_numpy(zero_copy_only=False)
+            wanted = np.flatnonzero(bitmap_has(bitmap, marks))
+            for hit in np.array_split(wanted, len(wanted) // 256 + 1):
+                hashes = [shingle_hashes(batch.column(1)[int(i)].as_py()).view(np.int64) for i in hit]
+                yield pa.RecordBatch.from_arrays([pa.array(marks[hit]), pa.array(hashes, pa.list_(pa.int64()))], ["mark", "hashes"])
+
+    found = source.select("mark", "text").mapInArrow(sets_of, "mark long, hashes array<long>").join(ends, "mark")
+    sets = stored(found.groupBy("mark").agg(F.any_value("hashes").alias("hashes")), "sets")
+    left = sets.select(F.col("mark").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("mark").alias("b"), F.col("hashes").alias("hb"))
+    both = F.size(F.array_intersect("ha", "hb"))
+    alike = both >= least * (F.size("ha") + F.size("hb") - both)
+    verified = components(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"))
+    named = texts.join(verified, texts.mark == verified.node, "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
+    named = stored(named, "named")
+    firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(named.join(firsts, "root").select("mark", "component_id"), "named")
+    return rows.select(F.col("key").alias(key), "mark").join(named, "mark").select(key, "mark", "component_id")
+
+
+def first_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose key is the smallest of their group of copies; all columns stay.
+
+    Rows with a NULL id stay only where no row with an id is a copy; repeated rows
+    leave one.
+    """
+    names = df.columns
+    keep = near_copies(df, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
+    keep = stored(keep.select(F.col(key).alias("__key"), F.col("mark").alias("__mark")).distinct(), "keep")
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    same = F.col(key).cast("long").eqNullSafe(F.col("__key")) & (mark == F.col("__mark"))
+    return df.join(keep, same, "left_semi").dropDuplicates([key, text]).select(*names)

@@ -384,9 +384,9 @@ def _logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def score(docs: DataFrame, model: Model | float, text: str = "text", out: str = "score", raw: bool = False) -> DataFrame:
-    """Add the score of every whole text (or the raw largest logit); the text itself is not carried."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, out)]
+def score(docs: DataFrame, model: Model | float, text: str = "text", out: str = "score", raw: bool = False, carry: bool = False) -> DataFrame:
+    """Add the score of every whole text (or the raw largest logit); the text itself goes unless carried."""
+    kept = [f for f in docs.schema.fields if f.name != out and (carry or f.name != text)]
     names = [f.name for f in kept]
     if not isinstance(model, Model):
         return docs.select(*names, F.lit(float(model)).alias(out))
@@ -403,7 +403,7 @@ def score(docs: DataFrame, model: Model | float, text: str = "text", out: str =
                 z = _sigmoid(slope * z + offset)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(z, pa.float64())], [*names, out])
 
-    return docs.select(*names, text).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
 
 
 def learnable(key: str = "doc_id") -> Column:
