@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, decontaminate, paragraph_dedup, simhash_vptree, toxicity
+from corpusgauge.llm import byte_bpe, decontaminate, paragraph_dedup, simhash_vptree, toxicity, url_filter
 from corpusgauge.llm.common import documents, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,6 +21,35 @@ class LlmQuery:
     sql: str | None = None
 
 
+#: The rules of the query: verdict, host, path.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "verdict string, host string, path string")
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+_URL = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
+OP1_SQL = f"""
+WITH parsed AS (
+    SELECT page_id,
+           translate(coalesce(regexp_extract(url, {_URL}, 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, {_URL}, 2), '') AS path,
+           row_number() OVER () AS n
+    FROM pages
+), rules(verdict, rhost, rpath) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+fits AS (
+    SELECT n, rhost || rpath AS rule, verdict,
+           row_number() OVER (PARTITION BY n ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS place
+    FROM parsed JOIN rules ON (host = rhost OR suffix(host, '.' || rhost)) AND prefix(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parsed LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
+"""
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = toxicity.fit(docs, table(spark, folder, "labels"), usable=toxicity.learnable())
@@ -68,6 +97,7 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": LlmQuery(op1_url_filter, OP1_SQL),
     "op2_toxicity": LlmQuery(op2_toxicity),
     "op3_paragraph_dedup": LlmQuery(op3_paragraph_dedup),
     "op6_byte_bpe": LlmQuery(op6_byte_bpe),
