@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, decontaminate, paragraph_dedup, simhash_vptree, toxicity, url_filter
-from corpusgauge.llm.common import documents, table
+from corpusgauge.llm import byte_bpe, decontaminate, orc_tokens, paragraph_dedup, simhash_vptree, toxicity, url_filter
+from corpusgauge.llm.common import documents, fresh_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -66,6 +66,16 @@ def op3_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return trimmed.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
+
+
+def op5_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "tokens-orc")
+    orc_tokens.write_tokens(documents(spark, folder), path, WORD_BPE, END_ID)
+    return orc_tokens.layout(spark, path)
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     coded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, RANKS), RANKS)
@@ -100,6 +110,7 @@ QUERIES = {
     "op1_url_filter": LlmQuery(op1_url_filter, OP1_SQL),
     "op2_toxicity": LlmQuery(op2_toxicity),
     "op3_paragraph_dedup": LlmQuery(op3_paragraph_dedup),
+    "op5_orc_tokens": LlmQuery(op5_orc_tokens),
     "op6_byte_bpe": LlmQuery(op6_byte_bpe),
     "op7_simhash_vptree": LlmQuery(op7_simhash_vptree),
     "op8_decontaminate": LlmQuery(op8_decontaminate),
