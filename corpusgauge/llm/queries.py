@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, decontaminate, orc_tokens, paragraph_dedup, simhash_vptree, toxicity, url_filter
+from corpusgauge.llm import byte_bpe, decontaminate, hmm_lm, orc_tokens, paragraph_dedup, simhash_vptree, toxicity, url_filter
 from corpusgauge.llm.common import documents, fresh_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -106,6 +106,10 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_hmm_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm_lm.score(documents(spark, folder))
+
+
 QUERIES = {
     "op1_url_filter": LlmQuery(op1_url_filter, OP1_SQL),
     "op2_toxicity": LlmQuery(op2_toxicity),
@@ -114,4 +118,5 @@ QUERIES = {
     "op6_byte_bpe": LlmQuery(op6_byte_bpe),
     "op7_simhash_vptree": LlmQuery(op7_simhash_vptree),
     "op8_decontaminate": LlmQuery(op8_decontaminate),
+    "op10_hmm_lm": LlmQuery(op10_hmm_lm),
 }
