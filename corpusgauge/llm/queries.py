@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, decontaminate, hmm_lm, orc_tokens, paragraph_dedup, simhash_vptree, toxicity, url_filter
+from corpusgauge.llm import byte_bpe, decontaminate, hmm_lm, multi_index, orc_tokens, paragraph_dedup, simhash_vptree, toxicity, url_filter
 from corpusgauge.llm.common import documents, fresh_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -66,6 +66,10 @@ def op3_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return trimmed.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op4_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.nearest(table(spark, folder, "embeddings"), every=20, k=20)
+
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
@@ -114,6 +118,7 @@ QUERIES = {
     "op1_url_filter": LlmQuery(op1_url_filter, OP1_SQL),
     "op2_toxicity": LlmQuery(op2_toxicity),
     "op3_paragraph_dedup": LlmQuery(op3_paragraph_dedup),
+    "op4_multi_index": LlmQuery(op4_multi_index),
     "op5_orc_tokens": LlmQuery(op5_orc_tokens),
     "op6_byte_bpe": LlmQuery(op6_byte_bpe),
     "op7_simhash_vptree": LlmQuery(op7_simhash_vptree),
