@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, decontaminate, hmm_lm, multi_index, orc_tokens, paragraph_dedup, simhash_vptree, toxicity, url_filter
+from corpusgauge.llm import byte_bpe, decontaminate, hmm_lm, license_scan, multi_index, orc_tokens, paragraph_dedup, simhash_vptree, toxicity, url_filter
 from corpusgauge.llm.common import documents, fresh_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -110,6 +110,46 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    templates = spark.createDataFrame(list(license_scan.TEMPLATES), "template string, text string")
+    return license_scan.scan(documents(spark, folder), templates)
+
+
+_PARTS = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_WORDS = f"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_PARTS}), lambda w: w <> '')"
+OP9_SQL = f"""
+WITH raw(template, text) AS (VALUES {", ".join(str(t) for t in license_scan.TEMPLATES)}),
+known AS (SELECT template, {_WORDS} AS words FROM raw),
+classed AS (
+    SELECT template, words, least(len(words), 5) AS width,
+           CASE WHEN len(words) < 5 THEN len(words) ELSE pow(2, ceil(log2(len(words))))::BIGINT END AS class
+    FROM known
+),
+spans AS (SELECT class, max(width) AS width, max(len(words)) AS longest FROM classed GROUP BY class),
+shingled AS (
+    SELECT template, class, width,
+           list_distinct(list_transform(range(1, len(words) - width + 2), lambda i: array_to_string(words[i:i + width - 1], ' '))) AS shingles
+    FROM classed
+),
+texts AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+windows AS (
+    SELECT doc_id, class, width, start, words[start + 1:start + 2 * longest] AS words
+    FROM (SELECT doc_id, words, class, width, longest, unnest(range(0, len(words), longest)) AS start FROM texts, spans)
+),
+cut AS (
+    SELECT doc_id, class, start,
+           list_distinct(list_transform(range(1, len(words) - width + 2), lambda i: array_to_string(words[i:i + width - 1], ' '))) AS shingles
+    FROM windows WHERE len(words) >= width
+),
+shares AS (
+    SELECT doc_id, template, start, len(list_intersect(s.shingles, c.shingles)) / len(s.shingles) AS share
+    FROM cut c JOIN shingled s USING (class)
+)
+SELECT doc_id, template, max(share) AS containment, count(DISTINCT start) AS n_windows, min(start)::INTEGER AS first_word
+FROM shares WHERE share >= {license_scan.CONTAINMENT} GROUP BY doc_id, template
+"""
+
+
 def op10_hmm_lm(spark: SparkSession, folder: str) -> DataFrame:
     return hmm_lm.score(documents(spark, folder))
 
@@ -123,5 +163,6 @@ QUERIES = {
     "op6_byte_bpe": LlmQuery(op6_byte_bpe),
     "op7_simhash_vptree": LlmQuery(op7_simhash_vptree),
     "op8_decontaminate": LlmQuery(op8_decontaminate),
+    "op9_license_scan": LlmQuery(op9_license_scan, OP9_SQL),
     "op10_hmm_lm": LlmQuery(op10_hmm_lm),
 }
