@@ -87,7 +87,8 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     tops = known.select("class", F.inline(F.arrays_zip("shingles", "hashes")), "minima")
     tops = tops.where(F.exists(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64("hashes", k) == F.get("minima", k)), lambda x: x))
     longest = F.element_at(F.array_sort(F.transform(F.split("shingles", " "), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))), -1)["w"]
-    tops = tops.select("class", F.col("hashes").alias("hash"), longest.alias("word")).distinct().collect() if few else []
+    first = F.substring_index("shingles", " ", 1).alias("first")
+    tops = tops.select("class", F.col("hashes").alias("hash"), longest.alias("word"), first).distinct().collect() if few else []
     source = docs.select(F.col(key).alias("doc"), words(text).alias("words"))
     if few:
         probes = sorted({r.word for r in tops})
@@ -95,14 +96,12 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     texts = stored(source.where("size(words) > 0"), "texts")
     found = None
     for c in classes:
-        part = _windows(texts, c["class"], c["width"], c["longest"])
-        if few:
-            marks = F.array(*(F.lit(r.hash) for r in tops if r["class"] == c["class"]))
-            part = part.where(F.arrays_overlap("hashes", marks))
+        own = [r for r in tops if r["class"] == c["class"]] if few else None
+        part = _windows(texts, c["class"], c["width"], c["longest"], own)
         found = part if found is None else found.union(part)
     if found is None:
-        found = _windows(texts, 1, 1, 1).where("1 = 0")
-    windows = stored(found, "windows")
+        found = _windows(texts, 1, 1, 1, [])
+    windows = stored(found, "windows").where("size(hashes) > 0")
     bands = windows.select("doc", "start", "class", "words", F.posexplode(minima(F.col("hashes"))).alias("band", "value"))
     own = known.select("class", "template", "width", "shingles", F.posexplode("minima").alias("band", "value"))
     own = F.broadcast(own) if few else own  # MAX_TEMPLATES x BANDS rows at most
@@ -116,10 +115,26 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     )
 
 
-def _windows(texts: DataFrame, klass: int, width: int, longest: int) -> DataFrame:
-    """Overlapping windows of one class with the hashes of their shingles."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(longest))
-    cut = texts.select("doc", "words", F.explode(starts).alias("start"))
+def _windows(texts: DataFrame, klass: int, width: int, longest: int, tops: list | None) -> DataFrame:
+    """Overlapping windows of one class with the hashes of their shingles; with ``tops`` only windows that hold such a shingle.
+
+    The starts come from an outer explode: a plain one would make the optimizer work
+    the array out twice.
+    """
+    n = F.size("words")
+    if tops is None:
+        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(longest))
+    elif not tops:
+        starts = F.array().cast("array<int>")
+    else:
+        marks, firsts = [r.hash for r in tops], sorted({r.first for r in tops})
+        hash_at = lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, width), " "))
+        hit = lambda i: F.get("words", i).isin(firsts) & hash_at(i).isin(marks)
+        places = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+        # The two windows that a place lies in; a shingle across a window's end is in the other one.
+        last = lambda i: F.floor(i / longest).cast("int") * longest
+        starts = F.flatten(F.transform(F.filter(places, hit), lambda i: F.array(last(i) - longest, last(i))))
+        starts = F.filter(F.array_distinct(starts), lambda s: s >= 0)
+    cut = texts.select("doc", "words", F.explode_outer(starts).alias("start")).where("start is not null")
     cut = cut.select("doc", "start", F.lit(klass).alias("class"), F.slice("words", F.col("start") + 1, 2 * longest).alias("words"))
-    hashes = F.transform(F.array_distinct(shingles(F.col("words"), width)), lambda s: F.xxhash64(s))
-    return cut.withColumn("hashes", hashes).where("size(hashes) > 0")
+    return cut.withColumn("hashes", F.transform(F.array_distinct(shingles(F.col("words"), width)), lambda s: F.xxhash64(s)))
