@@ -42,8 +42,8 @@ HIDDEN, WORD_DIM, GRAM_DIM = 8, 10, 10
 THRESHOLD = 0.3
 #: Share of inputs left out in training; weight decay per unit of learning rate.
 DROP, DECAY = 0.25, 0.1
-#: Windows of one training step.
-BATCH = 256
+#: Windows of one training step, and steps of a round at least.
+BATCH, ROUND_STEPS = 256, 20
 #: Words whose inputs a Python worker keeps; then the cache starts anew.
 CACHE_WORDS = 400_000
 #: Windows in one pass of the recurrent layers.
@@ -174,7 +174,9 @@ def _train(model: Model, windows: list[list[bytes]], target: np.ndarray, rate: f
     for i, words in enumerate(windows):
         rows[i, : len(words)] = [number[w] for w in words]
     p, size = model.p, BATCH
-    order = rng.permutation(len(windows))
+    # A small sample is gone through more than once, so a round has ROUND_STEPS steps at least.
+    turns = -(-ROUND_STEPS // -(-len(windows) // size))
+    order = np.concatenate([rng.permutation(len(windows)) for _ in range(turns)])
     for at in range(0, len(order), size):
         pick = order[at : at + size]
         ids, mask = rows[pick].T, (rows[pick] >= 0).T
