@@ -59,10 +59,29 @@ def strip_html(html: Column) -> Column:
 
 
 def chapters(text: Column) -> Column:
-    """``# Chapter n: title`` blocks as an array of (number, title, body)."""
-    pattern = r"# Chapter ([0-9]+)[:：] *([^\n]*)\n([^#]*)"
-    numbers, titles, bodies = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2, 3))
-    return F.arrays_zip(numbers.alias("number"), titles.alias("title"), bodies.alias("body"))
+    """Chapters as an array of (number, title, body), whatever the body holds.
+
+    A chapter begins at ``# Chapter n: title`` or ``# 第n章：title``.  A text without
+    such a heading is split at its ``# `` lines, numbered from 1; what stands before
+    the first heading belongs to no chapter.
+    """
+    heading = r"#[ \t]*(?:第[ \t]*([0-9]+)[ \t]*章|Chapter[ \t]+([0-9]+))[:：][ \t]*"
+    # U+0001 marks where a heading begins, U+0002 parts its number from the title.
+    clean = F.translate(text, "\x01\x02", "")
+    named = F.regexp_replace(clean, heading, "\x01$1$2\x02")
+    plain = F.regexp_replace(F.concat(F.lit("\n"), clean), r"\n# ", "\x01\x02")
+    is_named = F.contains(named, F.lit("\x01"))
+    parts = F.split(F.when(is_named, named).otherwise(plain), "\x01")
+    blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+    def chapter(block: Column, place: Column) -> Column:
+        rest = F.substring_index(block, "\x02", -1)
+        title = F.substring_index(rest, "\n", 1)
+        body = F.substring(rest, F.length(title) + 2, F.length(rest))
+        number = F.when(is_named, F.substring_index(block, "\x02", 1)).otherwise((place + 1).cast("string"))
+        return F.struct(number.alias("number"), F.trim(title).alias("title"), body.alias("body"))
+
+    return F.transform(blocks, chapter)
 
 
 def sentences_kept(text: Column, least: int = 2) -> Column:

@@ -152,11 +152,14 @@ def beaten_counts(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[
     return out
 
 
-def wins_by_class(df: DataFrame, keys: Sequence[str], score: str, config: str, classes: Sequence[str]) -> DataFrame:
+def wins_by_class(df: DataFrame, keys: Sequence[str], score: str, config: str, classes: Sequence[str] | None = None) -> DataFrame:
     """Winner class x loser class pair counts inside groups, ties skipped.
 
-    ``classes`` names the columns of the matrix, as pivot values do.
+    ``classes`` names the columns of the matrix, as pivot values do; without it they
+    are all labels that the rows hold.
     """
+    if classes is None:
+        classes = sorted(r[0] for r in df.select(config).where(F.col(config).isNotNull()).distinct().collect())
     per_value = df.groupBy(*keys, score, config).agg(F.count(F.lit(1)).alias("__c"))
     # Rows of one score meet lower scores only: sum per class over lower scores.
     at_score = per_value.groupBy(*keys, score).agg(F.map_from_entries(F.collect_list(F.struct(config, "__c"))).alias("__m"))

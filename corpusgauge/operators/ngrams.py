@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
 from corpusgauge.functions.common import attach, flat, flat_structs, ratio
+from corpusgauge.operators.joins import fuzzy_matches
 from corpusgauge.plans.ordered import ordered
-from corpusgauge.session import reliable
 
 ORDERS = (1, 2, 3, 4)
 
@@ -145,44 +144,12 @@ def sentence_continuity(docs: DataFrame, doc_id: str) -> DataFrame:
     )
 
 
-def minhash_copies(docs: DataFrame, doc_id: str, toks: Column, floor: float = 0.6, bands: int = 8, rows: int = 4) -> DataFrame:
-    """Documents whose word-pair set is near an earlier document's.
+def first_copies(docs: DataFrame, doc_id: str, toks: Column, floor: float = 0.6) -> DataFrame:
+    """The first earlier document whose word-pair set has Jaccard >= ``floor``, per document.
 
-    ``toks`` is the token array of a row of ``docs``.  Every band bucket is
-    compared with its first document only (a star, not all pairs), and each
-    candidate is verified with the exact Jaccard; only candidates are tokenised
-    a second time.
+    Exact: ``fuzzy_matches`` meets every pair at or above the floor, a document
+    itself among them, so a document's first match is an earlier one if there is any.
     """
-
-    def sets(frame: DataFrame) -> DataFrame:
-        listed = frame.withColumn("__t", toks)
-        return listed.select(doc_id, F.array_distinct(tx.ngrams(F.col("__t"), 2)).alias("s"))
-
-    # One hash per word pair; its top bits choose a bin and each bin keeps its
-    # least hash.  Sorted hashes hold the bins as runs, so one pass finds them.
-    bins = bands * rows
-    shift = 64 - int(math.log2(bins))
-
-    def signature(h: Column) -> Column:
-        prev = lambda i: F.element_at(h, F.greatest(i, F.lit(1)))
-        firsts = F.filter(h, lambda x, i: (i == 0) | (F.shiftrightunsigned(x, shift) != F.shiftrightunsigned(prev(i), shift)))
-        return F.transform(firsts, lambda x: F.struct(F.shiftrightunsigned(x, shift).cast("int").alias("bin"), x.alias("h")))
-
-    hashes = F.sort_array(F.transform("s", lambda g: F.xxhash64(g)))
-    marks = sets(docs).select(doc_id, tx.let(hashes, signature).alias("sig"))
-    # A band is a run of bins; a band without any hash makes no bucket.
-    band = lambda b: F.filter("sig", lambda m: (m["bin"] >= b * rows) & (m["bin"] < (b + 1) * rows))
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.when(F.size(band(b)) > 0, F.xxhash64(band(b))).alias("key")) for b in range(bands)])
-    buckets = marks.select(doc_id, F.inline(keys)).where("key is not null")
-    firsts = buckets.groupBy("band", "key").agg(F.min(doc_id).alias("first_id"), F.count("*").alias("members")).where("members > 1")
-    pairs = buckets.join(firsts, ["band", "key"]).where(F.col(doc_id) != F.col("first_id")).select(doc_id, "first_id").distinct()
-    pairs = reliable(pairs)  # two ids per candidate, read three times below
-    wanted = pairs.select(F.explode(F.array(doc_id, "first_id")).alias(doc_id)).distinct()
-    # A fixed number of tasks: few candidate bytes still mean much work per row.
-    tasks = docs.sparkSession.sparkContext.defaultParallelism
-    held = sets(docs.join(wanted, doc_id, "left_semi").repartition(tasks, doc_id))
-    full = pairs.join(held, doc_id).join(held.select(F.col(doc_id).alias("first_id"), F.col("s").alias("t")), "first_id")
-    shared = F.size(F.array_intersect("s", "t"))
-    jaccard = shared / (F.size("s") + F.size("t") - shared)
-    hits = full.select(doc_id, "first_id", jaccard.alias("jaccard")).where(F.col("jaccard") >= floor)
-    return hits.groupBy(doc_id).agg(F.min_by(F.struct("first_id", "jaccard"), F.struct("first_id")).alias("m")).select(doc_id, "m.first_id", "m.jaccard")
+    sets = docs.select(doc_id, F.array_distinct(tx.ngrams(toks, 2)).alias("s"))
+    found = fuzzy_matches(sets, sets.withColumnRenamed(doc_id, "first_id"), doc_id, ["first_id"], "s", floor)
+    return found.where(F.col("first_id") < F.col(doc_id))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,11 +69,17 @@ def moving_averages(df: DataFrame, keys: Sequence[str], order: str, value: str,
 def exponential_smoothing(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float = 0.3, tie: Sequence[str] = ()) -> DataFrame:
     """s0 = x0, then s = alpha * x + (1 - alpha) * s.
 
-    Inside chunks of 256 rows the recurrence is a weighted running sum.  What a
-    chunk hands on is its last value; the value before that has lost a factor
-    of (1 - alpha) ** 256, far below double precision.
+    Inside a chunk the recurrence is a weighted running sum; chunks are as long as
+    the weights stay finite.  A chunk maps the value before it, s, to a * s + b;
+    these maps are composed over 2, 4, 8 ... chunks until what is left out weighs
+    less than double precision, so any alpha in (0, 1] is exact.
     """
-    chunk, keep = 256, 1.0 - alpha
+    keep = 1.0 - alpha
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+    if keep == 0:
+        return ordered(df, keys, order, tie, position=True).withColumn("smoothed", F.col(value).cast("double"))
+    chunk = max(1, min(256, int(250 / -math.log10(keep))))
     placed = ordered(df, keys, order, tie, position=True)
     rows = placed.withColumns({"__chunk": F.floor((F.col("pos") - 1) / chunk), "__i": F.pmod(F.col("pos") - 1, F.lit(chunk))})
     part = [*keys, "__chunk"]
@@ -80,7 +87,13 @@ def exponential_smoothing(df: DataFrame, keys: Sequence[str], order: str, value:
     w = Window.partitionBy(*part).orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     grown = F.sum(weight * F.col(value) * F.pow(F.lit(keep), -F.col("__i"))).over(w)
     local = rows.withColumn("__local", grown * F.pow(F.lit(keep), F.col("__i")))
-    ends = local.groupBy(*part).agg(F.max_by("__local", "__i").alias("__carry")).withColumn("__chunk", F.col("__chunk") + 1)
+    ends = local.groupBy(*part).agg(F.max_by("__local", "__i").alias("__carry"), F.pow(F.lit(keep), F.max("__i") + 1).alias("__a"))
+    reach, by_chunk = 1, Window.partitionBy(*keys).orderBy("__chunk")
+    while keep ** (chunk * reach) > 1e-18:
+        before, a_before = (F.coalesce(F.lag(c, reach).over(by_chunk), F.lit(0.0)) for c in ("__carry", "__a"))
+        ends = ends.select(*part, (F.col("__carry") + F.col("__a") * before).alias("__carry"), (F.col("__a") * a_before).alias("__a"))
+        reach *= 2
+    ends = ends.withColumn("__chunk", F.col("__chunk") + 1).drop("__a")
     full = local.join(ends, part, "left")
     smooth = F.col("__local") + F.coalesce("__carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("__i") + 1)
     return full.withColumn("smoothed", smooth).drop("__chunk", "__i", "__local", "__carry")

@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LANES = 2000
-
 
 @dataclass(frozen=True)
 class Cuts:
@@ -34,8 +32,8 @@ class Cuts:
 
 
 def lanes_for(df: DataFrame, parts: int | None = None) -> int:
-    wanted = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(wanted, MAX_LANES))
+    """One lane per shuffle partition, so lanes shrink as the setting grows with the data."""
+    return max(1, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def as_double(df: DataFrame, name: str) -> Column:

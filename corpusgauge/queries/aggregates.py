@@ -364,12 +364,12 @@ def agg21(spark, sf):
     df = table(spark, sf, "conversations").select(
         "conv_id", F.concat(F.lit("TP"), F.col("turn") + 1).alias("point"), F.concat(F.lit("stage"), F.col("turn") % 6 + 1).alias("stage"), F.col("role").alias("func")
     )
-    # Label sets are small and closed: 5 turning points, 6 stages, known functions.
-    wanted = F.array(*[F.lit(f"TP{i}") for i in range(1, 6)])
+    # Only the 5 turning points enter their set; stages are 6 and functions are roles.
+    wanted = F.col("point").isin([f"TP{i}" for i in range(1, 6)])
     found = df.groupBy("conv_id").agg(
-        F.collect_set("point").alias("p"), F.collect_set("stage").alias("s"), F.collect_set("func").alias("f"), F.count("*").alias("n")
+        F.collect_set(F.when(wanted, F.col("point"))).alias("p"), F.collect_set("stage").alias("s"), F.collect_set("func").alias("f"), F.count("*").alias("n")
     )
-    points = F.size(F.array_intersect("p", wanted))
+    points = F.size("p")
     return found.select(
         "conv_id", points.cast("bigint").alias("points"), F.size("s").cast("bigint").alias("stages"), F.size("f").cast("bigint").alias("functions"),
         rnd(points / 5 * 10).alias("point_score"), rnd(F.size("s") / 6 * 10).alias("stage_score"), rnd(F.size("f") / F.col("n"), 9).alias("function_diversity"),
@@ -618,17 +618,17 @@ def agg35(spark, sf):
 @query(
     "agg36_label_paths",
     """
-    WITH l AS (SELECT DISTINCT conv_id, turn // 1000 AS block, role, regexp_extract(text, '[\\p{L}]+') AS label FROM conversations)
-    SELECT conv_id, block, string_agg(label, ' / ' ORDER BY label) FILTER (WHERE role = 'assistant') AS assistant, string_agg(label, ' / ' ORDER BY label) FILTER (WHERE role = 'user') AS user FROM l GROUP BY conv_id, block
+    WITH l AS (SELECT conv_id, role, regexp_extract(text, '[\\p{L}]+') AS label, min(turn) AS first FROM conversations GROUP BY ALL)
+    SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY first) AS place, label FROM l
     """,
 )
 def agg36(spark, sf):
-    # A path covers one block of 1,000 turns, so its label list stays bounded.
-    block, label = F.floor(F.col("turn") / 1000).alias("block"), F.regexp_extract("text", r"[\p{L}]+", 0).alias("label")
-    labels = table(spark, sf, "conversations").select("conv_id", block, "role", label).distinct()
-    path = F.array_join(F.sort_array(F.collect_list("label")), " / ")
-    paths = labels.groupBy("conv_id", "block").pivot("role", ["assistant", "user"]).agg(path)
-    return paths.select("conv_id", "block", *[F.nullif(c, F.lit("")).alias(c) for c in ("assistant", "user")])
+    # A path is kept as rows (place on the path, label), so none outgrows a row.
+    label = F.regexp_extract("text", r"[\p{L}]+", 0).alias("label")
+    labels = table(spark, sf, "conversations").select("conv_id", "role", "turn", label)
+    firsts = labels.groupBy("conv_id", "role", "label").agg(F.min("turn").alias("first"))
+    placed = ordered(firsts, ["conv_id", "role"], "first", position=True)
+    return placed.select("conv_id", "role", F.col("pos").alias("place"), "label")
 
 
 _ENTITIES = [("narrator", ["the", "le", "der"]), ("other", ["that", "la", "die"])]
@@ -699,17 +699,14 @@ def top2(spark, sf):
 @query(
     "top3_ordered_collection",
     """
-    WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY -length(text), turn) - 1 AS i FROM conversations)
-    SELECT conv_id, i // 1000 AS part, string_agg(role || ':' || length(text), '>' ORDER BY i) AS timeline FROM p GROUP BY conv_id, i // 1000
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY -length(text), turn) AS place, role || ':' || length(text) AS entry FROM conversations
     """,
 )
 def top3(spark, sf):
-    # Places come from the lane-split order; each part holds 1,000 places.
+    # The timeline stays rows in order; places come from the lane-split order.
     df = table(spark, sf, "conversations").select("conv_id", "turn", "role", (-F.length("text")).alias("k"))
     placed = ordered(df, ["conv_id"], "k", ["turn"], position=True)
-    step = F.struct("pos", F.concat("role", F.lit(":"), -F.col("k")).alias("s"))
-    lists = placed.groupBy("conv_id", F.floor((F.col("pos") - 1) / 1000).alias("part")).agg(F.sort_array(F.collect_list(step)).alias("a"))
-    return lists.select("conv_id", "part", F.array_join(F.transform("a", lambda x: x["s"]), ">").alias("timeline"))
+    return placed.select("conv_id", F.col("pos").alias("place"), F.concat("role", F.lit(":"), -F.col("k")).alias("entry"))
 
 
 @query("set1_union", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")

@@ -470,18 +470,19 @@ def mth8(spark, sf):
 @query(
     "map1_map_of_map",
     """
-    SELECT conv_id, turn // 1000 AS block, role, count(*) AS n_states, md5(string_agg(text, '|' ORDER BY turn)) AS states_md5 FROM conversations GROUP BY ALL
+    SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS place, md5(text) AS state_md5 FROM conversations
     """,
 )
 def map1(spark, sf):
-    # Rows to a block -> role -> states map and back to rows; a block of 1,000
-    # turns bounds the map, however long one conversation is.
-    states = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
-    block = F.floor(F.col("turn") / 1000).alias("block")
-    by_role = table(spark, sf, "conversations").groupBy("conv_id", block, "role").agg(states.alias("states"))
-    nested = by_role.groupBy("conv_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("role", "states"))).alias("roles"))
-    rows = nested.select("conv_id", "block", F.explode("roles").alias("role", "states"))
-    return rows.select("conv_id", "block", "role", F.size("states").cast("bigint").alias("n_states"), F.md5(F.array_join("states", "|")).alias("states_md5"))
+    # One turn's map of map (conversation -> role -> state) flattened to rows; the
+    # rebuilt nesting is an ordered list per (conversation, role), kept as rows with
+    # places, so no row holds a whole conversation.
+    nested = F.create_map("conv_id", F.create_map("role", "text")).alias("story")
+    stories = table(spark, sf, "conversations").select("turn", nested)
+    outer = stories.select("turn", F.explode("story").alias("conv_id", "roles"))
+    rows = outer.select("turn", "conv_id", F.explode("roles").alias("role", "state"))
+    placed = ordered(rows.withColumn("state_md5", F.md5("state")).drop("state"), ["conv_id", "role"], "turn", position=True)
+    return placed.select("conv_id", "role", F.col("pos").alias("place"), "state_md5")
 
 
 @query(

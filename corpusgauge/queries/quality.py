@@ -7,7 +7,7 @@ from corpusgauge.functions import text as tx
 from corpusgauge.functions.common import attach, corr, ratio, rnd, scalar
 from corpusgauge.operators import ngrams, scoring
 from corpusgauge.operators import sequences as seq
-from corpusgauge.plans.ordered import attach_ranks, quantiles
+from corpusgauge.plans.ordered import attach_ranks, ordered, quantiles
 from corpusgauge.queries.sequences import _SIMS_SQL, _WALK_SQL, _sims
 from corpusgauge.queries.text import _GRAMMAR_SQL, _TOK_SQL, _WINDOW_SQL, TWO_SQL, _distinct, two_scorers
 from corpusgauge.registry import query
@@ -312,24 +312,28 @@ def _neighbour_overlap(sentences):
     """
     WITH s AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[^.!?\\n]+'), lambda x: trim(x)) AS e, list_transform(regexp_extract_all(text, '[^.!?\\n]+'), lambda x: list_distinct(regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+'))) AS w FROM conversations),
     m AS (SELECT *, coalesce(list_avg(list_transform(range(1, len(w)), lambda i: len(list_intersect(w[i], w[i+1])) / greatest(len(list_distinct(list_concat(w[i], w[i+1]))), 1))), 0) AS cont FROM s),
-    j AS (SELECT a.conv_id, len(list_filter(list_distinct(b.e), lambda x: NOT list_contains(a.e, x))) AS added, len(list_filter(list_distinct(a.e), lambda x: NOT list_contains(b.e, x))) AS removed, b.cont - a.cont AS change FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.turn = 1 AND b.turn = 3)
-    SELECT conv_id, CAST(added AS INTEGER) AS added, CAST(removed AS INTEGER) AS removed, round(change, 8) + 0.0 AS continuity_change,
+    v AS (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM m WHERE turn % 2 = 1),
+    j AS (SELECT a.conv_id, b.turn, len(list_filter(list_distinct(b.e), lambda x: NOT list_contains(a.e, x))) AS added, len(list_filter(list_distinct(a.e), lambda x: NOT list_contains(b.e, x))) AS removed, b.cont - a.cont AS change FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.turn = b.before)
+    SELECT conv_id, turn, CAST(added AS INTEGER) AS added, CAST(removed AS INTEGER) AS removed, round(change, 8) + 0.0 AS continuity_change,
       CASE WHEN change < -.2 OR removed > 2 THEN 'high' WHEN change < -.1 OR added > 0 OR removed > 0 THEN 'medium' ELSE 'low' END AS severity FROM j
     """,
 )
 def txt17(spark, sf):
-    # Turn 1 is the old version of an answer, turn 3 the new one.
+    # Odd turns are versions of an answer; each is compared with the version before it.
     sentences = tx.found(F.col("text"), r"[^.!?\n]+")
     events = F.transform(sentences, lambda s: F.trim(s))
-    df = table(spark, sf, "conversations").where("turn in (1, 3)").select("conv_id", "turn", events.alias("e"), _neighbour_overlap(sentences).alias("cont"))
-    old = df.where("turn = 1").select("conv_id", F.col("e").alias("a"), F.col("cont").alias("ca"))
-    new = df.where("turn = 3").select("conv_id", F.col("e").alias("b"), F.col("cont").alias("cb"))
-    both = old.join(new, "conv_id").select(
-        "conv_id", F.size(F.array_except("b", "a")).alias("added"), F.size(F.array_except("a", "b")).alias("removed"), (F.col("cb") - F.col("ca")).alias("change")
+    df = table(spark, sf, "conversations").where("turn % 2 = 1").select("conv_id", "turn", events.alias("e"), _neighbour_overlap(sentences).alias("cont"))
+    versions = ordered(df, ["conv_id"], "turn", prev=["e", "cont"]).where("prev.cont is not null")
+    both = versions.select(
+        "conv_id",
+        "turn",
+        F.size(F.array_except("e", F.col("prev.e"))).alias("added"),
+        F.size(F.array_except(F.col("prev.e"), "e")).alias("removed"),
+        (F.col("cont") - F.col("prev.cont")).alias("change"),
     )
     worse, gone, any_event = F.col("change"), F.col("removed"), (F.col("added") > 0) | (F.col("removed") > 0)
     severity = F.when((worse < -0.2) | (gone > 2), "high").when((worse < -0.1) | any_event, "medium").otherwise("low")
-    return both.select("conv_id", "added", "removed", rnd("change", 8).alias("continuity_change"), severity.alias("severity"))
+    return both.select("conv_id", "turn", "added", "removed", rnd("change", 8).alias("continuity_change"), severity.alias("severity"))
 
 
 @query(
@@ -342,10 +346,19 @@ def txt18(spark, sf):
     return df.join(firsts, "digest").where("doc_id <> first_id").select("doc_id", "first_id")
 
 
-@query("txt18_near_copies")
+@query(
+    "txt18_near_copies",
+    f"""
+    WITH t AS (SELECT doc_id, {_TOK_SQL} AS w FROM documents),
+    s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM t WHERE len(w) > 1),
+    p AS (SELECT b.doc_id, a.doc_id AS first_id, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS n FROM s a JOIN s b
+      ON a.doc_id < b.doc_id AND len(a.s) >= .6 * len(b.s) AND len(b.s) >= .6 * len(a.s))
+    SELECT doc_id, min(first_id) AS first_id, round(arg_min(c / (n - c), first_id), 9) AS jaccard FROM p WHERE c / (n - c) >= .6 GROUP BY doc_id
+    """,
+)
 def txt18_near(spark, sf):
     docs = busy_table(spark, sf, "documents").select("doc_id", "text")
-    out = ngrams.minhash_copies(docs, "doc_id", tx.tokens(tx.strip_markdown(F.col("text"))))
+    out = ngrams.first_copies(docs, "doc_id", tx.tokens(tx.strip_markdown(F.col("text"))))
     return _round(out, 9, "jaccard")
 
 

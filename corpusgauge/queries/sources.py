@@ -170,11 +170,16 @@ def src7(spark, sf):
 
 @query(
     "src8_csv_lines",
-    "SELECT s_suppkey, concat_ws(',', s_suppkey, s_name, s_nationkey, s_acctbal) AS line FROM supplier",
+    """
+    SELECT conv_id, turn, concat_ws(',', '"' || conv_id || '"', '"' || replace('say "' || role || '", ', '"', '""') || '"', '"' || replace(text, '"', '""') || '"', '""') AS line
+    FROM conversations
+    """,
 )
 def src8(spark, sf):
-    df = table(spark, sf, "supplier")
-    return df.select("s_suppkey", csv_line(["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]).alias("line"))
+    # Fields with commas, quotes, line breaks and NULL.
+    said = F.concat(F.lit('say "'), "role", F.lit('", '))
+    df = table(spark, sf, "conversations").withColumns({"said": said, "nothing": F.lit(None).cast("string")})
+    return df.select("conv_id", "turn", csv_line(["conv_id", "said", "text", "nothing"]).alias("line"))
 
 
 @query(

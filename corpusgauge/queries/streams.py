@@ -12,8 +12,6 @@ from corpusgauge.registry import query
 from corpusgauge.sources.tables import busy_table, table
 from corpusgauge.streaming import jobs
 
-_MARK = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
-
 
 @query(
     "stm1_cost_ledger",
@@ -29,30 +27,30 @@ def stm1(spark, sf):
 
 @query(
     "stm2_peak_tumbling",
-    f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, max(value) AS peak, count(*) AS samples FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= {_MARK}",
+    "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, max(value) AS peak, count(*) AS samples FROM events GROUP BY 1",
 )
 def stm2(spark, sf):
     job = jobs.peak_values(jobs.file_stream(spark, sf, "events"), "1 hour", "1 hour", "10 minutes")
-    return jobs.drain(job, "append").drop("end")
+    return jobs.drain(job, "update", ["start", "end"]).drop("end")
 
 
 @query(
     "stm2_peak_sliding",
     f"""WITH w AS (SELECT value, time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * i AS start FROM events, (VALUES (0), (1)) AS x(i))
-    SELECT start, max(value) AS peak, count(*) AS samples FROM w GROUP BY 1 HAVING start + INTERVAL 1 HOUR <= {_MARK}""",
+    SELECT start, max(value) AS peak, count(*) AS samples FROM w GROUP BY 1""",
 )
 def stm2_sliding(spark, sf):
     job = jobs.peak_values(jobs.file_stream(spark, sf, "events"), "1 hour", "30 minutes", "10 minutes")
-    return jobs.drain(job, "append").drop("end")
+    return jobs.drain(job, "update", ["start", "end"]).drop("end")
 
 
 @query(
     "stm3_counters",
     f"""SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS attempts, count(*) FILTER (WHERE event_type = 'view') AS hits, count(*) FILTER (WHERE event_type = 'error') AS errors,
-      round(count(*) FILTER (WHERE event_type = 'view') / count(*), 9) AS hit_rate FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 6 HOUR, any_value(ts)) + INTERVAL 6 HOUR <= {_MARK}""",
+      round(count(*) FILTER (WHERE event_type = 'view') / count(*), 9) AS hit_rate FROM events GROUP BY 1""",
 )
 def stm3(spark, sf):
-    out = jobs.drain(jobs.counters(jobs.file_stream(spark, sf, "events"), "6 hours", "10 minutes"), "append")
+    out = jobs.drain(jobs.counters(jobs.file_stream(spark, sf, "events"), "6 hours", "10 minutes"), "update", ["start", "end"])
     return out.drop("end").withColumn("hit_rate", rnd("hit_rate", 9))
 
 
@@ -60,10 +58,10 @@ def stm3(spark, sf):
     "stm4_sessions",
     f"""WITH l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM l)
-    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 4 HOUR AS "end", count(*) AS records, count(*) FILTER (WHERE event_type = 'error') AS errors FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 4 HOUR <= {_MARK}""",
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 4 HOUR AS "end", count(*) AS records, count(*) FILTER (WHERE event_type = 'error') AS errors FROM s GROUP BY user_id, sid""",
 )
 def stm4(spark, sf):
-    return jobs.drain(jobs.sessions(jobs.file_stream(spark, sf, "events"), "4 hours", "10 minutes"), "append")
+    return jobs.drain(jobs.sessions(jobs.file_stream(spark, sf, "events"), "4 hours", "10 minutes"), "complete")
 
 
 @query(

@@ -39,14 +39,21 @@ def str1_html(spark, sf):
 @query(
     "str2_chapter_split",
     """
-    WITH l AS (SELECT doc_id, unnest(string_split(replace(text, '#', ''), chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM documents)
-    SELECT doc_id, CAST(number AS INTEGER) AS number, split_part(body, ' ', 1) AS title, length(body) + 1 AS n_body FROM l
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM documents)
+    SELECT doc_id, CAST(number AS INTEGER) AS number, CAST(number AS VARCHAR) || ' in C#' AS title, length(body) + length('\n## notes in C#\n')
+      - CASE WHEN doc_id % 3 = 0 AND number < max(number) OVER (PARTITION BY doc_id) THEN 1 ELSE 0 END AS n_body FROM l
     """,
 )
 def str2(spark, sf):
-    lines = F.split(F.replace("text", F.lit("#"), F.lit("")), "\n")
+    # Every line becomes a chapter; headings come in both kinds (or as plain "# "
+    # lines in every third document) and bodies hold marks that are no headings.
+    number = lambda i: (i + 1).cast("string")
+    western = lambda i: F.concat(F.lit("# Chapter "), number(i), F.lit(": "))
+    eastern = lambda i: F.concat(F.lit("# 第"), number(i), F.lit("章："))
+    plain = F.col("doc_id") % 3 == 0
+    head = lambda i: F.when(plain, F.lit("# ")).when(i % 2 == 0, western(i)).otherwise(eastern(i))
     titled = F.transform(
-        lines, lambda s, i: F.concat(F.lit("# Chapter "), (i + 1).cast("string"), F.lit(": "), F.split_part(s, F.lit(" "), F.lit(1)), F.lit("\n"), s, F.lit("\n"))
+        F.split("text", "\n"), lambda s, i: F.concat(head(i), number(i), F.lit(" in C#\n"), s, F.lit("\n## notes in C#\n"))
     )
     story = _docs(spark, sf).select("doc_id", F.array_join(titled, "").alias("story"))
     rows = flat_structs(story, ["doc_id"], tx.chapters(F.col("story")), "number")

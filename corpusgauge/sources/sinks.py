@@ -21,7 +21,10 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
 
 
 def csv_line(columns: Sequence[str]) -> Column:
-    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    """Quoted CSV fields; quotes inside are doubled, NULL is an empty field."""
+    fields = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+    keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    return F.to_csv(fields, {"quoteAll": "true", "escape": '"', **keep})
 
 
 def markdown_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -139,7 +139,7 @@ def test_near_copies_report_the_first_and_no_false_pair(spark):
     changed = base[:100] + ["new"] + base[101:]
     rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(other)), (4, " ".join(base)), (5, "")]
     df = spark.createDataFrame(rows, "id long, text string")
-    got = {r["id"]: r for r in ngrams.minhash_copies(df, "id", tx.tokens(F.col("text"))).collect()}
+    got = {r["id"]: r for r in ngrams.first_copies(df, "id", tx.tokens(F.col("text"))).collect()}
     assert got[4]["first_id"] == 1 and got[4]["jaccard"] == 1.0
     assert got[2]["first_id"] == 1 and got[2]["jaccard"] == pytest.approx(197 / 201)
     assert 3 not in got and 5 not in got
@@ -174,17 +174,28 @@ def test_two_state_scan_equals_a_loop(spark):
         assert got[(k, i)] == last[k]
 
 
-def test_smoothing_crosses_chunks(spark):
-    xs = np.random.default_rng(8).normal(50, 9, 700)
+@pytest.mark.parametrize("alpha", [0.001, 0.01, 0.3, 0.97, 1.0])
+def test_smoothing_crosses_chunks(spark, alpha):
+    xs = np.random.default_rng(8).normal(50, 9, 3000)
     df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(xs)], "k int, i int, x double")
-    got = [r["smoothed"] for r in sequences.exponential_smoothing(df, ["k"], "i", "x").orderBy("i").collect()]
+    got = [r["smoothed"] for r in sequences.exponential_smoothing(df, ["k"], "i", "x", alpha).orderBy("i").collect()]
     s, want = xs[0], [xs[0]]
     for x in xs[1:]:
-        s = 0.3 * x + 0.7 * s
+        s = alpha * x + (1 - alpha) * s
         want.append(s)
     assert np.allclose(got, want)
 
 
+def test_chapters_keep_marks_in_bodies(spark):
+    named = "intro # 5\n# Chapter 1: One C#\nbody # x\n## part\n# 第 2 章：Two\nmore"
+    plain = "before\n# First\na # b\n## sub\n# Second"
+    df = spark.createDataFrame([(1, named), (2, plain), (3, ""), (4, None), (5, "no heading")], "i int, t string")
+    got = {r.i: r.c and [tuple(x) for x in r.c] for r in df.select("i", tx.chapters(F.col("t")).alias("c")).collect()}
+    assert got[1] == [("1", "One C#", "body # x\n## part\n"), ("2", "Two", "more")]
+    assert got[2] == [("1", "First", "a # b\n## sub"), ("2", "Second", "")]
+    assert got[3] == [] and not got[4] and got[5] == []
+
+
 def test_weighted_outcomes_equal_pair_rows(spark):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"r": rng.integers(0, 8, 90), "i": rng.integers(0, 14, 90), "s": rng.integers(0, 6, 90)})
