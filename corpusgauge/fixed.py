@@ -1,20 +1,47 @@
 """Fixed values shared by operators and their SQL: word lists, prices, rules."""
 
-# Price per 1,000 tokens: model, input, output.  'default' prices unknown models.
+# Price per 1,000 tokens (model, input, output); 'default' prices unknown models.
 PRICES = [
     ("gpt-4", 0.03, 0.06),
+    ("gpt-4-32k", 0.06, 0.12),
     ("gpt-4-turbo", 0.01, 0.03),
+    ("gpt-4-turbo-preview", 0.01, 0.03),
+    ("gpt-4.1", 0.01, 0.03),
     ("gpt-3.5-turbo", 0.001, 0.002),
+    ("gpt-3.5-turbo-16k", 0.003, 0.004),
+    ("claude-3-opus", 0.015, 0.075),
+    ("claude-3-sonnet", 0.003, 0.015),
+    ("claude-3-haiku", 0.00025, 0.00125),
+    ("claude-2", 0.008, 0.024),
+    ("claude-instant", 0.0008, 0.0024),
     ("gemini-pro", 0.001, 0.002),
+    ("gemini-ultra", 0.01, 0.03),
+    ("llama-2-70b", 0.0007, 0.0009),
+    ("mixtral-8x7b", 0.0007, 0.0007),
     ("default", 0.001, 0.002),
 ]
 
-# Name fragment to price row; the lowest priority number that matches wins.
+# Name fragment to price row; the lowest priority number that matches wins, so
+# special names come before the general ones that they contain.
 MODEL_ALIASES = [
-    (1, "gpt-4-turbo", "gpt-4-turbo"),
-    (2, "gpt-4", "gpt-4"),
-    (3, "gpt-3.5", "gpt-3.5-turbo"),
-    (4, "gemini", "gemini-pro"),
+    (1, "gpt-4-turbo-preview", "gpt-4-turbo-preview"),
+    (2, "gpt-4-turbo", "gpt-4-turbo"),
+    (3, "gpt-4-32k", "gpt-4-32k"),
+    (4, "gpt-4.1", "gpt-4.1"),
+    (5, "gpt-4", "gpt-4"),
+    (6, "gpt-3.5-turbo-16k", "gpt-3.5-turbo-16k"),
+    (7, "gpt-3.5", "gpt-3.5-turbo"),
+    (8, "gpt3.5", "gpt-3.5-turbo"),
+    (9, "opus", "claude-3-opus"),
+    (10, "sonnet", "claude-3-sonnet"),
+    (11, "haiku", "claude-3-haiku"),
+    (12, "claude-3", "claude-3-sonnet"),
+    (13, "claude-instant", "claude-instant"),
+    (14, "claude", "claude-2"),
+    (15, "ultra", "gemini-ultra"),
+    (16, "gemini", "gemini-pro"),
+    (17, "llama", "llama-2-70b"),
+    (18, "mixtral", "mixtral-8x7b"),
 ]
 
 # Words with a happiness score from 1 to 9; scores from 4 to 6 count as neutral.

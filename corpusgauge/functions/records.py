@@ -10,15 +10,48 @@ RUN_NAME = r"^([^_]+)_([^_]+)rewrite_(nonlinear|linear)_T([0-9.]+)_s([0-9]+)$"
 
 
 def repaired_json(reply: Column) -> Column:
-    """Full-width marks to ASCII, fences off, joined objects to a list, tail cut."""
+    """Full-width marks to ASCII, fences off, cut after the balanced end, joined values to one list.
+
+    Brackets count outside strings only.  Objects that follow each other become a
+    list, lists that follow each other one list; other text ends the value.  A value
+    that never closes gives an empty string.
+    """
     text = F.translate(reply, "，。", ",.")
     fenced = F.regexp_extract(text, r"```(?:json)?([\s\S]*?)```", 1)
     text = F.trim(F.when(F.contains(text, F.lit("```")) & (fenced != ""), fenced).otherwise(text))
-    # Keep from the first opening bracket to the last closing one.
-    text = F.regexp_extract(text, r"^[^\[{]*([\[{][\s\S]*[\]}])[^\]}]*$", 1)
-    joined = F.regexp_replace(text, r"\}\s*\{", "},{")
-    listed = F.when(F.startswith(joined, F.lit("{")) & (joined != text), F.concat(F.lit("["), joined, F.lit("]")))
-    return F.coalesce(listed, joined)
+    text = F.regexp_extract(text, r"[\[{][\s\S]*", 0)
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(False).alias("over"),
+        F.lit("").alias("value"), F.array().cast("array<string>").alias("values"),
+    )
+    done = F.aggregate(F.split(text, ""), start, _json_step, lambda s: s["values"])
+    inner = F.array_join(F.transform(done, lambda v: F.substring(v, F.lit(2), F.length(v) - 2)), ",")
+    lists = F.concat(F.lit("["), inner, F.lit("]"))
+    objects = F.concat(F.lit("["), F.array_join(done, ","), F.lit("]"))
+    first = F.get(done, 0)
+    return F.when(F.size(done) > 1, F.when(F.startswith(first, F.lit("[")), lists).otherwise(objects)).otherwise(F.coalesce(first, F.lit("")))
+
+
+def _json_step(state: Column, char: Column) -> Column:
+    """One character of the scan: depth outside strings, the value so far, the closed values."""
+    quoted, escaped, over = state["quoted"], state["escaped"], state["over"]
+    opens, closes = ~quoted & char.isin("[", "{"), ~quoted & char.isin("]", "}")
+    depth = state["depth"] + opens.cast("int") - closes.cast("int")
+    inside = (state["depth"] > 0) | opens
+    # Between values only white space and the same opening bracket may stand.
+    other_kind = opens & (F.size(state["values"]) > 0) & ~F.startswith(F.get(state["values"], 0), char)
+    ends = over | (~inside & (F.trim(char) != "") & ~char.isin("\n", "\r", "\t")) | ((state["depth"] == 0) & other_kind)
+    value = F.when(inside, F.concat(state["value"], char)).otherwise(F.lit(""))
+    closed = inside & closes & (depth == 0)
+    values = F.when(closed & ~ends, F.concat(state["values"], F.array(value))).otherwise(state["values"])
+    return F.struct(
+        F.when(ends, 0).otherwise(depth).alias("depth"),
+        F.when(escaped | (char != '"') | ~inside, quoted).otherwise(~quoted).alias("quoted"),
+        (quoted & ~escaped & (char == "\\")).alias("escaped"),
+        ends.alias("over"),
+        F.when(closed | ends, F.lit("")).otherwise(value).alias("value"),
+        values.alias("values"),
+    )
 
 
 def run_parameters(name: Column) -> dict[str, Column]:

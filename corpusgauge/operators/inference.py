@@ -37,6 +37,14 @@ def t_statistics() -> dict[str, Column]:
     }
 
 
+def one_sample_t(df: DataFrame, keys: Sequence[str], value: str, mean: Column) -> DataFrame:
+    """n, df and t of each group against a fixed mean (an aggregate over the group); the
+    form that is left where the other sample is one value.  t is NULL without spread."""
+    n, sd = F.count(value), F.stddev_samp(value)
+    t = F.try_divide(F.avg(value) - mean, F.nullif(sd, F.lit(0.0)) / F.sqrt(n))
+    return df.groupBy(*keys).agg(n.alias("n"), (n - 1).alias("df"), t.alias("t"))
+
+
 def cohens_d(form: str = "pooled") -> Column:
     """Mean difference over the pooled (n-1) or the mean-variance deviation."""
     n1, m1, v1, n2, m2, v2 = (F.col(c) for c in ("n1", "m1", "v1", "n2", "m2", "v2"))

@@ -55,6 +55,20 @@ def sta1_paired(spark, sf):
     return pairs.groupBy("event_type").agg(F.count("*").alias("n"), rnd(F.avg("delta") / (F.stddev_samp("delta") / F.sqrt(F.count("*"))), 7).alias("t"))
 
 
+@query(
+    "sta1_one_sample_t",
+    """
+    WITH o AS (SELECT user_id, max(value) AS best FROM events GROUP BY 1),
+    s AS (SELECT e.user_id, count(*) AS n, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS sd, any_value(best) AS best FROM events e JOIN o USING (user_id) GROUP BY 1)
+    SELECT user_id, n, n - 1 AS df, round(CASE WHEN sd > 0 THEN (mean - best) / (sd / sqrt(n)) END, 7) + 0.0 AS t FROM s
+    """,
+)
+def sta1_one_sample(spark, sf):
+    # A group's best value stands alone, so its group is tested against it as a fixed mean.
+    df = table(spark, sf, "events").select("user_id", "value")
+    return inf.one_sample_t(df, ["user_id"], "value", F.max("value")).select("user_id", "n", "df", rnd("t", 7).alias("t"))
+
+
 @query("sta1_p_values")
 def sta1_p(spark, sf):
     df, is_a, is_b = _arms(spark, sf)

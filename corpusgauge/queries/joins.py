@@ -394,7 +394,7 @@ def join17(spark, sf):
 @query(
     "join18_price_list",
     f"""
-    WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'GPT-4-Turbo-2024' WHEN 'click' THEN 'gpt-4' WHEN 'purchase' THEN 'models/Gemini-1.5'
+    WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN ['GPT-4-Turbo-2024', 'gpt-4.1-mini'][event_id % 2 + 1] WHEN 'click' THEN 'gpt-4' WHEN 'purchase' THEN ['models/Gemini-1.5', 'Llama-2-70B-chat'][event_id % 2 + 1]
         WHEN 'signup' THEN 'gpt-3.5-turbo-0125' ELSE 'unknown-model' END AS model, CAST(value * 10 AS BIGINT) AS tin, CAST(json_extract(props, '$.k') AS BIGINT) AS tout FROM events),
     a AS (SELECT * FROM {sql_values(fixed.MODEL_ALIASES, 'priority, fragment, row_name')}), p AS (SELECT * FROM {sql_values(fixed.PRICES, 'model, price_in, price_out')}),
     k AS (SELECT e.*, (SELECT arg_min(row_name, priority) FROM a WHERE contains(lower(e.model), fragment)) AS row_name FROM e)
@@ -403,9 +403,15 @@ def join17(spark, sf):
     """,
 )
 def join18(spark, sf):
-    names = {"view": "GPT-4-Turbo-2024", "click": "gpt-4", "purchase": "models/Gemini-1.5", "signup": "gpt-3.5-turbo-0125"}
+    names = {
+        "view": ("GPT-4-Turbo-2024", "gpt-4.1-mini"),
+        "click": ("gpt-4", "gpt-4"),
+        "purchase": ("models/Gemini-1.5", "Llama-2-70B-chat"),
+        "signup": ("gpt-3.5-turbo-0125", "gpt-3.5-turbo-0125"),
+    }
     model = F.lit("unknown-model")
-    for kind, name in names.items():
+    for kind, (even, odd) in names.items():
+        name = F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)
         model = F.when(F.col("event_type") == kind, name).otherwise(model)
     calls = table(spark, sf, "events").select(
         model.alias("model"),

@@ -77,7 +77,7 @@ def src4(spark, sf):
 
 _WRAPPED = {
     "view": ("```json\n", "\n```"),
-    "click": ("Here it is: ", " Done。"),
+    "click": ("Here it is: ", " see [note] } {, Done。"),
     "purchase": ("", '{"k": 1000}'),
     "signup": ("no json ，", ""),
     "error": ("```", "```"),
@@ -90,7 +90,7 @@ _WRAPPED = {
     WITH w AS (
       SELECT event_id, event_type, CASE event_type
         WHEN 'view' THEN '```json' || chr(10) || props || chr(10) || '```'
-        WHEN 'click' THEN 'Here it is: ' || props || ' Done。'
+        WHEN 'click' THEN 'Here it is: ' || props || ' see [note] } {, Done。'
         WHEN 'purchase' THEN props || '{"k": 1000}'
         WHEN 'signup' THEN 'no json ，' || substr(props, 2, length(props) - 2)
         ELSE '```' || props || '```' END AS reply FROM events)

@@ -269,3 +269,19 @@ def test_correlation_of_a_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 2.0, 5.0), (None, 9.0, 1.0), (4.0, 2.0, 8.0)], "a double, b double, c double")
     row = df.agg(corr("a", "b").alias("ab"), corr("a", "c").alias("ac")).first()
     assert row["ab"] is None and row["ac"] == pytest.approx(np.corrcoef([1, 2, 4], [3, 5, 8])[0, 1])
+
+
+def test_json_repair_stops_at_the_balanced_end(spark):
+    cases = {
+        '{"k": 1} see [note]': '{"k": 1}',
+        '[1, 2][3]\n [4] tail': "[1, 2,3,4]",
+        'x {"a": "} {"} {"b": 2}': '[{"a": "} {"},{"b": 2}]',
+        '{"a": "q\\"}"}}': '{"a": "q\\"}"}',
+        '{"a": [1, {"b": 2}]}, {"c": 3}': '{"a": [1, {"b": 2}]}',
+        '{"cut": [1, 2': "",
+        "no json": "",
+        '```json\n{"k": 2}\n```': '{"k": 2}',
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "r string")
+    got = {r.r: r.f for r in df.select("r", repaired_json(F.col("r")).alias("f")).collect()}
+    assert got == cases
