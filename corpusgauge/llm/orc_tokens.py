@@ -17,6 +17,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ from corpusgauge.llm.common import passes, stored
 #: Rows per index entry, bytes per stripe, false hits of a Bloom filter.
 STRIDE, STRIPE_BYTES, FALSE_HITS = 1_000, 8 * 2**20, 0.01
 #: Words whose ids a Python worker keeps; then the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
+#: Stands for a text's end; never a word.
+END = b"\n"
 
 
 class WordEncoder:
@@ -48,27 +51,34 @@ class WordEncoder:
         self.place: dict[bytes, int] = {}
         self.pool, self.cuts = array("I"), array("q", [0])
 
+    def _learn(self, words: list[bytes]) -> None:
+        for word, coded in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
+            self._add(word, coded.ids)
+
+    def _add(self, word: bytes, ids: list[int]) -> None:
+        self.place[word] = len(self.place)
+        self.pool.extend(ids)
+        self.cuts.append(len(self.pool))
+
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and how many each text has."""
         if len(self.place) > CACHE_WORDS:
             self._clear()
-        split = [t.encode().split() if t else [] for t in texts]
-        known = self.place
-        new = list({w for words in split for w in words}.difference(known))
-        for word, coded in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.pool.extend(coded.ids)
-            self.cuts.append(len(self.pool))
-            known[word] = len(known)
-        # The end id is a word of its own, past the known ones.
-        pool = np.append(np.array(self.pool, np.uint32), np.uint32(end_id))
-        cuts = np.append(np.array(self.cuts), len(pool))
-        end = len(cuts) - 2
-        get, found, per = known.__getitem__, array("q"), []
-        for words in split:
-            found.extend(map(get, words))
-            found.append(end)
-            per.append(len(words) + 1)
-        at = np.array(found)
+        if not self.place:
+            self._add(END, [end_id])
+        words: list[bytes] = []
+        per = []
+        for text in texts:
+            own = text.encode().split() if text else []
+            words += own
+            words.append(END)
+            per.append(len(own) + 1)
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(at < 0).tolist()
+        if missed:
+            self._learn(list({words[i] for i in missed}))
+            at[missed] = [self.place[words[i]] for i in missed]
+        pool, cuts = np.array(self.pool), np.array(self.cuts)
         sizes = (cuts[1:] - cuts[:-1])[at]
         first = np.cumsum(sizes) - sizes
         ids = pool[np.repeat(cuts[at] - first, sizes) + np.arange(int(sizes.sum()))]
