@@ -106,17 +106,36 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
+_PARTS = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_WORDS = f"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_PARTS}), lambda w: w <> '')"
+OP8_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce({_WORDS}, []) AS words FROM documents),
+tests AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, k, array_to_string(words[i:i + k - 1], ' ') AS gram
+    FROM (SELECT *, unnest(range(1, len(words) - k + 2)) AS i FROM (SELECT *, least(10, len(words)) AS k FROM tests WHERE len(words) > 0))
+),
+grams AS (
+    SELECT n, k, i, array_to_string(words[i:i + k - 1], ' ') AS gram
+    FROM (SELECT n, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows))
+),
+hits AS (SELECT n, item_id, i, k FROM grams JOIN windows USING (k, gram)),
+covered AS (SELECT n, count(DISTINCT place) AS n_hit FROM (SELECT n, unnest(range(i, i + k)) AS place FROM hits) GROUP BY n),
+items AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT n, item_id::VARCHAR AS item FROM hits) GROUP BY n)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (n) LEFT JOIN items USING (n)
+"""
+
+
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     templates = spark.createDataFrame(list(license_scan.TEMPLATES), "template string, text string")
     return license_scan.scan(documents(spark, folder), templates)
 
 
-_PARTS = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-_WORDS = f"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_PARTS}), lambda w: w <> '')"
 OP9_SQL = f"""
 WITH raw(template, text) AS (VALUES {", ".join(str(t) for t in license_scan.TEMPLATES)}),
 known AS (SELECT template, {_WORDS} AS words FROM raw),
@@ -162,7 +181,7 @@ QUERIES = {
     "op5_orc_tokens": LlmQuery(op5_orc_tokens),
     "op6_byte_bpe": LlmQuery(op6_byte_bpe),
     "op7_simhash_vptree": LlmQuery(op7_simhash_vptree),
-    "op8_decontaminate": LlmQuery(op8_decontaminate),
+    "op8_decontaminate": LlmQuery(op8_decontaminate, OP8_SQL),
     "op9_license_scan": LlmQuery(op9_license_scan, OP9_SQL),
     "op10_hmm_lm": LlmQuery(op10_hmm_lm),
 }
