@@ -39,6 +39,19 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def hash_sample(df: DataFrame, by: Sequence[str], most: int) -> DataFrame:
+    """About 0.9 ``most`` rows by the hash of their keys, all of them if there are no more; never over ``most``.
+
+    The tasks filter, so only the sample moves; an ordered limit would send ``most``
+    rows of every task to the driver.
+    """
+    total = df.count()
+    if total > most:
+        share = F.pmod(F.xxhash64(*by, F.lit(77)), F.lit(2**31)) / 2**31
+        df = df.where(share < 0.9 * most / total)
+    return df.limit(most)
+
+
 def passes(texts: Sequence[str | bytes | None], limit: int = PASS_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``limit`` characters; every text is in exactly one."""
     start, size = 0, 0

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import stored
+from corpusgauge.llm.common import hash_sample, stored
 
 NEIGHBOURS, ROTATIONS, MARGIN = 20, 4, 2.0
 #: Vectors that codes and radius are learned on; rows of a shard and queries of a block.
@@ -203,7 +203,8 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     if not total:
         return df.sparkSession.createDataFrame([], schema)
     # The codes are learned on SAMPLE rows at most; all rows are indexed.
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()])
+    sample = np.array(sorted(list(r.v) for r in hash_sample(rows, ["id"], SAMPLE).collect()))
+    sample = sample[np.random.default_rng(5).permutation(len(sample))] if len(sample) else sample
     codes = learn(sample, float(longest))
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     shards = -(-total // SHARD_ROWS)

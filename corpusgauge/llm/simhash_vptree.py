@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import bitmap_has, key_bitmap, mix, stored
+from corpusgauge.llm.common import bitmap_has, hash_sample, key_bitmap, mix, stored
 from corpusgauge.llm.components import components
 
 #: Fingerprints that steer the tree, at most.
@@ -147,9 +147,8 @@ def forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b) links whose components are those of all pairs within ``radius``; ``distinct`` holds column ``fp`` without repeats."""
     total = distinct.count()
-    # A hash order makes the sample the same in every run; its size is bounded.
-    rows = distinct.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()
-    sample = np.array([r.fp for r in rows], np.int64).view(np.uint64)
+    rows = hash_sample(distinct.select("fp"), ["fp"], TREE_SAMPLE).collect()
+    sample = np.sort(np.array([r.fp for r in rows], np.int64)).view(np.uint64)
     tree = Tree(sample, SHARD * len(sample) / max(total, 1), radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

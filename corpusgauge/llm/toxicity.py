@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgauge.llm.common import crc_remainder, passes
+from corpusgauge.llm.common import crc_remainder, hash_sample, passes
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 1_000, 2_000, 5
 MAX_WORDS, MAX_GRAMS = 20_000, 20_000
@@ -340,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return float(next(iter(kinds), 0.5))
     picked = None
     for kind, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        part = known.where(F.col("y") == kind).orderBy(F.xxhash64("k"), "k").limit(most)
+        part = hash_sample(known.where(F.col("y") == kind), ["k"], most)
         picked = part if picked is None else picked.union(part)
     spark = docs.sparkSession
     # At most SAMPLE_TOXIC + SAMPLE_CLEAN rows.
