@@ -15,7 +15,9 @@ stated Jaccard similarity of word shingles, which whole-text fingerprints of lik
 texts often miss by many bits: it fingerprints ``TABLES`` samples of each text (the
 ``SAMPLE`` shingles that come first in a pseudo-random order, so like texts mostly
 share a sample), links the samples through the same tree, and verifies the exact
-Jaccard of every member of a linked class with two head texts of the class.
+Jaccard inside every linked class: first of each member with two head texts, which
+settles most classes, then of all pairs of the classes that are still in parts,
+chunk against chunk.
 
 Cases: NULL and empty texts have no words and the fingerprint zero, linked like any
 other; texts under three words are one shingle; repeated rows and ties share a
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.llm.common import bitmap_has, hash_sample, key_bitmap, mix, stored
 from corpusgauge.llm.components import components
+from corpusgauge.llm.paragraph_dedup import _edges, jaccard_forest
 
 #: Fingerprints that steer the tree, at most.
 TREE_SAMPLE = 32_768
@@ -44,6 +47,8 @@ SHARD, CHUNK = 1_500, 3_000
 SEED = 42
 #: At Jaccard 0.8 a sample is shared with probability 0.64, one of six with 0.998.
 TABLES, SAMPLE, SHINGLE, SIMILARITY = 6, 2, 5, 0.8
+#: Texts and shingles that a chunk of a class in parts should hold.
+CLASS_TEXTS, CLASS_SHINGLES = 500, 200_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -211,7 +216,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     """(key, mark, component_id) per row: the smallest key among the texts that verified links reach.
 
     ``mark`` is the hash of the text.  Equal texts are one class whatever their
-    number; the texts of a linked class are compared with its two heads.
+    number; all pairs of the different texts of a linked class are covered.
     """
     source = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     source = source.withColumn("mark", F.xxhash64("text"))
@@ -235,7 +240,9 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     pairs = classes.join(heads, "class").withColumn("head", F.explode("heads")).select(F.col("head.mark").alias("a"), F.col("mark").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
     # Sets whose sizes differ by more cannot be that similar.
     pairs = stored(pairs.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct(), "pairs")
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct(), "ends")
+    # Up to three texts, the heads leave no pair out.
+    large = classes.join(heads.where("m > 3").select("class"), "class", "left_semi").select("mark")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("mark")).union(large).distinct(), "ends")
     sent = df.sparkSession.sparkContext.broadcast(key_bitmap(ends, "mark"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +260,12 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     right = sets.select(F.col("mark").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     alike = both >= least * (F.size("ha") + F.size("hb") - both)
-    verified = components(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"))
+    starred = stored(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "starred")
+    verified = components(starred)
+    parted = classes.join(verified, classes.mark == verified.node, "left").select("mark", "n", "class", F.coalesce("root", "mark").alias("root"))
+    rest = stored(class_links(parted, sets, least), "rest")
+    if not rest.isEmpty():
+        verified = components(starred.union(rest))
     named = texts.join(verified, texts.mark == verified.node, "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
     named = stored(named, "named")
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -261,6 +273,36 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     return rows.select(F.col("key").alias(key), "mark").join(named, "mark").select(key, "mark", "component_id")
 
 
+def class_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) links between the parts (``root``) of every class of over three texts, whose components are those of all its pairs."""
+    sums = members.groupBy("class").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    chunks = F.greatest(F.ceil(F.col("m") / CLASS_TEXTS), F.ceil(F.col("total") / CLASS_SHINGLES), F.lit(1)).cast("int").alias("chunks")
+    open_ = stored(sums.where("m > 3 and r0 < r1").select("class", chunks), "parted")
+    dealt = members.join(open_, "class").withColumn("own", F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # With several chunks, pairs inside a chunk meet wherever the chunk meets another.
+    dealt = dealt.where("chunks = 1 or own <> other")
+    dealt = dealt.select("class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "mark", "root").join(sets, "mark")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, marks, roots, own = None, [], [], []
+        for batch in batches:
+            edges: list[tuple[int, int]] = []
+            names = zip(*(batch.column(n).to_pylist() for n in ("class", "i", "j")))
+            for row, at in enumerate(names):
+                if at != key:
+                    edges += jaccard_forest(marks, own, least, roots)
+                    key, marks, roots, own = at, [], [], []
+                marks.append(batch.column("mark")[row].as_py())
+                roots.append(batch.column("root")[row].as_py())
+                own.append(set(batch.column("hashes")[row].as_py()))
+            yield _edges(edges)
+        yield _edges(jaccard_forest(marks, own, least, roots))
+
+    ordered = dealt.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
+    return ordered.mapInArrow(compare, "a long, b long")
+
+
 def first_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose key is the smallest of their group of copies; all columns stay.
 

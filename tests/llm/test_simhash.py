@@ -63,6 +63,25 @@ def test_near_copies_equal_all_pairs(spark, docs):
     assert sorted(map(str, kept)) == sorted({str(w) for w in want})
 
 
+def edited(rng, words, edits):
+    out = words[:]
+    for at in rng.sample(range(len(words)), edits):
+        out[at] = f"edit{rng.random()}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("chunk", [500, 90])
+def test_copies_that_only_the_original_links(spark, chunk, monkeypatch):
+    monkeypatch.setattr(S, "CLASS_TEXTS", chunk)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(150, " ".join(base))] + [(i + (i >= 150), edited(rng, base, 3)) for i in range(300)]
+    sets = [set(S.shingle_hashes(t).tolist()) for _, t in rows]
+    assert all(len(s & sets[0]) >= 0.8 * len(s | sets[0]) for s in sets)
+    got = S.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 301 and {r.component_id for r in got} == {0}
+
+
 def test_tree_shards_hold_every_close_pair():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
