@@ -30,18 +30,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.llm.common import stored
+from corpusgauge.llm.license_texts import LICENSES
 
 SHINGLE, CONTAINMENT, BANDS, MAX_TEMPLATES = 5, 0.8, 128, 2_000
 _PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Common one-line license statements.
+# Common one-line license statements, then full texts and standard headers.
 TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("mit", "Released under the MIT License."),
+    *LICENSES,
 )
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 from corpusgauge.llm import license_scan as L
@@ -47,6 +48,21 @@ def test_equals_all_windows(spark, odd_rows, monkeypatch):
     assert found(L.scan(docs, templates)) == plain(rows)
 
 
+def test_edited_full_texts_equal_all_windows(spark):
+    rng, known, rows = random.Random(4), dict(L.TEMPLATES), []
+    for name in ("mit-text", "bsd-3-clause-text", "isc-text", "apache-2.0-text", "apache-2.0-header", "gpl-3.0-header", "mpl-2.0-text", "gpl-2.0-text"):
+        own = known[name].split()
+        for at in rng.sample(range(len(own)), len(own) // 60):
+            own[at] = "edited"
+        before = ["word"] * rng.randint(0, 300)
+        rows.append((len(rows), " ".join(before + own + ["word"] * 40)))
+    templates = spark.createDataFrame(list(L.TEMPLATES), "template string, text string")
+    df = L.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), templates)
+    got = found(df)
+    assert got == plain(rows)
+    assert all(any(f"({i}, '{name}'" in g for g in got) for i, name in enumerate(("mit-text", "bsd-3-clause-text", "isc-text", "apache-2.0-text")))
+
+
 def test_empty_tables_and_odd_columns(spark, odd, nothing):
     templates = spark.createDataFrame(list(L.TEMPLATES), "template string, text string")
     assert L.scan(odd, templates).count() == 0
