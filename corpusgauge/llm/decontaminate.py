@@ -13,7 +13,8 @@ goes to every task; a larger test set takes more blocks, with equal results.
 
 Cases: NULL and empty texts have no words and no hits; items without words match
 nothing; an item below the window length is one window; repeated rows, repeated ids
-and NULL ids give one result row per input row; an empty test table leaves every
+and NULL ids give one result row per input row; an item id that several test rows
+hold is listed once, a NULL item id as NULL; an empty test table leaves every
 document clean; other columns of the inputs are not read.
 """
 
@@ -146,7 +147,7 @@ def _find(segment: dict[str, np.ndarray], windows: tuple, frequency: np.ndarray,
     return window, at
 
 
-def _answer(segment: dict[str, np.ndarray], items: np.ndarray, windows: tuple, frequency: np.ndarray, slack: int) -> tuple:
+def _answer(segment: dict[str, np.ndarray], windows: tuple, frequency: np.ndarray, slack: int) -> tuple:
     """Hit flag of every place, and the items with exact and near matches by document."""
     counts = segment["word_counts"].astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(counts + 1)])
@@ -174,6 +175,7 @@ def matches(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str =
     if len(head) < 2:
         found = _block_matches(docs, key, text, head[0] if head else [(None, [b""])], window, slack)
         found = found.withColumnRenamed("key", key)
+        found = found.withColumns({c: F.array_distinct(c) for c in ("items", "near_items")})
     else:
         # Several blocks meet again by a row number, which a written table keeps.
         rows = stored(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("t")).withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -206,13 +208,13 @@ def _block_matches(docs: DataFrame, key: str, text: str, block: list, window: in
     for row in sums.toLocalIterator():  # one row per test term of the block
         frequency[row.terms] = row.n
     windows = _windows(block, terms, window)
-    ids = np.array([np.iinfo(np.int64).min if i is None else i for i, _ in block], np.int64)
+    ids = [i for i, _ in block]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 segment = {n: np.array(row[n], np.int32) for n in ("word_counts", "terms", "sizes", "places")}
-                hit, bounds, exact, near = _answer(segment, ids, windows, frequency, slack)
+                hit, bounds, exact, near = _answer(segment, windows, frequency, slack)
                 edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
                 first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
                 docs_of = np.searchsorted(bounds, first, "right") - 1
@@ -223,7 +225,7 @@ def _block_matches(docs: DataFrame, key: str, text: str, block: list, window: in
                 listed: list[list[list[int]]] = [[[] for _ in range(n)], [[] for _ in range(n)]]
                 for kind, found in enumerate((exact, near)):
                     for d, i in found.tolist():
-                        listed[kind][d].append(int(ids[i]))
+                        listed[kind][d].append(ids[i])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["keys"], pa.int64()), pa.array(row["word_counts"], pa.int64()), pa.array(spans, _SPANS),
                      pa.array(listed[0], pa.list_(pa.int64())), pa.array(listed[1], pa.list_(pa.int64()))],

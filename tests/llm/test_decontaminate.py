@@ -33,6 +33,16 @@ def test_equals_brute_force(spark, odd_rows, block, monkeypatch):
     assert got == sorted(str((i, *plain(t, items))) for i, t in docs)
 
 
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_repeated_and_null_item_ids_are_listed_once(spark, block, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
+    items = [(1, "a b c"), (1, "a b c"), (1, "d e f"), (None, "a b c"), (None, "g h i"), (2, "x y")]
+    docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "g h i"), (3, "z")], "doc_id long, text string")
+    rows = D.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    for kind in ("items", "near_items"):
+        assert {r.doc_id: sorted(r[kind], key=str) for r in rows} == {1: [1, None], 2: [None], 3: []}
+
+
 def test_near_matches_allow_shifted_words(spark):
     item = "one two three four five six seven eight nine ten"
     near = "one two three extra four five six seven eight nine ten"
