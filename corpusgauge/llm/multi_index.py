@@ -18,8 +18,8 @@ Every row is indexed; queries meet every shard, block by block, and each shard
 returns its best ``k`` per query, so a query's answers never gather in one task.
 
 Cases: vectors that are NULL, zero, empty or hold NULL or non-finite components take
-no part, nor do those whose dimension is not the most common one (ties: the larger)
-or whose id is NULL; repeated ids are candidates each, but never for a query of
+no part, nor do those whose id is NULL; every dimension is indexed and searched by
+itself; repeated ids are candidates each, but never for a query of
 their own id, and a repeated query id is asked once (smallest vector); equal scores
 go by the smaller id; with fewer than ``k`` candidates all are returned; an empty
 table gives no rows; other columns are not read.
@@ -188,25 +188,34 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v): rows that take part, as doubles."""
     v = F.col(vector).cast("array<double>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null").where(ok)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (sizes.d if sizes else 0))
+    return df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null").where(ok)
 
 
 def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = NEIGHBOURS) -> DataFrame:
     """query_id, rank (from 1), key, score: for rows whose id ``every`` divides, their ``k`` rows of largest inner product."""
     rows = stored(usable(df, key, vector), "vectors")
     schema = f"query_id long, rank int, {key} long, score double"
-    total = rows.count()
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    best = None
+    for r in rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # one row per dimension
+        part = _candidates(rows.where(F.size("v") == r.d), asked.where(F.size("v") == r.d), r["count"], every, k)
+        best = part if best is None else best.union(part)
+    if best is None:
+        return df.sparkSession.createDataFrame([], schema)
+    # At most k rows of each shard meet per query.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    best = best.withColumn("rank", place).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+
+
+def _candidates(rows: DataFrame, asked: DataFrame, total: int, every: int, k: int) -> DataFrame:
+    """(query_id, id, score): each shard's best ``k`` rows per query, for vectors of one dimension."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     longest = rows.agg(F.max(norm)).first()[0]
-    if not total:
-        return df.sparkSession.createDataFrame([], schema)
     # The codes are learned on SAMPLE rows at most; all rows are indexed.
     sample = np.array(sorted(list(r.v) for r in hash_sample(rows, ["id"], SAMPLE).collect()))
     sample = sample[np.random.default_rng(5).permutation(len(sample))] if len(sample) else sample
     codes = learn(sample, float(longest))
-    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     shards = -(-total // SHARD_ROWS)
     blocks = max(1, -(-total // (every * BLOCK_QUERIES)))
     shard = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int")
@@ -226,8 +235,4 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
                     found.append(pd.DataFrame({"query_id": asked_ids[a + q], "id": ids, "score": scores}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": int, "id": int})
 
-    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, id long, score double")
-    # At most k rows of each shard meet per query.
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    best = best.withColumn("rank", place).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, id long, score double")

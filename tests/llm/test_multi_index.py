@@ -38,6 +38,13 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [i for _, i in got] == [1, 2, 3, 4, 5]
 
 
+def test_every_dimension_is_searched_by_itself(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(30)] + [(100 + i, [1.0, float(i + 1), 2.0]) for i in range(12)]
+    got = M.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=3).collect()
+    found = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 20, 100)}
+    assert found == {0: [29, 28, 27], 20: [29, 28, 27], 100: [111, 110, 109]} and len(got) == 9
+
+
 def test_empty_table(spark):
     assert M.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert M.nearest(spark.createDataFrame([(20, None)], "vec_id long, embedding array<float>")).count() == 0
