@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, decontaminate, hmm_lm, license_scan, multi_index, orc_tokens, paragraph_dedup, simhash_vptree, toxicity, url_filter
+from corpusgauge.llm import byte_bpe, decontaminate, divergence, hmm_lm, license_scan, multi_index, orc_tokens, paragraph_dedup, simhash_vptree, toxicity, url_filter
 from corpusgauge.llm.common import documents, fresh_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -173,6 +173,47 @@ def op10_hmm_lm(spark: SparkSession, folder: str) -> DataFrame:
     return hmm_lm.score(documents(spark, folder))
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(documents(spark, folder))
+
+
+_TERM = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words AS (
+    SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_TERM})) AS term
+    FROM docs
+),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT d, lang, term FROM words) GROUP BY lang, term HAVING count(*) >= {divergence.MIN_DOCS}),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+dense AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+shares AS (
+    SELECT lang, source, term, n,
+           1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p
+    FROM dense
+),
+whole AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+    FROM (SELECT lang, term, sum(n)::BIGINT AS n FROM dense GROUP BY lang, term)
+),
+apart AS (
+    SELECT lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+),
+found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+
 QUERIES = {
     "op1_url_filter": LlmQuery(op1_url_filter, OP1_SQL),
     "op2_toxicity": LlmQuery(op2_toxicity),
@@ -184,4 +225,5 @@ QUERIES = {
     "op8_decontaminate": LlmQuery(op8_decontaminate, OP8_SQL),
     "op9_license_scan": LlmQuery(op9_license_scan, OP9_SQL),
     "op10_hmm_lm": LlmQuery(op10_hmm_lm),
+    "op12_source_divergence": LlmQuery(op12_source_divergence, OP12_SQL),
 }
