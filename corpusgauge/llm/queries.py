@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, decontaminate, divergence, hmm_lm, license_scan, multi_index, orc_tokens, paragraph_dedup, simhash_vptree, toxicity, url_filter
+from corpusgauge.llm import byte_bpe, decontaminate, divergence, hmm_lm, license_scan, multi_index, orc_tokens, paragraph_dedup, simhash_vptree, spelling, toxicity, url_filter
 from corpusgauge.llm.common import documents, fresh_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -214,6 +214,10 @@ WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
 """
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.frequent_words(documents(spark, folder)))
+
+
 QUERIES = {
     "op1_url_filter": LlmQuery(op1_url_filter, OP1_SQL),
     "op2_toxicity": LlmQuery(op2_toxicity),
@@ -226,4 +230,5 @@ QUERIES = {
     "op9_license_scan": LlmQuery(op9_license_scan, OP9_SQL),
     "op10_hmm_lm": LlmQuery(op10_hmm_lm),
     "op12_source_divergence": LlmQuery(op12_source_divergence, OP12_SQL),
+    "op13_spelling_variants": LlmQuery(op13_spelling_variants),
 }
