@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import byte_bpe, decontaminate, divergence, hmm_lm, license_scan, multi_index, orc_tokens, paragraph_dedup, simhash_vptree, spelling, toxicity, url_filter
+from corpusgauge.llm import byte_bpe, decontaminate, divergence, hmm_lm, license_scan, multi_index, orc_tokens, paragraph_dedup, simhash_vptree, spelling, toxicity, url_filter, warc
 from corpusgauge.llm.common import documents, fresh_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -173,6 +173,31 @@ def op10_hmm_lm(spark: SparkSession, folder: str) -> DataFrame:
     return hmm_lm.score(documents(spark, folder))
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_pages(table(spark, folder, "pages"), path)
+    return warc.read_pages(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = """
+WITH held AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+sums AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY sha1(payload)) AS last
+    FROM held
+),
+bits AS (
+    SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', hex[i]) - 1), 4, '0')), 'string_agg', '') AS b
+    FROM sums
+)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+           1 + list_sum(list_transform(range(1, 6), lambda j: b[5 * i + j]::INTEGER * (32 >> j::INTEGER)))::INTEGER]), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM bits
+"""
+
+
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(documents(spark, folder))
 
@@ -229,6 +254,7 @@ QUERIES = {
     "op8_decontaminate": LlmQuery(op8_decontaminate, OP8_SQL),
     "op9_license_scan": LlmQuery(op9_license_scan, OP9_SQL),
     "op10_hmm_lm": LlmQuery(op10_hmm_lm),
+    "op11_warc": LlmQuery(op11_warc, OP11_SQL),
     "op12_source_divergence": LlmQuery(op12_source_divergence, OP12_SQL),
     "op13_spelling_variants": LlmQuery(op13_spelling_variants),
 }
