@@ -1,7 +1,7 @@
 """Linear models, reliability and composites from aggregated moments.
 
-Spark reduces the rows to cross products (k x k numbers); only those few
-numbers reach the driver, where numpy solves the small system.
+Spark reduces the rows to moments per cell, group or column; only those few
+numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -17,54 +17,8 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.common import corr, ratio
 from corpusgauge.functions.tails import f_tail
-
-
-def cross_products(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """X'X of the listed columns: one aggregate pass, k x k numbers come back."""
-    k = len(columns)
-    cells = [(i, j) for i in range(k) for j in range(i, k)]
-    row = df.agg(*[F.sum(F.col(columns[i]).cast("double") * F.col(columns[j])).alias(f"s{i}_{j}") for i, j in cells]).first()
-    out = np.zeros((k, k))
-    for i, j in cells:
-        out[i, j] = out[j, i] = row[f"s{i}_{j}"] or 0.0
-    return out
-
-
-def robust_ols(df: DataFrame, y: str, predictors: Sequence[str], cluster: str | None = None) -> DataFrame:
-    """OLS with classic, HC3 and (optionally) cluster-robust standard errors."""
-    names = ["intercept", *predictors]
-    rows = df.withColumn("intercept", F.lit(1.0))
-    moments = cross_products(rows, [*names, y])
-    k = len(names)
-    xtx, xty = moments[:k, :k], moments[:k, k]
-    inverse = np.linalg.inv(xtx)
-    beta = inverse @ xty
-    n = moments[0, 0]
-    fitted = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, names)), F.lit(0.0))
-    lever = sum((F.lit(float(inverse[i, j])) * F.col(names[i]) * F.col(names[j]) for i in range(k) for j in range(k)), F.lit(0.0))
-    scored = rows.withColumn("__e", F.col(y) - fitted).withColumn("__h", lever)
-    scored = scored.withColumn("__u", F.col("__e") / (1 - F.col("__h")))
-    cells = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def square(frame: DataFrame, parts: Sequence[Column]) -> np.ndarray:
-        row = frame.agg(*[F.sum(parts[i] * parts[j]).alias(f"m{i}_{j}") for i, j in cells]).first()
-        out = np.zeros((k, k))
-        for i, j in cells:
-            out[i, j] = out[j, i] = row[f"m{i}_{j}"]
-        return out
-
-    sse = float(moments[k, k] - beta @ xty)
-    classic = np.sqrt(np.diag(inverse) * sse / (n - k))
-    hc3 = np.sqrt(np.diag(inverse @ square(scored, [F.col(c) * F.col("__u") for c in names]) @ inverse))
-    table = [("coef", beta), ("se", classic), ("se_hc3", hc3)]
-    if cluster:
-        sums = scored.groupBy(cluster).agg(*[F.sum(F.col(c) * F.col("__e")).alias(f"u_{c}") for c in names])
-        g = sums.count()
-        meat = square(sums, [F.col(f"u_{c}") for c in names])
-        adjust = g / (g - 1) * (n - 1) / (n - k)
-        table.append(("se_cluster", np.sqrt(np.diag(inverse @ meat @ inverse) * adjust)))
-    data = [tuple([name] + [float(v[i]) for _, v in table]) for i, name in enumerate(names)]
-    return df.sparkSession.createDataFrame(data, "term string, " + ", ".join(f"{n} double" for n, _ in table))
+from corpusgauge.operators.regression import design, rest_of, triangle
+from corpusgauge.session import reliable
 
 
 def two_predictor_ols(y: str, x1: str, x2: str) -> dict[str, Column]:
@@ -93,50 +47,42 @@ def partial_correlation(x: str, y: str, first: str, second: str) -> Column:
 def factorial_anova(df: DataFrame, factors: Sequence[str], value: str) -> DataFrame:
     """Type II sums of squares of all main effects and interactions.
 
-    Rows reduce to one (n, sum, sum of squares) row per cell; each model is a
-    weighted least squares fit on those cells, whose number is the product of
-    the factor levels.
+    Rows reduce to one (n, sum, sum of squares) row per cell, which stays in Spark: the
+    weighted columns of all effects fold into one triangle, and every model's fit is read
+    off its columns.  Rows with a NULL level or value are left out, empty cells cost
+    their degrees of freedom, no rows give none.
     """
-    cells = df.groupBy(*factors).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")).toPandas()
-    n, mean = cells["n"].to_numpy(float), (cells["s"] / cells["n"]).to_numpy(float)
-    levels = {f: sorted(cells[f].unique()) for f in factors}
-
-    def coded(effect: tuple[str, ...]) -> np.ndarray:
-        out = np.ones((len(cells), 1))
-        for f in effect:
-            dummies = np.stack([(cells[f] == v).to_numpy(float) for v in levels[f][1:]], axis=1)
-            out = np.einsum("ij,ik->ijk", out, dummies).reshape(len(cells), -1)
-        return out
-
+    rows = df.dropna(subset=[*factors, value]).select(*[F.col(f).cast("string").alias(f) for f in factors], F.col(value).cast("double").alias("v"))
+    cells = reliable(rows.groupBy(*factors).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")))
+    sums = cells.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("q") - F.col("s") ** 2 / F.col("n")).alias("within")).first()
     effects = [e for size in range(1, len(factors) + 1) for e in itertools.combinations(factors, size)]
-    blocks = {e: coded(e) for e in effects}
-    root = np.sqrt(n)[:, None]
+    schema = "effect string, ss double, df int, f double, p double, eta_squared double, p_bonferroni double, stars string, band string"
+    if not sums["n"]:
+        return df.sparkSession.createDataFrame([], schema)
+    model = design(cells, effects, [])
+    root = F.sqrt("n")
+    whole = triangle(cells.select(F.array(*[c * root for c in model.columns], F.col("s") / root).alias("x")), "x", len(model.columns) + 1)
 
     def residual(chosen: Sequence[tuple[str, ...]]) -> tuple[float, int]:
-        design = np.hstack([np.ones((len(cells), 1)), *[blocks[e] for e in chosen]]) * root
-        fit, _, rank, _ = np.linalg.lstsq(design, mean * root[:, 0], rcond=None)
-        gap = mean * root[:, 0] - design @ fit
-        return float(gap @ gap), int(rank)
+        return rest_of(whole, [i for i, e in enumerate(model.owners) if not e or e in chosen])
 
-    within = float((cells["q"] - cells["s"] ** 2 / cells["n"]).sum())
-    total = float(cells["q"].sum() - cells["s"].sum() ** 2 / n.sum())
+    within, total = float(sums["within"]), float(sums["q"] - sums["s"] ** 2 / sums["n"])
     full_sse, full_rank = residual(effects)
-    df_error = n.sum() - full_rank
-    error_ms = (within + full_sse) / df_error
+    df_error = sums["n"] - full_rank
+    error_ms = (within + full_sse) / df_error if df_error else float("nan")
     rows = []
     for e in effects:
         others = [o for o in effects if not set(e) <= set(o)]
         low, low_rank = residual(others)
         high, high_rank = residual([*others, e])
         ss, dof = low - high, high_rank - low_rank
-        f = ss / dof / error_ms if dof else float("nan")
-        p = f_tail(f, dof, df_error) if dof else float("nan")
+        f = ss / dof / error_ms if dof and error_ms > 0 else float("nan")
+        p = f_tail(f, dof, df_error) if f == f else float("nan")
         adjusted = min(1.0, p * len(effects))
         stars = "***" if adjusted < 0.001 else "**" if adjusted < 0.01 else "*" if adjusted < 0.05 else "." if adjusted < 0.1 else ""
-        eta = ss / total
+        eta = ss / total if total > 0 else float("nan")
         band = "negligible" if eta < 0.01 else "small" if eta < 0.06 else "medium" if eta < 0.14 else "large"
         rows.append((":".join(e), float(ss), dof, float(f), float(p), float(eta), float(adjusted), stars, band))
-    schema = "effect string, ss double, df int, f double, p double, eta_squared double, p_bonferroni double, stars string, band string"
     return df.sparkSession.createDataFrame(rows, schema)
 
 

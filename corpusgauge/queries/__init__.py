@@ -12,6 +12,7 @@ MODULES = (
     "quality",
     "inference",
     "modeling",
+    "regression",
     "resampling",
     "streams",
 )

@@ -73,12 +73,6 @@ def sta11(spark, sf):
     )
 
 
-@query("sta12_robust_ols")
-def sta12(spark, sf):
-    df = _lines(spark, sf).select("l_suppkey", "l_extendedprice", (F.col("l_returnflag") == "R").cast("double").alias("is_r"), "l_quantity")
-    return mod.robust_ols(df, "l_extendedprice", ["is_r", "l_quantity"], "l_suppkey")
-
-
 @query(
     "sta17_fold_check",
     """

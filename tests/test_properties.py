@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusgauge.functions import tails
 from corpusgauge.functions import text as tx
 from corpusgauge.functions.records import parsed_list, parsed_ratio, repaired_json
-from corpusgauge.operators import aggregates, inference, joins, modeling, ngrams, resampling, scoring, sequences
+from corpusgauge.operators import aggregates, inference, joins, modeling, ngrams, regression, resampling, scoring, sequences
 from corpusgauge.operators.tables import keep_first
 
 
@@ -57,7 +57,7 @@ def test_factorial_anova_matches_row_level_fit(spark, sample):
 
 def test_robust_ols_matches_numpy(spark, sample):
     df = spark.createDataFrame(sample).withColumn("x", (F.col("a") == "x").cast("double"))
-    got = modeling.robust_ols(df, "y", ["x", "u"], "g").toPandas().set_index("term")
+    got = regression.robust_ols(regression.design(df, ["x", "u"], ["y", "g"]), "y", "g").toPandas().set_index("term")
     x = np.column_stack([np.ones(len(sample)), (sample["a"] == "x").astype(float), sample["u"]])
     y = sample["y"].to_numpy()
     inv = np.linalg.inv(x.T @ x)
