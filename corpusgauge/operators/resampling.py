@@ -92,24 +92,6 @@ def replicate_sums(df: DataFrame, key: Column, group: Column, value: Column, rep
     return parts.groupBy("rep", "grp").agg(F.sum("w").alias("w"), F.sum("ws").alias("ws"))
 
 
-def permutation_test(df: DataFrame, key: Column, is_a: Column, value: Column, reps: int = 1000, seed: int = 1) -> DataFrame:
-    """Two-sided test of a mean difference under random relabelling.
-
-    Each row takes label A with probability n_a / n, so label sizes vary a
-    little around the real ones; the mean difference is scale-free in them.
-    """
-    seen = df.agg(
-        F.count_if(is_a).alias("n_a"), F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.when(is_a, value)).alias("s_a"),
-    )
-    size = seen.first()
-    sums = replicate_sums(df, key, F.lit("all"), value, reps, seed, "subset", size["n_a"] / size["n"])
-    draws = attach(sums, seen, "t").select("rep", (F.col("ws") / F.col("w") - (F.col("t.s") - F.col("ws")) / (F.col("t.n") - F.col("w"))).alias("d"))
-    observed = seen.select("n_a", (F.col("n") - F.col("n_a")).alias("n_b"), (F.col("s_a") / F.col("n_a") - (F.col("s") - F.col("s_a")) / (F.col("n") - F.col("n_a"))).alias("difference"))
-    both = attach(draws, observed, "o")
-    hits = F.count_if(F.abs("d") >= F.abs("o.difference"))
-    return both.groupBy("o").agg(((hits + 1) / (F.count("*") + 1)).alias("p"), F.avg("d").alias("null_mean"), F.stddev_samp("d").alias("null_std")).select("o.*", "p", "null_mean", "null_std")
-
-
 def bootstrap_means(df: DataFrame, key: Column, group: Column, value: Column, reps: int = 1000, seed: int = 2) -> DataFrame:
     """Percentile interval (95%) of each group's mean."""
     sums = replicate_sums(df, key, group, value, reps, seed, "bootstrap").where("w > 0")
@@ -137,15 +119,6 @@ def best_share(sums: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return per.join(total, list(extra)).withColumn("share", F.col("wins") / F.col("reps")).drop("reps")
 
 
-def size_sensitivity(df: DataFrame, key: Column, group: Column, value: Column, shares: Sequence[float], reps: int = 20, seed: int = 4) -> DataFrame:
-    """Best group and its mean when only a share of the rows is drawn."""
-    levels = [replicate_sums(df, key, group, value, reps, seed + i, "subset", s).withColumn("level", F.lit(s)) for i, s in enumerate(shares)]
-    stacked = levels[0]
-    for part in levels[1:]:
-        stacked = stacked.unionByName(part)
-    return best_share(stacked, ["level"])
-
-
 def noise_sensitivity(df: DataFrame, key: Column, group: Column, value: Column, spreads: Sequence[float], reps: int = 20, seed: int = 5) -> DataFrame:
     """Best group and its mean when N(0, s) is added to every value."""
     levels = [replicate_sums(df, key, group, value, reps, seed + i, "subset", 1.0, s).withColumn("level", F.lit(s)) for i, s in enumerate(spreads)]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from corpusgauge import fixed
 from corpusgauge.functions import text as tx
 from corpusgauge.functions.common import attach, corr, ratio, rnd, scalar
-from corpusgauge.operators import ngrams, scoring
+from corpusgauge.operators import backoff, ngrams, scoring
 from corpusgauge.operators import sequences as seq
 from corpusgauge.plans.ordered import attach_ranks, ordered, quantiles
 from corpusgauge.queries.sequences import _SIMS_SQL, _WALK_SQL, _sims
@@ -124,6 +124,24 @@ def txt5(spark, sf):
     return _round(_perplexity(spark, sf), 5, "ppl_bigram", "ppl_unigram")
 
 
+@query(
+    "txt5_trigram_backoff",
+    f"""WITH x AS (SELECT doc_id, lang, source < 'src15' AS ref, list_concat(['', ''], {_TOK_SQL}) AS w FROM documents),
+    g AS (SELECT doc_id, lang, ref, unnest(list_transform(range(3, len(w) + 1), lambda i: {{'a': w[i - 2], 'b': w[i - 1], 'w': w[i]}}), recursive := true) FROM x),
+    t3 AS (SELECT lang, a, b, w, count(*) FILTER (WHERE ref) AS k FROM g GROUP BY ALL), t1 AS (SELECT lang, w, sum(k) AS k FROM t3 GROUP BY ALL),
+    p1 AS (SELECT lang, w, (k + 1) / (sum(k) OVER l + count(*) FILTER (WHERE k > 0) OVER l + 1) AS p FROM t1 WINDOW l AS (PARTITION BY lang)),
+    t2 AS (SELECT t.lang, b, w, k, p FROM (SELECT lang, b, w, sum(k) AS k FROM t3 GROUP BY ALL) t JOIN p1 USING (lang, w)),
+    p2 AS (SELECT lang, b, w, CASE WHEN sum(k) OVER c = 0 THEN p WHEN k > 0 THEN (k - .75) / sum(k) OVER c ELSE p * .75 * count(*) FILTER (WHERE k > 0) OVER c / sum(k) OVER c / (1 - coalesce(sum(p) FILTER (WHERE k > 0) OVER c, 0)) END AS p FROM t2 WINDOW c AS (PARTITION BY lang, b)),
+    u3 AS (SELECT t3.*, p FROM t3 JOIN p2 USING (lang, b, w)),
+    p3 AS (SELECT lang, a, b, w, CASE WHEN sum(k) OVER c = 0 THEN p WHEN k > 0 THEN (k - .75) / sum(k) OVER c ELSE p * .75 * count(*) FILTER (WHERE k > 0) OVER c / sum(k) OVER c / (1 - coalesce(sum(p) FILTER (WHERE k > 0) OVER c, 0)) END AS p FROM u3 WINDOW c AS (PARTITION BY lang, a, b))
+    SELECT doc_id, count(*) AS n, round(exp(-avg(ln(p))), 5) AS ppl_trigram FROM g JOIN p3 USING (lang, a, b, w) GROUP BY doc_id""",
+)
+def txt5_trigram(spark, sf):
+    """Trigrams with absolute discounting and backoff; every token is scored."""
+    docs = _tokens(spark, sf).withColumn("ref", F.col("source") < "src15")
+    return _round(backoff.trigram_perplexity(docs, "doc_id", ["lang"], "t", "ref"), 5, "ppl_trigram")
+
+
 @query(
     "txt6_fluency_score",
     f"""WITH {_PPL_SQL}, g1 AS (SELECT doc_id, ({_GRAMMAR_SQL}) / greatest(len(regexp_extract_all(text, '[A-Za-z]+')), 1) * 100 AS err FROM documents), j AS (SELECT pp.doc_id, ppl_bigram AS p, err FROM pp JOIN g1 USING (doc_id)),

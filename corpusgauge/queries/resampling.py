@@ -1,7 +1,9 @@
-"""Resampling operators: seeded, rows-only checks (draws have no SQL twin)."""
+"""Resampling operators: seeded draws; those of exact size have a SQL twin."""
 
 from pyspark.sql import functions as F
 
+from corpusgauge.functions.common import rnd
+from corpusgauge.operators import draws as dr
 from corpusgauge.operators import resampling as rs
 from corpusgauge.registry import query
 from corpusgauge.sources.tables import busy_table, table
@@ -14,7 +16,32 @@ def _orders(spark, sf):
 @query("sta15_permutation_test")
 def sta15(spark, sf):
     df = _orders(spark, sf).where(F.col("o_orderstatus").isin("F", "O"))
-    return rs.permutation_test(df, F.col("o_orderkey"), F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+    return dr.permutation_test(df, F.col("o_orderkey"), F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+
+
+def _placed_sql(rows: str, key: str, draws: int, seed: int) -> str:
+    """Every row with its hash ``h`` in every draw."""
+    own = dr.mixed_sql(dr.mixed_sql(rows, f"({key} >> 32) & 4294967295", "hi"), f"xor(({key} & 4294967295)::UBIGINT, hi::UBIGINT)", "own")
+    salt = dr.mixed_sql(dr.mixed_sql(f"SELECT range AS draw FROM range(0, {draws})", f"{seed}", "s"), "xor(draw::UBIGINT, s::UBIGINT)", "salt")
+    return dr.mixed_sql(f"SELECT * FROM ({own}), ({salt})", "xor(own, salt)", "h")
+
+
+@query(
+    "sta15_permutation_segments",
+    f"""
+    WITH x AS (SELECT c_custkey AS k, c_mktsegment = 'BUILDING' AS a, c_acctbal AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+    t AS (SELECT count(*) AS n, count(*) FILTER (WHERE a) AS n_a, sum(v) AS s, sum(v) FILTER (WHERE a) AS s_a FROM x),
+    o AS (SELECT *, s_a / n_a - (s - s_a) / (n - n_a) AS difference FROM t),
+    r AS (SELECT draw, v, row_number() OVER (PARTITION BY draw ORDER BY h, k, v) AS place FROM ({_placed_sql("SELECT k, v FROM x", "k", 10_000, 1)})),
+    d AS (SELECT draw, sum(v) / any_value(n_a) - (any_value(s) - sum(v)) / any_value(n - n_a) AS d FROM r, t WHERE place <= n_a GROUP BY draw)
+    SELECT n_a, n - n_a AS n_b, round(difference, 6) AS difference, round((count(*) FILTER (WHERE abs(d) >= abs(difference) * (1 - 1e-12)) + 1) / (count(*) + 1), 9) AS p, round(avg(d), 6) AS null_mean, round(stddev_samp(d), 6) AS null_std
+    FROM d, o GROUP BY n_a, n, difference
+    """,
+)
+def sta15_segments(spark, sf):
+    df = table(spark, sf, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    out = dr.permutation_test(df, F.col("c_custkey"), F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))
+    return out.withColumns({c: rnd(c, 6) for c in ("difference", "null_mean", "null_std")}).withColumn("p", rnd("p", 9))
 
 
 @query("sta16_bootstrap_means")
@@ -34,9 +61,21 @@ def sta16_best(spark, sf):
     return rs.best_share(sums)
 
 
-@query("sta18_size_sensitivity")
+SIZES = (10, 20, 30, 50)
+
+
+@query(
+    "sta18_size_sensitivity",
+    f"""
+    WITH s AS (SELECT unnest([{", ".join(map(str, SIZES))}]) AS size, generate_subscripts([{", ".join(map(str, SIZES))}], 1) - 1 AS at), x AS (SELECT o_orderkey AS k, o_orderstatus AS grp, o_orderpriority AS config, o_totalprice AS v FROM orders),
+    r AS (SELECT grp, draw, size, config, v, row_number() OVER (PARTITION BY grp, draw ORDER BY h, k, v) AS place, count(*) OVER (PARTITION BY grp, draw) AS n FROM ({_placed_sql("SELECT * FROM x", "k", 20 * len(SIZES), 4)}) JOIN s ON s.at = draw // 20),
+    m AS (SELECT grp, size, draw, config, avg(v) AS m FROM r WHERE place <= size AND n >= size GROUP BY ALL), b AS (SELECT grp, size, draw, max(m) AS best, arg_max(config, {{'m': m, 'c': config}}) AS config FROM m GROUP BY ALL)
+    SELECT grp, size, count(*) AS repeats, round(avg(best), 6) AS mean_best, round(stddev_pop(best), 6) AS std_best, count(DISTINCT config) AS best_configs FROM b GROUP BY ALL
+    """,
+)
 def sta18(spark, sf):
-    return rs.size_sensitivity(_orders(spark, sf), F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_totalprice"), [0.1, 0.25, 0.5, 0.75])
+    out = dr.size_sensitivity(_orders(spark, sf), F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice"), SIZES)
+    return out.withColumns({c: rnd(c, 6) for c in ("mean_best", "std_best")})
 
 
 @query("sta18_noise_sensitivity")

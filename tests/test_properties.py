@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusgauge.functions import tails
 from corpusgauge.functions import text as tx
 from corpusgauge.functions.records import parsed_list, parsed_ratio, repaired_json
-from corpusgauge.operators import aggregates, inference, joins, modeling, ngrams, regression, resampling, scoring, sequences
+from corpusgauge.operators import aggregates, draws, inference, joins, modeling, ngrams, regression, resampling, scoring, sequences
 from corpusgauge.operators.tables import keep_first
 
 
@@ -112,9 +112,9 @@ def test_bootstrap_interval_covers_the_mean(spark, sample):
 
 def test_permutation_finds_the_effect_and_only_it(spark, sample):
     df = spark.createDataFrame(sample)
-    real = resampling.permutation_test(df, F.col("id"), F.col("a") == "x", F.col("y"), reps=400).first()
+    real = draws.permutation_test(df, F.col("id"), F.col("a") == "x", F.col("y"), draws=400).first()
     assert real["p"] < 0.01 and real["difference"] == pytest.approx(sample[sample.a == "x"].y.mean() - sample[sample.a == "y"].y.mean())
-    none = resampling.permutation_test(df, F.col("id"), F.col("a") == "x", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double"), reps=400).first()
+    none = draws.permutation_test(df, F.col("id"), F.col("a") == "x", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double"), draws=400).first()
     assert none["p"] > 0.05
 
 
