@@ -4,18 +4,23 @@ Inner products are first turned into angles: every vector gets one more componen
 that brings it to the length of the longest, queries get a zero there.  Several
 rotations, learned on a bounded sample by alternating signs and an orthogonal fit,
 give each vector a code of ``ROTATIONS`` x (dimension + 1) bits, cut into substrings
-of one byte.  A shard of vectors holds an inverted list per substring and value.
+of ``SUBSTRING`` bits or a little more.  A shard of vectors holds an inverted list per
+substring.
 
-A query probes, in steps, all values within 0, 1, 2, ... bits of its own in every
+A query probes, in steps, all values within 0, 1, ... bits of its own in every
 substring.  By the pigeonhole principle step r has met every code within
 (r + 1) x substrings - 1 bits.  When ``k`` codes are complete, their best inner
 products bound the k-th best from below; the radius at which a vector with such a
 product can lie (learned on the sample, with a margin of ``MARGIN`` deviations)
 decides how far probing goes, and all codes within it are reranked with the original
-vectors in double precision.
+vectors in double precision.  Beyond ``PROBED`` bits a substring has more values than
+lists are worth; where the radius lies there, the query's code is compared with all
+codes of the shard, which meets the same ones.  Vectors without any cluster are such a
+case: their nearest codes differ in two fifths of the bits.
 
-Every row is indexed; queries meet every shard, block by block, and each shard
-returns its best ``k`` per query, so a query's answers never gather in one task.
+Every row is indexed, once: rows come to their shard, an index is built, and the
+queries stream by.  Each shard returns its best ``k`` per query, so a query's answers
+never gather in one task.
 
 Cases: vectors that are NULL, zero, empty or hold NULL or non-finite components take
 no part, nor do those whose id is NULL; every dimension is indexed and searched by
@@ -29,9 +34,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,8 +45,10 @@ from pyspark.sql import functions as F
 from corpusgauge.llm.common import hash_sample, stored
 
 NEIGHBOURS, ROTATIONS, MARGIN = 20, 4, 2.0
-#: Vectors that codes and radius are learned on; rows of a shard and queries of a block.
-SAMPLE, SHARD_ROWS, BLOCK_QUERIES = 2_048, 16_384, 1_024
+#: Bits of a substring, and bits within which its values are probed.
+SUBSTRING, PROBED = 16, 1
+#: Vectors that codes and radius are learned on; rows of a shard.
+SAMPLE, SHARD_ROWS = 2_048, 8_192
 #: Alternations of the rotation fit.
 FIT_ROUNDS = 8
 
@@ -65,20 +73,26 @@ class Codes:
         unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         return np.concatenate([unit, np.zeros((len(unit), 1))], axis=1)
 
+    def bits(self, lifted: np.ndarray) -> np.ndarray:
+        return np.concatenate([(lifted - self.mean) @ r > 0 for r in self.rotations], axis=1)
+
     def encode(self, lifted: np.ndarray) -> np.ndarray:
-        """Codes as bytes, padded with zero bits."""
-        bits = np.concatenate([(lifted - self.mean) @ r > 0 for r in self.rotations], axis=1)
-        packed = np.packbits(bits, axis=1)
-        return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
+        """Codes as whole 64-bit words; the bits that fill the last one are zero in all."""
+        return words(self.bits(lifted))
 
     def radius(self, products: np.ndarray) -> np.ndarray:
         """Bits within which a lifted vector with such a product lies, but for rare ones."""
         return np.ceil(self.offset + self.slope * products)
 
 
+def words(bits: np.ndarray) -> np.ndarray:
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
 def hamming(code: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Distances of one code to many; codes are whole 64-bit words."""
-    return np.bitwise_count(code.view(np.uint64) ^ codes.view(np.uint64)).sum(axis=-1, dtype=np.int16)
+    """Distances of one code to many."""
+    return np.bitwise_count(code ^ codes).sum(axis=-1, dtype=np.int16)
 
 
 def learn(sample: np.ndarray, longest: float) -> Codes:
@@ -110,78 +124,80 @@ def learn(sample: np.ndarray, longest: float) -> Codes:
         rest = y - y.mean() - slope * (x - x.mean())
         codes.slope, codes.offset = slope, y.mean() - slope * x.mean() + MARGIN * max(1.0, rest.std())
     else:
-        codes.offset = float(8 * codes.encode(lifted).shape[1])
+        codes.offset = float(codes.bits(lifted).shape[1])
     return codes
 
 
-_DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
-
-
 class Shard:
-    """Multi-index over one shard's vectors."""
+    """Multi-index over one shard's vectors: a sorted list of values and rows per substring."""
 
     def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray):
         self.codes, self.ids, self.vectors = codes, ids, vectors
         self.lifted = codes.lift(vectors)
-        self.bytes = codes.encode(self.lifted)
+        bits = codes.bits(self.lifted)
+        self.n_bits, self.codewords = bits.shape[1], words(bits)
+        edges = np.linspace(0, self.n_bits, max(1, self.n_bits // SUBSTRING) + 1).astype(int)
+        self.spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
         self.lists = []
-        for j in range(self.bytes.shape[1]):
-            order = np.argsort(self.bytes[:, j], kind="stable")
-            self.lists.append((order, np.searchsorted(self.bytes[order, j], np.arange(257))))
-
-    def probe(self, met: np.ndarray, own: np.ndarray, step: int) -> None:
-        """Mark the codes that differ from the queries by ``step`` bits in some substring."""
-        for j, (order, cuts) in enumerate(self.lists):
-            wanted = _DISTANCE[own[:, j]] == step  # queries x values
-            for value in range(256):
-                a, b = cuts[value], cuts[value + 1]
-                if a < b:
-                    asking = np.flatnonzero(wanted[:, value])
-                    if len(asking):
-                        met[asking[:, None], order[a:b]] = True
+        for values in substrings(bits, self.spans):
+            order = np.argsort(values, kind="stable")
+            self.lists.append((values[order], order))
+
+    def complete(self, step: int) -> int:
+        """Every code within so many bits has been met after the step."""
+        return (step + 1) * len(self.spans) - 1
+
+    def probe(self, values: list[int], step: int) -> np.ndarray:
+        """Rows that differ from the query by ``step`` bits in some substring."""
+        found = []
+        for value, (a, b), (keys, order) in zip(values, self.spans, self.lists):
+            wanted = value ^ flips(b - a, step)
+            starts, stops = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
+            found += [order[i:j] for i, j in zip(starts.tolist(), stops.tolist()) if i < j]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query number, ids, scores) of the best ``k`` rows of the shard for each query."""
         aimed = self.codes.aim(queries)
-        own = self.codes.encode(aimed)
-        substrings, rows_all = own.shape[1], len(self.ids)
-        met = np.zeros((len(queries), rows_all), bool)
-        far = np.full((len(queries), rows_all), 32_000, np.int16)
-        far_known = np.zeros_like(met)
-        reach = np.full(len(queries), -1.0)  # a query's radius, once known
-        active = np.arange(len(queries))
-        for step in range(9):
-            part = met[active]
-            self.probe(part, own[active], step)
-            met[active] = part
-            complete = 8 * substrings if step == 8 else (step + 1) * substrings - 1
-            still = []
-            for q in active:
-                new = np.flatnonzero(met[q] & ~far_known[q])
-                far[q, new] = hamming(own[q], self.bytes[new])
-                far_known[q, new] = True
-                if reach[q] < 0:
-                    inside = np.flatnonzero(far[q] <= complete)
-                    inside = inside[self.ids[inside] != query_ids[q]]
-                    if len(inside) >= k:
-                        # The k nearest codes are enough for the bound.
-                        close = inside[np.argpartition(far[q, inside], k - 1)[: 4 * k]]
-                        products = self.lifted[close] @ aimed[q]
-                        bound = np.partition(products, len(close) - k)[len(close) - k]
-                        reach[q] = min(8 * substrings, max(0, self.codes.radius(bound)))
-                    elif step == 8:
-                        reach[q] = 8 * substrings
-                if 0 <= reach[q] <= complete:
-                    rows = np.flatnonzero(far[q] <= reach[q])
-                    rows = rows[self.ids[rows] != query_ids[q]]
-                    score = (self.vectors[rows] * queries[q]).sum(axis=1)
-                    order = np.lexsort((self.ids[rows], -score))[:k]
-                    yield int(q), self.ids[rows][order], score[order]
-                else:
-                    still.append(q)
-            active = np.array(still, np.int64)
-            if not len(active):
-                return
+        bits = self.codes.bits(aimed)
+        own, parts = words(bits), np.stack(substrings(bits, self.spans), axis=1).tolist()
+        for q in range(len(queries)):
+            rows = self.candidates(own[q], parts[q], aimed[q], query_ids[q], k)
+            rows = rows[self.ids[rows] != query_ids[q]]
+            score = (self.vectors[rows] * queries[q]).sum(axis=1)
+            order = np.lexsort((self.ids[rows], -score))[:k]
+            yield q, self.ids[rows][order], score[order]
+
+    def candidates(self, own: np.ndarray, parts: list[int], aimed: np.ndarray, query_id: int, k: int) -> np.ndarray:
+        """All rows whose codes lie within the radius that the query's nearest codes call for."""
+        met, far = np.zeros(0, np.int64), np.zeros(0, np.int16)
+        for step in range(PROBED + 2):
+            complete = self.complete(step)
+            if step <= PROBED:
+                fresh = np.setdiff1d(self.probe(parts, step), met, assume_unique=True)
+                met, far = np.append(met, fresh), np.append(far, hamming(own, self.codewords[fresh]))
+            else:
+                met, far, complete = np.arange(len(self.ids)), hamming(own, self.codewords), self.n_bits
+            others = self.ids[met] != query_id
+            near = np.flatnonzero((far <= complete) & others)
+            if len(near) >= k:
+                close = met[near[np.argpartition(far[near], k - 1)[: 4 * k]]]
+                products = self.lifted[close] @ aimed
+                bound = np.partition(products, len(close) - k)[len(close) - k]
+                reach = min(self.n_bits, max(0, int(self.codes.radius(bound))))
+                if reach <= complete:
+                    return met[far <= reach]
+        return met
+
+
+def substrings(bits: np.ndarray, spans: list[tuple[int, int]]) -> list[np.ndarray]:
+    return [bits[:, a:b] @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in spans]
+
+
+@lru_cache
+def flips(width: int, step: int) -> np.ndarray:
+    """Every value with ``step`` bits of ``width``."""
+    return np.array([sum(1 << i for i in chosen) for chosen in combinations(range(width), step)], np.int64)
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -217,22 +233,32 @@ def _candidates(rows: DataFrame, asked: DataFrame, total: int, every: int, k: in
     sample = sample[np.random.default_rng(5).permutation(len(sample))] if len(sample) else sample
     codes = learn(sample, float(longest))
     shards = -(-total // SHARD_ROWS)
-    blocks = max(1, -(-total // (every * BLOCK_QUERIES)))
     shard = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int")
-    # A shard meets every block of queries in a task of its own.
-    every_block, every_shard = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (blocks, shards))
-    left = rows.select(shard.alias("shard"), every_block.alias("block"), "id", "v")
-    right = asked.select(every_shard.alias("shard"), block.alias("block"), "id", "v")
-
-    def run(key_: tuple, own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(own) and len(queries):
-            index = Shard(codes, own["id"].to_numpy(), np.stack(own["v"].to_numpy()))
-            asked_ids, vectors = queries["id"].to_numpy(), np.stack(queries["v"].to_numpy())
-            for a in range(0, len(queries), BLOCK_QUERIES):
-                for q, ids, scores in index.search(asked_ids[a : a + BLOCK_QUERIES], vectors[a : a + BLOCK_QUERIES], k):
-                    found.append(pd.DataFrame({"query_id": asked_ids[a + q], "id": ids, "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": int, "id": int})
-
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, id long, score double")
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    both = rows.select(shard.alias("shard"), F.lit(0).alias("kind"), "id", "v").unionByName(asked.select(every_shard.alias("shard"), F.lit(1).alias("kind"), "id", "v"))
+    ordered = both.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's rows come first and make the index, then its queries are answered batch by batch."""
+        at, ids, vectors, index = None, [], [], None
+        for batch in batches:
+            width = len(batch.column(3).flatten()) // len(batch) if len(batch) else 0
+            keys, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own = batch.column(2).to_numpy()
+            v = batch.column(3).flatten().to_numpy().reshape(-1, width)
+            cuts = np.flatnonzero(np.diff(keys * 2 + kinds)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if b == a:
+                    continue
+                if keys[a] != at:
+                    at, ids, vectors, index = keys[a], [], [], None
+                if kinds[a] == 0:
+                    ids.append(own[a:b])
+                    vectors.append(v[a:b])
+                elif ids:
+                    index = index or Shard(codes, np.concatenate(ids), np.concatenate(vectors))
+                    found = list(index.search(own[a:b], v[a:b], k))
+                    columns = [np.repeat(own[a:b], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["query_id", "id", "score"])
+
+    return ordered.mapInArrow(run, "query_id long, id long, score double")

@@ -32,12 +32,27 @@ STRIDE, STRIPE_BYTES, FALSE_HITS = 1_000, 8 * 2**20, 0.01
 CACHE_WORDS = 800_000
 #: Stands for a text's end; never a word.
 END = b"\n"
+#: Words that tell whether a tokenizer works word by word.
+PROBES = ("it's", "Abc,d", "12.5%", "straße", "日本", "é\u0301x", "'s", "#", "naïve")
+
+
+#: New words that are encoded in one call; encoders by file, which reused Python workers keep from task to task.
+CHUNK_WORDS = 2_000
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder for a file, with the words that it has met so far."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer file; words between ASCII white space are encoded once.
 
-    Only for tokenizers whose pieces never span white space and ignore it.
+    Only for tokenizers whose pieces never span white space and ignore it; others are
+    refused when the file is loaded.
     """
 
     def __init__(self, path: str):
@@ -45,15 +60,32 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._refuse_others(path)
         self._clear()
 
+    def _refuse_others(self, path: str) -> None:
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        apart = [i for word in PROBES for i in ids(word)]
+        if any(ids(gap.join(PROBES)) != apart for gap in (" ", "  ", "\n", "\t \r\n")) or ids(f" {PROBES[0]} ") != ids(PROBES[0]):
+            raise ValueError(f"{path}: its pieces depend on white space, so words cannot be encoded by themselves")
+
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.pool, self.cuts = array("I"), array("q", [0])
 
     def _learn(self, words: list[bytes]) -> None:
-        for word, coded in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            self._add(word, coded.ids)
+        """Encodes words joined by blanks, many a call; a piece belongs to the word that it begins in."""
+        texts = [word.decode() for word in words]
+        chunks = [texts[a : a + CHUNK_WORDS] for a in range(0, len(texts), CHUNK_WORDS)]
+        done = 0
+        for chunk, coded in zip(chunks, self.tokenizer.encode_batch([" ".join(c) for c in chunks], add_special_tokens=False)):
+            sizes = np.fromiter(map(len, chunk), np.int64, len(chunk)) + 1
+            firsts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
+            cuts = np.searchsorted(firsts, np.append(0, np.cumsum(sizes))).tolist()
+            ids = coded.ids
+            for n in range(len(chunk)):
+                self._add(words[done + n], ids[cuts[n] : cuts[n + 1]])
+            done += len(chunk)
 
     def _add(self, word: bytes, ids: list[int]) -> None:
         self.place[word] = len(self.place)
@@ -92,11 +124,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: s
     ordered = source.repartitionByRange(key, "tie").sortWithinPartitions(key, "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        own = encoder(tokenizer)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in passes(texts):
-                ids, per = encoder.encode(texts[a:b], end_id)
+                ids, per = own.encode(texts[a:b], end_id)
                 part = batch.slice(a, b - a)
                 offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))

@@ -48,3 +48,49 @@ def test_every_dimension_is_searched_by_itself(spark):
 def test_empty_table(spark):
     assert M.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert M.nearest(spark.createDataFrame([(20, None)], "vec_id long, embedding array<float>")).count() == 0
+
+
+def _index(vectors):
+    codes = M.learn(vectors[: M.SAMPLE], float(np.linalg.norm(vectors, axis=1).max()))
+    return codes, M.Shard(codes, np.arange(len(vectors)), vectors)
+
+
+def test_probing_meets_every_close_code_and_few_others():
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((3_000, 64))
+    codes, index = _index(vectors)
+    assert index.n_bits == 260 and [b - a for a, b in index.spans].count(16) >= 12 and sum(b - a for a, b in index.spans) == 260
+    bits = codes.bits(index.lifted)
+    asked = bits[:40] ^ (rng.random((40, 260)) < 0.08)
+    own, parts = M.words(asked), np.stack(M.substrings(asked, index.spans), axis=1).tolist()
+    shares = []
+    for q in range(40):
+        far, met = (bits != asked[q]).sum(axis=1), np.zeros(0, int)
+        for step in range(3):
+            met = np.union1d(met, index.probe(parts[q], step))
+            assert np.isin(np.flatnonzero(far <= index.complete(step)), met).all()
+            shares.append((step, len(met) / len(vectors)))
+        assert (M.hamming(own[q], index.codewords) == far).all()
+    for step, most in ((0, 0.005), (1, 0.02), (2, 0.08)):
+        assert np.mean([s for n, s in shares if n == step]) < most
+
+
+def test_recall_of_64_dimensions_and_what_clusters_retrieve():
+    rng = np.random.default_rng(3)
+    spread = rng.standard_normal((4_000, 64))
+    centres = rng.standard_normal((100, 64))
+    clustered = np.repeat(centres, 40, axis=0) + 0.05 * rng.standard_normal((4_000, 64))
+    for vectors, most in ((spread, 1.0), (clustered, 0.05)):
+        codes, index = _index(rng.permutation(vectors))
+        asked = np.arange(0, 4_000, 80)
+        hit, met = 0, []
+        aimed = codes.aim(index.vectors[asked])
+        bits = codes.bits(aimed)
+        parts = np.stack(M.substrings(bits, index.spans), axis=1).tolist()
+        for q, ids, _ in index.search(asked, index.vectors[asked], 20):
+            products = index.vectors @ index.vectors[asked[q]]
+            products[asked[q]] = -np.inf
+            hit += len(set(np.argsort(-products)[:20]) & set(ids.tolist()))
+            met.append(len(index.candidates(M.words(bits)[q], parts[q], aimed[q], asked[q], 20)) / 4_000)
+        assert hit >= 0.95 * 20 * len(asked)
+        assert np.mean(met) < most
