@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusgauge.functions.text import let
+
 # Run names look like topic_genrerewrite_structure_T0.7_s2.
 RUN_NAME = r"^([^_]+)_([^_]+)rewrite_(nonlinear|linear)_T([0-9.]+)_s([0-9]+)$"
 
@@ -21,10 +23,18 @@ def repaired_json(reply: Column) -> Column:
     text = F.trim(F.when(F.contains(text, F.lit("```")) & (fenced != ""), fenced).otherwise(text))
     text = F.regexp_extract(text, r"[\[{][\s\S]*", 0)
     start = F.struct(
-        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(False).alias("over"),
-        F.lit("").alias("value"), F.array().cast("array<string>").alias("values"),
+        F.lit(0).alias("depth"), F.lit(False).alias("over"), F.lit(0).alias("at"), F.lit(0).alias("begin"), F.array().cast("array<string>").alias("values"),
     )
-    done = F.aggregate(F.split(text, ""), start, _json_step, lambda s: s["values"])
+
+    def scanned(text: Column) -> Column:
+        parts = F.regexp_extract_all(text, F.lit(_JSON_PARTS), F.lit(0))
+        return F.aggregate(parts, start, lambda s, x: _json_step(text, s, x), lambda s: s["values"])
+
+    return let(let(text, scanned), _joined_values)
+
+
+def _joined_values(done: Column) -> Column:
+    """One value as it is; several as one list, lists by their items."""
     inner = F.array_join(F.transform(done, lambda v: F.substring(v, F.lit(2), F.length(v) - 2)), ",")
     lists = F.concat(F.lit("["), inner, F.lit("]"))
     objects = F.concat(F.lit("["), F.array_join(done, ","), F.lit("]"))
@@ -32,25 +42,27 @@ def repaired_json(reply: Column) -> Column:
     return F.when(F.size(done) > 1, F.when(F.startswith(first, F.lit("[")), lists).otherwise(objects)).otherwise(F.coalesce(first, F.lit("")))
 
 
-def _json_step(state: Column, char: Column) -> Column:
-    """One character of the scan: depth outside strings, the value so far, the closed values."""
-    quoted, escaped, over = state["quoted"], state["escaped"], state["over"]
-    opens, closes = ~quoted & char.isin("[", "{"), ~quoted & char.isin("]", "}")
-    depth = state["depth"] + opens.cast("int") - closes.cast("int")
-    inside = (state["depth"] > 0) | opens
+#: A string (an open one runs to the end), a bracket, or what stands between them.
+_JSON_PARTS = r'"(?:[^"\\]|\\[\s\S])*"?|[\[\]{}]|[^\[\]{}"]+'
+
+
+def _json_step(text: Column, state: Column, part: Column) -> Column:
+    """One part of the scan: depth, where the open value began, the closed values."""
+    over, at, depth = state["over"], state["at"], state["depth"]
+    opens, closes = part.isin("[", "{"), part.isin("]", "}")
+    inside = (depth > 0) | opens
     # Between values only white space and the same opening bracket may stand.
-    other_kind = opens & (F.size(state["values"]) > 0) & ~F.startswith(F.get(state["values"], 0), char)
-    ends = over | (~inside & (F.trim(char) != "") & ~char.isin("\n", "\r", "\t")) | ((state["depth"] == 0) & other_kind)
-    value = F.when(inside, F.concat(state["value"], char)).otherwise(F.lit(""))
-    closed = inside & closes & (depth == 0)
-    values = F.when(closed & ~ends, F.concat(state["values"], F.array(value))).otherwise(state["values"])
+    other_kind = opens & (F.size(state["values"]) > 0) & ~F.startswith(F.get(state["values"], 0), part)
+    ends = over | (~inside & part.rlike(r"[^ \n\r\t]")) | ((depth == 0) & other_kind)
+    after = at + F.length(part)
+    closed = inside & closes & (depth == 1) & ~ends
+    value = F.substring(text, state["begin"] + 1, after - state["begin"])
     return F.struct(
-        F.when(ends, 0).otherwise(depth).alias("depth"),
-        F.when(escaped | (char != '"') | ~inside, quoted).otherwise(~quoted).alias("quoted"),
-        (quoted & ~escaped & (char == "\\")).alias("escaped"),
+        F.when(ends, 0).otherwise(depth + opens.cast("int") - closes.cast("int")).alias("depth"),
         ends.alias("over"),
-        F.when(closed | ends, F.lit("")).otherwise(value).alias("value"),
-        values.alias("values"),
+        after.alias("at"),
+        F.when((depth == 0) & opens, at).otherwise(state["begin"]).alias("begin"),
+        F.when(closed, F.concat(state["values"], F.array(value))).otherwise(state["values"]).alias("values"),
     )
 
 

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.session import reliable
+from corpusgauge.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -76,16 +76,21 @@ def exact_subset_sums(df: DataFrame, key: Column, value: Column, size: int, tota
     share, whole = size / total, 2.0**32
     half = whole * (SPREAD * np.sqrt(share * (1 - share) / total) + SPREAD / total)
     low = int(max(0.0, share * whole - half))
-    width = int(max(1, -(-(min(whole, share * whole + half) - low) // BINS)))
+    width = int(max(1, min(-(-(min(whole, share * whole + half) - low) // BINS), (2**32 - 1 - low) // BINS)))
     edges = np.append(low + width * np.arange(BINS + 1, dtype=np.int64), 2**32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((draws, BINS + 2), np.int64)
         for batch in batches:
             for _, d, h in _tiles(batch.column(0).to_numpy(), salt):
-                cell = np.clip((h.astype(np.int64) - low) // width, -1, BINS) + 1
-                cell += (BINS + 2) * np.arange(len(h))[:, None]
-                held[d] += np.bincount(cell.reshape(-1), minlength=len(h) * (BINS + 2)).reshape(len(h), -1)
+                # Few hashes lie in the histogram; unsigned differences wrap, so one test tells.
+                past = h - np.uint32(low)
+                at, row = np.nonzero(past < np.uint32(width * BINS))
+                cell = (past[at, row] // np.uint32(width)).astype(np.int64) + (BINS + 2) * at + 1
+                inner = np.bincount(cell, minlength=len(h) * (BINS + 2)).reshape(len(h), -1)
+                inner[:, 0] = (h < np.uint32(low)).sum(axis=1)
+                inner[:, -1] = h.shape[1] - inner[:, :-1].sum(axis=1)
+                held[d] += inner
         ends = np.arange(draws + 1, dtype=np.int32) * (BINS + 2)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(held.reshape(-1)))], ["draw", "cells"])
 
@@ -98,14 +103,16 @@ def exact_subset_sums(df: DataFrame, key: Column, value: Column, size: int, tota
     cell = (reached < size).sum(axis=1)
     below = np.where(cell > 0, np.take_along_axis(reached, np.maximum(cell - 1, 0)[:, None], axis=1)[:, 0], 0)
     starts, stops = np.where(cell > 0, edges[np.maximum(cell - 1, 0)], 0), edges[cell]
+    # A cell of all hashes would need one number more: its last hash is left to the rows below.
+    first, spans = starts.astype(np.uint32), np.minimum(stops - starts, 2**32 - 1).astype(np.uint32)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(draws)
         for batch in batches:
             keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for r, d, h in _tiles(keys, salt):
-                sums[d] += (h < starts[d, None]) @ values[r]
-                at, row = np.nonzero((h >= starts[d, None]) & (h < stops[d, None]))
+                sums[d] += (h < first[d, None]).astype(np.float64) @ values[r]
+                at, row = np.nonzero((h - first[d, None]) < spans[d, None])
                 if len(at):
                     yield pack(at + d.start, h[at, row].astype(np.int64), keys[r][row], values[r][row])
         yield pack(np.arange(draws), np.full(draws, -1), np.zeros(draws, np.int64), sums)
@@ -113,7 +120,7 @@ def exact_subset_sums(df: DataFrame, key: Column, value: Column, size: int, tota
     def pack(draw: np.ndarray, h: np.ndarray, k: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(draw.astype(np.int32)), pa.array(h.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array(v)], ["draw", "h", "k", "v"])
 
-    found = reliable(rows.mapInArrow(add, "draw int, h long, k long, v double"))
+    found = written(rows.mapInArrow(add, "draw int, h long, k long, v double"), "draws")
     need = df.sparkSession.createDataFrame([(i, int(size - b)) for i, b in enumerate(below)], "draw int, need long")
     place = F.row_number().over(Window.partitionBy("draw").orderBy("h", "k", "v"))
     inner = found.where("h >= 0").withColumn("place", place).join(need, "draw").where("place <= need")

@@ -7,9 +7,11 @@ numbers reach the driver.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.common import corr, ratio
 from corpusgauge.functions.tails import f_tail
-from corpusgauge.operators.regression import design, rest_of, triangle
-from corpusgauge.session import reliable
+from corpusgauge.operators.regression import MOST_COLUMNS, factor_levels, rest_of, triangle
+from corpusgauge.session import written
 
 
 def two_predictor_ols(y: str, x1: str, x2: str) -> dict[str, Column]:
@@ -53,18 +55,34 @@ def factorial_anova(df: DataFrame, factors: Sequence[str], value: str) -> DataFr
     their degrees of freedom, no rows give none.
     """
     rows = df.dropna(subset=[*factors, value]).select(*[F.col(f).cast("string").alias(f) for f in factors], F.col(value).cast("double").alias("v"))
-    cells = reliable(rows.groupBy(*factors).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")))
+    cells = written(rows.groupBy(*factors).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")), "cells")
     sums = cells.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("q") - F.col("s") ** 2 / F.col("n")).alias("within")).first()
     effects = [e for size in range(1, len(factors) + 1) for e in itertools.combinations(factors, size)]
     schema = "effect string, ss double, df int, f double, p double, eta_squared double, p_bonferroni double, stars string, band string"
     if not sums["n"]:
         return df.sparkSession.createDataFrame([], schema)
-    model = design(cells, effects, [])
-    root = F.sqrt("n")
-    whole = triangle(cells.select(F.array(*[c * root for c in model.columns], F.col("s") / root).alias("x")), "x", len(model.columns) + 1)
+    levels = factor_levels(cells, factors)
+    owners = [(), *(e for e in effects for _ in range(math.prod(len(levels[f]) - 1 for f in e)))]
+    if len(owners) > MOST_COLUMNS:
+        raise ValueError(f"the model has {len(owners)} columns; {MOST_COLUMNS} are allowed")
+    names = [*factors, "n", "s"]
+
+    def coded(batch: pa.RecordBatch) -> np.ndarray:
+        """The cells' columns of all effects and their means, weighted by the root of their rows."""
+        n, s = (batch.column(i).to_numpy() for i in (len(factors), len(factors) + 1))
+        dummies = {f: (np.array(batch.column(i).to_pylist(), object)[:, None] == np.array(levels[f][1:], object)[None, :]).astype(float) for i, f in enumerate(factors)}
+        blocks = [np.ones((len(batch), 1))]
+        for e in effects:
+            block = blocks[0]
+            for f in e:
+                block = (block[:, :, None] * dummies[f][:, None, :]).reshape(len(batch), -1)
+            blocks.append(block)
+        return np.hstack([*blocks, (s / n)[:, None]]) * np.sqrt(n)[:, None]
+
+    whole = triangle(cells.select(*names), len(owners) + 1, coded)
 
     def residual(chosen: Sequence[tuple[str, ...]]) -> tuple[float, int]:
-        return rest_of(whole, [i for i, e in enumerate(model.owners) if not e or e in chosen])
+        return rest_of(whole, [i for i, e in enumerate(owners) if not e or e in chosen])
 
     within, total = float(sums["within"]), float(sums["q"] - sums["s"] ** 2 / sums["n"])
     full_sse, full_rank = residual(effects)

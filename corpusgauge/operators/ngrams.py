@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
 from corpusgauge.functions.common import attach, flat, flat_structs, ratio
-from corpusgauge.operators.joins import fuzzy_matches
 from corpusgauge.plans.ordered import ordered
+from corpusgauge.session import written
 
 ORDERS = (1, 2, 3, 4)
 
@@ -145,11 +145,34 @@ def sentence_continuity(docs: DataFrame, doc_id: str) -> DataFrame:
 
 
 def first_copies(docs: DataFrame, doc_id: str, toks: Column, floor: float = 0.6) -> DataFrame:
-    """The first earlier document whose word-pair set has Jaccard >= ``floor``, per document.
-
-    Exact: ``fuzzy_matches`` meets every pair at or above the floor, a document
-    itself among them, so a document's first match is an earlier one if there is any.
+    """The first earlier document whose word-pair set has Jaccard >= ``floor``, per document: (doc_id, first_id, jaccard).
+
+    Texts are tokenised once: distinct sets are written, with the smallest id that holds
+    each.  Two sets at or above the floor share one of their rarest pairs of words
+    (prefix filter, pairs as 64-bit hashes); pairs of words that one set alone holds take
+    up places of the prefix but need no rows.  One table of prefixes meets itself, and
+    the sets of the pairs found decide.  A document's first match is the smallest one of
+    its set, or else the smallest id of its own set.
     """
-    sets = docs.select(doc_id, F.array_distinct(tx.ngrams(toks, 2)).alias("s"))
-    found = fuzzy_matches(sets, sets.withColumnRenamed(doc_id, "first_id"), doc_id, ["first_id"], "s", floor)
-    return found.where(F.col("first_id") < F.col(doc_id))
+    pairs = F.sort_array(F.array_distinct(tx.ngrams(toks, 2)))
+    # Written before anything else reads it, or the filter would work the array out again.
+    sets = written(docs.select(doc_id, pairs.alias("s")), "sets").where("size(s) > 0").withColumn("u", F.sha2(F.array_join("s", " "), 256))
+    units = written(sets.groupBy("u").agg(F.min(doc_id).alias("first"), F.min_by("s", doc_id).alias("s")), "units")
+    hashed = F.array_distinct(F.transform("s", lambda x: F.xxhash64(x)))
+    words = flat(units.select("first", hashed.alias("h")), ["first", F.size("h").alias("n")], F.col("h"), "w")
+    freq = words.groupBy("w").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = words.join(freq, "w").groupBy("first", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("a"))
+    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(floor)) + 1 - (F.col("n") - F.size("a"))).cast("int")
+    prefix = ranked.where(keep > 0).select("first", "n", F.explode(F.slice("a", F.lit(1), keep)).alias("e")).select("first", "n", F.col("e.w").alias("w"))
+    prefix = written(prefix, "prefix")
+    near = (F.col("a.n") >= F.col("b.n") * floor) & (F.col("b.n") >= F.col("a.n") * floor)
+    met = prefix.alias("a").join(prefix.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.first") < F.col("b.first")) & near)
+    met = met.select(F.col("a.first").alias("x"), F.col("b.first").alias("y")).distinct()
+    left, right = (units.select(F.col("first").alias(n), F.col("s").alias(f"s{n}")) for n in ("x", "y"))
+    shared = F.size(F.array_intersect("sx", "sy"))
+    verified = met.join(left, "x").join(right, "y").select("x", "y", (shared / (F.size("sx") + F.size("sy") - shared)).alias("j"))
+    best = verified.where(F.col("j") >= floor).groupBy(F.col("y").alias("first")).agg(F.min_by(F.struct("x", "j"), "x").alias("m"))
+    found = sets.select(doc_id, "u").join(units.select("u", "first"), "u").join(best, "first", "left")
+    later = F.col(doc_id) != F.col("first")
+    found = found.select(doc_id, F.coalesce("m.x", F.when(later, F.col("first"))).alias("first_id"), F.coalesce("m.j", F.when(later, F.lit(1.0))).alias("jaccard"))
+    return found.where("first_id is not null")

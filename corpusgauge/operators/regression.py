@@ -8,7 +8,7 @@ are moved.  ``MOST_COLUMNS`` bounds k.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,26 +17,25 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.session import reliable
+from corpusgauge.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MOST_COLUMNS = 400
 #: A column is redundant if less than this share of its length is left beside the columns before it.
 REDUNDANT = 1e-8
-#: Triangles that one task merges.
-FAN_IN = 64
+#: Tasks that merge the triangles of all others; each leaves one.
+MERGERS = 8
 INTERCEPT = "intercept"
 
 
 @dataclass(frozen=True)
 class Design:
-    """Named model columns over the complete rows of a table; ``owners`` are the terms that they code."""
+    """Named model columns over the complete rows of a table."""
 
     rows: DataFrame
     names: tuple[str, ...]
     columns: tuple[Column, ...]
-    owners: tuple[tuple[str, ...], ...]
 
 
 def design(df: DataFrame, terms: Sequence[str | Sequence[str]], needed: Sequence[str], intercept: bool = True) -> Design:
@@ -51,74 +50,86 @@ def design(df: DataFrame, terms: Sequence[str | Sequence[str]], needed: Sequence
     rows = df.dropna(subset=[*used, *needed])
     kinds = dict(df.dtypes)
     factors = [c for c in used if kinds[c] in ("string", "boolean")]
-    levels: dict[str, list] = {}
-    for c in factors:
-        found = rows.select(c).distinct().limit(MOST_COLUMNS + 1).collect()
-        levels[c] = sorted(r[0] for r in found)
+    levels = {c: [v == "true" for v in found] if kinds[c] == "boolean" else found for c, found in factor_levels(rows, factors).items()}
 
     def coded(c: str) -> list[tuple[str, Column]]:
         if c not in levels:
             return [(c, F.col(c).cast("double"))]
         return [(f"{c}[{v}]", (F.col(c) == F.lit(v)).cast("double")) for v in levels[c][1:]]
 
-    names, columns, owners = ([INTERCEPT], [F.lit(1.0)], [()]) if intercept else ([], [], [])
+    names, columns = ([INTERCEPT], [F.lit(1.0)]) if intercept else ([], [])
     for term in listed:
         made = [("", F.lit(1.0))]
         for c in term:
             made = [(f"{a}:{b}".strip(":"), x * y) for a, x in made for b, y in coded(c)]
         names += [n for n, _ in made]
         columns += [x for _, x in made]
-        owners += [term] * len(made)
     if len(names) > MOST_COLUMNS:
         raise ValueError(f"the model has {len(names)} columns; {MOST_COLUMNS} are allowed")
-    return Design(rows, tuple(names), tuple(columns), tuple(owners))
+    return Design(rows, tuple(names), tuple(columns))
+
+
+def factor_levels(rows: DataFrame, factors: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted levels of each factor as text, in one job; ``MOST_COLUMNS`` bounds what comes back."""
+    levels: dict[str, list[str]] = {c: [] for c in factors}
+    if factors:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in factors]))
+        for row in rows.select(each.alias("e")).select("e.*").distinct().limit(MOST_COLUMNS * len(factors) + 1).collect():
+            levels[row.c].append(row.v)
+    return {c: sorted(found) for c, found in levels.items()}
 
 
 def _matrix(batch: pa.RecordBatch, at: int, width: int) -> np.ndarray:
     return batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def triangle(frame: DataFrame, column: str, width: int) -> np.ndarray:
-    """R of the QR decomposition of all rows (arrays of ``width`` numbers).
+def triangle(frame: DataFrame, width: int, coded: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """R of the QR decomposition of all rows, which ``coded`` turns into ``width`` numbers each.
 
-    Every task folds its rows into one triangle, batch by batch; triangles are stacked
-    and folded again, ``FAN_IN`` a task, until one is left.  Nothing is squared, so no
-    digits are lost as in X'X.
+    Every task folds its rows into one triangle, batch by batch; ``MERGERS`` tasks stack
+    and fold the triangles as they come, and the driver their few.  Nothing is squared,
+    so no digits are lost as in X'X.
     """
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, width))
-        for batch in batches:
-            held = np.linalg.qr(np.vstack([held, _matrix(batch, 0, width)]), mode="r")
-        if len(held):
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(held.reshape(-1)), width).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([flat], ["r"])
-
-    parts = reliable(frame.select(column).mapInArrow(fold, "r array<double>"))
-    while (n := parts.count()) > FAN_IN * width:
-        tasks = -(-n // (FAN_IN * width))
-        parts = reliable(parts.repartition(tasks).mapInArrow(fold, "r array<double>"))
-    held = np.array([row.r for row in parts.collect()]).reshape(-1, width)
+    def fold(read: Callable[[pa.RecordBatch], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros((0, width))
+            for batch in batches:
+                held = np.linalg.qr(np.vstack([held, read(batch)]), mode="r")
+            if len(held):
+                ends = np.arange(len(held) + 1, dtype=np.int32) * width
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(held.reshape(-1)))], ["r"])
+
+        return run
+
+    parts = frame.mapInArrow(fold(coded), "r array<double>")
+    merged = parts.repartition(MERGERS).mapInArrow(fold(lambda batch: _matrix(batch, 0, width)), "r array<double>")
+    held = np.array([row.r for row in merged.collect()]).reshape(-1, width)
     return np.linalg.qr(np.vstack([held, np.zeros((width, width))]), mode="r")
 
 
-def independent(r: np.ndarray) -> list[int]:
-    """Columns of a triangle that are no combination of the columns before them."""
+def independent(r: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Columns of a triangle that are no combination of the columns before them, and an orthonormal basis of their space."""
     kept: list[int] = []
+    basis = np.zeros((len(r), 0))
     for j in range(r.shape[1]):
-        length = np.linalg.norm(r[:, j])
-        part = np.linalg.qr(r[:, [*kept, j]], mode="r")
-        if length > 0 and abs(part[len(kept), len(kept)]) > REDUNDANT * length:
+        length, rest = np.linalg.norm(r[:, j]), r[:, j]
+        for _ in range(2):  # the second time takes off what rounding left
+            rest = rest - basis @ (basis.T @ rest)
+        left = np.linalg.norm(rest)
+        if length > 0 and left > REDUNDANT * length:
             kept.append(j)
-    return kept
+            basis = np.column_stack([basis, rest / left])
+    return kept, basis
 
 
 def rest_of(r: np.ndarray, columns: Sequence[int]) -> tuple[float, int]:
     """Residual sum of squares of the last column on the listed ones, and their rank, from the triangle alone."""
-    part = r[:, [*columns, r.shape[1] - 1]]
-    kept = independent(part[:, :-1])
-    small = np.linalg.qr(part[:, [*kept, part.shape[1] - 1]], mode="r")
-    return float(small[len(kept), len(kept)] ** 2), len(kept)
+    kept, basis = independent(r[:, list(columns)])
+    rest = r[:, -1]
+    for _ in range(2):
+        rest = rest - basis @ (basis.T @ rest)
+    return float(rest @ rest), len(kept)
 
 
 def robust_ols(model: Design, y: str, cluster: str | None = None) -> DataFrame:
@@ -130,8 +141,8 @@ def robust_ols(model: Design, y: str, cluster: str | None = None) -> DataFrame:
     k, names = len(model.names), list(model.names)
     owner = [F.col(cluster).cast("string").alias("cluster")] if cluster else []
     frame = model.rows.select(F.array(*model.columns, F.col(y).cast("double")).alias("x"), *owner)
-    whole = triangle(frame, "x", k + 1)
-    kept = independent(whole[:, :k])
+    whole = triangle(frame.select("x"), k + 1, lambda batch: _matrix(batch, 0, k + 1))
+    kept, _ = independent(whole[:, :k])
     m = len(kept)
     small = np.linalg.qr(whole[:, [*kept, k]], mode="r")
     inner, right = small[:m, :m], small[:m, m]
@@ -160,7 +171,7 @@ def robust_ols(model: Design, y: str, cluster: str | None = None) -> DataFrame:
     def pack(groups: list, values: np.ndarray, n: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(values.tolist(), pa.list_(pa.float64())), pa.array(n, pa.int64())], ["cluster", "v", "n"])
 
-    scored = reliable(frame.mapInArrow(score, "cluster string, v array<double>, n long"))
+    scored = written(frame.mapInArrow(score, "cluster string, v array<double>, n long"), "scored")
     n = scored.agg(F.sum("n")).first()[0] or 0
     sums = scored.where("cluster is null").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
     meat = np.zeros(m * m)
@@ -216,7 +227,7 @@ def mixed_model(model: Design, y: str, group: str) -> DataFrame:
     # One row per group, then one per size of groups.
     groups = rows.groupBy("g").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(c) for c in names])
     sums = F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in cells])
-    sizes = reliable(groups.groupBy("n").agg(F.count("*").cast("double").alias("groups"), sums.alias("s")))
+    sizes = written(groups.groupBy("n").agg(F.count("*").cast("double").alias("groups"), sums.alias("s")), "sizes")
     whole = _square(rows.agg(sums.alias("s")).first().s, cells)
     total = whole[0, 0]
     kept = _independent_columns(whole[:k, :k])
@@ -291,7 +302,7 @@ def _independent_columns(products: np.ndarray) -> list[int]:
     return kept
 
 
-def rising_zero(slopes) -> float:
+def rising_zero(slopes: Callable[[Sequence[float]], list[float]]) -> float:
     """Zero on [0, inf) of a function that starts below 0 and rises through it; 0 if it does not start below."""
     low, high = 0.0, 1.0
     first, last = slopes([low, high])

@@ -39,9 +39,9 @@ def dense(data):
     return names, np.stack(cols, axis=1), np.array([r[5] for r in data])
 
 
-@pytest.mark.parametrize("fan_in", [64, 2])
-def test_robust_ols(spark, monkeypatch, fan_in):
-    monkeypatch.setattr(rg, "FAN_IN", fan_in)
+@pytest.mark.parametrize("mergers", [8, 1])
+def test_robust_ols(spark, monkeypatch, mergers):
+    monkeypatch.setattr(rg, "MERGERS", mergers)
     data = rows()
     names, x, y = dense(data)
     df = spark.createDataFrame([*data, (None, "deep", 1, 1.0, 3.0, 1.0), ("a", "deep", 1, None, 3.0, 1.0), ("a", "deep", 1, 1.0, 3.0, None)], SCHEMA).repartition(7)
