@@ -18,6 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,8 @@ class WordEncoder:
         apart = [i for word in PROBES for i in ids(word)]
         if any(ids(gap.join(PROBES)) != apart for gap in (" ", "  ", "\n", "\t \r\n")) or ids(f" {PROBES[0]} ") != ids(PROBES[0]):
             raise ValueError(f"{path}: its pieces depend on white space, so words cannot be encoded by themselves")
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.lowers = all(ids(word) == ids(word.lower()) for word in (*letters, letters, "The", "McX's", "ÄOß"))
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
@@ -77,15 +80,12 @@ class WordEncoder:
         """Encodes words joined by blanks, many a call; a piece belongs to the word that it begins in."""
         texts = [word.decode() for word in words]
         chunks = [texts[a : a + CHUNK_WORDS] for a in range(0, len(texts), CHUNK_WORDS)]
-        done = 0
         for chunk, coded in zip(chunks, self.tokenizer.encode_batch([" ".join(c) for c in chunks], add_special_tokens=False)):
             sizes = np.fromiter(map(len, chunk), np.int64, len(chunk)) + 1
-            firsts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
-            cuts = np.searchsorted(firsts, np.append(0, np.cumsum(sizes))).tolist()
-            ids = coded.ids
-            for n in range(len(chunk)):
-                self._add(words[done + n], ids[cuts[n] : cuts[n + 1]])
-            done += len(chunk)
+            firsts = np.fromiter(map(itemgetter(0), coded.offsets), np.int64, len(coded.ids))
+            self.cuts.frombytes((len(self.pool) + np.searchsorted(firsts, np.cumsum(sizes))).tobytes())
+            self.pool.extend(coded.ids)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
 
     def _add(self, word: bytes, ids: list[int]) -> None:
         self.place[word] = len(self.place)
@@ -101,7 +101,9 @@ class WordEncoder:
         words: list[bytes] = []
         per = []
         for text in texts:
-            own = text.encode().split() if text else []
+            data = text.encode() if text else b""
+            # A tokenizer that lowers letters meets fewer words if A-Z are lowered before.
+            own = (data.lower() if self.lowers else data).split()
             words += own
             words.append(END)
             per.append(len(own) + 1)
@@ -110,7 +112,7 @@ class WordEncoder:
         if missed:
             self._learn(list({words[i] for i in missed}))
             at[missed] = [self.place[words[i]] for i in missed]
-        pool, cuts = np.array(self.pool), np.array(self.cuts)
+        pool, cuts = np.frombuffer(self.pool, np.uint32), np.frombuffer(self.cuts, np.int64)
         sizes = (cuts[1:] - cuts[:-1])[at]
         first = np.cumsum(sizes) - sizes
         ids = pool[np.repeat(cuts[at] - first, sizes) + np.arange(int(sizes.sum()))]
