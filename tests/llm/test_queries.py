@@ -21,12 +21,15 @@ COLUMNS = {
     7: {"doc_id", "fingerprint", "component_id"},
     8: {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
     10: {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
+    11: {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+    12: {"lang", "source", "part", "item", "value", "rank"},
+    13: {"word", "form", "root", "n", "n_near", "form_n"},
 }
 
 
 def test_all_are_registered():
     names = contract.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
@@ -35,7 +38,7 @@ def test_sql(spark, name):
     assert problem is None, problem
 
 
-@pytest.mark.parametrize("name", ["op4_multi_index", "op5_orc_tokens", "op6_byte_bpe", "op7_simhash_vptree", "op8_decontaminate"])
+@pytest.mark.parametrize("name", ["op4_multi_index", "op5_orc_tokens", "op6_byte_bpe", "op7_simhash_vptree", "op8_decontaminate", "op11_warc", "op12_source_divergence", "op13_spelling_variants"])
 def test_contract_columns(spark, name):
     df = QUERIES[name].run(spark, SMALL)
     assert COLUMNS[int(name[2:].split("_")[0])] <= set(df.columns)
