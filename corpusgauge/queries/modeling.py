@@ -140,14 +140,18 @@ def sta20(spark, sf):
 @query(
     "sta21_interactions",
     """
-    WITH c AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(avg(l_quantity), 9) AS mean, round(stddev_samp(l_quantity), 9) AS std FROM lineitem GROUP BY ALL)
-    SELECT *, (row_number() OVER (ORDER BY mean DESC, l_returnflag, l_linestatus, l_linenumber) <= 5) AS top_mean, (row_number() OVER (ORDER BY std DESC, l_returnflag, l_linestatus, l_linenumber) <= 5) AS top_std FROM c
+    WITH c AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(avg(l_quantity), 9) AS mean, round(stddev_samp(l_quantity), 9) AS std, min(l_quantity) AS low, max(l_quantity) AS high, round(max(l_quantity) - min(l_quantity), 9) AS range FROM lineitem GROUP BY ALL)
+    SELECT *, (row_number() OVER (ORDER BY mean DESC, l_returnflag, l_linestatus, l_linenumber) <= 5) AS top_mean, (row_number() OVER (ORDER BY std DESC, l_returnflag, l_linestatus, l_linenumber) <= 5) AS top_std,
+      (row_number() OVER (ORDER BY range DESC, l_returnflag, l_linestatus, l_linenumber) <= 5) AS top_range FROM c
     """,
 )
 def sta21(spark, sf):
-    c = _lines(spark, sf).groupBy(*CONFIG).agg(F.count("*").alias("n"), rnd(F.avg("l_quantity"), 9).alias("mean"), rnd(F.stddev_samp("l_quantity"), 9).alias("std"))
+    q = F.col("l_quantity")
+    c = _lines(spark, sf).groupBy(*CONFIG).agg(
+        F.count("*").alias("n"), rnd(F.avg(q), 9).alias("mean"), rnd(F.stddev_samp(q), 9).alias("std"), F.min(q).alias("low"), F.max(q).alias("high"), rnd(F.max(q) - F.min(q), 9).alias("range")
+    )
     out = c
-    for measure in ("mean", "std"):
+    for measure in ("mean", "std", "range"):
         best = c.orderBy(F.desc(measure), *CONFIG).limit(5).select(*CONFIG, F.lit(True).alias(f"top_{measure}"))
         out = out.join(best, CONFIG, "left").withColumn(f"top_{measure}", F.coalesce(f"top_{measure}", F.lit(False)))
     return out
