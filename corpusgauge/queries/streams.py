@@ -6,6 +6,7 @@ from corpusgauge import fixed
 from corpusgauge.functions import text as tx
 from corpusgauge.functions.common import rnd, sql_values
 from corpusgauge.functions.plugin import lexicon_scorer, score_batches
+from corpusgauge.operators import audit
 from corpusgauge.operators import sequences as seq
 from corpusgauge.queries.sequences import _DECIDE_SQL
 from corpusgauge.registry import query
@@ -101,7 +102,7 @@ def stm7(spark, sf):
     labels = turns.select("conv_id", "turn", presence.alias("presence"), intensity.alias("intensity"), info.alias("info"), pacing.alias("pacing"))
     rules = seq.cooldown_answers(*[F.col(c) for c in ("presence", "intensity", "info", "pacing")])
     rows = labels.select("conv_id", "turn", rules["if_off"].alias("if_off"), rules["if_on"].alias("if_on"))
-    return jobs.drain(jobs.carried_decisions(rows, "conv_id", "turn", "if_off", "if_on"), "append")
+    return jobs.drain(jobs.carried_decisions(rows, "conv_id", "turn", "if_off", "if_on"), "update", ["conv_id", "turn"])
 
 
 @query(
@@ -128,6 +129,51 @@ def stm8_diff(spark, sf):
     return both.where(~F.col("old_value").eqNullSafe(F.col("new_value"))).select("user_id", "old_value", "new_value")
 
 
+def _audit_log(events):
+    """Events as an audit log: views and clicks set, purchases append, signups take snapshots, errors roll back."""
+    k = F.from_json("props", "k bigint")["k"]
+    op = F.when(F.col("event_type").isin("view", "click"), "set").when(F.col("event_type") == "purchase", "append")
+    op = op.when((F.col("event_type") == "signup"), "snapshot").otherwise("rollback")
+    key, tag = F.concat(F.lit("k"), (k % 7).cast("string")), F.concat(F.lit("t"), (k % 3).cast("string"))
+    item = F.round(F.col("value") * 100).cast("long")
+    return events.select("ts", F.col("user_id").alias("memory"), F.col("event_id").alias("seq"), op.alias("op"), key.alias("key"), item.alias("item"), tag.alias("tag"))
+
+
+_AUDIT_SQL = """l AS (SELECT user_id AS memory, event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'set' WHEN event_type = 'purchase' THEN 'append' WHEN event_type = 'signup' THEN 'snapshot' ELSE 'rollback' END AS op,
+      'k' || (CAST(json_extract(props, '$.k') AS BIGINT) % 7) AS key, CAST(round(value * 100) AS BIGINT) AS item, 't' || (CAST(json_extract(props, '$.k') AS BIGINT) % 3) AS tag FROM events),
+    back AS (SELECT b.memory, b.seq, max(s.seq) AS target FROM l b JOIN l s ON s.memory = b.memory AND s.tag = b.tag AND s.op = 'snapshot' AND s.seq < b.seq WHERE b.op = 'rollback' GROUP BY ALL),
+    p AS (SELECT memory, tag, max(seq) AS hi FROM l WHERE op = 'snapshot' GROUP BY ALL UNION ALL SELECT DISTINCT memory, '(now)', 9223372036854775807 FROM l),
+    c AS (SELECT memory, tag, hi, (SELECT max(seq) FROM back WHERE back.memory = p.memory AND back.seq < hi) AS lo FROM p
+      UNION ALL SELECT c.memory, c.tag, b.target, (SELECT max(seq) FROM back x WHERE x.memory = c.memory AND x.seq < b.target) FROM c JOIN back b ON b.memory = c.memory AND b.seq = c.lo),
+    v AS (SELECT c.memory, c.tag, l.key, l.seq, l.op, l.item, max(CASE WHEN op = 'set' THEN seq END) OVER (PARTITION BY c.memory, c.tag, l.key) AS base_seq
+      FROM c JOIN l ON l.memory = c.memory AND l.op IN ('set', 'append') AND l.seq < c.hi AND l.seq > coalesce(c.lo, -1)),
+    st AS (SELECT memory, tag, key, base_seq, count(*) AS n_items, CAST(sum(item) AS BIGINT) AS total, max(seq) AS last_seq, arg_max(item, seq) AS last_item FROM v WHERE base_seq IS NULL OR seq >= base_seq GROUP BY ALL)"""
+
+
+@query("stm8_tagged_states", f"WITH RECURSIVE {_AUDIT_SQL} SELECT * FROM st")
+def stm8_tags(spark, sf):
+    """Every key's list under every tag and now, kept by the stream."""
+    job = jobs.tagged_states(_audit_log(jobs.file_stream(spark, sf, "events")), "1 day")
+    parts = jobs.drain(job, "update", ["memory", "part", "tag"])
+    return parts.select("memory", "tag", F.inline("entries"))
+
+
+@query("stm8_states_replay", f"WITH RECURSIVE {_AUDIT_SQL} SELECT * FROM st")
+def stm8_replay(spark, sf):
+    """The same from the whole log at once, by the intervals that rollbacks leave."""
+    return audit.states(_audit_log(table(spark, sf, "events")))
+
+
+@query(
+    "stm8_tag_differences",
+    f"""WITH RECURSIVE {_AUDIT_SQL}, a AS (SELECT * FROM st WHERE tag = 't0'), b AS (SELECT * FROM st WHERE tag = '(now)')
+    SELECT coalesce(a.memory, b.memory) AS memory, coalesce(a.key, b.key) AS key, a.total AS old_total, a.n_items AS old_items, b.total AS new_total, b.n_items AS new_items
+    FROM a FULL JOIN b ON a.memory = b.memory AND a.key = b.key WHERE a.last_seq IS DISTINCT FROM b.last_seq OR a.base_seq IS DISTINCT FROM b.base_seq OR a.n_items IS DISTINCT FROM b.n_items""",
+)
+def stm8_tag_diff(spark, sf):
+    return audit.differences(audit.states(_audit_log(table(spark, sf, "events"))), "t0", audit.NOW)
+
+
 @query(
     "udf5_plugin_scorer",
     f"""

@@ -6,21 +6,27 @@ runs it over all files present and returns the written result as a table.
 
 from __future__ import annotations
 
+import json
 import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusgauge.operators.audit import NOW, PARTS
 from corpusgauge.session import shared_folder
 from corpusgauge.sources.tables import SCHEMAS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows of a key that may still change because an earlier one may come late.
+OPEN_ROWS = 1_000
+
 
 def file_stream(spark: SparkSession, folder: str, name: str, pattern: str | None = None, per_trigger: int = 64) -> DataFrame:
     """Files of one table as a stream; the event time becomes a timestamp."""
@@ -122,23 +128,106 @@ def latest_by_key(events: DataFrame, upto: Column | None = None) -> DataFrame:
     return state.select("user_id", F.col("r.event_id").alias("event_id"), F.col("r.value").alias("value"), "writes")
 
 
-def carried_decisions(rows: DataFrame, key: str, order: str, if_off: str, if_on: str) -> DataFrame:
-    """Decision stream whose answer depends on the key's last answer.
+def answers(last: int, if_off: np.ndarray, if_on: np.ndarray) -> np.ndarray:
+    """Each row maps the answer before it to its own; all answers of an ordered run, after ``last``.
+
+    A row whose two answers agree sets the answer; of the others some turn it round.
+    So an answer is that of the newest setting row, turned as often as rows since ask.
+    """
+    sets = if_off == if_on
+    turned = np.cumsum(~sets & (if_off == 1))
+    newest = np.maximum.accumulate(np.where(sets, np.arange(len(sets)), -1))
+    start = np.where(newest >= 0, if_off[newest], last)
+    return (start ^ ((turned - np.where(newest >= 0, turned[newest], 0)) & 1)).astype(np.int32)
+
+
+def carried_decisions(rows: DataFrame, key: str, order: str, if_off: str, if_on: str, open_rows: int = OPEN_ROWS) -> DataFrame:
+    """Decision stream whose answer depends on the key's last answer; drain it in update mode by (key, order).
 
-    State is one flag per key.  Rows of a key inside one micro-batch are put in
-    order; later files must hold later rows.
+    Rows may come in any order.  A key's newest ``open_rows`` rows stay open: a row
+    that comes late among them changes the answers after it, which go out again.
+    Older ones are folded into one flag; a row that belongs before them is dropped.
+    A repeated place counts once, with the row that came last.
     """
 
     def step(ident: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(frames)).sort_values(order)
-        answers = []
-        for off, on in zip(pdf[if_off].to_numpy(), pdf[if_on].to_numpy()):
-            last = int(on if last else off)
-            answers.append(last)
-        state.update((last,))
-        yield pd.DataFrame({key: ident[0], order: pdf[order].to_numpy(), "decision": answers})
-
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} long, {order} long, decision int", "last int", "append", GroupStateTimeout.NoTimeout
-    )
+        last, sealed, at, off, on, told = state.get if state.exists else (0, None, [], [], [], [])
+        new = pd.concat(list(frames))
+        if sealed is not None:
+            new = new[new[order] > sealed]
+        held = pd.DataFrame({order: at, if_off: off, if_on: on, "told": told}, dtype="int64")
+        both = pd.concat([held, new[[order, if_off, if_on]].assign(told=-1)]).drop_duplicates(order, keep="last").sort_values(order)
+        places = both[order].to_numpy(np.int64)
+        decided = answers(last, both[if_off].to_numpy(np.int64), both[if_on].to_numpy(np.int64))
+        changed = decided != both["told"].to_numpy()
+        cut = max(len(places) - open_rows, 0)
+        if cut:
+            last, sealed = int(decided[cut - 1]), int(places[cut - 1])
+        kept = [both[c].to_numpy(np.int64)[cut:].tolist() for c in (order, if_off, if_on)]
+        state.update((last, sealed, *kept, decided[cut:].tolist()))
+        yield pd.DataFrame({key: ident[0], order: places[changed], "decision": decided[changed]})
+
+    held = "last int, sealed long, at array<long>, off array<long>, `on` array<long>, told array<long>"
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, decision int", held, "update", GroupStateTimeout.NoTimeout)
+
+
+def tagged_states(log: DataFrame, late: str, parts: int = PARTS) -> DataFrame:
+    """``audit.states`` as a stream of log rows (ts, memory, seq, op, key, item, tag); drain it in update mode by (memory, part, tag).
+
+    The keys of a memory are dealt to ``parts`` states, and control rows go to all of
+    them.  Rows behind the watermark are applied in the order of ``seq`` and folded
+    into lists of a key; newer ones are held, so that a late row still finds its
+    place, and are replayed on a copy for what the batch reports.  ``ts`` and ``seq``
+    must agree in order.  A result row holds all keys of its part (``entries``).
+    """
+    control = F.col("op").isin("snapshot", "rollback")
+    everywhere = F.sequence(F.lit(0), F.lit(parts - 1))
+    own = F.array(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    valid = log.where("memory is not null and seq is not null and ((op in ('snapshot', 'rollback') and tag is not null) or (op in ('set', 'append') and key is not null))")
+    dealt = valid.withWatermark("ts", late).withColumn("part", F.explode(F.when(control, everywhere).otherwise(own)))
+
+    def step(ident: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {"now": {}, "tags": {}, "held": []}
+        if state.hasTimedOut:
+            new = []
+        else:
+            rows = pd.concat(list(frames))
+            text = rows[["key", "tag"]].astype(object).where(rows[["key", "tag"]].notna(), None)
+            items = [None if pd.isna(x) else int(x) for x in rows["item"]]
+            stamps = [int(t.timestamp() * 1000) for t in rows["ts"]]
+            new = [list(r) for r in zip(rows["seq"].tolist(), stamps, rows["op"].tolist(), text["key"], items, text["tag"])]
+        known = {r[0] for r in kept["held"]}
+        held = sorted(kept["held"] + [r for r in new if r[0] not in known], key=lambda r: r[0])
+        mark = state.getCurrentWatermarkMs()
+        done = 0
+        while done < len(held) and held[done][1] < mark:
+            done += 1
+        now, tags = _replay(kept["now"], kept["tags"], held[:done])
+        held = held[done:]
+        state.update((json.dumps({"now": now, "tags": tags, "held": held}),))
+        if held:
+            state.setTimeoutTimestamp(max(held[-1][1], mark) + 1)
+        if new:
+            now, tags = _replay(now, tags, held)
+            found = [(*ident, tag, [(k, *v) for k, v in sorted(keys.items())]) for tag, keys in [*tags.items(), (NOW, now)]]
+            yield pd.DataFrame(found, columns=["memory", "part", "tag", "entries"])
+
+    entry = "key: string, base_seq: bigint, n_items: bigint, total: bigint, last_seq: bigint, last_item: bigint"
+    out = f"memory long, part int, tag string, entries array<struct<{entry}>>"
+    return dealt.groupBy("memory", "part").applyInPandasWithState(step, out, "kept string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def _replay(now: dict, tags: dict, rows: list[list]) -> tuple[dict, dict]:
+    """State and tags after the ordered log rows; the given ones stay as they are."""
+    now, tags = dict(now), dict(tags)
+    for seq, _, op, key, item, tag in rows:
+        if op == "set":
+            now[key] = (seq, 1, item or 0, seq, item)
+        elif op == "append":
+            base, n, total, _, _ = now.get(key, (None, 0, 0, None, None))
+            now[key] = (base, n + 1, total + (item or 0), seq, item)
+        elif op == "snapshot":
+            tags[tag] = dict(now)
+        elif tag in tags:
+            now = dict(tags[tag])
+    return now, tags

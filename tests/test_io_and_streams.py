@@ -98,5 +98,5 @@ def test_carried_state_spans_files(spark):
         os.utime(path, (1_000_000 + i, 1_000_000 + i))
     turns = jobs.file_stream(spark, folder, "conversations", "t*.parquet", per_trigger=1)
     rows = turns.select("conv_id", "turn", F.lit(1).alias("off"), F.lit(0).alias("on"))
-    got = jobs.drain(jobs.carried_decisions(rows, "conv_id", "turn", "off", "on"), "append")
+    got = jobs.drain(jobs.carried_decisions(rows, "conv_id", "turn", "off", "on"), "update", ["conv_id", "turn"])
     assert [r["decision"] for r in got.orderBy("turn").collect()] == [1, 0, 1, 0, 1, 0]
