@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusgauge import fixed
 from corpusgauge.functions.common import flat, inline, ratio, rnd, scalar, sql_values
 from corpusgauge.operators import aggregates as agg
+from corpusgauge.operators import signals
 from corpusgauge.operators.joins import beaten_counts
 from corpusgauge.operators.tables import long_form
 from corpusgauge.plans.ordered import ordered, quantiles
@@ -468,6 +469,32 @@ def agg26(spark, sf):
     return hits.groupBy("conv_id").agg(*[F.count_if(F.col("signal") == s).alias(s) for s in ("spoiler", "forbidden", "negated", "opposite_time")])
 
 
+_FUTURE, _SETTLED = ("the reed", "is on", "der st", "with this"), ("the", "en", "that")
+_UNKNOWN = (("user", "is the"), ("system", "was"), ("assistant", "de la"), ("user", "von"))
+
+
+@query(
+    "agg26_dialogue_signals",
+    f"""
+    WITH f AS (SELECT * FROM {sql_values([(p, i) for i, p in enumerate(_FUTURE)], 'phrase, place')}), s AS (SELECT * FROM {sql_values([(p,) for p in _SETTLED], 'phrase')}), d AS (SELECT * FROM {sql_values([(d,) for d in signals.DENIALS], 'denial')}),
+    u AS (SELECT * FROM {sql_values(_UNKNOWN, 'role, phrase')}), t AS (SELECT conv_id, role, lower(text) AS said FROM conversations),
+    a AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 4 = place THEN 'allowed' ELSE 'spoilers' END AS about, phrase FROM t JOIN f ON contains(said, phrase)
+      UNION ALL SELECT DISTINCT conv_id, 'contradicted', phrase FROM t JOIN s ON true JOIN d ON contains(said, denial || phrase)
+      UNION ALL SELECT DISTINCT t.conv_id, 'breaches', u.role || ': ' || phrase FROM t JOIN u ON contains(said, phrase) JOIN conversations c ON c.conv_id = t.conv_id AND c.role = u.role),
+    g AS (SELECT conv_id, {', '.join(f"coalesce(string_agg(phrase, '; ' ORDER BY phrase) FILTER (WHERE about = '{n}'), '') AS {n}, count(*) FILTER (WHERE about = '{n}') AS n_{n}" for n in ('spoilers', 'allowed', 'contradicted', 'breaches'))} FROM a GROUP BY 1),
+    k AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT k.conv_id, {', '.join(f"coalesce({n}, '') AS {n}, CAST(coalesce(n_{n}, 0) AS INTEGER) AS n_{n}" for n in ('spoilers', 'allowed', 'contradicted', 'breaches'))} FROM k LEFT JOIN g ON k.conv_id = g.conv_id
+    """,
+)
+def agg26_dialogue(spark, sf):
+    """Spoilers without leave, denied facts and breaches of a role's knowledge per dialogue."""
+    turns = table(spark, sf, "conversations")
+    plan = F.when(F.col("conv_id").isNotNull(), F.element_at(F.array(*[F.lit(p) for p in _FUTURE]), (F.col("conv_id") % 4 + 1).cast("int")))
+    found = signals.dialogue_signals(turns, _FUTURE, _SETTLED, _UNKNOWN, turns.select("conv_id", plan.alias("phrase")))
+    names = ("spoilers", "allowed", "contradicted", "breaches")
+    return found.select("conv_id", *[F.array_join(n, "; ").alias(n) for n in names], *[f"n_{n}" for n in names])
+
+
 @query(
     "agg27_arm_comparison",
     """

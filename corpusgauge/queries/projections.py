@@ -8,6 +8,7 @@ from corpusgauge.operators import scoring
 from corpusgauge.operators.tables import completeness, varying_columns
 from corpusgauge.plans.ordered import ordered, quantiles
 from corpusgauge.registry import query
+from corpusgauge.sources import readers
 from corpusgauge.sources.tables import busy_table, table
 
 
@@ -485,6 +486,42 @@ def map1(spark, sf):
     return placed.select("conv_id", "role", F.col("pos").alias("place"), "state_md5")
 
 
+@query(
+    "map1_nested_rebuild",
+    """
+    WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM conversations),
+    i AS (SELECT conv_id, turn, 'r' || (length(line) % 3) AS outer_key, 'k' || (length(line) % 5) AS inner_key, string_agg(CAST(length(line) AS VARCHAR), ',' ORDER BY place) AS items, count(*) AS n FROM l GROUP BY ALL),
+    o AS (SELECT conv_id, turn, outer_key, string_agg('"' || inner_key || '":[' || items || ']', ',' ORDER BY inner_key) AS inside, count(*) AS n_inner, sum(n) AS n FROM i GROUP BY ALL)
+    SELECT conv_id, turn, CAST(count(*) AS BIGINT) AS n_outer, CAST(sum(n_inner) AS BIGINT) AS n_inner, CAST(sum(n) AS BIGINT) AS n_items, '{' || string_agg('"' || outer_key || '":{' || inside || '}', ',' ORDER BY outer_key) || '}' AS rebuilt, true AS same FROM o GROUP BY ALL
+    """,
+)
+def map1_rebuild(spark, sf):
+    """A map of maps of lists out of its JSON text to rows, and back from the rows; ``same`` compares with what was read."""
+    sizes = F.transform(F.split("text", "\n"), F.length)
+
+    def grouped(items, divisor, letter, inside):
+        keys = F.array_sort(F.array_distinct(F.transform(items, lambda x: x % divisor)))
+        entry = lambda k: F.struct(F.concat(F.lit(letter), k.cast("string")), inside(F.filter(items, lambda x: x % divisor == k)))
+        return F.map_from_entries(F.transform(keys, entry))
+
+    nested = grouped(sizes, 3, "r", lambda own: grouped(own, 5, "k", lambda items: items))
+    texts = table(spark, sf, "conversations").select("conv_id", "turn", F.to_json(nested).alias("json"))
+    docs = texts.withColumn("doc", readers.report(F.col("json")))
+    roles = readers.report_entries(docs, "doc", "$", "outer_key", "states").drop("doc")
+    states = readers.report_entries(roles, "states", "$", "inner_key", "items").drop("states")
+    rows = readers.report_items(states, "items", "$", "place", "item").drop("items").withColumn("item", readers.report_field(F.col("item"), "$", "int"))
+    # Each step holds what one report holds, no more.
+    per = ["conv_id", "turn", "json"]
+    lists = rows.groupBy(*per, "outer_key", "inner_key").agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("list"))
+    inner = lists.groupBy(*per, "outer_key").agg(F.array_sort(F.collect_list(F.struct("inner_key", F.col("list.item").alias("item")))).alias("list"))
+    outer = inner.groupBy(*per).agg(F.array_sort(F.collect_list(F.struct("outer_key", "list"))).alias("list"))
+    rebuilt = F.map_from_entries(F.transform("list", lambda o: F.struct(o["outer_key"], F.map_from_entries(o["list"]))))
+    n_inner = F.aggregate("list", F.lit(0).cast("long"), lambda n, o: n + F.size(o["list"]))
+    n_items = F.aggregate("list", F.lit(0).cast("long"), lambda n, o: n + F.aggregate(o["list"], F.lit(0).cast("long"), lambda m, i: m + F.size(i["item"])))
+    out = outer.select(*per, F.size("list").cast("long").alias("n_outer"), n_inner.alias("n_inner"), n_items.alias("n_items"), F.to_json(rebuilt).alias("rebuilt"))
+    return out.select("conv_id", "turn", "n_outer", "n_inner", "n_items", "rebuilt", (F.col("rebuilt") == F.col("json")).alias("same"))
+
+
 @query(
     "jsn1_fields_with_defaults",
     """

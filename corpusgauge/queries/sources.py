@@ -1,11 +1,15 @@
 """Scans, parsing, reshaping and sinks on the driver tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.common import rnd
 from corpusgauge.functions.records import repaired_json, run_parameters
 from corpusgauge.operators.tables import keep_first, long_form, standard_layout, tagged_union
 from corpusgauge.registry import query
+from corpusgauge.session import shared_folder
+from corpusgauge.sources import readers, sinks
 from corpusgauge.sources.readers import decoded, pick_story_file
 from corpusgauge.sources.sinks import csv_line, markdown_rows
 from corpusgauge.sources.tables import table
@@ -16,6 +20,25 @@ def src1(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
 
 
+@query(
+    "src1_csv_quarantine",
+    """
+    SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 89 = 0 OR o_orderkey % 97 = 0 OR o_orderkey % 83 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
+      CASE WHEN o_orderkey % 89 = 0 THEN 'fields' WHEN o_orderkey % 97 = 0 THEN 'type: o_totalprice' END AS reason FROM orders
+    """,
+)
+def src1_quarantine(spark, sf):
+    """Orders as CSV files, some lines cut short, some prices no number, some NaN; read back with the reason of every broken line."""
+    n = F.col("o_orderkey")
+    price = F.when(n % 97 == 0, "n/a").when(n % 83 == 0, "NaN").otherwise(F.col("o_totalprice").cast("string"))
+    lines = table(spark, sf, "orders").select(n, "o_orderstatus", F.concat(F.lit('pri "'), "o_orderpriority", F.lit('", late')).alias("note"), price.alias("o_totalprice"))
+    path = f"{shared_folder(spark).rstrip('/')}/orders-csv-{uuid.uuid4().hex}"
+    sinks.write_csv(lines.where(n % 89 != 0), path)
+    lines.where(n % 89 == 0).drop("o_totalprice").write.mode("append").csv(path, header=True, escape='"')
+    found = readers.checked_metrics_csv(spark, path, "o_orderkey long, o_orderstatus string, note string, o_totalprice double")
+    return found.select("o_orderkey", "o_orderstatus", "o_totalprice", "reason")
+
+
 @query(
     "src2_story_per_folder",
     """
@@ -57,6 +80,34 @@ def src3(spark, sf):
     return df.groupBy("event_type", "k").agg(F.count("*").alias("n"), rnd(F.avg("value"), 10).alias("mean_value"))
 
 
+def _reports(turns):
+    """Turns as nested JSON reports whose shape differs by role, as analysis files of several tools do."""
+    lines = F.split("text", "\n")
+    detailed = F.transform(lines, lambda x: F.struct(F.length(x).alias("size"), F.left(x, F.lit(1)).alias("first")))
+    whole = F.to_json(F.struct(F.struct(F.lit("story").alias("kind"), F.struct(F.left("text", F.lit(5)).alias("title")).alias("meta")).alias("head"), detailed.alias("chapters")))
+    plain = F.to_json(F.struct(F.transform(lines, F.length).alias("chapters")))
+    failed = F.to_json(F.struct(F.lit("no analysis").alias("error"), F.lit("none").alias("chapters")))
+    text = F.when(F.col("role") == "user", whole).when(F.col("role") == "assistant", plain).otherwise(failed)
+    return turns.select("conv_id", "turn", readers.report(text).alias("doc"))
+
+
+@query(
+    "src3_varying_reports",
+    """
+    WITH l AS (SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS lines FROM conversations), c AS (SELECT *, unnest(range(len(lines))) AS chapter FROM l WHERE role IN ('user', 'assistant'))
+    SELECT conv_id, turn, CAST(chapter AS INTEGER) AS chapter, CAST(length(lines[chapter + 1]) AS INTEGER) AS size, CASE WHEN role = 'user' THEN left(lines[chapter + 1], 1) ELSE '?' END AS first,
+      CASE WHEN role = 'user' THEN left(text, 5) ELSE '(none)' END AS title FROM c
+    """,
+)
+def src3_varying(spark, sf):
+    """Chapters of reports: structs in some, plain numbers in others, a string where the analysis failed."""
+    rows = readers.report_items(_reports(table(spark, sf, "conversations")), "doc", "$.chapters", "chapter", "item")
+    item = F.col("item")
+    size = F.coalesce(readers.report_field(item, "$.size", "int"), readers.report_field(item, "$", "int"))
+    title = readers.report_field(F.col("doc"), "$.head.meta.title", "string", "(none)")
+    return rows.select("conv_id", "turn", "chapter", size.alias("size"), readers.report_field(item, "$.first", "string", "?").alias("first"), title.alias("title"))
+
+
 @query(
     "src4_json_lines_skip_bad",
     """
