@@ -8,7 +8,7 @@ n rows is the n smallest.  Tasks hold bounded sums per draw, never all rows of a
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,37 @@ def mixed_sql(inner: str, value: str, out: str) -> str:
     return x
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _low(x: Column, bits: int = 32) -> Column:
+    return x.bitwiseAND(F.lit(2**bits - 1).cast("long"))
+
+
+def _times(x: Column, factor: int) -> Column:
+    """A product's low 32 bits, in halves: the whole would not fit a long."""
+    return _let(x, lambda v: _low(_low(F.shiftright(v, 16) * factor, 16) * 65536 + _low(v, 16) * factor))
+
+
+def mixed_column(x: Column) -> Column:
+    """The same mixer over a long column that holds 32 bits."""
+    shifted = lambda x, n: _let(x, lambda v: v.bitwiseXOR(F.shiftright(v, n)))
+    for shift, factor in MIX:
+        x = shifted(x, shift)
+        x = _times(x, factor) if factor else x
+    return x
+
+
+def draw_column(key: Column, draw: Column, draws: int, seed: int) -> Column:
+    """A row's hash in a draw, from its long key (NULL counts as 0) and the draw's number."""
+    long = F.coalesce(key.cast("long"), F.lit(0))
+    own = _let(long, lambda v: mixed_column(_low(v).bitwiseXOR(mixed_column(_low(F.shiftright(v, 32))))))
+    salt = F.array(*[F.lit(int(x)).cast("long") for x in salts(draws, seed)])
+    return mixed_column(own.bitwiseXOR(F.get(salt, draw)))
+
+
 def _tiles(keys: np.ndarray, salt: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
     """(rows, draws, hashes as draws x rows) in pieces that stay in the cache."""
     own = key_hash(keys)

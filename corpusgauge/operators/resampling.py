@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.common import attach, ratio
+from corpusgauge.operators.draws import draw_column, key_hash, mixed, salts
 from corpusgauge.operators.sequences import adjacent_similarity, dot
 from corpusgauge.plans.ordered import ordered, quantiles
 
@@ -25,15 +26,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK = 32
 
 
-def uniforms(keys: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
-    """Matrix rows x replicates of numbers in [0, 1) (splitmix64 of key and replicate)."""
-    step = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        z = keys.astype(np.int64).view(np.uint64)[:, None] + (reps.astype(np.uint64)[None, :] + np.uint64(seed)) * step
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    return (z >> np.uint64(11)).astype(np.float64) * 2.0**-53
+def uniforms(keys: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Matrix rows x replicates of numbers in [0, 1), multiples of 2**-32, from key hashes and the replicates' salts."""
+    return mixed(keys[:, None] ^ salt[None, :]) * 2.0**-32
 
 
 def _poisson_steps() -> np.ndarray:
@@ -62,23 +57,25 @@ def replicate_sums(df: DataFrame, key: Column, group: Column, value: Column, rep
 
     kind "bootstrap": Poisson(1) weights.  kind "subset": weight 1 with
     probability ``share``.  ``noise`` adds N(0, noise) to every drawn value.
+    The key is a long; rows with equal keys are drawn alike.
     """
-    rows = df.select(F.xxhash64(key).alias("k"), group.cast("string").alias("grp"), value.cast("double").alias("v")).where("v is not null")
+    salt = [salts(reps, seed + step) for step in (0, 7919, 104729)]
+    rows = df.select(F.coalesce(key.cast("long"), F.lit(0)).alias("k"), group.cast("string").alias("grp"), value.cast("double").alias("v")).where("v is not null")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
         for pdf in batches:
-            keys, values = pdf["k"].to_numpy(), pdf["v"].to_numpy()
+            keys, values = key_hash(pdf["k"].to_numpy()), pdf["v"].to_numpy()
             codes, names = pd.factorize(pdf["grp"])
             member = (codes[None, :] == np.arange(len(names))[:, None]).astype(np.float64)
             sums = np.zeros((2, len(names), reps))
             for start in range(0, reps, BLOCK):
                 ids = np.arange(start, min(start + BLOCK, reps))
-                u = uniforms(keys, ids, seed)
+                u = uniforms(keys, salt[0][ids])
                 w = poisson_weights(u) if kind == "bootstrap" else (u < share).astype(np.float64)
                 sums[0][:, ids] = member @ w
                 if noise:
-                    a, b = uniforms(keys, ids, seed + 7919), uniforms(keys, ids, seed + 104729)
+                    a, b = uniforms(keys, salt[1][ids]), uniforms(keys, salt[2][ids])
                     drawn = values[:, None] + noise * np.sqrt(-2.0 * np.log1p(-a)) * np.cos(2.0 * np.pi * b)
                     sums[1][:, ids] = member @ (w * drawn)
                 else:
@@ -135,8 +132,8 @@ def shuffle_baseline(df: DataFrame, key: str, order: str, vector: str, reps: int
     unit = F.transform(vector, lambda x: x.cast("double"))
     flat = df.select(key, order, unit.alias("x"), length.alias("len"))
     copies = flat.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    mixed = copies.withColumn("draw", F.xxhash64(F.lit(seed), "rep", order))
-    walked = ordered(mixed, [key, "rep"], "draw", [order], prev=["x", "len"]).where(F.col("prev").isNotNull())
+    drawn = copies.withColumn("draw", draw_column(F.col(order), F.col("rep"), reps, seed))
+    walked = ordered(drawn, [key, "rep"], "draw", [order], prev=["x", "len"]).where(F.col("prev").isNotNull())
     sim = F.coalesce(F.try_divide(dot(F.col("x"), F.col("prev.x")), F.col("len") * F.col("prev.len")), F.lit(0.0))
     draws = walked.groupBy(key, "rep").agg(F.avg(sim).alias("s")).join(real, key)
     out = draws.groupBy(key, "original").agg(

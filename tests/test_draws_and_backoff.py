@@ -74,3 +74,12 @@ def test_contexts_add_up_to_one(spark):
     assert 6 not in got and got[3].n == len(every)
     # German: one word seen once, so p(x) after the start is (1 - .75) / 1.
     assert got[7].ppl_trigram == pytest.approx(4.0)
+
+
+def test_column_hash_equals_the_array_hash(spark):
+    keys = [0, 1, -1, 2**31, 2**32 + 5, -(2**40), 2**63 - 1]
+    rows = spark.createDataFrame([(k, d) for k in [*keys, None] for d in range(4)], "k long, d int")
+    got = {(r[0], r[1]): r[2] for r in rows.select("k", "d", draws.draw_column(F.col("k"), F.col("d"), 4, 6)).collect()}
+    want = draws.mixed(draws.key_hash(np.array(keys))[:, None] ^ draws.salts(4, 6)[None, :])
+    assert all(got[k, d] == want[i, d] for i, k in enumerate(keys) for d in range(4))
+    assert all(got[None, d] == got[0, d] for d in range(4))
