@@ -20,6 +20,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +168,10 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
     return scanner()[1][scan_states(symbols), symbols]
 
 
+#: Bytes beyond which a piece is merged with a heap; below it a list is faster.
+LONG_PIECE = 256
+
+
 @lru_cache(4)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -178,6 +183,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[tuple[int, ...], tuple
     whole = ranks.get(piece)
     if whole is not None:
         return (whole,), (len(piece),)
+    if len(piece) > LONG_PIECE:
+        return _merge_long(piece, ranks)
     get, none = ranks.get, len(ranks) + 1
     cuts = list(range(len(piece) + 1))
     pair = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
@@ -194,6 +201,27 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[tuple[int, ...], tuple
     return tuple(ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])), tuple(cuts[1:])
 
 
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The same for a long piece: linked parts and a heap of pairs, so a merge costs the logarithm of the length."""
+    n, get = len(piece), ranks.get
+    after = list(range(1, n + 1))  # end of the part that begins here
+    before = list(range(-1, n))  # start of the part that ends here
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, end = heappop(heap)
+        middle = after[i]
+        if middle < 0 or middle >= n or after[middle] != end:
+            continue  # one of its parts has grown meanwhile
+        after[i], after[middle], before[end] = end, -1, i
+        if i and (rank := get(piece[before[i] : end])) is not None:
+            heappush(heap, (rank, before[i], end))
+        if end < n and (rank := get(piece[i : after[end]])) is not None:
+            heappush(heap, (rank, i, after[end]))
+    starts = [i for i in range(n) if after[i] > 0]
+    return tuple(ranks[piece[i : after[i]]] for i in starts), tuple(after[i] for i in starts)
+
+
 class Encoder:
     """Encodes lists of texts; keeps a bounded cache of merged pieces.
 

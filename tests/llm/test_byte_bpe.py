@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -30,6 +31,31 @@ def test_ids_and_offsets_equal_the_library(library):
     assert at == len(ids)
 
 
+def test_long_pieces_merge_as_short_ones_do(library, monkeypatch):
+    rng = random.Random(7)
+    ranks = byte_bpe.load_ranks(PATH)
+    pieces = ["".join(rng.choices(a, k=rng.randint(2, 400))).encode() for a in ("ab", "theandion", "aé漢x", "x") for _ in range(60)]
+    plain = [byte_bpe.merge(p, ranks) for p in pieces]
+    monkeypatch.setattr(byte_bpe, "LONG_PIECE", 1)
+    assert [byte_bpe.merge(p, ranks) for p in pieces] == plain
+    monkeypatch.setattr(byte_bpe, "LONG_PIECE", 10_000)
+    assert [byte_bpe.merge(p, ranks) for p in pieces] == plain
+
+
+def test_a_megabyte_without_blanks(library):
+    text = "".join(random.Random(8).choices("ABCDEFGHabcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    start = time.process_time()
+    ids, ends, _ = byte_bpe.Encoder(PATH).encode([text])
+    # A merge over the whole rest each time would take hours.
+    assert time.process_time() - start < 60
+    data, at = text.encode(), 0
+    for i, end in zip(ids.tolist(), ends.tolist()):
+        assert data[at:end] == library.decode_single_token_bytes(i)
+        at = end
+    assert at == len(data)
+    assert byte_bpe.Encoder(PATH).encode([text[:20_000]])[0].tolist() == library.encode_ordinary(text[:20_000])
+
+
 def test_round_trip_of_odd_rows(odd, odd_rows, library):
     rows = byte_bpe.decode_documents(byte_bpe.encode_documents(odd, PATH), PATH).collect()
     got = sorted((str(r.doc_id), bytes(r.decoded).decode(), list(r.token_ids)) for r in rows)
