@@ -168,6 +168,8 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
     return scanner()[1][scan_states(symbols), symbols]
 
 
+#: Characters that are encoded at a time; a longer text by itself.
+ENCODED_CHARS = 400_000
 #: Bytes beyond which a piece is merged with a heap; below it a list is faster.
 LONG_PIECE = 256
 
@@ -274,11 +276,12 @@ class Encoder:
         for word in set(words).difference(known):
             self._learn(word)
         found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        cuts = np.array(self.pool_cuts)
-        counts = (cuts[1:] - cuts[:-1])[found]
+        # Views of the pools; all that leaves this function is gathered from them.
+        cuts, pool_ids, pool_ends = map(np.asarray, (self.pool_cuts, self.pool_ids, self.pool_ends))
+        counts = cuts[found + 1] - cuts[found]
         first = np.cumsum(counts) - counts
         source = np.repeat(cuts[found] - first, counts) + np.arange(int(counts.sum()))
-        ids, inner = np.array(self.pool_ids)[source], np.array(self.pool_ends)[source]
+        ids, inner = pool_ids[source], pool_ends[source]
         cumulative = np.concatenate([[0], np.cumsum(counts)])
         piece_cut = np.concatenate([[0], np.cumsum(per_text)])
         per_ids = np.diff(cumulative[piece_cut])
@@ -308,7 +311,7 @@ def encode_documents(df: DataFrame, ranks_path: str, text: str = "text", keep_te
         encoder = Encoder(ranks_path)
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            for a, b in passes(texts):
+            for a, b in passes(texts, ENCODED_CHARS):
                 ids, ends, per = encoder.encode(texts[a:b])
                 part = batch.slice(a, b - a)
                 columns = [part.column(n) for n in names]
