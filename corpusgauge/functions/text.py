@@ -66,22 +66,27 @@ def chapters(text: Column) -> Column:
     the first heading belongs to no chapter.
     """
     heading = r"#[ \t]*(?:第[ \t]*([0-9]+)[ \t]*章|Chapter[ \t]+([0-9]+))[:：][ \t]*"
+
     # U+0001 marks where a heading begins, U+0002 parts its number from the title.
-    clean = F.translate(text, "\x01\x02", "")
-    named = F.regexp_replace(clean, heading, "\x01$1$2\x02")
-    plain = F.regexp_replace(F.concat(F.lit("\n"), clean), r"\n# ", "\x01\x02")
-    is_named = F.contains(named, F.lit("\x01"))
-    parts = F.split(F.when(is_named, named).otherwise(plain), "\x01")
-    blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-
-    def chapter(block: Column, place: Column) -> Column:
-        rest = F.substring_index(block, "\x02", -1)
-        title = F.substring_index(rest, "\n", 1)
-        body = F.substring(rest, F.length(title) + 2, F.length(rest))
+    # The text, its marked form and its parts are worked out once, not once a chapter.
+    def marked(clean: Column) -> Column:
+        named = F.regexp_replace(clean, heading, "\x01$1$2\x02")
+        plain = F.regexp_replace(F.concat(F.lit("\n"), clean), r"\n# ", "\x01\x02")
+        return let(named, lambda n: let(F.contains(n, F.lit("\x01")), lambda is_named: blocks(is_named, F.when(is_named, n).otherwise(plain))))
+
+    def blocks(is_named: Column, whole: Column) -> Column:
+        found = lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))
+        return let(F.split(whole, "\x01"), lambda p: F.transform(found(p), lambda block, place: chapter(is_named, block, place)))
+
+    def chapter(is_named: Column, block: Column, place: Column) -> Column:
         number = F.when(is_named, F.substring_index(block, "\x02", 1)).otherwise((place + 1).cast("string"))
+        return let(F.substring_index(block, "\x02", -1), lambda rest: let(F.substring_index(rest, "\n", 1), lambda title: parts(number, rest, title)))
+
+    def parts(number: Column, rest: Column, title: Column) -> Column:
+        body = F.substring(rest, F.length(title) + 2, F.length(rest))
         return F.struct(number.alias("number"), F.trim(title).alias("title"), body.alias("body"))
 
-    return F.transform(blocks, chapter)
+    return let(F.translate(text, "\x01\x02", ""), marked)
 
 
 def sentences_kept(text: Column, least: int = 2) -> Column:
