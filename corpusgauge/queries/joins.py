@@ -324,10 +324,10 @@ def join14(spark, sf):
     names = table(spark, sf, "benchmark").select(F.regexp_extract("text", WORD, 0).alias("name")).distinct()
     docs = busy_table(spark, sf, "documents").select("doc_id", "text")
     parts = F.split("text", r"[^\p{L}\p{N}]")
-    places = flat(docs, ["doc_id"], parts, "name", "pos")
-    # Count per (document, word) first: a frequent name is one row per document.
+    # Words that are no names go before anything moves; a frequent name is one row per document.
+    places = flat(docs, ["doc_id"], parts, "name", "pos").join(names, "name", "left_semi")
     counted = places.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    found = counted.join(names, "name").join(docs, "doc_id")
+    found = counted.join(docs, "doc_id")
     before = F.array_join(F.slice(parts, F.lit(1), F.col("pos")), "x")
     at = F.when(F.col("pos") == 0, 0).otherwise(F.length(before) + 1)
     located = found.select("doc_id", "name", "n", "text", at.alias("at"))

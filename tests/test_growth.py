@@ -15,3 +15,15 @@ def test_chapters_mark_headings_once(spark):
     df = spark.createDataFrame([(1, "# Chapter 1: a\nb")], "i int, t string").select(tx.chapters(F.col("t")).alias("c"))
     plan = df._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace(") == 2 and plan.count("split(") == 1
+
+
+def test_entity_words_meet_names_before_they_are_counted(spark, tmp_path):
+    """Only names are counted and moved, not all words; places and texts of names stay right."""
+    docs = [(1, "Ann met bob. Ann left", "en", "s", 21), (2, "nobody here", "en", "s", 11), (3, None, "en", "s", 0), (4, "bob, Ann", "en", "s", 8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Ann was"), (2, "- bob"), (3, "Ann is")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = all_queries()["join14_entity_mentions"].run(spark, str(tmp_path))
+    counted = _plan(df).split("count(1)")[1]
+    assert "Join LeftSemi" in counted
+    got = sorted(map(tuple, df.collect()))
+    assert got == [(1, "Ann", 2, docs[0][1]), (1, "bob", 1, docs[0][1]), (4, "Ann", 1, "bob, Ann"), (4, "bob", 1, "bob, Ann")]
