@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusgauge.functions.common import ratio
 from corpusgauge.plans.ordered import ordered, quantiles
+from corpusgauge.session import written
 
 
 def moments(value: str) -> list[Column]:
@@ -55,14 +56,12 @@ def coefficient_of_variation(value: str) -> Column:
     return F.try_divide(F.stddev_samp(value), F.abs(F.avg(value)))
 
 
-def weighted_outcomes(df: DataFrame, rater: str, item: str, score: str) -> DataFrame:
-    """Reliability-weighted win and loss score per item.
+#: Rows of a rater that one task puts in order; a rater with more is dealt to lanes.
+RATER_ROWS = 100_000
 
-    An item rated k times weighs min(1, k/4); a pair weighs the mean of its two
-    items.  Sums over lower scores replace one row per pair.
-    """
-    rated = df.groupBy(item).agg(F.least(F.lit(1.0), F.count(F.lit(1)) / 4).alias("w"))
-    rows = df.select(rater, item, score).join(rated, item)
+
+def _levels_in_lanes(rows: DataFrame, rater: str, score: str) -> DataFrame:
+    """Counts and weights below and above each row, for raters of any size."""
     per_score = rows.groupBy(rater, score).agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("sw"))
     swept = ordered(per_score, [rater], score, running={"c": "c", "w": "sw"})
     above_c = F.col("total_c") - F.col("before_c") - F.col("c")
@@ -71,7 +70,27 @@ def weighted_outcomes(df: DataFrame, rater: str, item: str, score: str) -> DataF
         rater, score, F.col("before_c").alias("beat_c"), F.col("before_w").alias("beat_w"),
         above_c.alias("lost_c"), above_w.alias("lost_w"),
     )
-    own = rows.join(levels, [rater, score])
+    return rows.join(levels, [rater, score])
+
+
+def weighted_outcomes(df: DataFrame, rater: str, item: str, score: str) -> DataFrame:
+    """Reliability-weighted win and loss score per item.
+
+    An item rated k times weighs min(1, k/4); a pair weighs the mean of its two
+    items.  Sums over lower scores replace one row per pair.
+    """
+    rated = df.groupBy(item).agg(F.least(F.lit(1.0), F.count(F.lit(1)) / 4).alias("w"))
+    heavy = written(df.groupBy(rater).count().where(F.col("count") > RATER_ROWS).select(rater), "raters")
+    rows = df.select(rater, item, score).where(F.col(rater).isNotNull()).join(rated, item)
+    # Rows meet their rater once; totals, ties and sums up to a score come from one sort.
+    upto, tied, whole = Window.partitionBy(rater).orderBy(score), Window.partitionBy(rater, score), Window.partitionBy(rater)
+    sums = {"c": F.count(F.lit(1)), "w": F.sum("w")}
+    levels = [(v.over(upto) - v.over(tied)).alias(f"beat_{n}") for n, v in sums.items()]
+    levels += [(v.over(whole) - v.over(upto)).alias(f"lost_{n}") for n, v in sums.items()]
+    own = rows.join(heavy, rater, "left_anti").select(item, score, "w", *levels)
+    if not heavy.isEmpty():
+        own = own.unionByName(_levels_in_lanes(rows.join(heavy, rater, "left_semi"), rater, score).select(*own.columns))
+    own = own.where(F.col(score).isNotNull())
     pair_wins = (F.col("beat_c") * F.col("w") + F.col("beat_w")) / 2
     pair_losses = (F.col("lost_c") * F.col("w") + F.col("lost_w")) / 2
     totals = own.groupBy(item).agg(

@@ -1,8 +1,11 @@
 """Steps whose rows, bytes or work grew faster than their input: what plans must not do again, and rows that the faster forms must keep."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
+from corpusgauge.operators import aggregates
 from corpusgauge.registry import all_queries
 
 
@@ -27,3 +30,19 @@ def test_entity_words_meet_names_before_they_are_counted(spark, tmp_path):
     assert "Join LeftSemi" in counted
     got = sorted(map(tuple, df.collect()))
     assert got == [(1, "Ann", 2, docs[0][1]), (1, "bob", 1, docs[0][1]), (4, "Ann", 1, "bob, Ann"), (4, "bob", 1, "bob, Ann")]
+
+
+def test_raters_of_any_size_give_the_same_outcomes(spark, monkeypatch):
+    """Small raters are put in order by one sort, a rater with many rows in lanes."""
+    rng = np.random.default_rng(6)
+    n = 400
+    pdf = pd.DataFrame({"r": np.where(rng.random(n) < 0.5, 0, rng.integers(1, 40, n)), "i": rng.integers(0, 14, n), "s": rng.integers(0, 6, n)})
+    df = spark.createDataFrame(pdf)
+    df = df.unionByName(df.limit(3).withColumn("r", F.lit(None).cast("long")))
+    outs = []
+    for most in (100_000, 20, 0):
+        monkeypatch.setattr(aggregates, "RATER_ROWS", most)
+        outs.append(aggregates.weighted_outcomes(df, "r", "i", "s").toPandas().sort_values("i").reset_index(drop=True))
+    assert outs[0].equals(outs[1]) and outs[0].equals(outs[2])
+    wins = sum(int((part["s"].to_numpy()[:, None] > part["s"].to_numpy()).sum()) for _, part in pdf.groupby("r"))
+    assert outs[0]["wins"].sum() == wins and outs[0]["losses"].sum() == wins
