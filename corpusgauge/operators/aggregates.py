@@ -35,7 +35,8 @@ def corrected_kurtosis(value: str) -> Column:
 
 def robust_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """IQR, MAD, corrected skewness and kurtosis, range per group."""
-    quarter = quantiles(df, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}).drop("n")
+    # Written, so that its size is known: rows are not sorted by a few groups.
+    quarter = written(quantiles(df, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}).drop("n"), "quarter")
     shape = df.groupBy(*keys).agg(
         *moments(value), corrected_skew(value).alias("skewness"), corrected_kurtosis(value).alias("kurtosis")
     )

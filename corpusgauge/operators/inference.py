@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.common import corr, ratio
 from corpusgauge.plans.ordered import ordered, quantiles, value_counts
+from corpusgauge.session import written
 
 
 def two_arms(df: DataFrame, keys: Sequence[str], is_a: Column, is_b: Column, value: str) -> DataFrame:
@@ -129,7 +130,7 @@ def kruskal_wallis(df: DataFrame, keys: Sequence[str], group: str, value: str) -
 
 def levene(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """Median-centred Levene: ANOVA on distances from the group median."""
-    medians = quantiles(df, [*keys, group], value, {"med": 0.5}).drop("n")
+    medians = written(quantiles(df, [*keys, group], value, {"med": 0.5}).drop("n"), "medians")
     dist = df.join(medians, [*keys, group]).withColumn("dev", F.abs(F.col(value) - F.col("med")))
     return one_way_anova(group_moments(dist, keys, group, "dev"), keys)
 

@@ -22,6 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusgauge.session import written
+
+
+#: Lanes that quantiles are looked for in, at least.
+LEAST_LANES = 64
+
 
 @dataclass(frozen=True)
 class Cuts:
@@ -213,7 +219,11 @@ def average_rank(lo: str = "lo", ties: str = "ties") -> Column:
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per (group, value): the map-side combine that tames hot values."""
     aggs = [F.count(F.lit(1)).alias("c")] + [F.sum(c).alias(n) for n, c in (extra or {}).items()]
-    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(*aggs)
+    return df.where(_measured(value)).groupBy(*keys, value).agg(*aggs)
+
+
+def _measured(value: str) -> Column:
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
 
 
 def quantiles(
@@ -223,9 +233,26 @@ def quantiles(
     probs: Mapping[str, float],
     parts: int | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, one column per name."""
-    counts = value_counts(df, keys, value)
-    walked = ordered(counts, keys, value, running={"c": "c"}, parts=parts)
+    """Exact linear-interpolation quantiles per group, one column per name.
+
+    Lanes are counted first; only the rows of lanes that hold a wanted place are put in order.
+    """
+    rows = df.where(_measured(value)).select(*keys, value)
+    cuts = cut_points(rows, value, parts or max(lanes_for(df), LEAST_LANES))
+    laned = with_lane(rows, value, cuts, "__b")
+    lanes = laned.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    places = lanes.withColumns({"__off": F.coalesce(F.sum("__c").over(earlier), F.lit(0)), "total_c": F.sum("__c").over(group)})
+    spots = [f((F.col("total_c") - 1) * F.lit(float(p))) for p in probs.values() for f in (F.floor, F.ceil)]
+    wanted = reduce(lambda a, b: a | b, [(F.col("__off") <= at) & (at < F.col("__off") + F.col("__c")) for at in spots])
+    here = [*keys, "__b"]
+    # Written, so that its size is known: few groups are a small table.
+    needed = written(places.where(wanted).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(here)], "__off", "total_c"), "lanes")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(here)])
+    kept = laned.join(needed, same).groupBy(*here, value, "__off", "total_c").agg(F.count(F.lit(1)).alias("c"))
+    inside = Window.partitionBy(*here).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    walked = kept.withColumn("before_c", F.col("__off") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
     held = lambda at: (F.col("before_c") <= at) & (at < F.col("before_c") + F.col("c"))
     aggs = [F.max("total_c").alias("n")]
     for name, p in probs.items():

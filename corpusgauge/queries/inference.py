@@ -11,6 +11,7 @@ from corpusgauge.operators import inference as inf
 from corpusgauge.operators import joins
 from corpusgauge.plans.ordered import attach_ranks, quantiles
 from corpusgauge.registry import query
+from corpusgauge.session import written
 from corpusgauge.sources.tables import table
 
 
@@ -279,7 +280,9 @@ def sta14(spark, sf):
 )
 def sta22(spark, sf):
     df = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"))
-    limits = quantiles(df, ["l_returnflag"], "x", {"a": 0.25, "b": 0.75}).drop("n").join(df.groupBy("l_returnflag").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")), "l_returnflag")
+    spread = df.groupBy("l_returnflag").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    # Written, so that its size is known and the rows need not be sorted by their few groups.
+    limits = written(quantiles(df, ["l_returnflag"], "x", {"a": 0.25, "b": 0.75}).drop("n").join(spread, "l_returnflag"), "limits")
     x, gap = F.col("x"), F.col("b") - F.col("a")
     marked = df.join(limits, "l_returnflag").withColumns({"fence": (x < F.col("a") - 0.5 * gap) | (x > F.col("b") + 0.5 * gap), "z": F.abs(x - F.col("m")) / F.col("s") > 1.7})
     clean = F.when(~F.col("fence"), x)

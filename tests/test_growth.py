@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
 from corpusgauge.operators import aggregates
+from corpusgauge.plans.ordered import quantiles
 from corpusgauge.registry import all_queries
 
 
@@ -32,6 +33,20 @@ def test_entity_words_meet_names_before_they_are_counted(spark, tmp_path):
     assert got == [(1, "Ann", 2, docs[0][1]), (1, "bob", 1, docs[0][1]), (4, "Ann", 1, "bob, Ann"), (4, "bob", 1, "bob, Ann")]
 
 
+def test_quantiles_order_only_the_lanes_they_need(spark, tmp_path):
+    """Lanes without a wanted place are left out, and rows meet their limits without a sort by a few groups."""
+    rows = [(i % 3, float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    out = quantiles(df, ["k"], "x", {"m": 0.5})
+    lanes = [f for f in out.inputFiles() if "/lanes-" in f]
+    assert lanes and spark.read.parquet(*lanes).count() <= 6
+    assert sorted(map(tuple, out.collect())) == [(k, 1000, float(np.median([x for g, x in rows if g == k]))) for k in range(3)]
+    line = ", ".join(f"{n} {t}" for n, t in [("l_returnflag", "string"), ("l_extendedprice", "double")])
+    spark.createDataFrame([(str(k), x) for k, x in rows], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = all_queries()["sta22_outliers"].run(spark, str(tmp_path))
+    assert any("/limits-" in f for f in found.inputFiles()) and found.count() == 3
+
+
 def test_raters_of_any_size_give_the_same_outcomes(spark, monkeypatch):
     """Small raters are put in order by one sort, a rater with many rows in lanes."""
     rng = np.random.default_rng(6)
