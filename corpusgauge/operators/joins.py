@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.common import flat, scalar
 from corpusgauge.plans.ordered import ordered
+from corpusgauge.session import written
 
 
 def paired_delta(df: DataFrame, keys: Sequence[str], is_base: Column, value: str) -> DataFrame:
@@ -87,52 +88,43 @@ def corrected(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequ
     return merged.select(*keys, *[F.coalesce(f"b_{c}", f"a_{c}").alias(c) for c in columns])
 
 
+#: Left words that are met where right units are read; with more, pairs are found first.
+MANY_HEADS = 50_000
+
+
 def fuzzy_matches(left: DataFrame, right: DataFrame, left_id: str, right_order: Sequence[str], words: str, floor: float) -> DataFrame:
     """First right unit whose word set has Jaccard >= ``floor``, per left unit.
 
-    Exact: two sets at or above the floor must share one of their rarest words
-    (prefix filter), so only rare words enter the join and frequent ones never
-    meet.  Right units with one and the same word set collapse first.
+    Exact: a right set at or above the floor shares at least ceil(floor * size) words
+    with the left set, so it holds one of any size - ceil(floor * size) + 1 words of it.
+    The left words that fewest right units hold are taken, and right units meet them
+    word by word where they are read: neither they nor their words are moved.  Only if
+    the left words are too many to be sent to all tasks, pairs are found first and get
+    their words after.
     """
-    def sets(df: DataFrame) -> DataFrame:
-        return df.withColumn(words, F.sort_array(F.array_distinct(words)))
-
-    left = sets(left.select(left_id, words)).withColumnRenamed(left_id, "__u")
-    right = sets(right.select(*right_order, words)).withColumn("__u", F.sha2(F.array_join(words, " "), 256))
-    firsts = right.groupBy("__u").agg(F.min(F.struct(*right_order)).alias("__first"))
-
-    def tokens(df: DataFrame) -> DataFrame:
-        return flat(df, ["__u", F.size(words).alias("__n")], F.col(words), "__w")
-
-    # Words the left side lacks can never meet; they count as the rarest and only
-    # use up prefix places, so they need no row of their own.  Any fixed order of
-    # the others is exact; rare words first keeps the join small.
-    left_words = tokens(left).select("__w").distinct()
-    shared_words = tokens(right).join(left_words, "__w", "left_semi")
-    freq = shared_words.groupBy("__w").agg(F.count(F.lit(1)).alias("__f"))
-
-    def prefix(rows: DataFrame) -> DataFrame:
-        ranked = rows.join(freq, "__w", "left").withColumn("__f", F.coalesce("__f", F.lit(0)))
-        arrays = ranked.groupBy("__u", "__n").agg(F.sort_array(F.collect_set(F.struct("__f", "__w"))).alias("__a"))
-        absent = F.col("__n") - F.size("__a")
-        keep = (F.col("__n") - F.ceil(F.col("__n") * F.lit(floor)) + 1 - absent).cast("int")
-        return arrays.where(keep > 0).select("__u", "__n", F.explode(F.slice("__a", F.lit(1), keep)).alias("__e")).select("__u", "__n", F.col("__e.__w").alias("__w"))
-
-    a = prefix(tokens(left)).select(F.col("__u").alias("__lu"), F.col("__n").alias("__ln"), "__w")
-    b = prefix(shared_words).select(F.col("__u").alias("__ru"), F.col("__n").alias("__rn"), "__w")
-    near = (F.col("__rn") >= F.col("__ln") * floor) & (F.col("__ln") >= F.col("__rn") * floor)
-    pairs = a.join(b, "__w").where(near).select("__lu", "__ru").distinct()
-    sides = firsts.select(F.col("__u").alias("__ru"), "__first")
-    texts = right.select(F.struct(*right_order).alias("__first"), F.col(words).alias("__rw"))
-    full = (
-        pairs.join(sides, "__ru")
-        .join(texts, "__first")
-        .join(left.select(F.col("__u").alias("__lu"), F.col(words).alias("__lw")), "__lu")
-        .withColumnRenamed("__lu", left_id)
-    )
+    units = left.where(F.col(left_id).isNotNull()).select(left_id, F.sort_array(F.array_distinct(words)).alias("__lw"))
+    units = written(units.distinct(), "units")
+    wanted = flat(units, [left_id, "__lw"], F.col("__lw"), "__w")
+    right = right.select(*right_order, F.array_distinct(words).alias("__rw"))
+    # Rare by what the right side holds; any order of the words is exact.
+    freq = flat(right, [], F.col("__rw"), "__w").join(wanted.select("__w").distinct(), "__w", "left_semi").groupBy("__w").agg(F.count(F.lit(1)).alias("__f"))
+    ranked = wanted.join(freq, "__w", "left").groupBy(left_id, "__lw").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("__f", F.lit(0)).alias("__f"), "__w"))).alias("__a"))
+    keep = (F.size("__lw") - F.ceil(F.size("__lw") * F.lit(floor)) + 1).cast("int")
+    heads = ranked.select(left_id, "__lw", F.explode(F.slice("__a", F.lit(1), keep)).alias("__e")).where("__e.__f > 0")
+    # Written, so that its size is known and a small table is sent to the tasks.
+    heads = written(heads.select(left_id, "__lw", F.col("__e.__w").alias("__w")), "heads")
+
+    first = F.struct(*right_order).alias("__first")
+    n, m = F.size("__lw"), F.col("__n")
+    many = heads.count() > MANY_HEADS
+    carried = right.select(first, F.size("__rw").alias("__n"), "__rw")
+    met = flat(carried, ["__first", "__n"] if many else ["__first", "__n", "__rw"], F.col("__rw"), "__w").join(heads, "__w")
+    pairs = met.where((m >= n * F.lit(floor)) & (n >= m * F.lit(floor))).drop("__w", "__n")
+    if many:
+        pairs = pairs.distinct().join(right.select(first, "__rw"), "__first")
     shared = F.size(F.array_intersect("__lw", "__rw"))
     jaccard = shared / (F.size("__lw") + F.size("__rw") - shared)
-    hits = full.withColumn("jaccard", jaccard).where(F.col("jaccard") >= floor)
+    hits = pairs.select(left_id, "__first", jaccard.alias("jaccard")).where(F.col("jaccard") >= floor)
     best = hits.groupBy(left_id).agg(F.min_by(F.struct("__first", "jaccard"), "__first").alias("__m"))
     return best.select(left_id, *[F.col("__m.__first")[c].alias(c) for c in right_order], F.col("__m.jaccard").alias("jaccard"))
 

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
-from corpusgauge.operators import aggregates
+from corpusgauge.operators import aggregates, joins
 from corpusgauge.plans.ordered import quantiles
 from corpusgauge.registry import all_queries
 
@@ -61,3 +61,20 @@ def test_raters_of_any_size_give_the_same_outcomes(spark, monkeypatch):
     assert outs[0].equals(outs[1]) and outs[0].equals(outs[2])
     wins = sum(int((part["s"].to_numpy()[:, None] > part["s"].to_numpy()).sum()) for _, part in pdf.groupby("r"))
     assert outs[0]["wins"].sum() == wins and outs[0]["losses"].sum() == wins
+
+
+def test_fuzzy_matches_do_not_move_the_right_side(spark, monkeypatch):
+    """First match by brute force, with copies, NULL words and empty sets; right words are shuffled in neither form's filter."""
+    rng = np.random.default_rng(3)
+    words = lambda: [f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 9))]
+    left, right = [(f"a{i}", words()) for i in range(30)] + [("none", None)], [(i, words()) for i in range(200)] + [(500, None)]
+    left.append(left[0])
+    lf, rf = spark.createDataFrame(left, "l string, w array<string>"), spark.createDataFrame(right, "r long, w array<string>")
+    score = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0
+    want = {a: next((r for r, v in right if score(w, v) >= 0.6), None) for a, w in left}
+    for most in (50_000, 0):
+        monkeypatch.setattr(joins, "MANY_HEADS", most)
+        out = joins.fuzzy_matches(lf, rf, "l", ["r"], "w", 0.6)
+        rows = out.collect()
+        assert {x.l: x.r for x in rows} == {a: r for a, r in want.items() if r is not None} and len({x.l for x in rows}) == len(rows)
+        assert any("/heads-" in f for f in out.inputFiles()) and "sha2" not in _plan(out)
