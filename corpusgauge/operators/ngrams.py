@@ -77,10 +77,11 @@ def overlap_bleu(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str)
     """
     sets = [F.transform(F.array_distinct(tx.ngrams(F.col(toks), n)), _pair(n)) for n in (1, 2)]
     rows = flat_structs(docs, [doc_id, *group], F.concat(*sets), "item")
-    freq = rows.groupBy(*group, "order", "item").agg((F.count("*") - 1).alias("others"))
-    met = rows.join(freq, [*group, "order", "item"]).groupBy(doc_id).agg(
-        *[F.sum(F.when(F.col("order") == n, F.col("others")).otherwise(0)).alias(f"m{n}") for n in (1, 2)]
-    )
+    # Texts are cut once and grams move once; a hash before the exact columns makes the sort cheap.
+    same = Window.partitionBy("__h", *group, "order", "item")
+    keyed = rows.withColumn("__h", F.xxhash64(*group, "order", "item"))
+    shared = keyed.select(doc_id, "order", (F.count(F.lit(1)).over(same) - 1).alias("others")).where("others > 0")
+    met = shared.groupBy(doc_id).agg(*[F.sum(F.when(F.col("order") == n, F.col("others")).otherwise(0)).alias(f"m{n}") for n in (1, 2)])
     members = docs.groupBy(*group).agg((F.count("*") - 1).alias("refs"))
     sized = docs.select(doc_id, *group, F.size(toks).alias("len")).join(members, list(group)).join(met, doc_id, "left")
     p1 = ratio(F.col("m1"), F.col("len") * F.col("refs"))

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
-from corpusgauge.operators import aggregates, joins
+from corpusgauge.operators import aggregates, joins, ngrams
 from corpusgauge.plans.ordered import quantiles
 from corpusgauge.registry import all_queries
 
@@ -78,3 +78,13 @@ def test_fuzzy_matches_do_not_move_the_right_side(spark, monkeypatch):
         rows = out.collect()
         assert {x.l: x.r for x in rows} == {a: r for a, r in want.items() if r is not None} and len({x.l for x in rows}) == len(rows)
         assert any("/heads-" in f for f in out.inputFiles()) and "sha2" not in _plan(out)
+
+
+def test_overlap_cuts_texts_into_grams_once(spark):
+    """Grams are not worked out again for their frequencies; other groups, NULL groups and lone documents count for nothing."""
+    docs = [(1, "g", ["a", "b", "a"]), (2, "g", ["a", "b"]), (3, "g", ["c"]), (4, "h", ["a", "b"]), (5, "i", []), (6, "i", ["a", "b"]), (7, None, ["a", "b"])]
+    df = spark.createDataFrame(docs, "d long, g string, t array<string>")
+    out = ngrams.overlap_bleu(df, "d", ["g"], "t")
+    assert _plan(out).count("Generate ") == 1
+    got = {x.d: round(x.overlap, 9) for x in out.collect()}
+    assert got == {1: round((2 / 6 * (1 / 4)) ** 0.5, 9), 2: round((2 / 4 * (1 / 2)) ** 0.5, 9), 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0}
