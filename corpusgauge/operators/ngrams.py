@@ -128,9 +128,12 @@ def sentence_continuity(docs: DataFrame, doc_id: str) -> DataFrame:
     """
     parts = flat(docs, [doc_id], tx.found(F.lower("text"), r"[^.!?\n]+"), "sentence", "raw")
     sents = parts.select(doc_id, "raw", tx.words(F.col("sentence")).alias("w"))
-    counted = flat_structs(sents, [doc_id, "raw"], tx.counted(F.col("w")), "item")
-    total = sents.agg(F.count_if(F.size("w") > 0).alias("n"))
-    df = counted.groupBy("item").agg(F.count("*").alias("df"))
+    first = F.transform(tx.counted(F.col("w")), lambda x, i: F.struct(x["item"].alias("item"), x["c"].alias("c"), (i == 0).cast("int").alias("first")))
+    counted = flat_structs(sents, [doc_id, "raw"], first, "item")
+    # Written, so that its size is known: rows need not be sorted by word to meet a small vocabulary.
+    df = written(counted.groupBy("item").agg(F.count("*").alias("df"), F.sum("first").alias("firsts")), "df")
+    # Every sentence that holds words has one first word.
+    total = df.agg(F.sum("firsts").alias("n"))
     weighted = attach(counted.join(df, "item"), total, "t").select(doc_id, "raw", "item", (F.col("c") * F.log(1 + F.col("t.n") / F.col("df"))).alias("x"))
     # One shuffle brings a document's words together; all later steps stay there.
     local = weighted.repartition(F.col(doc_id))

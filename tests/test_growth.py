@@ -88,3 +88,15 @@ def test_overlap_cuts_texts_into_grams_once(spark):
     assert _plan(out).count("Generate ") == 1
     got = {x.d: round(x.overlap, 9) for x in out.collect()}
     assert got == {1: round((2 / 6 * (1 / 4)) ** 0.5, 9), 2: round((2 / 4 * (1 / 2)) ** 0.5, 9), 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0}
+
+
+def test_sentence_words_meet_a_written_vocabulary(spark):
+    """Frequencies and the number of sentences come from one pass, and its small table is read back."""
+    df = spark.createDataFrame([(1, "A b. A c! -- ? b"), (2, "b b. c"), (3, None), (4, "...")], "doc long, text string")
+    out = ngrams.sentence_continuity(df, "doc")
+    assert any("/df-" in f for f in out.inputFiles())
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("posexplode") == 1
+    got = {x.doc: (x.gaps, round(x.mean, 9)) for x in out.collect()}
+    a, b, c = np.log(1 + 5 / 2), np.log(1 + 5 / 3), np.log(1 + 5 / 2)
+    assert got == {1: (1, round(a * a / (np.hypot(a, b) * np.hypot(a, c)), 9)), 2: (1, 0.0)}
