@@ -24,10 +24,11 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusgauge.llm.common import passes
+from corpusgauge.llm.common import ranges, text_passes
 
 # White_Space of the Unicode standard, as \s has it.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -35,7 +36,7 @@ WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 
 #: Merged pieces that a Python worker keeps; then the cache starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 200_000
 
 # Code point classes.
 SEP, LETTER, NUMBER, OTHER, APOSTROPHE, BLANK, SPACE = range(7)
@@ -168,8 +169,8 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
     return scanner()[1][scan_states(symbols), symbols]
 
 
-#: Characters that are encoded at a time; a longer text by itself.
-ENCODED_CHARS = 400_000
+#: Bytes of text that are encoded at a time, and ids that are decoded at a time; a longer text by itself.
+ENCODED_BYTES, DECODED_IDS = 400_000, 200_000
 #: Bytes beyond which a piece is merged with a heap; below it a list is faster.
 LONG_PIECE = 256
 
@@ -310,9 +311,8 @@ def encode_documents(df: DataFrame, ranks_path: str, text: str = "text", keep_te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_path)
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for a, b in passes(texts, ENCODED_CHARS):
-                ids, ends, per = encoder.encode(texts[a:b])
+            for a, b, texts in text_passes(batch.column(text), ENCODED_BYTES):
+                ids, ends, per = encoder.encode(texts)
                 part = batch.slice(a, b - a)
                 columns = [part.column(n) for n in names]
                 columns += [_list_array(ids, per, pa.int32()), _list_array(ends.astype(np.int32), per, pa.int32())]
@@ -334,12 +334,11 @@ def decode_documents(df: DataFrame, ranks_path: str, ids: str = "token_ids", out
         for token, rank in ranks.items():
             tokens[rank] = token
         for batch in batches:
-            lists = batch.column(ids)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            counts = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
-            cuts = np.concatenate([[0], np.cumsum(counts)])
-            texts = [b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(cuts, cuts[1:])]
-            columns = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], [*names, out])
+            for a, b in ranges(pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_pylist(), DECODED_IDS):
+                part = batch.slice(a, b - a)
+                lists = part.column(ids).to_pylist()
+                texts = [b"".join(map(tokens.__getitem__, own or ())) for own in lists]
+                columns = [part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], [*names, out])
 
     return df.select(*names).mapInArrow(run, schema)

@@ -223,9 +223,13 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t.as_py()) for t in batch.column(1)]
-            fps = pa.array([sample_fingerprints(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), fps], ["key", "mark", "n", "fps"])
+            sizes, fps = [], []
+            for t in batch.column(1):
+                own = shingle_hashes(t.as_py())
+                sizes.append(len(own))
+                fps.append(sample_fingerprints(own))
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "mark", "n", "fps"])
 
     rows = stored(source.mapInArrow(sample, "key long, mark long, n long, fps array<long>"), "samples")
     texts = rows.groupBy("mark").agg(F.min("key").alias("first"), F.any_value("n").alias("n"), F.any_value("fps").alias("fps"))

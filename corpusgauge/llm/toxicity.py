@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgauge.llm.common import crc_remainder, hash_sample, passes
+from corpusgauge.llm.common import crc_remainder, hash_sample, text_passes
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 1_000, 2_000, 5
 MAX_WORDS, MAX_GRAMS = 20_000, 20_000
@@ -44,10 +44,12 @@ THRESHOLD = 0.3
 DROP, DECAY = 0.25, 0.1
 #: Windows of one training step, and steps of a round at least.
 BATCH, ROUND_STEPS = 256, 20
-#: Words whose inputs a Python worker keeps; then the cache starts anew.
-CACHE_WORDS = 400_000
-#: Windows in one pass of the recurrent layers.
-PASS_WINDOWS = 4_096
+#: Words whose inputs a Python worker keeps; then only those of the texts at hand stay.
+CACHE_WORDS = 100_000
+#: Windows in one pass of the recurrent layers, in training and over whole texts.
+PASS_WINDOWS, TEXT_WINDOWS = 4_096, 1_024
+#: Bytes of text that a task scores at a time; a longer text by itself.
+SCORED_BYTES = 400_000
 
 # Everything but letters, digits and characters beyond ASCII parts words.
 _PART = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -270,17 +272,22 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self._clear()
-
-    def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.rows = {side: np.zeros((1024, 3 * HIDDEN), np.float32) for side in "fb"}
 
+    def _keep(self, words: set[bytes]) -> None:
+        """Only these words stay in the cache."""
+        kept = [w for w in self.place if w in words]
+        at = np.array([self.place[w] for w in kept], np.int64)
+        self.rows = {side: rows[at] for side, rows in self.rows.items()}
+        self.place = dict(zip(kept, range(len(kept))))
+
     def _ids(self, words: list[bytes]) -> np.ndarray:
+        distinct = set(words)
         if len(self.place) > CACHE_WORDS:
-            self._clear()
+            self._keep(distinct)
         place, model = self.place, self.model
-        new = list(set(words).difference(place))
+        new = list(distinct.difference(place))
         if new:
             have, need = len(place), len(place) + len(new)
             x = model.inputs(new)
@@ -293,12 +300,12 @@ class Scorer:
             place.update(zip(new, range(have, need)))
         return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
-    def _passes(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def _passes(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
         out = np.empty(len(starts), np.float32)
         # Windows of like size share a pass, so short texts cost few steps.
         order = np.argsort(sizes, kind="stable")
-        for at in range(0, len(order), PASS_WINDOWS):
-            pick = order[at : at + PASS_WINDOWS]
+        for at in range(0, len(order), most):
+            pick = order[at : at + most]
             steps = max(1, int(sizes[pick].max()))
             place = np.arange(steps)[:, None]
             mask = place < sizes[pick]
@@ -311,7 +318,7 @@ class Scorer:
     def logits(self, windows: list[list[bytes]]) -> np.ndarray:
         sizes = np.array([len(w) for w in windows], np.int64)
         ids = self._ids([w for words in windows for w in words])
-        return self._passes(ids, np.cumsum(sizes) - sizes, sizes)
+        return self._passes(ids, np.cumsum(sizes) - sizes, sizes, PASS_WINDOWS)
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """The largest logit of all windows of each text."""
@@ -325,7 +332,7 @@ class Scorer:
             lengths += [min(WINDOW, n)] * len(own)
             owner.append(len(starts) - len(own))
             base += n
-        found = self._passes(ids, np.array(starts), np.array(lengths))
+        found = self._passes(ids, np.array(starts), np.array(lengths), TEXT_WINDOWS)
         return np.maximum.reduceat(found, owner) if len(owner) else found
 
 
@@ -398,12 +405,12 @@ def score(docs: DataFrame, model: Model | float, text: str = "text", out: str =
         scorer = Scorer(shared.value)
         slope, offset = scorer.model.scale
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            values = [scorer.texts(texts[a:b]) for a, b in passes(texts)]
-            z = np.concatenate(values).astype(float) if values else np.zeros(0)
-            if not raw:
-                z = _sigmoid(slope * z + offset)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(z, pa.float64())], [*names, out])
+            for a, b, texts in text_passes(batch.column(text), SCORED_BYTES):
+                z = scorer.texts(texts).astype(float)
+                if not raw:
+                    z = _sigmoid(slope * z + offset)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(z, pa.float64())], [*names, out])
 
     return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
 
