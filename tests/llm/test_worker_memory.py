@@ -11,6 +11,7 @@ import pytest
 from corpusgauge.llm import byte_bpe, common
 from corpusgauge.llm import paragraph_dedup as P
 from corpusgauge.llm import toxicity as X
+from corpusgauge.llm.components import components
 from tests.llm.conftest import prose
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -89,3 +90,30 @@ def test_bitmap_of_keys_made_of_several_columns(spark):
     content, first = (np.array(x, np.int64) for x in zip(*rows))
     assert common.bitmap_has(bitmap, P._own(content, first)).all()
     assert common.bitmap_has(bitmap, P._own(content, first + 5)).mean() < 0.1
+
+
+def test_steps_of_components_are_deleted(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
+    rows = components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (91, 91)], "a long, b long"))
+    assert {(r.node, r.root) for r in rows.collect()} == {(n, r) for group in (range(41), (90, 91)) for n in group for r in {x.root for x in rows.where(f"node = {group[0]}").collect()}}
+    written = list(tmp_path.iterdir())
+    assert len(written) == 1
+
+
+def test_only_texts_with_copies_are_moved(spark, odd_rows):
+    rng = random.Random(8)
+    shared = " ".join(prose(rng, 40))
+    rows = [(100 + i, " ".join(prose(rng, 300)) + (" " + shared if i in (3, 7) else "")) for i in range(30)]
+    df = spark.createDataFrame([*rows, *((i, t) for i, t, _ in odd_rows)], "doc_id long, text string").repartition(2)
+    found = P.deduplicate(df)
+    texts = dict(rows)
+    own = [r for r in found.collect()]
+    assert len(own) == len(rows) + len(odd_rows)
+    removed = {r.doc_id: r.n_removed for r in own if r.n_removed}
+    assert set(removed) & set(texts) == {107} and removed[107] >= 36
+    for r in own:
+        assert r.n_words == len((texts.get(r.doc_id) if r.doc_id in texts else dict((i, t) for i, t, _ in odd_rows).get(r.doc_id) or "").split()) or r.doc_id is None
+        assert r.n_removed or r.doc_id not in texts or r.text == texts[r.doc_id]
+    exchanged = found._jdf.queryExecution().executedPlan().toString()
+    assert "copied" in exchanged and "others" in exchanged
