@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import bitmap_has, hash_sample, key_bitmap, mix, stored
+from corpusgauge.llm.common import bitmap_has, hash_sample, key_bitmap, mix, small_batches, stored
 from corpusgauge.llm.components import components
 from corpusgauge.llm.paragraph_dedup import _edges, jaccard_forest
 
@@ -218,7 +218,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     ``mark`` is the hash of the text.  Equal texts are one class whatever their
     number; all pairs of the different texts of a linked class are covered.
     """
-    source = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = small_batches(df).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     source = source.withColumn("mark", F.xxhash64("text"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

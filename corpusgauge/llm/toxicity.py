@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgauge.llm.common import crc_remainder, hash_sample, text_passes
+from corpusgauge.llm.common import crc_remainder, hash_sample, small_batches, text_passes
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 1_000, 2_000, 5
 MAX_WORDS, MAX_GRAMS = 20_000, 20_000
@@ -412,7 +412,7 @@ def score(docs: DataFrame, model: Model | float, text: str = "text", out: str =
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(z, pa.float64())], [*names, out])
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
+    return small_batches(docs).select(*dict.fromkeys([*names, text])).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
 
 
 def learnable(key: str = "doc_id") -> Column:

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusgauge.llm import byte_bpe, common
 from corpusgauge.llm import paragraph_dedup as P
@@ -117,3 +118,22 @@ def test_only_texts_with_copies_are_moved(spark, odd_rows):
         assert r.n_removed or r.doc_id not in texts or r.text == texts[r.doc_id]
     exchanged = found._jdf.queryExecution().executedPlan().toString()
     assert "copied" in exchanged and "others" in exchanged
+
+
+def test_workers_are_handed_small_batches(spark, monkeypatch):
+    name, rows = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(40).select("id", F.repeat(F.lit("x"), 50_000).alias("text")).coalesce(1)
+    before = spark.conf.get(name)
+    largest = lambda df: max(r.n for r in df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect())
+    try:
+        spark.conf.set(name, str(64 * 2**20))
+        assert largest(rows) > 1_900_000
+        monkeypatch.setattr(common, "BATCH_BYTES", 200_000)
+        assert largest(common.small_batches(rows)) < 400_000
+        spark.conf.set(name, "100000b")
+        common.small_batches(rows)
+        assert spark.conf.get(name) == "100000b"
+        spark.conf.set(name, "64m")
+        common.small_batches(rows)
+        assert spark.conf.get(name) == "64m"
+    finally:
+        spark.conf.set(name, before)
