@@ -5,7 +5,8 @@ to a class; class and next class select a transition function over a few scanner
 states.  Functions compose associatively, so the states at all places come from
 a blocked prefix scan of compositions (a table look-up per place), and the piece
 boundaries from (state, symbol).  No regular expression runs.  The pieces go
-through a cache of merged pieces; a miss is merged by rank.
+through a cache of merged pieces; misses of about one length are merged by rank side
+by side, one merge of each a step, and few or long ones by themselves.
 
 Cases: NULL and empty texts give no ids and decode to an empty text; repeated rows
 are encoded each; a text of any length is one pass of its own; columns of the input
@@ -21,6 +22,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusgauge.llm.common import ranges, text_passes
+from corpusgauge.llm.common import ranges, small_batches, text_passes
 
 # White_Space of the Unicode standard, as \s has it.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -173,6 +175,10 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
 ENCODED_BYTES, DECODED_IDS = 400_000, 200_000
 #: Bytes beyond which a piece is merged with a heap; below it a list is faster.
 LONG_PIECE = 256
+#: Fewer new pieces of about one length are merged one by one.
+FEW_PIECES = 32
+#: Stands for the rank of a pair that is no token; above all ranks.
+NO_PAIR = 2**31 - 1
 
 
 @lru_cache(4)
@@ -181,6 +187,104 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Pairs:
+    """Ranks of joined tokens by the ranks of the two, for whole arrays: a table with open addressing."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        get, found = ranks.get, []
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                if (left := get(token[:cut])) is not None and (right := get(token[cut:])) is not None:
+                    found.append((left << 32 | right, rank))
+        keys, values = np.array(found, np.int64).reshape(-1, 2).T
+        self.bits = max(4 * len(keys), 16).bit_length()
+        self.keys, self.values = np.full(2**self.bits, -1, np.int64), np.full(2**self.bits, NO_PAIR, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            at = slot[todo]
+            first = np.unique(at, return_index=True)[1]
+            first = first[self.keys[at[first]] < 0]
+            self.keys[at[first]], self.values[at[first]] = keys[todo[first]], values[todo[first]]
+            todo = np.delete(todo, first)
+            slot[todo] = slot[todo] + 1 & 2**self.bits - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each joined pair, ``NO_PAIR`` where it is no token."""
+        keys = left.astype(np.int64) << 32 | right
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], np.int32(NO_PAIR))
+        more = np.flatnonzero((held != keys) & (held >= 0))
+        while len(more):
+            slot[more] = slot[more] + 1 & 2**self.bits - 1
+            held = self.keys[slot[more]]
+            hit = more[held == keys[more]]
+            out[hit] = self.values[slot[hit]]
+            more = more[(held != keys[more]) & (held >= 0)]
+        return out
+
+
+@lru_cache(4)
+def load_pairs(path: str) -> Pairs | None:
+    """None if ranks do not tell tokens apart or a byte has none; pieces are merged one by one then."""
+    ranks = load_ranks(path)
+    fit = all(bytes([b]) in ranks for b in range(256)) and len(set(ranks.values())) == len(ranks) and 0 <= min(ranks.values()) and max(ranks.values()) < NO_PAIR
+    return Pairs(ranks) if fit else None
+
+
+def merge_many(pieces: list[bytes], pairs: Pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all pieces, the byte places where they end in their piece, and ids per piece; as ``merge`` of each.
+
+    A column is a piece, a row the place of a part in it.  A step merges in every column
+    the leftmost pair of lowest rank and moves what follows up by a row.
+    """
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    data, first = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes
+    width = int(sizes.max())
+    row = np.arange(width, dtype=np.int32)[:, None]
+    ids = pairs.bytes[data[np.minimum(first + row, len(data) - 1)]]
+    ends = np.repeat(row + 1, len(pieces), axis=1)
+    rank = pairs.ranks(ids[:-1].reshape(-1), ids[1:].reshape(-1)).reshape(width - 1, -1)
+    rank[row[1:] >= sizes] = NO_PAIR
+    done_ids, done_ends, done_sizes, own = ids, ends, sizes, None
+    while True:
+        best = rank.min(axis=0) if len(rank) else np.full(rank.shape[1], NO_PAIR, np.int32)
+        on = np.flatnonzero(best < NO_PAIR)
+        if 2 * len(on) <= len(best):
+            # The finished pieces are put away.
+            if own is not None:
+                k = len(ids)
+                done_ids[:k, own], done_ends[:k, own], done_sizes[own] = ids, ends, sizes
+            own = on if own is None else own[on]
+            if not len(on):
+                break
+            k = int(sizes[on].max())
+            ids, ends, rank, sizes, best = ids[:k, on], ends[:k, on], rank[: k - 1, on], sizes[on], best[on]
+            on = np.arange(len(on))
+        k = len(ids)
+        at = np.where(rank == best, row[: k - 1], k).min(axis=0)
+        at[best == NO_PAIR] = k
+        after = row[: k - 1] > at
+        ends[:-1] = np.where(row[: k - 1] >= at, ends[1:], ends[:-1])
+        ids[:-1] = np.where(after, ids[1:], ids[:-1])
+        rank[:-1] = np.where(after[:-1], rank[1:], rank[:-1])
+        rank[-1] = NO_PAIR
+        at = at[on]
+        ids[at, on] = best[on]
+        sizes[on] -= 1
+        near = at > 0
+        rank[at[near] - 1, on[near]] = pairs.ranks(ids[at[near] - 1, on[near]], best[on[near]])
+        near = at + 1 < sizes[on]
+        rank[at[near], on[near]] = pairs.ranks(best[on[near]], ids[at[near] + 1, on[near]])
+        rank[at[~near], on[~near]] = NO_PAIR
+    held = (row < done_sizes).T
+    return done_ids.T[held], done_ends.T[held], done_sizes
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Ids of a piece and the byte places where they end; lowest rank merges first, ties leftmost."""
     whole = ranks.get(piece)
@@ -188,7 +292,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[tuple[int, ...], tuple
         return (whole,), (len(piece),)
     if len(piece) > LONG_PIECE:
         return _merge_long(piece, ranks)
-    get, none = ranks.get, len(ranks) + 1
+    get, none = ranks.get, NO_PAIR
     cuts = list(range(len(piece) + 1))
     pair = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
     while pair:
@@ -233,20 +337,32 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.ranks = load_ranks(path)
+        self.ranks, self.pairs = load_ranks(path), load_pairs(path)
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.pool_ids, self.pool_ends, self.pool_cuts = array("i"), array("i"), array("q", [0])
 
-    def _learn(self, piece: bytes) -> int:
-        ids, ends = merge(piece, self.ranks)
-        self.pool_ids.extend(ids)
-        self.pool_ends.extend(ends)
-        self.pool_cuts.append(len(self.pool_ids))
-        self.place[piece] = place = len(self.place)
-        return place
+    def _learn(self, pieces: set[bytes]) -> None:
+        groups: dict[int, list[bytes]] = {}
+        for piece in pieces:
+            size = len(piece)
+            alone = self.pairs is None or size > LONG_PIECE or piece in self.ranks
+            groups.setdefault(0 if alone else (size - 1).bit_length(), []).append(piece)
+        for kind, own in groups.items():
+            if kind and len(own) >= FEW_PIECES:
+                ids, ends, counts = merge_many(own, self.pairs)
+                self.pool_ids.frombytes(ids.astype(np.int32).tobytes())
+                self.pool_ends.frombytes(ends.astype(np.int32).tobytes())
+                self.pool_cuts.frombytes((self.pool_cuts[-1] + np.cumsum(counts)).tobytes())
+            else:
+                for piece in own:
+                    ids, ends = merge(piece, self.ranks)
+                    self.pool_ids.extend(ids)
+                    self.pool_ends.extend(ends)
+                    self.pool_cuts.append(len(self.pool_ids))
+            self.place.update(zip(own, range(len(self.place), len(self.place) + len(own))))
 
     def pieces(self, texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Joined bytes, byte places of all piece starts and the end, pieces per text."""
@@ -273,10 +389,11 @@ class Encoder:
             self._clear()
         at = places.tolist()
         words = list(map(data.__getitem__, map(slice, at, at[1:])))
-        known = self.place
-        for word in set(words).difference(known):
-            self._learn(word)
-        found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(found < 0).tolist()
+        if missed:
+            self._learn({words[i] for i in missed})
+            found[missed] = [self.place[words[i]] for i in missed]
         # Views of the pools; all that leaves this function is gathered from them.
         cuts, pool_ids, pool_ends = map(np.asarray, (self.pool_cuts, self.pool_ids, self.pool_ends))
         counts = cuts[found + 1] - cuts[found]
@@ -318,10 +435,36 @@ def encode_documents(df: DataFrame, ranks_path: str, text: str = "text", keep_te
                 columns += [_list_array(ids, per, pa.int32()), _list_array(ends.astype(np.int32), per, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, [*names, "token_ids", "token_ends"])
 
-    source = df.select(*dict.fromkeys([*names, text]))
+    source = small_batches(df).select(*dict.fromkeys([*names, text]))
     return source.mapInArrow(run, schema)
 
 
+@lru_cache(4)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens in the order of their ranks, and where those of each rank begin (and the last end)."""
+    ranks = load_ranks(path)
+    tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+
+
+def _decoded(lists: pa.ListArray, pool: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of every list of ids, gathered for ``DECODED_IDS`` ids at a time."""
+    flat = lists.flatten().to_numpy()
+    pieces, sizes = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)]
+    for k in range(0, len(flat), DECODED_IDS):
+        own = flat[k : k + DECODED_IDS]
+        size = cuts[own + 1] - cuts[own]
+        first = np.cumsum(size) - size
+        pieces.append(pool[np.repeat(cuts[own] - first, size) + np.arange(int(size.sum()))])
+        sizes.append(size)
+    before = np.cumsum(np.concatenate(sizes))
+    per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = before[np.concatenate([[0], np.cumsum(per)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(pieces))])
+
+
 def decode_documents(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for (binary column ``out``); the ids stay."""
     kept = [f for f in df.schema.fields if f.name != out]
@@ -329,16 +472,11 @@ def decode_documents(df: DataFrame, ranks_path: str, ids: str = "token_ids", out
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(ranks_path)
-        tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
+        pool, cuts = token_bytes(ranks_path)
         for batch in batches:
             for a, b in ranges(pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_pylist(), DECODED_IDS):
                 part = batch.slice(a, b - a)
-                lists = part.column(ids).to_pylist()
-                texts = [b"".join(map(tokens.__getitem__, own or ())) for own in lists]
                 columns = [part.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], [*names, out])
+                yield pa.RecordBatch.from_arrays([*columns, _decoded(part.column(ids), pool, cuts)], [*names, out])
 
-    return df.select(*names).mapInArrow(run, schema)
+    return small_batches(df).select(*names).mapInArrow(run, schema)

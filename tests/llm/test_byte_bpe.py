@@ -1,7 +1,9 @@
 import random
 import time
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -64,3 +66,36 @@ def test_round_trip_of_odd_rows(odd, odd_rows, library):
 
 def test_empty_table(nothing):
     assert byte_bpe.decode_documents(byte_bpe.encode_documents(nothing, PATH), PATH).count() == 0
+
+
+def test_merging_many_pieces_is_merging_each():
+    rng = random.Random(11)
+    tokens = {bytes([b]) for b in range(256)} | {bytes(rng.choices(b"abc", k=rng.randint(2, 6))) for _ in range(300)}
+    order = sorted(tokens)
+    rng.shuffle(order)
+    ranks = {token: 3 * i for i, token in enumerate(order)}  # in no order of length, with gaps
+    pairs = byte_bpe.Pairs(ranks)
+    pieces = [bytes(rng.choices(b"abcd", k=rng.randint(1, 40))) for _ in range(500)]
+    ids, ends, counts = byte_bpe.merge_many(pieces, pairs)
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    found = [(tuple(ids[a:b].tolist()), tuple(ends[a:b].tolist())) for a, b in zip(cuts, cuts[1:])]
+    assert found == [byte_bpe.merge(p, ranks) for p in pieces]
+
+
+def test_new_pieces_are_not_merged_one_by_one(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=9)) for _ in range(2_000))]
+    whole = [x.tolist() for x in byte_bpe.Encoder(PATH).encode(texts)]
+    calls = []
+    monkeypatch.setattr(byte_bpe, "merge", lambda piece, ranks, own=byte_bpe.merge: calls.append(piece) or own(piece, ranks))
+    assert [x.tolist() for x in byte_bpe.Encoder(PATH).encode(texts)] == whole
+    assert len(calls) < 200
+    monkeypatch.setattr(byte_bpe, "FEW_PIECES", 10**9)
+    assert [x.tolist() for x in byte_bpe.Encoder(PATH).encode(texts)] == whole
+
+
+def test_decoding_gathers_lists_of_any_kind():
+    pool, cuts = byte_bpe.token_bytes(PATH)
+    ids = pa.array([[1], None, [1, 2], [], [3, 4, 5], None, [6]], pa.list_(pa.int32())).slice(1, 5)
+    tokens = {rank: token for token, rank in byte_bpe.load_ranks(PATH).items()}
+    assert byte_bpe._decoded(ids, pool, cuts).to_pylist() == [b"".join(tokens[i] for i in own or ()) for own in ids.to_pylist()]
