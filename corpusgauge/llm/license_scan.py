@@ -26,6 +26,8 @@ not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,9 @@ TEMPLATES = (
 
 def words(text: str) -> Column:
     """Lower-cased (A-Z) runs of digits, letters and characters beyond ASCII."""
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _PARTS), lambda w: w != "")
+    # Of a text that is all ASCII, ``lower`` changes A-Z only, and is faster.
+    lowered = F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.array_remove(F.split(lowered, _PARTS), "")
 
 
 def shingles(items: Column, width: Column | int) -> Column:
@@ -96,13 +100,7 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
         probes = sorted({r.word for r in tops})
         source = source.where(F.arrays_overlap("words", F.array(*map(F.lit, probes)).cast("array<string>")))
     texts = stored(source.where("size(words) > 0"), "texts")
-    found = None
-    for c in classes:
-        own = [r for r in tops if r["class"] == c["class"]] if few else None
-        part = _windows(texts, c["class"], c["width"], c["longest"], own)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = _windows(texts, 1, 1, 1, [])
+    found = _windows(texts, classes, tops if few else None)
     windows = stored(found, "windows").where("size(hashes) > 0")
     bands = windows.select("doc", "start", "class", "words", F.posexplode(minima(F.col("hashes"))).alias("band", "value"))
     own = known.select("class", "template", "width", "shingles", F.posexplode("minima").alias("band", "value"))
@@ -117,26 +115,45 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     )
 
 
-def _windows(texts: DataFrame, klass: int, width: int, longest: int, tops: list | None) -> DataFrame:
-    """Overlapping windows of one class with the hashes of their shingles; with ``tops`` only windows that hold such a shingle.
+def _windows(texts: DataFrame, classes: list, tops: list | None) -> DataFrame:
+    """Overlapping windows of every class with the hashes of their shingles; with ``tops`` only windows that hold such a shingle.
 
-    The starts come from an outer explode: a plain one would make the optimizer work
-    the array out twice.
+    The words are gone through once for all classes; only places of a shingle's first word
+    are hashed, once for every width.  The starts come from an outer explode: a plain one
+    would make the optimizer work the array out twice.
     """
     n = F.size("words")
+    start_type = "array<struct<class:int,width:int,longest:int,start:int>>"
+    begins = lambda c, starts: F.transform(starts, lambda s: F.struct(F.lit(c["class"]).alias("class"), F.lit(c["width"]).alias("width"), F.lit(c["longest"]).alias("longest"), s.alias("start")))
     if tops is None:
-        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(longest))
-    elif not tops:
-        starts = F.array().cast("array<int>")
+        starts = [begins(c, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(c["longest"]))) for c in classes]
     else:
-        marks, firsts = [r.hash for r in tops], sorted({r.first for r in tops})
-        hash_at = lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, width), " "))
-        hit = lambda i: F.get("words", i).isin(firsts) & hash_at(i).isin(marks)
-        places = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-        # The two windows that a place lies in; a shingle across a window's end is in the other one.
-        last = lambda i: F.floor(i / longest).cast("int") * longest
-        starts = F.flatten(F.transform(F.filter(places, hit), lambda i: F.array(last(i) - longest, last(i))))
-        starts = F.filter(F.array_distinct(starts), lambda s: s >= 0)
-    cut = texts.select("doc", "words", F.explode_outer(starts).alias("start")).where("start is not null")
-    cut = cut.select("doc", "start", F.lit(klass).alias("class"), F.slice("words", F.col("start") + 1, 2 * longest).alias("words"))
-    return cut.withColumn("hashes", F.transform(F.array_distinct(shingles(F.col("words"), width)), lambda s: F.xxhash64(s)))
+        firsts = sorted({r.first for r in tops})
+        texts = texts.withColumn("places", F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", i).isin(firsts)))
+        marks = {c["class"]: [r.hash for r in tops if r["class"] == c["class"]] for c in classes}
+        widths = {c["width"]: sorted({m for d in classes if d["width"] == c["width"] for m in marks[d["class"]]}) for c in classes}
+        for width, own in widths.items():
+            texts = texts.withColumn(f"hits{width}", _hits(width, own))
+        starts = [begins(c, _starts(F.filter(f"hits{c['width']}", _among(marks[c["class"]])), c["longest"])) for c in classes]
+    starts = F.flatten(F.array(*starts)) if starts else F.array()
+    cut = texts.select("doc", "words", F.explode_outer(starts.cast(start_type)).alias("at")).where("at is not null")
+    cut = cut.select("doc", "at.start", "at.class", "at.width", F.slice("words", F.col("at.start") + 1, 2 * F.col("at.longest")).alias("words"))
+    hashes = F.transform(F.array_distinct(shingles(F.col("words"), F.col("width"))), lambda s: F.xxhash64(s))
+    return cut.select("doc", "start", "class", "words", hashes.alias("hashes"))
+
+
+def _among(marks: list[int]) -> Callable[[Column], Column]:
+    return lambda x: x["hash"].isin(marks)
+
+
+def _hits(width: int, marks: list[int]) -> Column:
+    """(place, hash) of the shingles with one of the hashes at ``places``."""
+    whole = F.filter("places", lambda i: i <= F.size("words") - width)
+    hash_at = lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, width), " "))
+    return F.filter(F.transform(whole, lambda i: F.struct(i.alias("place"), hash_at(i).alias("hash"))), _among(marks))
+
+
+def _starts(hits: Column, longest: int) -> Column:
+    """The two windows that a place lies in; a shingle across a window's end is in the other one."""
+    last = lambda x: F.floor(x["place"] / longest).cast("int") * longest
+    return F.filter(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.array(last(x) - longest, last(x))))), lambda s: s >= 0)

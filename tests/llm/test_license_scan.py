@@ -68,3 +68,19 @@ def test_empty_tables_and_odd_columns(spark, odd, nothing):
     assert L.scan(odd, templates).count() == 0
     assert L.scan(nothing, templates).count() == 0
     assert L.scan(odd, templates.where("1 = 0")).count() == 0
+
+
+def test_words_of_texts_beyond_ascii(spark):
+    rows = [("ÀÉ Straße ABC-def",), ("ABC  def.",), ("",), (None,), ("\u0130I \u212aX",)]
+    found = [r.w for r in spark.createDataFrame(rows, "text string").select(L.words("text").alias("w")).collect()]
+    assert found == [["ÀÉ", "straße", "abc", "def"], ["abc", "def"], [], None, ["\u0130i", "\u212ax"]]
+
+
+def test_texts_are_gone_through_once_for_all_classes(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(L, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or df)
+    templates = spark.createDataFrame(list(L.TEMPLATES), "template string, text string")
+    L.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), templates)
+    plan = dict(plans)["windows"]
+    assert "Union" not in plan and plan.count("Generate explode") == 1
+    assert plan.count("sequence(0, (size(words") == 1
