@@ -25,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.llm.common import passes, stored
+from corpusgauge.llm.common import small_batches, stored, text_passes
 
 #: Rows per index entry, bytes per stripe, false hits of a Bloom filter.
 STRIDE, STRIPE_BYTES, FALSE_HITS = 1_000, 8 * 2**20, 0.01
 #: Words whose ids a Python worker keeps; then the cache starts anew.
 CACHE_WORDS = 800_000
+#: Bytes of text that are encoded at a time; a longer text by itself.
+CODED_BYTES = 200_000
+#: What words may end in and be cut before; an apostrophe may belong to letters.
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Stands for a text's end; never a word.
 END = b"\n"
 #: Words that tell whether a tokenizer works word by word.
@@ -71,12 +75,61 @@ class WordEncoder:
             raise ValueError(f"{path}: its pieces depend on white space, so words cannot be encoded by themselves")
         letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         self.lowers = all(ids(word) == ids(word.lower()) for word in (*letters, letters, "The", "McX's", "ÄOß"))
+        self.model = self.tokenizer.model
+        self.added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        lowered = lambda word: word.lower() if self.lowers else word
+        plain = [lowered(w) for w in (*letters, *(a + b for a in letters for b in letters), letters, "Hyperparameterization", "Straightforwardly")]
+        self.plain = not any(own.isalpha() for own in self.added) and all(ids(word) == [t.id for t in self.model.tokenize(word)] for word in plain)
+        stems = [lowered(w) for w in ("a", "S", "the", "Hyperparameterization", "it's", "ÄOß", "éa", "1st", "Abc,d", "x've", "e\u0301x")]
+        marks = [chr(c) for c in PUNCTUATION]
+        tails = [*marks, *(a + b for a in marks for b in ".,!$"), "...", "$$$", ".%%%"]
+        self.splits = all(ids(stem + tail) == ids(stem) + ids(tail) for stem in stems for tail in tails)
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.pool, self.cuts = array("I"), array("q", [0])
 
     def _learn(self, words: list[bytes]) -> None:
+        """Words that end in punctuation are put together from the word before it and the punctuation."""
+        cut = []
+        if self.splits:
+            ends = [(word, stem) for word in words if not word.isalpha() and (stem := word.rstrip(PUNCTUATION))[-1:].isalpha() and stem != word]
+            cut = [(word, stem) for word, stem in ends if not any(own in word for own in self.added)]
+            whole = set(words)
+            whole.difference_update(word for word, _ in cut)
+            whole.update(stem for _, stem in cut)
+            whole.update(word[len(stem) :] for word, stem in cut)
+            words = [word for word in whole if word not in self.place]
+        if self.plain:
+            self._learn_plain([word for word in words if word.isalpha()])
+            words = [word for word in words if not word.isalpha()]
+        if words:
+            self._learn_joined(words)
+        if cut:
+            parts = np.array([(self.place[stem], self.place[word[len(stem) :]]) for word, stem in cut]).reshape(-1)
+            ids, sizes = self._ids(parts)
+            self.cuts.frombytes((len(self.pool) + np.cumsum(sizes)[1::2]).tobytes())
+            self.pool.frombytes(ids.tobytes())
+            self.place.update(zip((word for word, _ in cut), range(len(self.place), len(self.place) + len(cut))))
+
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """Words of ASCII letters go to the tokenizer's model by themselves; nothing else changes them."""
+        tokenize, size = self.model.tokenize, len(self.pool)
+        for word in words:
+            own = [t.id for t in tokenize(word.decode())]
+            self.pool.extend(own)
+            size += len(own)
+            self.cuts.append(size)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, and how many each has."""
+        pool, cuts = np.frombuffer(self.pool, np.uint32), np.frombuffer(self.cuts, np.int64)
+        sizes = (cuts[1:] - cuts[:-1])[at]
+        first = np.cumsum(sizes) - sizes
+        return pool[np.repeat(cuts[at] - first, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def _learn_joined(self, words: list[bytes]) -> None:
         """Encodes words joined by blanks, many a call; a piece belongs to the word that it begins in."""
         texts = [word.decode() for word in words]
         chunks = [texts[a : a + CHUNK_WORDS] for a in range(0, len(texts), CHUNK_WORDS)]
@@ -112,10 +165,7 @@ class WordEncoder:
         if missed:
             self._learn(list({words[i] for i in missed}))
             at[missed] = [self.place[words[i]] for i in missed]
-        pool, cuts = np.frombuffer(self.pool, np.uint32), np.frombuffer(self.cuts, np.int64)
-        sizes = (cuts[1:] - cuts[:-1])[at]
-        first = np.cumsum(sizes) - sizes
-        ids = pool[np.repeat(cuts[at] - first, sizes) + np.arange(int(sizes.sum()))]
+        ids, sizes = self._ids(at)
         edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(per)])]
         return ids, np.diff(edges)
 
@@ -123,14 +173,13 @@ class WordEncoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Write (key, tie, ids) as ORC in ascending order of key; ``tie`` orders rows of one key."""
     source = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"), F.col(text).alias("text"))
-    ordered = source.repartitionByRange(key, "tie").sortWithinPartitions(key, "tie")
+    ordered = small_batches(source).repartitionByRange(key, "tie").sortWithinPartitions(key, "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in passes(texts):
-                ids, per = own.encode(texts[a:b], end_id)
+            for a, b, texts in text_passes(batch.column(2), CODED_BYTES):
+                ids, per = own.encode(texts, end_id)
                 part = batch.slice(a, b - a)
                 offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))

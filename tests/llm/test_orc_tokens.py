@@ -1,4 +1,5 @@
 import glob
+import random
 import zlib
 
 import numpy as np
@@ -37,3 +38,24 @@ def test_empty_table(spark, nothing):
     path = fresh_path(spark, "orc")
     O.write_tokens(nothing, path, PATH, 2)
     assert O.layout(spark, path).count() == 0
+
+
+def test_words_cut_before_punctuation_equal_the_tokenizer():
+    rng = random.Random(5)
+    path = PATH
+    marks = ["", ".", ",", "!!", "$$$", ".%%%", "'", "'.", "-x.", "…", "é", "́", "́.", "|>", "9.", "<|endoftext|>", "<|endoftext|>."]
+    texts = [" ".join("".join(rng.choices("abTHÉé'", k=rng.randint(0, 6))) + rng.choice(marks) for _ in range(300)) for _ in range(12)] + [None, ""]
+    own = O.WordEncoder(path)
+    assert own.plain and own.splits
+    ids, per = own.encode(texts, 2)
+    plain = [[*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == [i for p in plain for i in p] and per.tolist() == [len(p) for p in plain]
+
+
+def test_few_words_are_encoded_joined(monkeypatch):
+    rng = random.Random(6)
+    joined = []
+    monkeypatch.setattr(O.WordEncoder, "_learn_joined", lambda self, words, own=O.WordEncoder._learn_joined: joined.extend(words) or own(self, words))
+    encoder = O.WordEncoder(PATH)
+    encoder.encode([" ".join("".join(rng.choices("abcdefgh", k=7)) + rng.choice(["", ".", ",", "!!"]) for _ in range(2_000))], 2)
+    assert len(joined) < 10
