@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,6 +13,7 @@ from corpusgauge.functions import text as tx
 from corpusgauge.functions.records import parsed_list, parsed_ratio, repaired_json
 from corpusgauge.operators import aggregates, draws, inference, joins, modeling, ngrams, regression, resampling, scoring, sequences
 from corpusgauge.operators.tables import keep_first
+from corpusgauge.registry import all_queries
 
 
 def test_tail_values():
@@ -285,3 +287,15 @@ def test_json_repair_stops_at_the_balanced_end(spark):
     df = spark.createDataFrame([(k,) for k in cases], "r string")
     got = {r.r: r.f for r in df.select("r", repaired_json(F.col("r")).alias("f")).collect()}
     assert got == cases
+
+
+def test_length_norms_of_empty_texts_are_infinite(spark, tmp_path):
+    """A divisor of 0 is no error: rows equal those of the SQL, without a length both are NULL."""
+    rows = [(1, "", "en", "s", 0), (2, "x", "en", "s", None), (3, "x" * 99, "en", "s", 99)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    query = all_queries()["mth7_length_normalised"]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(query.sql).fetchall()
+    got = sorted(map(tuple, query.run(spark, str(tmp_path)).select("doc_id", "by_log", "by_root").collect()))
+    assert got == sorted(want) and got[0] == (1, math.inf, 100.0) and got[1] == (2, None, None)
