@@ -29,13 +29,17 @@ OPEN_ROWS = 1_000
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, pattern: str | None = None, per_trigger: int = 64) -> DataFrame:
-    """Files of one table as a stream; the event time becomes a timestamp."""
-    raw = (
-        spark.readStream.schema(SCHEMAS[name])
-        .option("pathGlobFilter", pattern or f"{name}.parquet")
-        .option("maxFilesPerTrigger", per_trigger)
-        .parquet(folder)
-    )
+    """Files of one table as a stream; the event time becomes a timestamp.
+
+    The table is one file or a folder of part files; with a ``pattern``, all files of
+    the folder whose names match are its parts.
+    """
+    reader = spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", per_trigger)
+    if pattern:
+        raw = reader.option("pathGlobFilter", pattern).parquet(folder)
+    else:
+        # As a glob, the path may name a file or a folder; a plain one must be a folder.
+        raw = reader.parquet(f"{folder.rstrip('/')}/{name}.parque[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in raw.columns else raw
 
 

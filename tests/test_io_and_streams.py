@@ -6,6 +6,7 @@ import tempfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corpusgauge.registry import all_queries
 from corpusgauge.sources import readers, sinks
 from corpusgauge.sources.tables import table
 from corpusgauge.streaming import jobs
@@ -100,3 +101,18 @@ def test_carried_state_spans_files(spark):
     rows = turns.select("conv_id", "turn", F.lit(1).alias("off"), F.lit(0).alias("on"))
     got = jobs.drain(jobs.carried_decisions(rows, "conv_id", "turn", "off", "on"), "update", ["conv_id", "turn"])
     assert [r["decision"] for r in got.orderBy("turn").collect()] == [1, 0, 1, 0, 1, 0]
+
+
+def test_a_table_may_be_one_file_or_a_folder(spark):
+    """Decisions over a folder of part files, as large tables come, equal those over one file."""
+    pdf = pd.DataFrame({"conv_id": [1, 1, 1, 2, 2, 2], "turn": [0, 1, 2, 0, 1, 2], "role": "user", "text": ["a\nthe " * 50, "a" * 200, "b"] * 2})
+    got = []
+    for cut in (6, 2):
+        folder = os.path.dirname(fresh("t"))
+        path = f"{folder}/conversations.parquet"
+        if cut < 6:
+            os.makedirs(path)
+        for i in range(0, 6, cut):
+            pdf.iloc[i : i + cut].to_parquet(f"{path}/part-{i}.parquet" if cut < 6 else path, index=False)
+        got.append(sorted(map(tuple, all_queries()["stm7_carried_decisions"].run(spark, folder).collect())))
+    assert got[0] == got[1] and len(got[0]) == 6
