@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows of a key that may still change because an earlier one may come late.
 OPEN_ROWS = 1_000
+#: States that memories share in every part, and result rows of a frame.
+BUCKETS, OUT_ROWS = 64, 10_000
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, pattern: str | None = None, per_trigger: int = 64) -> DataFrame:
@@ -175,50 +177,72 @@ def carried_decisions(rows: DataFrame, key: str, order: str, if_off: str, if_on:
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, decision int", held, "update", GroupStateTimeout.NoTimeout)
 
 
-def tagged_states(log: DataFrame, late: str, parts: int = PARTS) -> DataFrame:
+def tagged_states(log: DataFrame, late: str, parts: int = PARTS, buckets: int = BUCKETS) -> DataFrame:
     """``audit.states`` as a stream of log rows (ts, memory, seq, op, key, item, tag); drain it in update mode by (memory, part, tag).
 
-    The keys of a memory are dealt to ``parts`` states, and control rows go to all of
-    them.  Rows behind the watermark are applied in the order of ``seq`` and folded
-    into lists of a key; newer ones are held, so that a late row still finds its
-    place, and are replayed on a copy for what the batch reports.  ``ts`` and ``seq``
-    must agree in order.  A result row holds all keys of its part (``entries``).
+    The keys of a memory are dealt to ``parts`` parts, and control rows go to all of
+    them.  Memories share ``buckets`` states a part, since a call for each of many small
+    ones would cost more than its rows.  Rows behind the watermark are applied in the
+    order of ``seq`` and folded into lists of a key; newer ones are held, so that a late
+    row still finds its place, and are replayed on a copy for what the batch reports.
+    ``ts`` and ``seq`` must agree in order.  A result row holds all keys of its part
+    (``entries``); a part without a write has none.
     """
     control = F.col("op").isin("snapshot", "rollback")
     everywhere = F.sequence(F.lit(0), F.lit(parts - 1))
     own = F.array(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     valid = log.where("memory is not null and seq is not null and ((op in ('snapshot', 'rollback') and tag is not null) or (op in ('set', 'append') and key is not null))")
     dealt = valid.withWatermark("ts", late).withColumn("part", F.explode(F.when(control, everywhere).otherwise(own)))
+    # Control rows move once a part, so rows are narrow: an operation and its key or tag are one text.
+    cell = (F.pmod(F.xxhash64("memory"), F.lit(buckets)) * parts + F.col("part")).cast("int").alias("cell")
+    letter = F.when(F.col("op") == "snapshot", "n").otherwise(F.substring("op", 1, 1))
+    what = F.concat(letter, F.when(control, F.col("tag")).otherwise(F.col("key"))).alias("what")
+    dealt = dealt.select(cell, F.col("memory").cast("long").alias("memory"), F.col("seq").cast("long").alias("seq"), "ts", what, F.col("item").cast("string").alias("item"))
+    ops = {op[0]: op for op in ("set", "append", "rollback")} | {"n": "snapshot"}
 
     def step(ident: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"now": {}, "tags": {}, "held": []}
-        if state.hasTimedOut:
-            new = []
-        else:
-            rows = pd.concat(list(frames))
-            text = rows[["key", "tag"]].astype(object).where(rows[["key", "tag"]].notna(), None)
-            items = [None if pd.isna(x) else int(x) for x in rows["item"]]
-            stamps = [int(t.timestamp() * 1000) for t in rows["ts"]]
-            new = [list(r) for r in zip(rows["seq"].tolist(), stamps, rows["op"].tolist(), text["key"], items, text["tag"])]
-        known = {r[0] for r in kept["held"]}
-        held = sorted(kept["held"] + [r for r in new if r[0] not in known], key=lambda r: r[0])
+        part = int(ident[0]) % parts
+        every = json.loads(state.get[0]) if state.exists else {}
+        fresh: dict[str, list] = {}
+        if not state.hasTimedOut:
+            for rows in frames:
+                items = rows["item"].astype(object).where(rows["item"].notna(), None)
+                stamps = pd.DatetimeIndex(rows["ts"]).as_unit("ms").asi8.tolist()
+                for memory, seq, stamp, name, item in zip(rows["memory"].astype(str), rows["seq"].tolist(), stamps, rows["what"], items):
+                    op, name = ops[name[0]], name[1:]
+                    write = op in ("set", "append")
+                    fresh.setdefault(memory, []).append([seq, stamp, op, name if write else None, None if item is None else int(item), None if write else name])
         mark = state.getCurrentWatermarkMs()
-        done = 0
-        while done < len(held) and held[done][1] < mark:
-            done += 1
-        now, tags = _replay(kept["now"], kept["tags"], held[:done])
-        held = held[done:]
-        state.update((json.dumps({"now": now, "tags": tags, "held": held}),))
-        if held:
-            state.setTimeoutTimestamp(max(held[-1][1], mark) + 1)
-        if new:
-            now, tags = _replay(now, tags, held)
-            found = [(*ident, tag, [(k, *v) for k, v in sorted(keys.items())]) for tag, keys in [*tags.items(), (NOW, now)]]
-            yield pd.DataFrame(found, columns=["memory", "part", "tag", "entries"])
+        newest, found = None, []
+        for memory in every.keys() | fresh.keys():
+            kept, new = every.get(memory, {"now": {}, "tags": {}, "held": []}), fresh.get(memory)
+            if not new and not (kept["held"] and kept["held"][0][1] < mark):
+                newest = max(newest or 0, kept["held"][-1][1]) if kept["held"] else newest
+                continue
+            known = {r[0] for r in kept["held"]}
+            held = sorted(kept["held"] + [r for r in new or [] if r[0] not in known], key=lambda r: r[0])
+            done = 0
+            while done < len(held) and held[done][1] < mark:
+                done += 1
+            now, tags = _replay(kept["now"], kept["tags"], held[:done])
+            held = held[done:]
+            # Without a write all lists are empty, and so is what was told before.
+            wrote = kept.get("wrote") or any(r[2] in ("set", "append") for r in new or [])
+            every[memory] = {"now": now, "tags": tags, "held": held, "wrote": bool(wrote)}
+            if held:
+                newest = max(newest or 0, held[-1][1])
+            if new and wrote:
+                now, tags = _replay(now, tags, held)
+                found += [(int(memory), part, tag, [(k, *v) for k, v in sorted(keys.items())]) for tag, keys in [*tags.items(), (NOW, now)]]
+        state.update((json.dumps(every),))
+        if newest is not None:
+            state.setTimeoutTimestamp(max(newest, mark) + 1)
+        for i in range(0, len(found), OUT_ROWS):
+            yield pd.DataFrame(found[i : i + OUT_ROWS], columns=["memory", "part", "tag", "entries"])
 
     entry = "key: string, base_seq: bigint, n_items: bigint, total: bigint, last_seq: bigint, last_item: bigint"
     out = f"memory long, part int, tag string, entries array<struct<{entry}>>"
-    return dealt.groupBy("memory", "part").applyInPandasWithState(step, out, "kept string", "update", GroupStateTimeout.EventTimeTimeout)
+    return dealt.groupBy("cell").applyInPandasWithState(step, out, "kept string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def _replay(now: dict, tags: dict, rows: list[list]) -> tuple[dict, dict]:

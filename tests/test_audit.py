@@ -133,3 +133,21 @@ def test_closed_rows_are_one_flag(spark):
     got = jobs.drain(jobs.carried_decisions(stream, "conv_id", "turn", "off", "on", open_rows=2), "update", ["conv_id", "turn"])
     # The late turn 1 belongs before what is closed and is dropped.
     assert [r["decision"] for r in got.orderBy("turn").collect()] == [1, 0, 1, 0, 1, 0, 1]
+
+
+def test_memories_share_states_and_parts_without_writes_tell_nothing(spark):
+    """Many small memories need few states; late rows still find their place in a shared one."""
+    rng = random.Random(8)
+    rows = [r for r in _random_log(rng, 600, 90) if r[0] % 9 or r[2] not in ("set", "append")]
+    frame = pd.DataFrame(rows, columns=["memory", "seq", "op", "key", "item", "tag"]).astype({"item": "Int64"})
+    frame["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(frame["seq"], unit="min")
+    order = np.argsort(frame["seq"] + np.array([rng.random() * 30 for _ in rows]), kind="stable")
+    folder = _files(frame.iloc[order], 150, "log")
+    stream = spark.readStream.schema(f"{LOG}, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(folder)
+    job = jobs.tagged_states(stream.withColumn("ts", F.col("ts").cast("timestamp")), "40 minutes", parts=16, buckets=2)
+    # One state for each part and bucket, whatever the number of memories.
+    assert "[cell" in job._jdf.queryExecution().analyzed().toString().split("FlatMapGroupsInPandasWithState")[1].splitlines()[0]
+    told = jobs.drain(job, "update", ["memory", "part", "tag"])
+    parts = told.select("memory", "part").distinct().collect()
+    assert len(parts) <= 3 * len({r[0] for r in rows}) and not any(p["memory"] % 9 == 0 for p in parts)
+    assert set(_rows(told.select("memory", "tag", F.inline("entries")))) == _replay(rows)
