@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
 from corpusgauge.functions.common import attach, flat, flat_structs, ratio
 from corpusgauge.plans.ordered import ordered
-from corpusgauge.session import written
+from corpusgauge.session import shuffles_deleted, written
 
 ORDERS = (1, 2, 3, 4)
+#: Shares for each order of the grams, which are worked off one after the other, and words whose grams are worked out at once.
+ORDER_SLICES, PASS_WORDS = 2, 200_000
 
 
 def gram_counts(docs: DataFrame, keep: Sequence[str], toks: str, orders: Sequence[int] = ORDERS) -> DataFrame:
@@ -27,24 +33,99 @@ def _tag(order: int):
     return lambda x: F.struct(F.lit(order).alias("order"), x["item"].alias("item"), x["c"].alias("c"))
 
 
+def _slices(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str, orders: Sequence[int], work: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The documents with written tokens, and the rows of ``work`` over each share of their grams.
+
+    Grams go to shares by their hash, so a share has all rows of its grams.  Shares are
+    worked off one after the other and leave only their results on the disks.
+    """
+    keep = written(docs.select(doc_id, *group, F.col(toks).alias("__t")), "tokens")
+    # A NULL leaves a hash as it is, so its place counts too.
+    named = [c for name in group for c in (F.isnull(name), F.col(name))]
+    rows = keep.select(F.col(doc_id).cast("long"), F.xxhash64(F.lit(0), *named), F.transform("__t", lambda w: F.xxhash64(w)))
+    found, slices = [], ORDER_SLICES * len(orders)
+    for share in range(slices):
+        grams = rows.mapInArrow(_gram_rows(tuple(orders), share, slices), "h long, g int, c int, k int, doc long")
+        with shuffles_deleted(docs.sparkSession):
+            found.append(written(work(grams), "share"))
+    return keep, reduce(DataFrame.unionAll, found)
+
+
+def _gram_rows(orders: tuple[int, ...], share: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per document and gram of the share: two hashes of gram, order and group, its count, its order and the document's id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            # A NULL list has no words.
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            groups = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            at = 0
+            while at < len(ends):
+                stop = max(at + 1, int(np.searchsorted(ends, starts[at] + PASS_WORDS, "right")))
+                part = slice(int(starts[at]), int(ends[stop - 1]))
+                yield _counted_grams(words[part], np.repeat(np.arange(at, stop), (ends - starts)[at:stop]), groups, batch.column(0), orders, share, slices)
+                at = stop
+
+    return run
+
+
+def _counted_grams(words: np.ndarray, owner: np.ndarray, groups: np.ndarray, ids: pa.Array, orders: tuple[int, ...], share: int, slices: int) -> pa.RecordBatch:
+    """The rows of ``_gram_rows`` for the words of some documents; ``owner`` is the place of each word's document."""
+    parts, run = [], np.zeros(len(words), np.uint64)
+    for n in range(1, max(orders) + 1):
+        if len(words) < n:
+            break
+        run = mixed(run[: len(words) - n + 1] + words[n - 1 :], n)
+        if n not in orders:
+            continue
+        whose = owner[: len(run)]
+        whole = np.flatnonzero(whose == owner[n - 1 :])
+        h = mixed(run[whole] ^ groups[whose[whole]], 11)
+        mine = np.flatnonzero((h >> np.uint64(40)) % np.uint64(slices) == share)
+        h, whose = h[mine], whose[whole[mine]]
+        order = np.lexsort((h, whose))
+        h, whose, second = h[order], whose[order], mixed(run[whole[mine[order]]], 23).view(np.int64) >> 32
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (whose[1:] != whose[:-1])])) if len(h) else order
+        counts = np.diff(np.concatenate([first, [len(h)]]))
+        parts.append((h[first].view(np.int64), second[first].astype(np.int32), counts.astype(np.int32), np.full(len(first), n, np.int32), whose[first]))
+    h, g, c, k, whose = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 3, np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(c), pa.array(k), ids.take(pa.array(whose))], ["h", "g", "c", "k", "doc"])
+
+
+def mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the input reaches every bit of the result."""
+    x = x + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def self_bleu(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str) -> DataFrame:
     """BLEU-4 of each document against all others of its group, 0..1.
 
     A gram's clip limit is the largest count among the other documents.  It is
     below a document's own count only where that document alone holds the top
     count, so matches are totals minus (top - second) at those grams: one row
-    per gram instead of one row per document pair.
+    per gram instead of one row per document pair.  Grams move as 96 bits of hash.
     """
-    counts = gram_counts(docs, [doc_id, *group], toks)
-    by_count = counts.groupBy(*group, "order", "item", "c").agg(F.count("*").alias("n_docs"), F.max(doc_id).alias("holder"))
-    # A gram has as many rows here as it has different counts.
-    w = Window.partitionBy(*group, "order", "item").orderBy(F.desc("c"))
-    top = by_count.withColumn("second", F.lead("c").over(w)).withColumn("place", F.row_number().over(w))
-    alone = top.where("place = 1 and n_docs = 1")
-    excess = alone.groupBy(F.col("holder").alias(doc_id)).agg(
-        *[F.sum(F.when(F.col("order") == n, F.col("c") - F.coalesce("second", F.lit(0))).otherwise(0)).alias(f"x{n}") for n in ORDERS]
-    )
-    sizes = docs.select(doc_id, *group, F.size(toks).alias("len"))
+    gram = Window.partitionBy("h", "g")
+
+    def beyond(grams: DataFrame) -> DataFrame:
+        by_count = grams.repartition("h").groupBy("h", "g", "k", "c").agg(F.count("*").alias("n_docs"), F.max("doc").alias("holder"))
+        # A gram has as many rows here as it has different counts.
+        down = gram.orderBy(F.desc("c"))
+        top = by_count.withColumn("second", F.lead("c").over(down)).withColumn("place", F.row_number().over(down))
+        alone = top.where("place = 1 and n_docs = 1")
+        return alone.groupBy("holder").agg(
+            *[F.sum(F.when(F.col("k") == n, F.col("c") - F.coalesce("second", F.lit(0))).otherwise(0)).alias(f"x{n}") for n in ORDERS]
+        )
+
+    keep, shares = _slices(docs, doc_id, group, toks, ORDERS, beyond)
+    excess = shares.groupBy(F.col("holder").alias(doc_id)).agg(*[F.sum(f"x{n}").alias(f"x{n}") for n in ORDERS])
+    sizes = keep.select(doc_id, *group, F.size("__t").alias("len"))
     near = ordered(sizes, group, "len", [doc_id], prev=["len"], nxt=["len"])
     back, ahead, size = F.col("prev.len"), F.col("nxt.len"), F.col("len")
     use_back = ahead.isNull() | (size - back <= ahead - size)
@@ -73,26 +154,26 @@ def bleu(matched: dict[int, Column], size: Column, ref_len: Column) -> Column:
 def overlap_bleu(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str) -> DataFrame:
     """Geometric mean of 1- and 2-gram set overlap, averaged over the other documents.
 
-    A gram of one document meets (group frequency - 1) others.
+    A gram of one document meets (group frequency - 1) others.  Grams move as 96 bits of
+    hash, a share at a time.
     """
-    sets = [F.transform(F.array_distinct(tx.ngrams(F.col(toks), n)), _pair(n)) for n in (1, 2)]
-    rows = flat_structs(docs, [doc_id, *group], F.concat(*sets), "item")
-    # Texts are cut once and grams move once; a hash before the exact columns makes the sort cheap.
-    same = Window.partitionBy("__h", *group, "order", "item")
-    keyed = rows.withColumn("__h", F.xxhash64(*group, "order", "item"))
-    shared = keyed.select(doc_id, "order", (F.count(F.lit(1)).over(same) - 1).alias("others")).where("others > 0")
-    met = shared.groupBy(doc_id).agg(*[F.sum(F.when(F.col("order") == n, F.col("others")).otherwise(0)).alias(f"m{n}") for n in (1, 2)])
-    members = docs.groupBy(*group).agg((F.count("*") - 1).alias("refs"))
-    sized = docs.select(doc_id, *group, F.size(toks).alias("len")).join(members, list(group)).join(met, doc_id, "left")
+    gram = Window.partitionBy("h", "g")
+
+    def meetings(grams: DataFrame) -> DataFrame:
+        shared = grams.repartition("h").select("doc", "k", (F.count(F.lit(1)).over(gram) - 1).alias("others")).where("others > 0")
+        met = shared.groupBy("doc").agg(*[F.sum(F.when(F.col("k") == n, F.col("others")).otherwise(0)).alias(f"m{n}") for n in (1, 2)])
+        return met.select("doc", F.array(*[F.struct(F.lit(n).alias("order"), F.col(f"m{n}").alias("met")) for n in (1, 2)]).alias("sums"))
+
+    keep, shares = _slices(docs, doc_id, group, toks, (1, 2), meetings)
+    sums = flat_structs(shares, [F.col("doc").alias(doc_id)], F.col("sums"), "order")
+    met = sums.groupBy(doc_id).agg(*[F.sum(F.when(F.col("order") == n, F.col("met")).otherwise(0)).alias(f"m{n}") for n in (1, 2)])
+    members = keep.groupBy(*group).agg((F.count("*") - 1).alias("refs"))
+    sized = keep.select(doc_id, *group, F.size("__t").alias("len")).join(members, list(group)).join(met, doc_id, "left")
     p1 = ratio(F.col("m1"), F.col("len") * F.col("refs"))
     p2 = ratio(F.col("m2"), (F.col("len") - 1) * F.col("refs"))
     return sized.select(doc_id, *group, F.when((p1 > 0) & (p2 > 0), F.sqrt(p1 * p2)).otherwise(0.0).alias("overlap"))
 
 
-def _pair(order: int):
-    return lambda x: F.struct(F.lit(order).alias("order"), x.alias("item"))
-
-
 def perplexity(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str, in_reference: str, mix: float = 0.7) -> DataFrame:
     """Perplexity of every document under word models of the reference rows.
 

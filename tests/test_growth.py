@@ -1,5 +1,7 @@
 """Steps whose rows, bytes or work grew faster than their input: what plans must not do again, and rows that the faster forms must keep."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -100,3 +102,83 @@ def test_sentence_words_meet_a_written_vocabulary(spark):
     got = {x.doc: (x.gaps, round(x.mean, 9)) for x in out.collect()}
     a, b, c = np.log(1 + 5 / 2), np.log(1 + 5 / 3), np.log(1 + 5 / 2)
     assert got == {1: (1, round(a * a / (np.hypot(a, b) * np.hypot(a, c)), 9)), 2: (1, 0.0)}
+
+
+def _odd_token_rows(n=120):
+    """Repeated rows, repeated and NULL ids and groups, NULL and empty texts; words come often in a document."""
+    rng = np.random.default_rng(9)
+    rows = [(i, ["g", "h", None][i % 3], [f"w{x}" for x in rng.integers(0, 9, rng.integers(0, 14))]) for i in range(n)]
+    return [*rows, rows[4], rows[4], (5, "g", ["w1"]), (None, "g", ["w1", "w2", "only", "here"]), (n, "g", None), (n + 1, "lone", ["w1", "w2"])]
+
+
+def _grams(words, n):
+    return [tuple(words[i : i + n]) for i in range(len(words or []) - n + 1)]
+
+
+def test_self_bleu_grams_are_worked_off_in_shares(spark):
+    """Grams stay on the disks a share at a time; clipped matches are those of all pairs of rows."""
+    rows = [(i, g, t) for i, (g, t) in enumerate((g, t) for _, g, t in _odd_token_rows() if g and t)]
+    out = ngrams.self_bleu(spark.createDataFrame(rows, "d long, g string, t array<string>").repartition(4), "d", ["g"], "t")
+    assert len({f.split("/share-")[1][:32] for f in out.inputFiles() if "/share-" in f}) == 4 * ngrams.ORDER_SLICES
+    counts = [[Counter(_grams(t, n)) for n in (1, 2, 3, 4)] for _, _, t in rows]
+    for x in out.collect():
+        (_, group, own), mine = rows[x.d], counts[x.d]
+        refs = [j for j, r in enumerate(rows) if r[1] == group and j != x.d]
+        if not refs:
+            assert x.self_bleu is None
+            continue
+        logs, zeros, hits = [], 0, 0
+        for n in range(4):
+            total = len(own) - n
+            if total <= 0:
+                continue
+            m = sum(min(c, max(counts[j][n][w] for j in refs)) for w, c in mine[n].items())
+            hits += m
+            zeros += m == 0
+            logs.append(np.log(m / total) if m else -np.log(2.0**zeros * total))
+        ref = min((abs(len(rows[j][2]) - len(own)), len(rows[j][2])) for j in refs)[1]
+        want = np.exp(np.mean(logs)) * (np.exp(1 - ref / len(own)) if len(own) < ref else 1) if hits else 0
+        assert round(x.self_bleu, 9) == round(want, 9)
+
+
+def test_shares_hold_every_gram_once(spark):
+    """The shares' rows together are the counts of every document, of NULL ids and groups too."""
+    rows = _odd_token_rows()
+    df = spark.createDataFrame(rows, "d long, g string, t array<string>").repartition(3)
+    keep, found = ngrams._slices(df, "d", ["g"], "t", (1, 3), lambda grams: grams)
+    assert keep.count() == len(rows)
+    got = Counter((x.doc, x.k, x.c) for x in found.collect())
+    assert got == Counter((d, n, c) for d, _, t in rows for n in (1, 3) for c in Counter(_grams(t, n)).values())
+    distinct = {(g, n, w) for _, g, t in rows for n in (1, 3) for w in _grams(t, n)}
+    assert found.select("h", "g").distinct().count() == found.select("h").distinct().count() == len(distinct)
+
+
+def test_overlap_grams_are_worked_off_in_shares(spark):
+    """Repeated and NULL rows count as before; only results of a share stay."""
+    rows = _odd_token_rows()
+    out = ngrams.overlap_bleu(spark.createDataFrame(rows, "d long, g string, t array<string>"), "d", ["g"], "t")
+    assert len({f.split("/share-")[1][:32] for f in out.inputFiles() if "/share-" in f}) == 2 * ngrams.ORDER_SLICES
+    got = sorted((x.d, x.g, round(x.overlap, 9)) for x in out.collect() if x.d is not None)
+    want = []
+    for d, group, t in rows:
+        same = [r for r in rows if r[0] == d and d is not None]
+        p = []
+        for n in (1, 2):
+            refs = sum(r[1] == group for r in rows) - 1
+            met = sum(sum(w in _grams(o[2], n) for o in rows if o[1] == r[1]) - 1 for r in same for w in set(_grams(r[2], n)))
+            p.append(met / ((len(t or []) - n + 1) * refs) if t and (len(t) - n + 1) * refs else 0)
+        if d is not None and group is not None:
+            want.append((d, group, round((p[0] * p[1]) ** 0.5, 9) if min(p) > 0 else 0.0))
+    assert got == sorted(want)
+
+
+def test_shuffle_files_go_with_their_share(spark):
+    """What runs inside leaves no shuffle files; the setting is put back."""
+    from corpusgauge.session import shuffles_deleted
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with shuffles_deleted(spark):
+        assert spark.conf.get(name) == "true"
+        assert spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().count() == 7
+    assert spark.conf.get(name) == before
