@@ -19,6 +19,8 @@ from corpusgauge.session import shuffles_deleted, written
 ORDERS = (1, 2, 3, 4)
 #: Shares for each order of the grams, which are worked off one after the other, and words whose grams are worked out at once.
 ORDER_SLICES, PASS_WORDS = 2, 200_000
+#: Shares of pairs of words for ``perplexity``; the hash of the empty word.
+PAIR_SLICES, EMPTY_WORD = 4, np.uint64(0x51ED270B0A1F39C1)
 
 
 def gram_counts(docs: DataFrame, keep: Sequence[str], toks: str, orders: Sequence[int] = ORDERS) -> DataFrame:
@@ -51,23 +53,36 @@ def _slices(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str, order
     return keep, reduce(DataFrame.unionAll, found)
 
 
+def _passes(batch: pa.RecordBatch, pad: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[int], np.ndarray]]]:
+    """Hashes of the words of about ``PASS_WORDS`` at a time, the row of each, and the batch's columns of hashes and flags by number."""
+    lists = batch.column(2)
+    # A NULL list has no words.
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(sizes)
+
+    def of(number: int) -> np.ndarray:
+        values = batch.column(number).to_numpy(zero_copy_only=False)
+        return values.view(np.uint64) if values.dtype == np.int64 else values.astype(np.int64)
+
+    at = 0
+    while at < len(ends):
+        before = int(ends[at] - sizes[at])
+        stop = max(at + 1, int(np.searchsorted(ends, before + PASS_WORDS, "right")))
+        part, held = words[before : int(ends[stop - 1])], np.arange(at, stop)
+        if pad:
+            starts = np.repeat(ends[at:stop] - sizes[at:stop] - before, pad)
+            part = np.insert(part, starts, EMPTY_WORD)
+        yield part, np.repeat(held, sizes[at:stop] + pad), of
+        at = stop
+
+
 def _gram_rows(orders: tuple[int, ...], share: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per document and gram of the share: two hashes of gram, order and group, its count, its order and the document's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            # A NULL list has no words.
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            groups = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = 0
-            while at < len(ends):
-                stop = max(at + 1, int(np.searchsorted(ends, starts[at] + PASS_WORDS, "right")))
-                part = slice(int(starts[at]), int(ends[stop - 1]))
-                yield _counted_grams(words[part], np.repeat(np.arange(at, stop), (ends - starts)[at:stop]), groups, batch.column(0), orders, share, slices)
-                at = stop
+            for words, owner, of in _passes(batch):
+                yield _counted_grams(words, owner, of(1), batch.column(0), orders, share, slices)
 
     return run
 
@@ -103,6 +118,11 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def in_group(words: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Hash of a word in its group; the word may be the group's name, so both are not just combined."""
+    return mixed(words + mixed(groups, 3), 7)
+
+
 def self_bleu(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str) -> DataFrame:
     """BLEU-4 of each document against all others of its group, 0..1.
 
@@ -180,27 +200,85 @@ def perplexity(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str, in
     bigram: mix * c(ab)/c(a) + (1-mix) * (c(b)+1)/(N+V+1); unigram: the second
     part alone.  Every token after the first is scored once, whole texts.
     """
-    counts = gram_counts(docs, [doc_id, *group, in_reference], toks, (1, 2))
-    trained = F.sum(F.when(F.col(in_reference), F.col("c")).otherwise(0))
-    model = counts.groupBy(*group, "order", "item").agg(trained.alias("k"))
-    uni = model.where("order = 1").select(*group, F.col("item").alias("w"), "k")
-    totals = uni.groupBy(*group).agg(F.sum("k").alias("total"), F.count_if(F.col("k") > 0).alias("vocabulary"))
-    pairs = model.where("order = 2").select(
-        *group, "item", F.split_part("item", F.lit(" "), F.lit(1)).alias("w1"), F.split_part("item", F.lit(" "), F.lit(2)).alias("w2"), F.col("k").alias("k12")
-    )
-    first = uni.withColumnsRenamed({"w": "w1", "k": "k1"})
-    second = uni.withColumnsRenamed({"w": "w2", "k": "k2"})
-    joined = pairs.join(first, [*group, "w1"]).join(second, [*group, "w2"]).join(totals, list(group))
-    low = (F.col("k2") + 1) / (F.col("total") + F.col("vocabulary") + 1)
-    high = F.when(F.col("k1") > 0, mix * F.col("k12") / F.col("k1") + (1 - mix) * low).otherwise(low)
-    logs = joined.select(*group, "item", F.log(high).alias("lp2"), F.log(low).alias("lp1"))
-    used = counts.where("order = 2").select(doc_id, *group, "item", "c")
-    scored = used.join(logs, [*group, "item"]).groupBy(doc_id).agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("lp2")).alias("s2"), F.sum(F.col("c") * F.col("lp1")).alias("s1")
-    )
+    rows = hashed_words(docs, doc_id, group, toks, in_reference)
+    words = word_shares(rows)
+    first = words.select(F.col("v").alias("head"), F.col("k").alias("k1"))
+    second = words.select(F.col("v").alias("last"), F.col("p").alias("low"))
+    whole = Window.partitionBy("h", "g")
+    found = []
+    for share in range(PAIR_SLICES):
+        pairs = rows.mapInArrow(_runs(2, share, PAIR_SLICES), RUNS).select("doc", "c", "head", "last", "h", "g", "r")
+        with shuffles_deleted(docs.sparkSession):
+            counted = pairs.repartition("h").select("doc", "c", "head", "last", F.sum("r").over(whole).alias("k12"))
+            joined = counted.join(second, "last").join(first, "head")
+            high = F.when(F.col("k1") > 0, mix * F.col("k12") / F.col("k1") + (1 - mix) * F.col("low")).otherwise(F.col("low"))
+            sums = joined.groupBy("doc").agg(
+                F.sum("c").alias("n"), F.sum(F.col("c") * F.log(high)).alias("s2"), F.sum(F.col("c") * F.log("low")).alias("s1")
+            )
+            found.append(written(sums, "share"))
+    scored = reduce(DataFrame.unionAll, found).groupBy(F.col("doc").alias(doc_id)).agg(*[F.sum(x).alias(x) for x in ("n", "s2", "s1")])
     return scored.select(doc_id, "n", F.exp(-F.col("s2") / F.col("n")).alias("ppl_bigram"), F.exp(-F.col("s1") / F.col("n")).alias("ppl_unigram"))
 
 
+def hashed_words(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str, in_reference: str) -> DataFrame:
+    """Per document of a named group: its id, hashes of its group and its words, whether it belongs to the reference."""
+    keep = written(docs.select(F.col(doc_id).cast("long").alias("doc"), *group, F.col(toks).alias("__t"), F.col(in_reference).alias("__r")), "tokens")
+    for name in group:
+        keep = keep.where(F.col(name).isNotNull())
+    return keep.select("doc", F.xxhash64(*group), F.transform("__t", lambda w: F.xxhash64(w)), F.coalesce("__r", F.lit(False)))
+
+
+def word_shares(rows: DataFrame) -> DataFrame:
+    """(v, k, p): hash of group and word, its count in the reference, and its share there smoothed by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, owner, of in _passes(batch):
+                group, trained = of(1)[owner], of(3)[owner]
+                v, at, where = np.unique(in_group(words, group), return_index=True, return_inverse=True)
+                kept = np.bincount(where, trained, len(v)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(group[at].view(np.int64)), pa.array(v.view(np.int64)), pa.array(kept)], ["grp", "v", "r"])
+
+    with shuffles_deleted(rows.sparkSession):
+        counts = written(rows.mapInArrow(run, "grp long, v long, r long").groupBy("grp", "v").agg(F.sum("r").alias("k")), "words")
+    totals = counts.groupBy("grp").agg(F.sum("k").alias("total"), F.count_if(F.col("k") > 0).alias("vocabulary"))
+    share = (F.col("k") + 1) / (F.col("total") + F.col("vocabulary") + 1)
+    with shuffles_deleted(rows.sparkSession):
+        return written(counts.join(F.broadcast(totals), "grp").select("v", "k", share.alias("p")), "words")
+
+
+#: Rows of ``_runs``: hashes of a run of words, of all but its last, all but its first, its last and the one before; its count, the count if trained, the document.
+RUNS = "h long, g int, head long, tail long, last long, middle long, c int, r int, doc long"
+
+
+def _runs(n: int, share: int, slices: int, pad: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per document, its different runs of ``n`` words whose last but one belongs to the share; ``pad`` empty words stand before the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, owner, of in _passes(batch, pad):
+                v = in_group(words, of(1)[owner])
+                chains = [v]
+                for k in range(1, n):
+                    chains.append(mixed(mixed(chains[-1][: len(v) - k], 1) + v[k:], 2))
+                size = max(len(v) - n + 1, 0)
+                middle = v[n - 2 : n - 2 + size]
+                at = np.flatnonzero((owner[:size] == owner[n - 1 :]) & (mixed(middle, 5) % np.uint64(slices) == share))
+                h, whose = chains[-1][at], owner[at]
+                order = np.lexsort((h, whose))
+                h, whose, at = h[order], whose[order], at[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (whose[1:] != whose[:-1])])) if len(h) else order
+                c = np.diff(np.concatenate([first, [len(h)]])).astype(np.int32)
+                at, whose = at[first], whose[first]
+                hashes = [chains[-2][at], chains[-2][at + 1], v[at + n - 1], v[at + n - 2]]
+                second = (mixed(h[first], 23) ^ mixed(v[at], 29) ^ mixed(v[at + n - 1], 31)).view(np.int64) >> 32
+                columns = [pa.array(h[first].view(np.int64)), pa.array(second.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in hashes)]
+                columns += [pa.array(c), pa.array((c * of(3)[whose]).astype(np.int32)), batch.column(0).take(pa.array(whose))]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RUNS.split(", ")])
+
+    return run
+
+
 def sentence_continuity(docs: DataFrame, doc_id: str) -> DataFrame:
     """Mean, spread and extremes of the TF-IDF cosine of neighbouring sentences.
 

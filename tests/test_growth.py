@@ -182,3 +182,32 @@ def test_shuffle_files_go_with_their_share(spark):
         assert spark.conf.get(name) == "true"
         assert spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().count() == 7
     assert spark.conf.get(name) == before
+
+
+def _odd_reference_rows():
+    """As ``_odd_token_rows`` with a reference flag (NULL too), and words that are the names of groups."""
+    rows = [(d, g, t, [True, False, None][i % 3]) for i, (d, g, t) in enumerate(_odd_token_rows())]
+    return [*rows, (900, "g", ["g", "h", "g", "g"], True), (901, "h", ["h", "g", "w1", "h"], True), (902, "g", ["h", "g", "w2"], False)]
+
+
+def test_perplexity_pairs_are_worked_off_in_shares(spark):
+    """Perplexities of plain counting; rows of a NULL group are left out, those of one id are one."""
+    rows = _odd_reference_rows()
+    df = spark.createDataFrame(rows, "d long, g string, t array<string>, r boolean").repartition(3)
+    out = ngrams.perplexity(df, "d", ["g"], "t", "r")
+    assert len({f.split("/share-")[1][:32] for f in out.inputFiles() if "/share-" in f}) == ngrams.PAIR_SLICES
+    uni, pair, seen = Counter(), Counter(), {}
+    for _, g, t, r in rows:
+        if r:
+            uni.update((g, w) for w in t or [])
+            pair.update((g, *p) for p in _grams(t, 2))
+    for d, g, t, _ in rows:
+        if g is None:
+            continue
+        size = sum(c for (x, _), c in uni.items() if x == g) + sum(x == g for x, _ in uni) + 1
+        for a, b in _grams(t, 2):
+            low = (uni[g, b] + 1) / size
+            high = 0.7 * pair[g, a, b] / uni[g, a] + 0.3 * low if uni[g, a] else low
+            seen.setdefault(d, []).append((np.log(high), np.log(low)))
+    want = {d: (len(x), *(round(v, 9) for v in np.exp(-np.mean(x, axis=0)))) for d, x in seen.items()}
+    assert {x.d: (x.n, round(x.ppl_bigram, 9), round(x.ppl_unigram, 9)) for x in out.collect()} == want
