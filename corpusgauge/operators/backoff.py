@@ -10,15 +10,19 @@ place for all words the reference lacks, so the words of every context add up to
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
 from corpusgauge.functions.common import flat_structs
-from corpusgauge.session import written
+from corpusgauge.operators.ngrams import RUNS, _runs, hashed_words, word_shares
+from corpusgauge.session import forget, shuffles_deleted, written
 
 DISCOUNT = 0.75
+#: Shares of the trigrams, by the middle word.
+SLICES = 8
 
 
 def padded_trigrams(docs: DataFrame, keep: Sequence[str], toks: str) -> DataFrame:
@@ -52,9 +56,33 @@ def trigram_model(counts: DataFrame, group: Sequence[str], in_reference: str, di
 
 
 def trigram_perplexity(docs: DataFrame, doc_id: str, group: Sequence[str], toks: str, in_reference: str, discount: float = DISCOUNT) -> DataFrame:
-    """doc_id, n, ppl_trigram over all words of every document that has some."""
-    counts = written(padded_trigrams(docs, [doc_id, *group, in_reference], toks), "counts")
-    model = trigram_model(counts, group, in_reference, discount)
-    scored = counts.join(model.select(*group, "item", F.log("p").alias("lp")), [*group, "item"])
-    sums = scored.groupBy(doc_id).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("lp")).alias("s"))
+    """doc_id, n, ppl_trigram over all words of every document that has some.
+
+    The model of ``trigram_model``, with hashes for words.  Only the shares of single
+    words need more than the trigrams with one middle word, so shares of these are worked
+    off one after the other, and what a step no longer needs leaves the disks.
+    """
+    rows = hashed_words(docs, doc_id, group, toks, in_reference)
+    words = word_shares(rows).select(F.col("v").alias("last"), F.col("p").alias("p1"))
+    found = []
+    for share in range(SLICES):
+        runs = rows.mapInArrow(_runs(3, share, SLICES, pad=2), RUNS)
+        with shuffles_deleted(docs.sparkSession):
+            grams = written(runs.groupBy("h", "g", "head", "tail", "middle", "last").agg(F.sum("r").alias("k3")), "grams")
+        with shuffles_deleted(docs.sparkSession):
+            pairs = grams.groupBy("tail", "middle", "last").agg(F.sum("k3").alias("k2")).join(words, "last")
+            pairs = written(pairs.select("tail", "middle", "k2", "p1"), "pairs")
+        with shuffles_deleted(docs.sparkSession):
+            lower = _backed_off(pairs, ["middle"], "k2", "p1", discount, "p2").select("tail", "p2")
+            known = grams.select("h", "g", "head", "tail", "k3").join(lower, "tail").select("h", "g", "head", "k3", "p2")
+            known = written(known, "trigrams")
+        forget(grams, pairs)
+        with shuffles_deleted(docs.sparkSession):
+            model = written(_backed_off(known, ["head"], "k3", "p2", discount, "p").select("h", "g", F.log("p").alias("lp")), "model")
+        forget(known)
+        with shuffles_deleted(docs.sparkSession):
+            scored = runs.select("h", "g", "c", "doc").join(model, ["h", "g"])
+            found.append(written(scored.groupBy("doc").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("lp")).alias("s")), "share"))
+        forget(model)
+    sums = reduce(DataFrame.unionAll, found).groupBy(F.col("doc").alias(doc_id)).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     return sums.select(doc_id, "n", F.exp(-F.col("s") / F.col("n")).alias("ppl_trigram"))

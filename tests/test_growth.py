@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
-from corpusgauge.operators import aggregates, joins, ngrams
+from corpusgauge.operators import aggregates, backoff, joins, ngrams
 from corpusgauge.plans.ordered import quantiles
 from corpusgauge.registry import all_queries
 
@@ -211,3 +211,16 @@ def test_perplexity_pairs_are_worked_off_in_shares(spark):
             seen.setdefault(d, []).append((np.log(high), np.log(low)))
     want = {d: (len(x), *(round(v, 9) for v in np.exp(-np.mean(x, axis=0)))) for d, x in seen.items()}
     assert {x.d: (x.n, round(x.ppl_bigram, 9), round(x.ppl_unigram, 9)) for x in out.collect()} == want
+
+
+def test_trigrams_are_worked_off_in_shares(spark):
+    """Hashed trigrams in shares have the probabilities of the model of strings; only results of a share stay."""
+    df = spark.createDataFrame(_odd_reference_rows(), "d long, g string, t array<string>, r boolean").repartition(3)
+    out = backoff.trigram_perplexity(df, "d", ["g"], "t", "r")
+    names = {f.split("/")[-2].split("-")[0] for f in out.inputFiles()}
+    assert names == {"share"} and len({f.split("/share-")[1][:32] for f in out.inputFiles()}) == backoff.SLICES
+    counts = backoff.padded_trigrams(df, ["d", "g", "r"], "t")
+    joined = counts.join(backoff.trigram_model(counts, ["g"], "r").select("g", "item", "p"), ["g", "item"])
+    sums = joined.groupBy("d").agg(F.sum("c").alias("n"), F.exp(-F.sum(F.col("c") * F.log("p")) / F.sum("c")).alias("ppl"))
+    want = {x.d: (x.n, round(x.ppl, 9)) for x in sums.collect()}
+    assert {x.d: (x.n, round(x.ppl_trigram, 9)) for x in out.collect()} == want and None in want and len(want) > 70
