@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from corpusgauge.functions import text as tx
 from corpusgauge.functions.common import attach, flat, flat_structs, ratio
 from corpusgauge.plans.ordered import ordered
-from corpusgauge.session import shuffles_deleted, written
+from corpusgauge.session import forget, shuffles_deleted, written
 
 ORDERS = (1, 2, 3, 4)
 #: Shares for each order of the grams, which are worked off one after the other, and words whose grams are worked out at once.
 ORDER_SLICES, PASS_WORDS = 2, 200_000
+#: Shares of the words and of the pairs of sets in ``first_copies``.
+COPY_SLICES = 4
 #: Shares of pairs of words for ``perplexity``; the hash of the empty word.
 PAIR_SLICES, EMPTY_WORD = 4, np.uint64(0x51ED270B0A1F39C1)
 
@@ -314,26 +316,47 @@ def first_copies(docs: DataFrame, doc_id: str, toks: Column, floor: float = 0.6)
     each.  Two sets at or above the floor share one of their rarest pairs of words
     (prefix filter, pairs as 64-bit hashes); pairs of words that one set alone holds take
     up places of the prefix but need no rows.  One table of prefixes meets itself, and
-    the sets of the pairs found decide.  A document's first match is the smallest one of
+    the sets of the pairs found decide, as 64-bit hashes.  Words and pairs of sets are
+    worked off in shares, whose shuffle files go before the next one starts.  A document's first match is the smallest one of
     its set, or else the smallest id of its own set.
     """
-    pairs = F.sort_array(F.array_distinct(tx.ngrams(toks, 2)))
+    spark = docs.sparkSession
     # Written before anything else reads it, or the filter would work the array out again.
-    sets = written(docs.select(doc_id, pairs.alias("s")), "sets").where("size(s) > 0").withColumn("u", F.sha2(F.array_join("s", " "), 256))
-    units = written(sets.groupBy("u").agg(F.min(doc_id).alias("first"), F.min_by("s", doc_id).alias("s")), "units")
+    pairs = written(docs.select(doc_id, F.sort_array(F.array_distinct(tx.ngrams(toks, 2))).alias("s")), "pairs").where("size(s) > 0")
+    sets = written(pairs.select(doc_id, F.sha2(F.array_join("s", " "), 256).alias("u")), "sets")
     hashed = F.array_distinct(F.transform("s", lambda x: F.xxhash64(x)))
-    words = flat(units.select("first", hashed.alias("h")), ["first", F.size("h").alias("n")], F.col("h"), "w")
-    freq = words.groupBy("w").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = words.join(freq, "w").groupBy("first", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("a"))
+    whole = pairs.select(doc_id, F.sha2(F.array_join("s", " "), 256).alias("u"), hashed.alias("h"))
+    with shuffles_deleted(spark):
+        units = written(whole.groupBy("u").agg(F.min(doc_id).alias("first"), F.min_by("h", doc_id).alias("h")), "units")
+    forget(pairs)
+    words = flat(units.select("first", "h"), ["first", F.size("h").alias("n")], F.col("h"), "w")
+    ranked = []
+    for share in range(COPY_SLICES):
+        mine = words.where(F.pmod(F.shiftright("w", 40), F.lit(COPY_SLICES)) == share)
+        with shuffles_deleted(spark):
+            freq = mine.groupBy("w").agg(F.count("*").alias("f")).where("f > 1")
+            ranked.append(written(mine.join(freq, "w"), "ranked"))
+    shared = reduce(DataFrame.unionByName, ranked).groupBy("first", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("a"))
     keep = (F.col("n") - F.ceil(F.col("n") * F.lit(floor)) + 1 - (F.col("n") - F.size("a"))).cast("int")
-    prefix = ranked.where(keep > 0).select("first", "n", F.explode(F.slice("a", F.lit(1), keep)).alias("e")).select("first", "n", F.col("e.w").alias("w"))
-    prefix = written(prefix, "prefix")
+    prefix = shared.where(keep > 0).select("first", "n", F.explode(F.slice("a", F.lit(1), keep)).alias("e")).select("first", "n", F.col("e.w").alias("w"))
+    with shuffles_deleted(spark):
+        prefix = written(prefix, "prefix")
+    forget(*ranked)
     near = (F.col("a.n") >= F.col("b.n") * floor) & (F.col("b.n") >= F.col("a.n") * floor)
     met = prefix.alias("a").join(prefix.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.first") < F.col("b.first")) & near)
-    met = met.select(F.col("a.first").alias("x"), F.col("b.first").alias("y")).distinct()
-    left, right = (units.select(F.col("first").alias(n), F.col("s").alias(f"s{n}")) for n in ("x", "y"))
-    shared = F.size(F.array_intersect("sx", "sy"))
-    verified = met.join(left, "x").join(right, "y").select("x", "y", (shared / (F.size("sx") + F.size("sy") - shared)).alias("j"))
+    with shuffles_deleted(spark):
+        met = written(met.select(F.col("a.first").alias("x"), F.col("b.first").alias("y")).distinct(), "met")
+    both = F.size(F.array_intersect("hx", "hy"))
+    jaccard = (both / (F.size("hx") + F.size("hy") - both)).alias("j")
+    checked = []
+    # The sets of a share's pairs move, not those of all pairs at once.
+    for share in range(COPY_SLICES):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(COPY_SLICES)) == share  # noqa: B023, E731
+        left = units.where(mine("first")).select(F.col("first").alias("x"), F.col("h").alias("hx"))
+        right = units.select(F.col("first").alias("y"), F.col("h").alias("hy"))
+        with shuffles_deleted(spark):
+            checked.append(written(met.where(mine("x")).join(left, "x").join(right, "y").select("x", "y", jaccard).where(F.col("j") >= floor), "checked"))
+    verified = reduce(DataFrame.unionByName, checked)
     best = verified.where(F.col("j") >= floor).groupBy(F.col("y").alias("first")).agg(F.min_by(F.struct("x", "j"), "x").alias("m"))
     found = sets.select(doc_id, "u").join(units.select("u", "first"), "u").join(best, "first", "left")
     later = F.col(doc_id) != F.col("first")

@@ -224,3 +224,21 @@ def test_trigrams_are_worked_off_in_shares(spark):
     sums = joined.groupBy("d").agg(F.sum("c").alias("n"), F.exp(-F.sum(F.col("c") * F.log("p")) / F.sum("c")).alias("ppl"))
     want = {x.d: (x.n, round(x.ppl, 9)) for x in sums.collect()}
     assert {x.d: (x.n, round(x.ppl_trigram, 9)) for x in out.collect()} == want and None in want and len(want) > 70
+
+
+def test_near_copies_are_verified_in_shares(spark):
+    """The first copy by brute force; strings of pairs and what a step no longer needs do not stay on the disks."""
+    rng = np.random.default_rng(12)
+    texts = [[f"w{x}" for x in rng.integers(0, 40, rng.integers(0, 30))] for _ in range(25)]
+    rows = [(i, " ".join(texts[i % 25][: len(texts[i % 25]) - i // 25])) for i in range(90)] + [(200, None), (201, "w1")]
+    out = ngrams.first_copies(spark.createDataFrame(rows, "d long, text string"), "d", tx.words(F.col("text")))
+    names = Counter(f.split("/")[-2].split("-")[0] for f in out.inputFiles())
+    assert {"checked", "units", "sets"} >= set(names)
+    sets = {d: set(_grams(t.split(), 2)) for d, t in rows if t}
+    want = {}
+    for y, b in sets.items():
+        for x, a in sets.items():
+            if x < y and a and b and len(a & b) / len(a | b) >= 0.6:
+                want[y] = (x, round(len(a & b) / len(a | b), 9))
+                break
+    assert {x.d: (x.first_id, round(x.jaccard, 9)) for x in out.collect()} == want and len(want) > 40
